@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperfold.functions.text import extension
+from paperfold.functions.text import extension  # noqa: F401  (re-exported)
 
 # Accepted upload extensions and the file types they stand for.
 ALLOWED_EXTENSIONS = (".pdf", ".jpg", ".jpeg", ".png", ".tiff", ".tif", ".bmp",
