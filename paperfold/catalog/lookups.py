@@ -9,6 +9,7 @@ from paperfold.catalog.scalars import SQL_WORDS
 from paperfold.functions import similarity as sim
 from paperfold.operators import fuzzy, lookups, sheets, spans
 from paperfold.plans.segments import numbered, prefix_sum, segmented
+from paperfold.sources.shared import written
 
 
 @query("c1_lookup_default", sql=f"""WITH {SQL_LOGS}
@@ -65,10 +66,10 @@ def verified_synonyms(t):
 
 
 def match_values(t):
-    """Part names as read: as they are, with a tail, first word only, upper case."""
+    """Part names as read: as they are, with a tail, first word only, upper case, a letter lost."""
     n = F.col("p_name")
     return t.part.select(F.explode(F.array(n, F.concat(n, F.lit(" (new)")), F.split(n, " ")[0], F.upper(n),
-                                           F.concat(F.lit("x"), F.reverse(n)))).alias("value"))
+                                           F.concat(F.left(n, F.lit(1)), F.substr(n, F.lit(3))))).alias("value"))
 
 
 def match_entries(t):
@@ -76,7 +77,7 @@ def match_entries(t):
 
 
 SQL_MATCH = r"""dict AS (SELECT MIN(p_partkey) AS entry_no, CAST(MIN(p_partkey) AS VARCHAR) AS code, p_name AS name, arg_min(p_type, p_partkey) AS category FROM part GROUP BY p_name),
-vals AS (SELECT DISTINCT unnest([p_name, p_name || ' (new)', string_split(p_name, ' ')[1], upper(p_name), 'x' || reverse(p_name)]) AS value FROM part),
+vals AS (SELECT DISTINCT unnest([p_name, p_name || ' (new)', string_split(p_name, ' ')[1], upper(p_name), left(p_name, 1) || substr(p_name, 3)]) AS value FROM part),
 scored AS (SELECT value, category, code, name, entry_no, CASE WHEN lower(value) = name OR lower(value) = code THEN 1.0::DOUBLE
   WHEN contains(name, lower(value)) OR contains(lower(value), name) THEN 0.85::DOUBLE
   WHEN contains(code, lower(value)) OR contains(lower(value), code) THEN 0.8::DOUBLE END AS score FROM vals, dict),
@@ -226,7 +227,7 @@ gaps AS (SELECT m.doc_id, CAST(m.line_no AS INTEGER) AS line_no, reach AS gap_st
 
 @query("c13_text_gaps", sql=f"WITH {SQL_GAPS} SELECT doc_id, line_no, gap_start, gap_end, text FROM gaps WHERE length(text) >= 2")
 def text_gaps(t):
-    return spans.text_gaps(placed_lines(t), claims(t))
+    return spans.text_gaps(written(placed_lines(t), "lines"), claims(t))
 
 
 @query("c14_reference_resolution", sql="""
@@ -313,8 +314,9 @@ SQL_GRID = f"""grid AS (SELECT 'Sheet' || CAST(l_suppkey % 3 AS VARCHAR) AS shee
   CAST(l_partkey AS VARCHAR) AS "A", CASE WHEN l_returnflag = 'R' THEN 'nan' ELSE l_returnflag END AS "B", CASE WHEN l_linestatus = 'O' THEN ' ' ELSE l_linestatus END AS "C" FROM lineitem)"""
 
 
-def grid(t):
+def grid(t, sheet=None):
     rows = t.lineitem.withColumn("sheet", F.concat(F.lit("Sheet"), (F.col("l_suppkey") % 3).cast("string")))
+    rows = sheets.pick_sheet(rows, sheet)
     rows = numbered(rows, ["sheet"], ["l_orderkey", *t.ROW_ORDER], [F.floor(F.col("l_orderkey") / 1000)], "local_row_id")
     return rows.select("sheet", *LKEY, (F.col("local_row_id") - 1).alias("local_row_id"), F.col("l_partkey").cast("string").alias("A"),
                        F.when(F.col("l_returnflag") == "R", "nan").otherwise(F.col("l_returnflag")).alias("B"),
@@ -326,7 +328,7 @@ m AS (SELECT local_row_id, unnest(['flag', 'state', 'ghost']) AS sub_key, unnest
   FROM grid WHERE sheet = 'Sheet1' AND local_row_id >= 2 AND ("B" <> 'nan' OR trim("C") <> ''))
 SELECT local_row_id, sub_key, value, CASE WHEN value IS NULL THEN 'blank' ELSE 'valid' END AS status FROM m""")
 def sheet_mapping(t):
-    g = sheets.pick_sheet(grid(t).withColumn("row_id", F.col("local_row_id")), " sheet1 ")
+    g = grid(t, " sheet1 ").withColumn("row_id", F.col("local_row_id"))
     table = sheets.map_table(g, {"flag": "B", "state": "C", "ghost": None}, 2)
     return sheets.to_cells(table, ["flag", "state", "ghost"]).select("local_row_id", "sub_key", "value", "status")
 

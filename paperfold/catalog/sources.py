@@ -10,7 +10,7 @@ from paperfold.functions.files import column_letters
 from paperfold.plans.segments import numbered
 from paperfold.sources import readers as rd
 from paperfold.sources import sinks as sk
-from paperfold.sources.shared import new_path
+from paperfold.sources.shared import new_path, written
 
 
 @query("a1_csv_scan", sql="""
@@ -39,7 +39,7 @@ def multi_sheet_union(t):
                         F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent"))
     rows = a.unionByName(b, allowMissingColumns=True)
     block = F.floor(F.col("id") / 100_000)
-    rows = numbered(rows, ["sheet_no"], ["id"], [block], "local_row_id")
+    rows = written(numbered(rows, ["sheet_no"], ["id"], [block], "local_row_id"), "sheets")
     rows = numbered(rows, [], ["sheet_no", "id"], [F.col("sheet_no"), block], "row_id")
     return rows.select("sheet_name", "id", "name", "parent", "local_row_id", "row_id")
 

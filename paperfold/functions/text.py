@@ -91,7 +91,7 @@ def contains_ci(c: Column, needle: str) -> Column:
 
 
 def markdown_cell(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"\|", r"\\\\|"), "\n", " ")
+    return F.regexp_replace(F.regexp_replace(c, r"\|", r"\\|"), "\n", " ")
 
 
 def collapse_spaces(c: Column) -> Column:

@@ -33,7 +33,8 @@ def unclaimed_words(words: DataFrame, claims: DataFrame) -> DataFrame:
     return out.where(free).select("doc_id", "start", "word")
 
 
-def text_gaps(lines: DataFrame, claims: DataFrame, least: int = 3, least_trimmed: int = 2) -> DataFrame:
+def text_gaps(lines: DataFrame, claims: DataFrame, least: int = 3, least_trimmed: int = 2,
+              keep_edges: bool = False) -> DataFrame:
     """Unclaimed stretches of each line (doc_id, line_no, start, line).
 
     The end of a line counts as a claim of its own, so every gap lies inside
@@ -41,7 +42,8 @@ def text_gaps(lines: DataFrame, claims: DataFrame, least: int = 3, least_trimmed
     """
     ends = lines.select("doc_id", (F.col("start") + F.length("line")).alias("start"),
                         (F.col("start") + F.length("line") + 1).alias("end"), "line_no")
-    spans = claims.where(F.col("end") > F.col("start")).select(
+    # an empty claim covers nothing but, when kept, cuts a gap in two
+    spans = claims.where(F.col("end") >= F.col("start") if keep_edges else F.col("end") > F.col("start")).select(
         "doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"),
         F.lit(None).cast("int").alias("line_no"))
     events = ends.unionByName(spans).withColumn("is_end", F.col("line_no").isNotNull())
