@@ -7,9 +7,9 @@ from paperfold.catalog.registry import query
 from paperfold.catalog.reports import LKEY, ORD, SQL_LINES
 from paperfold.catalog.scalars import SQL_WORDS
 from paperfold.functions import similarity as sim
+from paperfold.functions.pieces import split_with_offsets
 from paperfold.operators import fuzzy, lookups, sheets, spans
-from paperfold.plans.segments import numbered, prefix_sum, segmented
-from paperfold.sources.shared import written
+from paperfold.plans.segments import numbered
 
 
 @query("c1_lookup_default", sql=f"""WITH {SQL_LOGS}
@@ -209,12 +209,6 @@ def unclaimed_words(t):
     return spans.unclaimed_words(t.words(), claims(t))
 
 
-def placed_lines(t):
-    lines = t.lines()
-    return segmented(lines, ["doc_id"], ["line_no"], [F.floor(F.col("line_no") / 256)],
-                     [prefix_sum(F.length("line") + 1, "start")])
-
-
 # gaps inside each line: claims clipped to the line, islands merged, complements kept
 SQL_GAPS = rf"""{SQL_LINES}, {SQL_CLAIMS},
 pl AS (SELECT doc_id, line_no, line, CAST(COALESCE(SUM(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ls FROM lines),
@@ -227,7 +221,7 @@ gaps AS (SELECT m.doc_id, CAST(m.line_no AS INTEGER) AS line_no, reach AS gap_st
 
 @query("c13_text_gaps", sql=f"WITH {SQL_GAPS} SELECT doc_id, line_no, gap_start, gap_end, text FROM gaps WHERE length(text) >= 2")
 def text_gaps(t):
-    return spans.text_gaps(written(placed_lines(t), "lines"), claims(t))
+    return spans.text_gaps(t.placed_lines(), claims(t))
 
 
 @query("c14_reference_resolution", sql="""
@@ -263,8 +257,8 @@ def multi_references(t):
 
 def page_words(t):
     """Words with the line they stand on as page number."""
-    from paperfold.functions.text import words_with_offsets
-    return words_with_offsets(t.lines(), "line", ["doc_id", "line_no"]).withColumnRenamed("line_no", "page_no")
+    lines = t.lines().withColumnRenamed("line_no", "page_no")
+    return split_with_offsets(lines, "line", ["doc_id", "page_no"], " ", "\r\t", piece="word", skip_empty=True)
 
 
 def located_cells(t):

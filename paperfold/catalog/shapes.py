@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from paperfold.catalog.filters import SQL_LOGS
-from paperfold.catalog.lookups import SQL_CLAIMS, claims, placed_lines
+from paperfold.catalog.lookups import claims
 from paperfold.catalog.registry import query
 from paperfold.catalog.reports import LKEY, ORD, SQL_LINES, SQL_RESULTS
 from paperfold.catalog.scalars import PRICE_TEXT, SHAPE, SQL_WORDS, price_text
@@ -453,4 +453,4 @@ def tagged_text(t):
     size = t.documents.select("doc_id", F.length("text").cast("bigint").alias("size"))
     tables = tables.join(size, "doc_id").where(F.col("start") < F.col("size")).withColumn("end", F.least("end", "size")).drop("size")
     taken = cells.select("doc_id", "start", "end").unionByName(tags.select("doc_id", "start", F.col("at").alias("end")))
-    return tt.rebuild_text(placed_lines(t), tables, tags.drop("start"), taken)
+    return tt.rebuild_text(t.placed_lines(), tables, tags.drop("start"), taken)

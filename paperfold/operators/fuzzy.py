@@ -218,7 +218,7 @@ def containing_pairs(values: DataFrame, words: DataFrame) -> DataFrame:
     word shows its first characters as one of the word's grams.
     """
     v = values.select("value").distinct()
-    w = words.select("word").distinct()
+    w = written(words.select("word").distinct(), "vocabulary")
     long = w.where(F.length("word") > 1)
     equal = v.join(w, F.col("value") == F.col("word")).withColumn("tier", F.lit(0))
     parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("value")), lambda i: F.transform(

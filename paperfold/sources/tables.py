@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperfold.functions import status as st
-from paperfold.functions.text import words_with_offsets
+from paperfold.functions.pieces import split_with_offsets
 
 NAMES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -73,7 +73,11 @@ class Tables:
 
     def words(self) -> DataFrame:
         """(doc_id, start, word): whitespace-separated words with character offsets."""
-        return words_with_offsets(self.documents, "text", ["doc_id"])
+        return split_with_offsets(self.documents, "text", ["doc_id"], " ", "\n\r\t", piece="word", skip_empty=True)
+
+    def placed_lines(self) -> DataFrame:
+        """(doc_id, line_no, start, line): lines with their character offset in the document."""
+        return split_with_offsets(self.documents, "text", ["doc_id"], "\n", index="line_no", piece="line")
 
     # ---- dictionary ----------------------------------------------------
     def dictionary(self) -> DataFrame:
