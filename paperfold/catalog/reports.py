@@ -6,7 +6,7 @@ from paperfold.catalog.filters import SQL_LOGS
 from paperfold.catalog.registry import query
 from paperfold.functions.numbers import half_up
 from paperfold.operators import merge, report
-from paperfold.plans.pick import first_flag, head_per_key, pick_first, pick_last
+from paperfold.plans.pick import head_per_key, pick_first, pick_last
 from paperfold.plans.segments import carry, lead, prefix_sum, row_number, segmented, total
 
 ORD = "l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice"
@@ -135,8 +135,8 @@ def duplicate_flag(t):
     part = lambda c: F.lower(F.trim(c))
     rows = t.lineitem.withColumn("composite", F.concat_ws(
         "|", part(F.coalesce(F.nullif(code, F.lit("")), raw)), part(F.col("l_linestatus"))))
-    out = first_flag(rows, ["l_orderkey", "composite"], t.ROW_ORDER, "first")
-    return out.select(*LKEY, "composite", (~F.col("first")).alias("is_duplicate"))
+    return merge.duplicate_flag(rows, ["l_orderkey", "composite"], t.ROW_ORDER, t.row_segment()).select(
+        *LKEY, "composite", "is_duplicate")
 
 
 @query("d11_unmapped_values", sql="""

@@ -13,7 +13,7 @@ from paperfold.operators import chunking as ch
 from paperfold.operators import expand, nested, record, sheets, spans
 from paperfold.operators import tables_text as tt
 from paperfold.plans.pick import pick_first
-from paperfold.plans.segments import numbered, prefix_sum, segmented
+from paperfold.plans.segments import numbered, numbered_all, prefix_sum, segmented
 from paperfold.sources.shared import written
 
 
@@ -342,7 +342,7 @@ def comparison_export(t):
     conf = F.try_variant_get(F.try_parse_json("props"), "$.k", "double") / 100
     url = F.concat(F.lit("https://host.example/d/File%20"), F.col("user_id").cast("string"), F.lit(".pdf?sig=1"))
     diffs = t.events.select("user_id", "event_id", "event_type", conf.alias("conf"), url.alias("url"))
-    rows = numbered(diffs, [], ["user_id", "event_id"], [F.col("user_id"), F.floor(F.col("event_id") / 10_000)], "no")
+    rows = numbered_all(diffs, ["user_id", "event_id"], "no")
     name = F.substring_index(F.url_decode(F.substring_index("url", "/", -1)), "?", 1)
     return rows.select("no", name.alias("candidate"), F.col("event_type").alias("category"), F.col("event_id").alias("description"),
                        F.concat(F.floor(F.col("conf") * 100 + 0.5).cast("string"), F.lit("%")).alias("confidence"))

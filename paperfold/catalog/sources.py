@@ -7,10 +7,10 @@ from paperfold.catalog.filters import SQL_LOGS
 from paperfold.catalog.registry import query
 from paperfold.functions.boxes import box_text
 from paperfold.functions.files import column_letters
-from paperfold.plans.segments import numbered
+from paperfold.plans.segments import numbered, numbered_all
 from paperfold.sources import readers as rd
 from paperfold.sources import sinks as sk
-from paperfold.sources.shared import new_path, written
+from paperfold.sources.shared import new_path
 
 
 @query("a1_csv_scan", sql="""
@@ -39,8 +39,8 @@ def multi_sheet_union(t):
                         F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent"))
     rows = a.unionByName(b, allowMissingColumns=True)
     block = F.floor(F.col("id") / 100_000)
-    rows = written(numbered(rows, ["sheet_no"], ["id"], [block], "local_row_id"), "sheets")
-    rows = numbered(rows, [], ["sheet_no", "id"], [F.col("sheet_no"), block], "row_id")
+    rows = numbered(rows, ["sheet_no"], ["id"], [block], "local_row_id")
+    rows = numbered_all(rows, ["sheet_no", "id"], "row_id")
     return rows.select("sheet_name", "id", "name", "parent", "local_row_id", "row_id")
 
 

@@ -12,6 +12,7 @@ from paperfold.sources.shared import written
 
 PAGE_BLOCK = 1024
 BAND_CHUNKS = 64
+CHAIN_RUN = 512
 
 # Route thresholds in characters and pages.
 PAYLOAD_LIMIT, PAGE_LIMIT, CHUNKING_LIMIT = 40_000, 2, 100_000
@@ -77,9 +78,20 @@ def assign_chunks(pieces: DataFrame, doc: str, pos: str, size: str, limit: int,
             F.concat(acc["seen"], F.array(F.struct(x["band"].alias("band"), acc["base"].alias("base"), acc["n"].alias("n")))).alias("seen"))
 
     band_type = bands.schema["band"].dataType.simpleString()
+    seen_type = f"array<struct<band:{band_type},base:bigint,n:bigint>>"
+
+    def walk(acc: Column, part: Column) -> Column:
+        # a fold over a run of bands, so that growing its result stays cheap
+        begin = F.struct(acc["base"].alias("base"), acc["n"].alias("n"), F.array().cast(seen_type).alias("seen"))
+        run = F.aggregate(part, begin, through)
+        return F.struct(run["base"].alias("base"), run["n"].alias("n"), F.concat(acc["seen"], F.array(run["seen"])).alias("seen"))
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("chain") - 1) / CHAIN_RUN).cast("int")),
+                       lambda i: F.slice("chain", i * CHAIN_RUN + 1, F.lit(CHAIN_RUN)))
     begin = F.struct(F.lit(None).cast("bigint").alias("base"), F.lit(0).cast("bigint").alias("n"),
-                     F.array().cast(f"array<struct<band:{band_type},base:bigint,n:bigint>>").alias("seen"))
-    opens = chain.select(doc, F.explode(F.aggregate("chain", begin, through)["seen"]).alias("o")).select(doc, "o.*")
+                     F.array().cast(f"array<{seen_type}>").alias("seen"))
+    walked = F.flatten(F.aggregate(runs, begin, walk)["seen"])
+    opens = chain.select(doc, F.explode(walked).alias("o")).select(doc, "o.*")
 
     # replay each band from the chunk that is open when it begins
     def number(acc: Column, p: Column) -> Column:

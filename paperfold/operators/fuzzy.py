@@ -238,7 +238,9 @@ def locate_values(cells: DataFrame, words: DataFrame) -> DataFrame:
     ``words(doc_id, page_no, start, word)``.
     """
     pairs = containing_pairs(cells, words)
-    hits = cells.join(pairs, "value").join(words, ["doc_id", "word"])
+    # of equal words on one page only the first can be the answer
+    firsts = words.groupBy("doc_id", "word", "page_no").agg(F.min("start").alias("start"))
+    hits = cells.join(pairs, "value").join(firsts, ["doc_id", "word"])
     return pick_first(hits, ["cell_id", "doc_id"],
                       [F.col("page_no") != F.col("page"), F.col("page_no"), F.col("tier"), F.col("start")],
                       ["value", "word", "page_no", "start", "tier"])
@@ -276,6 +278,7 @@ def locate_fuzzy(cells: DataFrame, words: DataFrame, least: int = ACCEPT_WORD) -
     parts = F.filter(F.split(F.trim("source_text"), r"\s+"), lambda w: w != "")
     longest = F.aggregate(parts, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
     asked = cells.select("cell_id", "doc_id", longest.alias("value")).where(F.col("value") != "")
-    hits = asked.join(similar_words(asked, words, least), "value").join(words, ["doc_id", "word"])
+    pages = words.groupBy("doc_id", "word", "page_no").agg(F.min("start").alias("start"))
+    hits = asked.join(similar_words(asked, words, least), "value").join(pages, ["doc_id", "word"])
     return pick_first(hits, ["cell_id", "doc_id"], [-F.col("score"), F.col("page_no"), F.col("start")],
                       ["value", "word", "score", "page_no", "start"])

@@ -48,6 +48,12 @@ def dedup_rows(rows: DataFrame, keys: Sequence[str], content: Sequence[str],
     return pick_first(rows, [*keys, *content], [F.col(c) for c in order], list(order))
 
 
+def duplicate_flag(rows: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Sequence[Column],
+                   name: str = "is_duplicate") -> DataFrame:
+    """True on the second and later rows of each key in row order; the first is clean."""
+    return numbered(rows, keys, order, segment, "__occurrence").withColumn(name, F.col("__occurrence") > 1).drop("__occurrence")
+
+
 def chunk_accounting(results: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Chunks, successes and success ratio per document."""
     ok = F.count_if(F.col("success"))

@@ -48,7 +48,7 @@ def deep_flatten(df: DataFrame, path: str = "_path") -> DataFrame:
         structs = [f for f in fields if isinstance(f.dataType, T.StructType)]
         if arrays:
             zipped = F.arrays_zip(*[F.coalesce(_q(a), F.array().cast(out.schema[a].dataType)).alias(f"a{i}") for i, a in enumerate(arrays)])
-            out = out.withColumn("__z", zipped).select(*out.columns, F.posexplode_outer("__z").alias("__p", "__e"))
+            out = out.withColumn("__z", zipped).select(*[_q(c) for c in out.columns], F.posexplode_outer("__z").alias("__p", "__e"))
             out = out.select(
                 *[_item(out, arrays.index(f.name)).alias(f.name)
                   if f.name in arrays else _q(f.name) for f in fields],
@@ -83,7 +83,7 @@ def master_detail(df: DataFrame, limit: int) -> DataFrame:
     arrays = [f.name for f in src.schema if isinstance(f.dataType, T.ArrayType)]
     if arrays:
         zipped = F.arrays_zip(*[F.coalesce(_q(a), F.array().cast(src.schema[a].dataType)).alias(f"a{i}") for i, a in enumerate(arrays)])
-        src = src.withColumn("__z", zipped).select(*src.columns, F.explode_outer("__z").alias("__e"))
+        src = src.withColumn("__z", zipped).select(*[_q(c) for c in src.columns], F.explode_outer("__z").alias("__e"))
     cols: dict[str, Column] = {}
 
     def put(name: str, c: Column, kind: T.DataType):

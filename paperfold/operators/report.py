@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from paperfold.functions import status as st
 from paperfold.functions.numbers import half_up, parse_number, percent_of
@@ -56,14 +57,23 @@ def token_cost(prompt: Column, completion: Column) -> Column:
 
 
 def grouped_totals(df: DataFrame, keys: Sequence[str], numbers: Sequence[str]) -> DataFrame:
-    """Sum, average and count per group with total rows; text that is no number counts as 0."""
+    """Sum, average and count per group with total rows; text that is no number counts as 0.
+
+    Groups are summed before the rollup, which then multiplies a few groups
+    instead of every row.
+    """
+    amounts = {}
+    for c in numbers:
+        parsed = F.col(c) if isinstance(df.schema[c].dataType, NumericType) else parse_number(F.col(c))
+        amounts[f"__{c}"] = F.coalesce(parsed, F.lit(0)).cast("decimal(18,2)")
+    groups = df.select(*keys, *[v.alias(k) for k, v in amounts.items()]).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.sum(k).alias(k) for k in amounts])
+    rows = F.sum("__n")
     aggs = []
     for c in numbers:
-        amount = F.coalesce(parse_number(F.col(c).cast("string")), F.lit(0.0)).cast("decimal(18,2)")
-        aggs += [F.sum(amount).cast("double").alias(f"{c}_sum"),
-                 half_up(F.sum(amount).cast("double") / F.count(F.lit(1)), 4).alias(f"{c}_avg")]
-    return df.rollup(*keys).agg(F.grouping_id().cast("bigint").alias("total_level"),
-                                F.count(F.lit(1)).alias("row_count"), *aggs)
+        amount = F.sum(f"__{c}").cast("double")
+        aggs += [amount.alias(f"{c}_sum"), half_up(amount / rows, 4).alias(f"{c}_avg")]
+    return groups.rollup(*keys).agg(F.grouping_id().cast("bigint").alias("total_level"), rows.alias("row_count"), *aggs)
 
 
 def pivot_export(df: DataFrame, keys: Sequence[str], column: str, names: Sequence[str],

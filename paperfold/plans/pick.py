@@ -41,22 +41,3 @@ def head_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     if name:
         return out.withColumn(name, F.col(name).cast("bigint"))
     return out.drop(rn)
-
-
-def first_flag(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """True on the first row of each key, by a pre-aggregated minimum joined back.
-
-    The key columns are compared null-safe, as a grouping does.
-    """
-    firsts = (
-        df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__first"))
-        .select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__first")
-    )
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return (
-        df.join(firsts, on, "inner")
-        .withColumn(name, F.struct(*order) == F.col("__first"))
-        .select(*df.columns, name)
-    )

@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperfold.sources.shared import written
+
 SEG = "__seg"
 
 
@@ -144,6 +146,18 @@ def segmented(
     return joined.select(*df.columns, *results)
 
 
-def numbered(df, keys, order, segment, name="rn") -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Sequence[Column],
+             name: str = "rn") -> DataFrame:
     """1-based position of each row within its key."""
     return segmented(df, keys, order, segment, [row_number(name)])
+
+
+def numbered_all(df: DataFrame, order: Sequence[str], name: str = "rn") -> DataFrame:
+    """1-based position of each row in the whole table.
+
+    The segments are range partitions, so there are only as many as tasks.  The
+    partitioned rows are written once: both passes must see the same ranges.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    ranged = written(ranged, "ranged")
+    return segmented(ranged, [], order, [F.col("__range")], [row_number(name)]).drop("__range")
