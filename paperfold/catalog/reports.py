@@ -257,6 +257,22 @@ def grid_waste(t):
     return head_per_key(rows, ["page_id"], [F.desc("waste_permille"), F.asc("row_no")], 5)
 
 
+@query("d20_waste_summary", sql="""
+WITH l AS (SELECT page_id, unnest(string_split(html, '<')) AS line FROM pages),
+c AS (SELECT page_id, length(line) // 4 AS tokens, len(string_split(line, ' ')) AS cells, len(list_filter(string_split(line, ' '), lambda x: trim(x) = '')) AS empties FROM l)
+SELECT page_id, CAST(COUNT(*) AS BIGINT) AS rows_seen, CAST(SUM(tokens) AS BIGINT) AS tokens, floor(SUM(tokens) * 100 / COUNT(*) + 0.5) / 100 AS mean_tokens,
+ floor(SUM(empties) * 1000 / SUM(cells) + 0.5) / 1000 AS waste_ratio FROM c GROUP BY page_id""")
+def waste_summary(t):
+    rows = t.pages.select("page_id", F.explode(F.split("html", "<")).alias("line"))
+    cells = F.split("line", " ")
+    rows = rows.select("page_id", F.floor(F.length("line") / 4).alias("tokens"), F.size(cells).alias("cells"),
+                       F.size(F.filter(cells, lambda c: F.trim(c) == "")).alias("empties"))
+    n = F.count(F.lit(1))
+    return rows.groupBy("page_id").agg(n.alias("rows_seen"), F.sum("tokens").alias("tokens"),
+                                       (F.floor(F.sum("tokens") * 100 / n + 0.5) / 100).alias("mean_tokens"),
+                                       (F.floor(F.sum("empties") * 1000 / F.sum("cells") + 0.5) / 1000).alias("waste_ratio"))
+
+
 @query("d21_outcome_counters", sql="""
 SELECT o_orderpriority, CAST(COUNT(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS created, CAST(COUNT(*) FILTER (o_orderstatus = 'O') AS BIGINT) AS updated,
  CAST(COUNT(*) FILTER (o_orderstatus = 'P') AS BIGINT) AS failed, bool_or(o_orderstatus = 'O') AS accepted FROM orders GROUP BY 1""")

@@ -281,6 +281,16 @@ def regionless_tables(t):
     return ch.regionless_to_all(chunks, loose, "doc_id")
 
 
+@query("e20_chunk_content", sql=packing_sql("CASE WHEN line_no % 4 = 1 THEN 70 ELSE length(line) END", 60).replace("SELECT doc_id, CAST(chunk AS BIGINT)", """, own AS (SELECT p.doc_id, CAST(p.chunk AS BIGINT) AS chunk_index, CAST(p.line_no AS INTEGER) AS line_no, CASE WHEN p.line_no % 4 = 1 THEN ' ' ELSE line END AS line, bool_and(p.line_no % 4 = 1 OR trim(line) = '') OVER (PARTITION BY p.doc_id, p.chunk) AS blank FROM pack p JOIN lines l ON l.doc_id = p.doc_id AND l.line_no = p.line_no),
+ b AS (SELECT DISTINCT doc_id, chunk_index FROM own WHERE blank)
+SELECT doc_id, chunk_index, line_no, line, false AS fallback FROM own WHERE NOT blank
+UNION ALL SELECT b.doc_id, b.chunk_index, o.line_no, o.line, true FROM b JOIN own o ON o.doc_id = b.doc_id AND trim(o.line) <> '' -- """, 1))
+def chunk_content(t):
+    pages = t.lines().withColumn("line", F.when(F.col("line_no") % 4 == 1, F.lit(" ")).otherwise(F.col("line")))
+    pages = pages.withColumn("size", F.when(F.col("line_no") % 4 == 1, 70).otherwise(F.length("line")))
+    return ch.chunk_contents(ch.assign_chunks(pages, "doc_id", "line_no", "size", 60), "doc_id", "line_no", "line")
+
+
 @query("e21_size_routes", sql="""
 SELECT doc_id, length(text) > 3000 AS needs_chunking, CASE WHEN length(text) > 40000 OR len(string_split(text, chr(10))) > 2 THEN 'packed' ELSE 'single' END AS route FROM documents""")
 def size_routes(t):

@@ -141,6 +141,15 @@ def table_headers(lines: DataFrame, doc: str = "doc_id", no: str = "line_no", te
     return src.select(*lines.columns, F.col("__state.header").alias("header"), F.col("__state.separator").alias("separator"))
 
 
+def chunk_contents(assigned: DataFrame, doc: str, pos: str, text: str) -> DataFrame:
+    """Pieces of every chunk; a chunk without any text falls back to the whole document's."""
+    own = assigned.select(doc, "chunk_index", pos, text)
+    blank = own.groupBy(doc, "chunk_index").agg(F.bool_and(F.trim(text) == "").alias("__b")).where("__b").select(doc, "chunk_index")
+    whole = blank.join(own.where(F.trim(text) != "").select(doc, pos, text), doc)
+    return own.join(blank, [doc, "chunk_index"], "left_anti").withColumn("fallback", F.lit(False)).unionByName(
+        whole.withColumn("fallback", F.lit(True)))
+
+
 _CELL_TAG = r"\^C[0-9A-F]+"
 
 
