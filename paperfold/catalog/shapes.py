@@ -273,21 +273,28 @@ def token_packing(t):
     return ch.chunk_table(ch.assign_chunks(pages, "doc_id", "line_no", "size", 100), "doc_id", "line_no", "size")
 
 
-@query("e20_regionless_tables", sql=packing_sql("length(line)", 500).replace("SELECT doc_id, CAST(chunk AS BIGINT)", ", chunks AS (SELECT DISTINCT doc_id, CAST(chunk AS BIGINT) AS chunk_index FROM pack) SELECT c.doc_id, chunk_index, source AS table_id FROM chunks c JOIN documents d ON d.doc_id = c.doc_id AND d.doc_id % 5 = 0 -- ", 1))
+def on_packing(size, limit, tail):
+    """The packing twin with another final SELECT."""
+    return packing_sql(size, limit).rsplit("SELECT doc_id, CAST(chunk AS BIGINT)", 1)[0] + tail
+
+
+@query("e20_regionless_tables", sql=on_packing("length(line)", 500, """SELECT p.doc_id, source AS table_id, CAST(MIN(chunk) AS BIGINT) AS first_chunk, CAST(MAX(chunk) AS BIGINT) AS last_chunk
+FROM pack p JOIN documents d ON d.doc_id = p.doc_id AND d.doc_id % 5 = 0 GROUP BY ALL"""))
 def regionless_tables(t):
     pages = t.lines().select("doc_id", "line_no", F.length("line").alias("size"))
     chunks = ch.chunk_table(ch.assign_chunks(pages, "doc_id", "line_no", "size", 500), "doc_id", "line_no", "size")
+    # every fifth document carries a table without a region
     loose = t.documents.where(F.col("doc_id") % 5 == 0).select("doc_id", F.col("source").alias("table_id"))
     return ch.regionless_to_all(chunks, loose, "doc_id")
 
 
-@query("e20_chunk_content", sql=packing_sql("CASE WHEN line_no % 4 = 1 THEN 70 ELSE length(line) END", 60).replace("SELECT doc_id, CAST(chunk AS BIGINT)", """, own AS (SELECT p.doc_id, CAST(p.chunk AS BIGINT) AS chunk_index, CAST(p.line_no AS INTEGER) AS line_no, CASE WHEN p.line_no % 4 = 1 THEN ' ' ELSE line END AS line, bool_and(p.line_no % 4 = 1 OR trim(line) = '') OVER (PARTITION BY p.doc_id, p.chunk) AS blank FROM pack p JOIN lines l ON l.doc_id = p.doc_id AND l.line_no = p.line_no),
- b AS (SELECT DISTINCT doc_id, chunk_index FROM own WHERE blank)
-SELECT doc_id, chunk_index, line_no, line, false AS fallback FROM own WHERE NOT blank
-UNION ALL SELECT b.doc_id, b.chunk_index, o.line_no, o.line, true FROM b JOIN own o ON o.doc_id = b.doc_id AND trim(o.line) <> '' -- """, 1))
+@query("e20_chunk_content", sql=on_packing("CASE WHEN line_no % 4 = 1 THEN 70 ELSE length(line) END", 60, """SELECT p.doc_id, CAST(p.chunk AS BIGINT) AS chunk_index,
+ CAST(CASE WHEN bool_and(p.line_no % 4 = 1 OR trim(line) = '') THEN 0 ELSE MIN(p.line_no) END AS INTEGER) AS content_from,
+ CAST(CASE WHEN bool_and(p.line_no % 4 = 1 OR trim(line) = '') THEN MAX(m.last) ELSE MAX(p.line_no) END AS INTEGER) AS content_to, bool_and(p.line_no % 4 = 1 OR trim(line) = '') AS fallback
+FROM pack p JOIN lines l ON l.doc_id = p.doc_id AND l.line_no = p.line_no JOIN (SELECT doc_id, MAX(line_no) AS last FROM lines GROUP BY 1) m ON m.doc_id = p.doc_id GROUP BY p.doc_id, p.chunk"""))
 def chunk_content(t):
-    pages = t.lines().withColumn("line", F.when(F.col("line_no") % 4 == 1, F.lit(" ")).otherwise(F.col("line")))
-    pages = pages.withColumn("size", F.when(F.col("line_no") % 4 == 1, 70).otherwise(F.length("line")))
+    blank = F.col("line_no") % 4 == 1
+    pages = t.lines().withColumns({"size": F.when(blank, 70).otherwise(F.length("line")), "line": F.when(blank, " ").otherwise(F.col("line"))})
     return ch.chunk_contents(ch.assign_chunks(pages, "doc_id", "line_no", "size", 60), "doc_id", "line_no", "line")
 
 
@@ -317,13 +324,11 @@ def line_packing(t):
     return ch.pack_lines(tagged_lines(t), 300)
 
 
-@query("e24_chunk_preamble", sql="""
-WITH d AS (SELECT doc_id, unnest(range(0, length(text), 400)) AS o, text FROM documents)
-SELECT doc_id, CAST(o // 400 AS BIGINT) AS chunk_index, substr(text, o + 1, 400) AS content, CASE WHEN o = 0 THEN '' ELSE 'DOCUMENT CONTEXT (from earlier pages):' || chr(10) || rtrim(left(text, 500)) || chr(10) || '...' || chr(10) || chr(10) || 'EXPECTED FIELD KEYS: total, date' || chr(10) || chr(10) END AS preamble FROM d""")
+@query("e24_chunk_preamble", sql=f"""WITH {SQL_LINES}, c AS (SELECT DISTINCT doc_id, line_no // 10 AS chunk FROM lines)
+SELECT c.doc_id, CAST(chunk AS BIGINT) AS chunk_index, CASE WHEN chunk = 0 THEN '' ELSE 'DOCUMENT CONTEXT (from earlier pages):' || chr(10) || rtrim(left(text, 500)) || chr(10) || '...' || chr(10) || chr(10) || 'EXPECTED FIELD KEYS: total, date' || chr(10) || chr(10) END AS preamble
+FROM c JOIN documents d ON d.doc_id = c.doc_id""")
 def chunk_preamble(t):
-    starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(400))
-    chunks = t.documents.select("doc_id", F.explode(starts).alias("o"), "text").select(
-        "doc_id", F.floor(F.col("o") / 400).alias("chunk_index"), F.substr(F.col("text"), F.col("o") + 1, F.lit(400)).alias("content"))
+    chunks = t.lines().select("doc_id", F.floor(F.col("line_no") / 10).alias("chunk_index")).distinct()
     return ch.with_preamble(chunks, t.documents, "doc_id", ["total", "date"])
 
 

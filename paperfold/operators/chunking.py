@@ -117,8 +117,9 @@ def chunk_table(assigned: DataFrame, doc: str, pos: str, size: str) -> DataFrame
 
 
 def regionless_to_all(chunks: DataFrame, pieces: DataFrame, doc: str) -> DataFrame:
-    """Pieces without a page region belong to every chunk of their document."""
-    return chunks.select(doc, "chunk_index").join(pieces, doc)
+    """Pieces without a page region belong to every chunk of their document: its range of chunks."""
+    ends = chunks.groupBy(doc).agg(F.min("chunk_index").alias("first_chunk"), F.max("chunk_index").alias("last_chunk"))
+    return pieces.join(ends, doc)
 
 
 def table_headers(lines: DataFrame, doc: str = "doc_id", no: str = "line_no", text: str = "line") -> DataFrame:
@@ -142,12 +143,16 @@ def table_headers(lines: DataFrame, doc: str = "doc_id", no: str = "line_no", te
 
 
 def chunk_contents(assigned: DataFrame, doc: str, pos: str, text: str) -> DataFrame:
-    """Pieces of every chunk; a chunk without any text falls back to the whole document's."""
-    own = assigned.select(doc, "chunk_index", pos, text)
-    blank = own.groupBy(doc, "chunk_index").agg(F.bool_and(F.trim(text) == "").alias("__b")).where("__b").select(doc, "chunk_index")
-    whole = blank.join(own.where(F.trim(text) != "").select(doc, pos, text), doc)
-    return own.join(blank, [doc, "chunk_index"], "left_anti").withColumn("fallback", F.lit(False)).unionByName(
-        whole.withColumn("fallback", F.lit(True)))
+    """Content of every chunk as a range of pieces; a chunk without any text takes the whole document's.
+
+    Ranges instead of copies: blank chunks do not multiply the document.
+    """
+    own = assigned.groupBy(doc, "chunk_index").agg(
+        F.min(pos).alias("__from"), F.max(pos).alias("__to"), F.bool_and(F.trim(text) == "").alias("fallback"))
+    whole = assigned.groupBy(doc).agg(F.min(pos).alias("__first"), F.max(pos).alias("__last"))
+    out = own.join(whole, doc)
+    return out.select(doc, "chunk_index", F.when(F.col("fallback"), F.col("__first")).otherwise(F.col("__from")).alias("content_from"),
+                      F.when(F.col("fallback"), F.col("__last")).otherwise(F.col("__to")).alias("content_to"), "fallback")
 
 
 _CELL_TAG = r"\^C[0-9A-F]+"
