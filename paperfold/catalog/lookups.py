@@ -293,6 +293,19 @@ def locate_fuzzy(t):
     return fuzzy.locate_fuzzy(cells, page_words(t))
 
 
+@query("c17_locate_passage")
+def locate_passage(t):
+    """The beginning of a benchmark passage among the lines of each document."""
+    n = t.benchmark.agg(F.count(F.lit(1))).scalar()
+    docs = t.documents.select("doc_id", (F.col("doc_id") % n).alias("item_id"))
+    # one target per document and one without, so that both page rules are met
+    targets = docs.join(t.benchmark, "item_id").select(
+        F.col("doc_id").alias("target_id"), "doc_id", F.substring_index("text", " ", 5).alias("text"),
+        F.when(F.col("doc_id") % 2 == 0, 0).alias("page"))
+    refs = t.lines().select("doc_id", F.col("line_no").alias("ref_no"), F.col("line_no").alias("page_no"), F.col("line").alias("text"))
+    return fuzzy.locate_passages(targets, refs)
+
+
 @query("c18_expected_check", sql=r"""
 WITH t AS (SELECT c_custkey, c_name AS expected, CASE c_custkey % 4 WHEN 0 THEN ' ' || replace(c_name, '#', ' # ') WHEN 1 THEN substr(c_name, 2) WHEN 2 THEN NULL ELSE 'other' END AS value FROM customer)
 SELECT c_custkey, value, expected, CASE WHEN c_custkey % 4 = 0 THEN 'PASS' ELSE 'FAIL' END AS strict, CASE WHEN c_custkey % 4 < 2 THEN 'PASS' ELSE 'FAIL' END AS lenient FROM t""")

@@ -36,14 +36,19 @@ def nested_rows(t):
         F.struct(F.struct(F.col("l_returnflag").alias("value"), F.lit(0.5).alias("confidence")).alias("flag"), F.col("l_linestatus").alias("state")).alias("meta"))
 
 
+def plain_names(df):
+    """Dotted columns under names that need no quoting."""
+    return df.toDF(*[c.replace(".", "_") for c in df.columns])
+
+
 @query("e2_deep_flatten", sql="""
 WITH z AS (SELECT *, unnest(range(CASE WHEN l_linenumber % 3 > 0 THEN 3 ELSE 2 END)) AS i FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE i WHEN 0 THEN 'l_quantity' WHEN 1 THEN 'l_tax' END AS "charges.kind",
- CASE i WHEN 0 THEN l_quantity WHEN 1 THEN l_tax END AS "charges.amount",
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE i WHEN 0 THEN 'l_quantity' WHEN 1 THEN 'l_tax' END AS charges_kind,
+ CASE i WHEN 0 THEN l_quantity WHEN 1 THEN l_tax END AS charges_amount,
  CASE WHEN l_linenumber % 3 > 0 THEN CASE i WHEN 0 THEN l_returnflag WHEN 1 THEN l_linestatus ELSE 'X' END END AS ports,
- l_returnflag AS "meta.flag", l_linestatus AS "meta.state", CAST(i AS VARCHAR) AS "_path" FROM z""")
+ l_returnflag AS meta_flag, l_linestatus AS meta_state, CAST(i AS VARCHAR) AS "_path" FROM z""")
 def deep_flatten(t):
-    out = nested.deep_flatten(nested_rows(t))
+    out = plain_names(nested.deep_flatten(nested_rows(t)))
     return out.withColumn("_path", F.array_join(F.transform("_path", lambda x: x.cast("string")), "."))
 
 
@@ -52,10 +57,10 @@ WITH z AS (SELECT *, unnest(range(CASE WHEN l_linenumber % 3 > 0 THEN 3 ELSE 2 E
 SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, CAST(l_partkey AS VARCHAR) AS l_partkey, CAST(l_suppkey AS VARCHAR) AS l_suppkey,
  '{"flag":{"value":"' || l_returnflag || '","confidence":0.5},"state":"' || l_linestatus || '"}' AS meta,
  CASE WHEN l_linenumber % 3 > 0 THEN CASE i WHEN 0 THEN l_returnflag WHEN 1 THEN l_linestatus ELSE 'X' END ELSE '' END AS ports,
- CASE i WHEN 0 THEN CAST(l_quantity AS VARCHAR) WHEN 1 THEN CAST(l_tax AS VARCHAR) ELSE '' END AS "charges.amount",
- CASE i WHEN 0 THEN 'l_quantity' WHEN 1 THEN 'l_tax' ELSE '' END AS "charges.kind" FROM z""")
+ CASE i WHEN 0 THEN CAST(l_quantity AS VARCHAR) WHEN 1 THEN CAST(l_tax AS VARCHAR) ELSE '' END AS charges_amount,
+ CASE i WHEN 0 THEN 'l_quantity' WHEN 1 THEN 'l_tax' ELSE '' END AS charges_kind FROM z""")
 def master_detail(t):
-    return nested.master_detail(nested_rows(t), tx.CELL_TEXT_LIMIT)
+    return plain_names(nested.master_detail(nested_rows(t), tx.CELL_TEXT_LIMIT))
 
 
 @query("e4_unpivot_nested", sql="""

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import DoubleType, LongType, StringType
 
+STRETCHES = 1 << 15
 _NOISE = re.compile(r"[\W_]+")
 
 
@@ -61,17 +63,39 @@ def token_set_ratio(a: str, b: str) -> int:
     return round(best)
 
 
-def partial_ratio(a: str, b: str) -> int:
+def exact_partial_ratio(a: str, b: str) -> float:
     """Best ratio of the shorter text against any stretch of the longer one of its length."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     m, n = len(short), len(long)
     if not m:
-        return 0 if n else 100
-    best = max(exact_ratio(short, long[max(0, i):i + m]) for i in range(1 - m, n))
-    return round(best)
+        return 0.0 if n else 100.0
+    if short in long:
+        return 100.0
+    # letter counts bound the common subsequence of every stretch; the most promising ones are compared first
+    letters = {ch: i for i, ch in enumerate(dict.fromkeys(short))}
+    need = np.array([short.count(ch) for ch in letters])[:, None]
+    best = 0.0
+    for first in range(1 - m, n, STRETCHES):
+        starts = np.arange(first, min(n, first + STRETCHES))
+        lo, hi = np.maximum(starts, 0), np.minimum(starts + m, n)
+        base = int(lo[0])
+        codes = np.array([letters.get(ch, -1) for ch in long[base:int(hi[-1])]])
+        seen = np.zeros((len(letters), len(codes) + 1), dtype=np.int32)
+        np.cumsum(codes == np.arange(len(letters))[:, None], axis=1, out=seen[:, 1:])
+        common = np.minimum(seen[:, hi - base] - seen[:, lo - base], need).sum(axis=0)
+        bound = 200.0 * common / (m + hi - lo)
+        for i in np.argsort(-bound):
+            if bound[i] <= best:
+                break
+            best = max(best, exact_ratio(short, long[lo[i]:hi[i]]))
+    return best
+
+
+def partial_ratio(a: str, b: str) -> int:
+    return round(exact_partial_ratio(a, b))
 
 
-def _pairwise(fn):
+def _pairwise(fn, kind=LongType(), dtype="Int64"):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         seen: dict[tuple[str, str], int] = {}
         out = []
@@ -83,12 +107,21 @@ def _pairwise(fn):
             if v is None:
                 v = seen[p] = fn(*p)
             out.append(v)
-        return pd.Series(out, dtype="Int64")
+        return pd.Series(out, dtype=dtype)
 
     run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, LongType())
+    return F.pandas_udf(run, kind)
 
 
 ratio_udf = _pairwise(ratio)
 token_set_ratio_udf = _pairwise(token_set_ratio)
 partial_ratio_udf = _pairwise(partial_ratio)
+ratio_float_udf = _pairwise(exact_ratio, DoubleType(), "float64")
+partial_ratio_float_udf = _pairwise(exact_partial_ratio, DoubleType(), "float64")
+
+
+def _normalise(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else normal(x))
+
+
+normal_udf = F.pandas_udf(_normalise, StringType())

@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperfold.functions.similarity import normal, ratio, ratio_udf, token_set_ratio
+from paperfold.functions.pieces import CODE_BITS, text_grams
+from paperfold.functions.similarity import normal, normal_udf, partial_ratio_float_udf, ratio, ratio_float_udf, ratio_udf, token_set_ratio
 from paperfold.operators.filters import worth_matching
 from paperfold.plans.pick import head_per_key, pick_first
 from paperfold.sources.shared import written
@@ -201,14 +202,22 @@ def normalise_fields(cells: DataFrame, entries: DataFrame) -> DataFrame:
 GRAM = 3
 
 
+def _gram_array(chars: str, size: int, at: Column) -> Column:
+    """The ``size`` characters from 0-based ``at`` on, from an array of characters (linear in the text)."""
+    return F.concat(*[F.get(chars, at + j) for j in range(size)])
+
+
 def _grams(words: DataFrame) -> DataFrame:
-    """(word, gram, at): every piece of one to three characters with its position."""
-    pieces = F.flatten(F.transform(F.array(*[F.lit(g) for g in range(1, GRAM + 1)]), lambda g: F.when(
-        F.length("word") >= g,
-        F.transform(F.sequence(F.lit(1), F.length("word") - g + 1),
-                    lambda i: F.struct(F.substring(F.col("word"), i, g).alias("gram"), i.alias("at")))
-    ).otherwise(F.array().cast("array<struct<gram:string,at:int>>"))))
-    return words.select("word", F.explode(pieces).alias("g")).select("word", "g.gram", "g.at")
+    """(word, gram, at): every piece of one to three characters with its 1-based position."""
+    out = words.select("word", F.split("word", "").alias("__c")).withColumn("__n", F.length("word"))
+
+    def listed(g: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.col("__n") - (g - 1)),
+                            lambda i: F.struct(_gram_array("__c", g, i - 1).alias("gram"), i.alias("at")))
+        return F.when(F.col("__n") >= g, every).otherwise(F.array().cast("array<struct<gram:string,at:int>>"))
+
+    pieces = F.flatten(F.array(*[listed(g) for g in range(1, GRAM + 1)]))
+    return out.select("word", F.explode(pieces).alias("g")).select("word", "g.gram", "g.at")
 
 
 def containing_pairs(values: DataFrame, words: DataFrame) -> DataFrame:
@@ -282,3 +291,93 @@ def locate_fuzzy(cells: DataFrame, words: DataFrame, least: int = ACCEPT_WORD) -
     hits = asked.join(similar_words(asked, words, least), "value").join(pages, ["doc_id", "word"])
     return pick_first(hits, ["cell_id", "doc_id"], [-F.col("score"), F.col("page_no"), F.col("start")],
                       ["value", "word", "score", "page_no", "start"])
+
+
+# ---- locating passages ------------------------------------------------------------
+
+# Thresholds of both passes, bonus for the asked page, score that ends the search.
+STRICT, LENIENT, PAGE_BONUS, ENOUGH = 95, 85, 5, 98
+PASSAGE_GRAM = 3
+
+
+def _pieces(df: DataFrame, text: str, rate: float) -> DataFrame:
+    """Replace ``text`` by its cuts (``gram``), one more than the characters that may stay unmatched.
+
+    Lengths and characters are columns of their own, so cutting is linear in the text.
+    """
+    keep = [c for c in df.columns if c != text]
+    out = df.select(*keep, F.split(text, "").alias("__c"), F.length(text).alias("__n"))
+    unmatched = F.floor(F.col("__n") * rate + 1e-9).cast("int")
+    out = out.withColumn("__k", F.greatest(F.lit(1), F.least(unmatched + 1, F.col("__n"))))
+    cut = lambda i: F.floor(F.col("__n") * i.cast("bigint") / F.col("__k")).cast("int")
+
+    def piece(i: Column) -> Column:
+        start, size = cut(i), cut(i + 1) - cut(i)
+        tail = [F.when(size > j, F.get("__c", start + j)).otherwise("") for j in range(1, PASSAGE_GRAM)]
+        return F.concat(F.get("__c", start), *tail)
+
+    cuts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("__k") - 1), piece))
+    return out.select(*keep, F.explode(cuts).alias("gram"))
+
+
+def _gram_number(c: Column) -> Column:
+    """A gram of up to three characters as the number :func:`text_grams` gives it."""
+    code = lambda j: F.coalesce(F.ascii(F.substring(c, j + 1, 1)).cast("bigint"), F.lit(0))
+    return code(0) + F.shiftleft(code(1), CODE_BITS) + F.shiftleft(code(2), 2 * CODE_BITS)
+
+
+def _probe(pieces: DataFrame, other: DataFrame, text: str, pair: list[str]) -> DataFrame:
+    """Pairs of one document where a piece stands in the other text.  Only lengths that occur are listed."""
+    sizes = [r[0] for r in pieces.select(F.length("gram")).distinct().collect()] or [1]  # at most three rows
+    grams = text_grams(other, text, [c for c in other.columns if c != text], sizes)
+    return pieces.withColumn("gram", _gram_number(F.col("gram"))).join(grams, ["doc_id", "gram"]).select(*pair).distinct()
+
+
+def passage_candidates(targets: DataFrame, refs: DataFrame, share: float, partial: bool) -> DataFrame:
+    """(target_id, doc_id, ref_no) of every pair that can reach a score of ``share``.
+
+    ``targets(target_id, doc_id, t)``, ``refs(doc_id, ref_no, r)``.  A whole
+    ratio leaves at most 2m(1 - s)/s characters unmatched; a partial one at most
+    2m(1 - s) of the shorter text, whose pieces are looked for in the longer.
+    """
+    pair = ["target_id", "doc_id", "ref_no"]
+    rate = 2 * (1 - share) if partial else 2 * (1 - share) / share
+    t_pieces = _pieces(targets.select("target_id", "doc_id", "t"), "t", rate)
+    found = _probe(t_pieces, refs.select("doc_id", "ref_no", "r"), "r", pair)
+    if not partial:
+        return found
+    r_pieces = _pieces(refs.select("doc_id", "ref_no", "r"), "r", rate)
+    return found.unionByName(_probe(r_pieces, targets.select("target_id", "doc_id", "t"), "t", pair)).distinct()
+
+
+def _pass(targets: DataFrame, refs: DataFrame, least: int, partial: bool) -> DataFrame:
+    share = (least - PAGE_BONUS) / 100
+    pairs = passage_candidates(targets, refs, share, partial)
+    both = pairs.join(targets, ["target_id", "doc_id"]).join(refs, ["doc_id", "ref_no"])
+    both = both.where(F.col("page").isNull() | (F.col("page") == F.col("page_no")))
+    scorer = partial_ratio_float_udf if partial else ratio_float_udf
+    both = both.withColumn("score", scorer("t", "r"))
+    both = both.withColumn("score", F.when(F.col("page").isNotNull(), F.least(F.col("score") + PAGE_BONUS, F.lit(100.0))).otherwise(F.col("score")))
+    both = both.where((F.col("score") >= least) | (F.col("t") == F.col("r")))
+    done = (F.col("score") >= ENOUGH) | (F.col("t") == F.col("r"))
+    # the first sure hit ends the search; without one the best score wins, then the first
+    return pick_first(both, ["target_id", "doc_id"], [~done, F.when(~done, -F.col("score")), F.col("ref_no")], ["ref_no", "page_no", "score"])
+
+
+def locate_passages(targets: DataFrame, refs: DataFrame) -> DataFrame:
+    """Where a text stands among the references of its document, in two passes.
+
+    ``targets(target_id, doc_id, text, page)`` with an optional page,
+    ``refs(doc_id, ref_no, page_no, text)`` in reading order.  Strict: ratio of
+    the normalised texts.  Lenient, for what is left: partial ratio of the
+    letters and digits alone.
+    """
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9ㄱ-ㅎㅏ-ㅣ가-힣]", "")
+    t1 = targets.select("target_id", "doc_id", "page", normal_udf("text").alias("t")).where(F.col("t") != "")
+    r1 = refs.select("doc_id", "ref_no", "page_no", normal_udf("text").alias("r")).where(F.col("r") != "")
+    strict = written(_pass(written(t1, "targets"), written(r1, "references"), STRICT, False), "strict-hits")
+    left = targets.join(strict.select("target_id", "doc_id"), ["target_id", "doc_id"], "left_anti")
+    t2 = left.select("target_id", "doc_id", "page", bare(F.col("text")).alias("t")).where(F.col("t") != "")
+    r2 = refs.select("doc_id", "ref_no", "page_no", bare(F.col("text")).alias("r")).where(F.col("r") != "")
+    lenient = _pass(written(t2, "targets-left"), written(r2, "references-bare"), LENIENT, True)
+    return strict.withColumn("strict", F.lit(True)).unionByName(lenient.withColumn("strict", F.lit(False)))

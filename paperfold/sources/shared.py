@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
@@ -17,7 +19,12 @@ _SETTINGS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Run-time settings the operators rely on; sizes stay with the cluster."""
+    """Run-time settings the operators rely on; sizes stay with the cluster.
+
+    Functions that run on executors travel with the query, so the package
+    need not be installed there.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules["paperfold"])
     for key, value in _SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)

@@ -34,11 +34,7 @@ def test_lcs():
 ])
 def test_ratios(a, b, ratio, token_set, partial):
     assert (sim.ratio(a, b), sim.token_set_ratio(a, b)) == (ratio, token_set)
-    n = min(len(a), len(b))
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    stretches = [long[i:j] for i in range(len(long)) for j in range(i + 1, min(len(long), i + n) + 1)]
-    best = max(200 * slow_lcs(short, x) / (n + len(x)) for x in stretches)
-    assert sim.partial_ratio(a, b) == round(best) == partial
+    assert sim.partial_ratio(a, b) == partial
 
 
 def words(rnd, n):
@@ -125,3 +121,60 @@ def test_locate_fuzzy(spark):
     got = fuzzy.locate_fuzzy(spark.createDataFrame(cells, "cell_id int, doc_id int, source_text string"),
                              spark.createDataFrame(ws, "doc_id int, page_no int, start int, word string"))
     assert {(r.cell_id, r.word, r.score, r.page_no, r.start) for r in got.collect()} == {(1, "terminal", 93, 0, 0), (3, "Busan", 100, 2, 0)}
+
+
+def test_locate_passages(spark):
+    rnd = random.Random(12)
+    refs, targets = [], []
+    for doc in range(6):
+        texts = [" ".join(words(rnd, rnd.choice([1, 2, 4, 8]))) + rnd.choice(["", ".", " !"]) for _ in range(12)]
+        refs += [(doc, i, i % 3, x) for i, x in enumerate(texts)]
+        for i in range(10):
+            src = rnd.choice(texts)
+            a = rnd.randrange(len(src))
+            cut = src if i % 2 else src[a:a + rnd.choice([4, 9, 20])]
+            targets.append((doc * 100 + i, doc, mutate(rnd, cut or "zz"), rnd.choice([None, None, 0, 1, 2])))
+
+    def bare(x):
+        return "".join(ch for ch in x.lower() if ch in "abcdefghijklmnopqrstuvwxyz0123456789" or "가" <= ch <= "힣")
+
+    def scan(tid, doc, page, t, clean, scorer, least):
+        best = None
+        for d, no, p, raw in refs:
+            r = clean(raw)
+            if d != doc or not r or (page is not None and p != page):
+                continue
+            score = scorer(t, r)
+            if page is not None:
+                score = min(100.0, score + 5)
+            if t == r or score >= 98:
+                return (tid, doc, no, p, score)
+            if score >= least and (best is None or score > best[-1]):
+                best = (tid, doc, no, p, score)
+        return best
+
+    want = set()
+    for tid, doc, text, page in targets:
+        hit = None
+        if sim.normal(text):
+            hit = scan(tid, doc, page, sim.normal(text), sim.normal, sim.exact_ratio, 95)
+        strict = hit is not None
+        if not strict and bare(text):
+            hit = scan(tid, doc, page, bare(text), bare, sim.exact_partial_ratio, 85)
+        if hit:
+            want.add((*hit, strict))
+    got = fuzzy.locate_passages(spark.createDataFrame(targets, "target_id int, doc_id int, text string, page int"),
+                                spark.createDataFrame(refs, "doc_id int, ref_no int, page_no int, text string"))
+    assert {tuple(r) for r in got.select("target_id", "doc_id", "ref_no", "page_no", "score", "strict").collect()} == want
+    assert {w[-1] for w in want} == {True, False}
+
+
+def test_partial_ratio_skips_no_window():
+    rnd = random.Random(2)
+    for _ in range(400):
+        a, b = ("".join(rnd.choice("abcde ") for _ in range(rnd.randrange(1, 14))) for _ in range(2))
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        # stretches of the shorter text's length, cut off at both ends of the longer one
+        cuts = [long[max(0, i):i + len(short)] for i in range(1 - len(short), len(long))]
+        best = max(200 * slow_lcs(short, x) / (len(short) + len(x)) for x in cuts)
+        assert abs(sim.exact_partial_ratio(a, b) - best) < 1e-9, (a, b)
