@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from paperfold.catalog.filters import SQL_LOGS
 from paperfold.catalog.lookups import claims
 from paperfold.catalog.registry import query
 from paperfold.catalog.reports import LKEY, ORD, SQL_LINES, SQL_RESULTS
