@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperfold.llm import neardup
+from paperfold.llm import leaks, neardup, packing, slots, token_counts
 from paperfold.llm.common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,23 @@ SELECT c.doc_id, CAST(c.n AS BIGINT) AS n_shingles,
   c.n = 0 OR c.doc_id = least(c.rep, coalesce(l.m, c.rep)) AS kept
 FROM copies c LEFT JOIN least_of l ON c.rep = l.a
 """
+
+
+@register
+def op3_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
+    return slots.assign(documents(spark, folder), shards=24)
+
+
+@register
+def op5_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(documents(spark, folder), capacity=1024)
+
+
+@register
+def op10_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.for_every_limit(token_counts.histogram(token_counts.lengths(documents(spark, folder))))
+
+
+@register
+def op9_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
