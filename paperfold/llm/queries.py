@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperfold.llm import leaks, neardup, packing, slots, token_counts
+from paperfold.llm import leaks, neardup, packing, quality, slots, token_counts
 from paperfold.llm.common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +76,9 @@ def op10_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op9_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@register
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return quality.judged(documents(spark, folder), labels, host=F.col("source"), path=F.col("lang"), keep=["doc_id"])
