@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperfold.llm import leaks, neardup, packing, quality, slots, token_counts
+from paperfold.llm import fingerprints, leaks, neardup, packing, quality, secret_scan, slots, token_counts, warc
 from paperfold.llm.common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,29 @@ def op9_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
 def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     return quality.judged(documents(spark, folder), labels, host=F.col("source"), path=F.col("lang"), keep=["doc_id"])
+
+
+@register
+def op4_guess_cost(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(documents(spark, folder)))
+
+
+@register
+def op7_zstd_archives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.read(warc.write(spark.read.parquet(f"{folder}/pages.parquet")))
+
+
+SQL["op7_zstd_archives"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), g AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS last FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM g
+"""
+
+
+@register
+def op8_prefix_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.with_next(documents(spark, folder))
