@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperfold.llm import fingerprints, leaks, neardup, packing, quality, secret_scan, slots, token_counts, warc
+from paperfold.llm import fingerprints, leaks, neardup, packing, quality, secret_scan, slots, surrogates, token_counts, warc
 from paperfold.llm.common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,8 @@ FROM g
 @register
 def op8_prefix_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.with_next(documents(spark, folder))
+
+
+@register
+def op6_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogates.replaced(documents(spark, folder).select("doc_id", "text"), key="corpus")
