@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paperfold.llm.common import Powers, chunks, map_texts, mix, seeds, table, words
 from paperfold.llm.components import components
@@ -117,11 +118,8 @@ def _may_link(similarity: float) -> Column:
     return sizes & (xor <= sketch_limit(similarity))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    pairs = table(pairs, "pairs")
-    ids = table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
-    sets = table(shingle_sets(docs.join(ids, "doc_id", "left_semi"), width), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -129,12 +127,44 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, similarity: float)
     return table(pairs.join(left, "a").join(right, "b").where(reached).select("a", "b").distinct(), "links")
 
 
+def _stars(members: DataFrame) -> DataFrame:
+    """(hub, id) once each: every member of a bucket with the member that meets most others in all its buckets.
+
+    The text that a group of copies was made from shares buckets with nearly all of them, so it is the hub of most.
+    """
+    met = members.groupBy("id").agg(F.sum("size").alias("met"))
+    hubs = members.join(met, "id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("m"))).alias("h"))
+    return members.join(hubs, "bucket").select((-F.col("h.m")).alias("hub"), "id").where("hub <> id").distinct()
+
+
+def _across(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of different components that may reach the similarity; none that does is missing.
+
+    ``placed`` has id and component c, ``sets`` their shingles.  Shingles are ordered by how many sets hold them, rarest
+    first.  Two sets of sizes m and n that reach similarity s share at least s(m+n)/(1+s) shingles, so the first that
+    they share, at places p and q, leaves enough behind it: min(m-p, n-q) + 1 is no less.  Texts that differ from their
+    group by rare shingles fail this without being paired with the group.
+    """
+    percent = F.lit(round(100 * similarity))
+    each = sets.select(F.col("doc_id").alias("id"), F.size("shingles").alias("m"), F.explode("shingles").alias("s"))
+    held = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    by_id = Window.partitionBy("id")
+    shared = each.join(held, "s").withColumn("k", F.row_number().over(by_id.orderBy("df", "s"))).withColumn("n", F.count("*").over(by_id))
+    left_over = F.col("n") - F.col("k") + 1  # shingles from this one on that any other set has
+    prefix = shared.select("id", "s", "m", left_over.alias("rest")).where(F.col("rest") * 100 >= F.col("m") * percent)
+    prefix = table(prefix.join(placed, "id"), "prefixes")
+    l, r = prefix.alias("l"), prefix.alias("r")
+    enough = F.least("l.rest", "r.rest") * (percent + 100) >= (F.col("l.m") + F.col("r.m")) * percent
+    on = (F.col("l.s") == F.col("r.s")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.c") != F.col("r.c")) & enough
+    return l.join(r, on).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text, more columns are ignored).
 
     Linked are sets whose intersection is at least ``similarity`` of their union; component_id is the smallest doc_id
     reachable.  Equal sets meet first, by name, so copies are never paired.  In each band bucket all members are compared
-    with the smallest one; what this leaves in different components of one bucket is then compared pair by pair.
+    with one hub; what this leaves in different components of one bucket is joined on its rarest shingles.
     A null or blank text has an empty set and is linked with nothing; a null doc_id gives a null component and is kept;
     rows that repeat a doc_id count as one document.
     """
@@ -142,24 +172,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     classes = table(signed.where("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("class_id")), "classes")
     one = signed.join(classes.select(F.col("class_id").alias("doc_id"), "c1", "c2"), ["doc_id", "c1", "c2"], "left_semi")
     banded = one.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
-    hubs = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last")
-    members = table(banded.join(hubs, "bucket"), "members")
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = table(banded.join(sizes, "bucket"), "members")
     sketches = one.select(F.col("doc_id").alias("id"), "n", "sketch")
 
-    stars = members.where("id <> hub").select("hub", "id").distinct()
-    left = stars.join(sketches.select(F.col("id").alias("hub"), F.struct("n", "sketch").alias("l")), "hub")
-    tried = left.join(sketches.select("id", F.struct("n", "sketch").alias("r")), "id").where(_may_link(similarity))
-    links = _confirmed(docs, tried.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), width, similarity)
+    def may_link(pairs: DataFrame) -> DataFrame:
+        left = pairs.join(sketches.select(F.col("id").alias("a"), F.struct("n", "sketch").alias("l")), "a")
+        both = left.join(sketches.select(F.col("id").alias("b"), F.struct("n", "sketch").alias("r")), "b")
+        return table(both.where(_may_link(similarity)).select("a", "b"), "pairs")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return table(shingle_sets(docs.join(table(ids, "ids").select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), width), "sets")
+
+    pairs = may_link(_stars(members).select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    links = _confirmed(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), similarity)
     found = table(components(links), "first-components")
 
     placed = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
     split = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    open_rows = table(placed.join(split, "bucket").join(sketches, "id"), "open")
-    across = open_rows.alias("l").join(
-        open_rows.alias("r"),
-        (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.c") != F.col("r.c")) & _may_link(similarity),
-    ).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    more = _confirmed(docs, across, width, similarity)
+    placed = table(placed.join(split, "bucket", "left_semi").select("id", "c").distinct(), "open")
+    sets = sets_of(placed.select("id"))
+    more = _confirmed(may_link(_across(placed, sets, similarity)), sets, similarity)
 
     joined = table(components(links.unionAll(more)), "components").withColumnRenamed("id", "class_id")
     named = classes.join(joined, "class_id", "left").select("c1", "c2", F.coalesce("component", "class_id").alias("component_id"))
