@@ -101,15 +101,16 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def evidence(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of docs and ``log_odds`` of each text."""
-    powers = Powers()
+    """The columns ``keep`` of docs and ``log_odds`` of each text (which is sent along if it is not among them)."""
+    powers, sent = Powers(), [*keep, *(["text"] if "text" not in keep else [])]
+    at = sent.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = features(batch.column(len(keep)), powers)
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.log_odds(x))], [*keep, "log_odds"])
+        odds = pa.array(model.log_odds(features(batch.column(at), powers)))
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], odds], [*keep, "log_odds"])
 
-    schema = docs.select(*keep).schema.add("log_odds", "double")
-    return map_texts(docs.select(*keep, F.col("text").cast("string").alias("_text")), run, schema)
+    docs = docs.withColumn("text", F.col("text").cast("string")).select(*sent)
+    return map_texts(docs, run, docs.select(*keep).schema.add("log_odds", "double"))
 
 
 def _logit(p: Column) -> Column:
@@ -154,14 +155,22 @@ def judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep:
 
     A row without text is judged by its features like any other (empty); a null host or path is a site of its own;
     without labels of both kinds all evidence is equal and sites decide nothing, so every row is good; an empty table
-    gives no rows.  Site and path tables are grouped sums, a row for each path, joined without the texts.
+    gives no rows.  Site and path tables are grouped sums, a row for each path.  Columns kept may have any names but
+    those that begin with ``_q_`` and the ones added.
     """
     model = fitted(docs, labels, sample)
-    named = docs.withColumns({"_host": host.cast("string"), "_path": path.cast("string")})
-    scored = evidence(named, model, [*keep, "_host", "_path"])
-    slim = evidence(named, model, ["_host", "_path"]).select(F.col("_host").alias("host"), F.col("_path").alias("path"), "log_odds")
-    found = posteriors(slim)
-    both = scored.join(found, F.col("_host").eqNullSafe(F.col("host")) & F.col("_path").eqNullSafe(F.col("path")), "left")
-    odds = F.col("log_odds") + _logit(F.col("path_share")) - _logit(F.col("global_share"))
+    named = docs.select(*dict.fromkeys([*keep, "text"]), host.cast("string").alias("_q_host"), path.cast("string").alias("_q_path"))
+    scored = evidence(named, model, [*keep, "_q_host", "_q_path"])
+    if "text" in keep:  # texts are not copied for the sums: the evidence is found again
+        slim = evidence(named, model, ["_q_host", "_q_path"])
+    else:
+        slim = scored = table(scored, "scored")
+    found = posteriors(slim.select(F.col("_q_host").alias("host"), F.col("_q_path").alias("path"), "log_odds"))
+    found = found.select(*[F.col(c).alias(f"_q_{c}{'2' * (c in ('host', 'path'))}") for c in found.columns])
+    on = F.col("_q_host").eqNullSafe(F.col("_q_host2")) & F.col("_q_path").eqNullSafe(F.col("_q_path2"))
+    odds = F.col("log_odds") + _logit(F.col("_q_path_share")) - _logit(F.col("_q_global_share"))
     posterior = F.coalesce(1 / (1 + F.exp(-odds)), F.lit(0.5))
-    return both.select(*keep, "log_odds", "host_share", "path_share", posterior.alias("posterior")).withColumn("good", F.col("posterior") >= threshold)
+    return scored.join(found, on, "left").select(
+        *keep, "log_odds", F.col("_q_host_share").alias("host_share"), F.col("_q_path_share").alias("path_share"),
+        posterior.alias("posterior"), (posterior >= threshold).alias("good"),
+    )

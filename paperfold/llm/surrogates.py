@@ -44,10 +44,21 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(_QUICK), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
 
 
+def _check_digit(body: Column) -> Column:
+    """The digit that makes a card number right (every second digit doubled, from the right)."""
+    numbers = F.transform(F.split(F.reverse(body), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int") * 2).otherwise(c.cast("int")))
+    total = F.aggregate(numbers, F.lit(0), lambda s, n: s + n - F.when(n > 9, F.lit(9)).otherwise(F.lit(0)))
+    return F.pmod(F.lit(10) - total % 10, F.lit(10)).cast("string")
+
+
 def kind_of(e: Column) -> Column:
+    """The kind of an entity; a number in the form of a card whose check digit is wrong is a mere number."""
+    digits = F.regexp_replace(e, "[^0-9]", "")
+    right = _check_digit(F.substr(digits, F.lit(1), F.length(digits) - 1)) == F.substr(digits, F.length(digits), F.lit(1))
     return (
         F.when(e.contains("@"), "email").when(e.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "address").when(e.rlike(r"^\p{L}"), "person")
-        .when(e.rlike(rf"^(?:{_CARD})$"), "card").when(e.rlike(rf"^(?:{_SOCIAL})$"), "social").otherwise("phone")
+        
+        .when(e.rlike(rf"^(?:{_CARD})$"), F.when(right, "card").otherwise("number")).when(e.rlike(rf"^(?:{_SOCIAL})$"), "social").otherwise("phone")
     )
 
 
@@ -70,7 +81,8 @@ def units(e: Column) -> Column:
         lambda n, i: F.struct(F.when(i == F.size(names) - 2, F.lit("surname")).otherwise(given).alias("kind"), n.alias("canon")),
     )
     canon = F.when(kind.isin("email", "address"), F.lower(e)).otherwise(F.regexp_replace(e, "[^0-9]", ""))
-    return F.when(kind == "person", person).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"))))
+    nothing = F.slice(person, 1, 0)
+    return F.when(kind == "person", person).when(kind == "number", nothing).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"))))
 
 
 def _drawn(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
@@ -106,13 +118,6 @@ def _in_form(form: Column, digits: Column, key: str) -> Column:
     return F.array_join(F.transform(F.split(form, ""), replaced), "")
 
 
-def _check_digit(body: Column) -> Column:
-    """The digit that makes a card number right (every second digit doubled, from the right)."""
-    numbers = F.transform(F.split(F.reverse(body), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int") * 2).otherwise(c.cast("int")))
-    total = F.aggregate(numbers, F.lit(0), lambda s, n: s + n - F.when(n > 9, F.lit(9)).otherwise(F.lit(0)))
-    return F.pmod(F.lit(10) - total % 10, F.lit(10)).cast("string")
-
-
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The canonical form of the surrogate of a unit."""
     h = _drawn(key, kind, canon, attempt)
@@ -142,7 +147,7 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
 def _worded(e: Column, drawn: Column) -> Column:
     """The entity as it stands in the text, with the canonical forms ``drawn`` in the entity's own form."""
     kind = kind_of(e)
-    first = drawn[0]
+    first = F.get(drawn, F.lit(0))
     digits = F.split(first, "")
     # digits go where digits stood, signs stay
     flat = F.aggregate(
@@ -158,7 +163,7 @@ def _worded(e: Column, drawn: Column) -> Column:
         return F.when((F.upper(old) == old) & (F.length(old) > 1), F.upper(new)).otherwise(F.initcap(new))
 
     person = F.array_join(F.concat(F.slice(names, 1, 1), F.transform(drawn, lambda n, i: cased(n, F.element_at(names, i + 2)))), " ")
-    return F.when(kind == "email", email).when(kind == "address", first).when(kind == "person", person).otherwise(flat)
+    return F.when(kind == "number", e).when(kind == "email", email).when(kind == "address", first).when(kind == "person", person).otherwise(flat)
 
 
 def redrawn(docs: DataFrame, key: str) -> DataFrame:
@@ -209,6 +214,6 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     gaps = F.split("text", ENTITY, -1)
     filled = F.concat(F.transform("_pii_e", new), F.array(F.lit("")))
     text = F.array_join(F.zip_with(gaps, filled, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
-    n = F.coalesce(F.size("_pii_e"), F.lit(0))
+    n = F.coalesce(F.size(F.filter("_pii_e", lambda e: kind_of(e) != "number")), F.lit(0))
     out = found.withColumn("_pii_t", F.when(F.size("_pii_e") > 0, text).otherwise(F.col("text")))
     return out.select(*[F.col("_pii_t").alias("text") if c == "text" else F.col(c) for c in names], F.greatest(n, F.lit(0)).cast("long").alias("n_entities"))
