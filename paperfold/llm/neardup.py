@@ -40,7 +40,7 @@ def _shingle_sets(column, width: int, powers: Powers):
         hashes, at = words(units, offsets, powers)
         rolled = np.zeros(len(hashes), np.uint64)
         for k in range(width):
-            rolled[: len(hashes) - k] += hashes[k:] * factors[k]
+            rolled[: max(0, len(hashes) - k)] += hashes[k:] * factors[k]
         rolled = mix(rolled)
         sets = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
