@@ -43,7 +43,7 @@ def rebalanced(held: list[int], weights: dict[int, int], shards: int) -> list[in
     loads, free, edited = [0] * shards, [], list(held)
     for slot in sorted(range(len(held)), key=lambda s: (-weights.get(s, 0), s)):
         shard, w = held[slot], weights.get(slot, 0)
-        if shard < shards and loads[shard] + w <= target:
+        if shard < shards and (not loads[shard] or loads[shard] + w <= target):
             loads[shard] += w
         else:
             free.append(slot)
