@@ -1,5 +1,6 @@
 """B: projections, filters and predicates over whole tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperfold.catalog.registry import query
@@ -7,7 +8,6 @@ from paperfold.functions import files
 from paperfold.functions import status as st
 from paperfold.functions.numbers import half_up
 from paperfold.operators import filters as flt
-from paperfold.plans.pick import head_per_key
 
 # DuckDB text of the derived tables used throughout.
 SQL_LOGS = """logs AS (SELECT o_orderkey AS log_id, o_custkey AS user_id, CAST(o_custkey % 25 AS INTEGER) AS model_id,
@@ -191,7 +191,7 @@ WITH f AS (SELECT page_id, page_id // 25 AS batch, CASE page_id % 11 WHEN 0 THEN
    CASE page_id % 9 WHEN 0 THEN '.exe' WHEN 1 THEN '.XLSX' ELSE '.pdf' END END AS name, length(html) AS size FROM pages),
 k AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY page_id) AS pos FROM f
   WHERE name <> '' AND size > 0 AND lower(regexp_extract(name, '\.[^./?#]+$')) IN ('.pdf', '.xlsx'))
-SELECT page_id, batch, name, pos FROM k WHERE pos <= 20""")
+SELECT page_id, batch, name, pos, CASE WHEN pos > 20 THEN 'too many files' END AS reject_reason FROM k""")
 def upload_allow_list(t):
     k = F.col("page_id") % 9
     tail = F.when(k == 0, ".exe").when(k == 1, ".XLSX").otherwise(".pdf")
@@ -199,7 +199,8 @@ def upload_allow_list(t):
     src = t.pages.select("page_id", F.floor(F.col("page_id") / 25).alias("batch"), name.alias("name"),
                          F.length("html").alias("size"))
     ok = (F.col("name") != "") & (F.col("size") > 0) & files.extension(F.col("name")).isin(*files.ALLOWED_EXTENSIONS)
-    return head_per_key(src.where(ok), ["batch"], [F.col("page_id")], 20, "pos").select("page_id", "batch", "name", "pos")
+    placed = src.where(ok).withColumn("pos", F.row_number().over(Window.partitionBy("batch").orderBy("page_id")))
+    return placed.select("page_id", "batch", "name", "pos", F.when(F.col("pos") > 20, "too many files").alias("reject_reason"))
 
 
 @query("b19_worth_matching", sql=r"""

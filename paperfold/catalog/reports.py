@@ -200,9 +200,9 @@ def pivot_export(t):
 
 
 @query("d16_repeat_blocks", sql=f"""
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORD}) AS b FROM lineitem)
-SELECT l_orderkey, {', '.join(f"MAX(l_partkey) FILTER (b = {b}) AS l_partkey_{b}, MAX(l_quantity) FILTER (b = {b}) AS l_quantity_{b}" for b in (1, 2, 3))}
-FROM r WHERE b <= 3 GROUP BY l_orderkey""")
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORD}) AS n FROM lineitem)
+SELECT l_orderkey, layout_row, {', '.join(f"MAX(l_partkey) FILTER (b = {b}) AS l_partkey_{b}, MAX(l_quantity) FILTER (b = {b}) AS l_quantity_{b}" for b in (1, 2, 3))}
+FROM (SELECT *, (n - 1) % 3 + 1 AS b, (n - 1) // 3 AS layout_row FROM r) GROUP BY l_orderkey, layout_row""")
 def repeat_blocks(t):
     return report.repeat_blocks(t.lineitem, ["l_orderkey"], t.ROW_ORDER, 3, ["l_partkey", "l_quantity"])
 

@@ -59,7 +59,7 @@ SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR)
  CASE i WHEN 0 THEN CAST(l_quantity AS VARCHAR) WHEN 1 THEN CAST(l_tax AS VARCHAR) ELSE '' END AS charges_amount,
  CASE i WHEN 0 THEN 'l_quantity' WHEN 1 THEN 'l_tax' ELSE '' END AS charges_kind FROM z""")
 def master_detail(t):
-    return plain_names(nested.master_detail(nested_rows(t), tx.CELL_TEXT_LIMIT))
+    return plain_names(nested.master_detail(nested_rows(t)))
 
 
 @query("e4_unpivot_nested", sql="""
@@ -145,11 +145,11 @@ def header_fill(t):
 
 @query("e10_text_table", sql=f"""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORD}) AS n FROM lineitem)
-SELECT l_orderkey, '| l_partkey | l_returnflag |' || chr(10) || '|---|---|' || chr(10) ||
-  string_agg('| ' || CAST(l_partkey AS VARCHAR) || ' | ' || l_returnflag || '\\|' || ' |', chr(10) ORDER BY n) AS table_text FROM r WHERE n <= 5 GROUP BY l_orderkey""")
+SELECT l_orderkey, n AS position, '| ' || CAST(l_partkey AS VARCHAR) || ' | ' || l_returnflag || '\\|' || ' |' AS line FROM r
+UNION ALL SELECT DISTINCT l_orderkey, unnest([-1, 0]), unnest(['| l_partkey | l_returnflag |', '|---|---|']) FROM r""")
 def text_table(t):
     rows = t.lineitem.withColumns({"blank": F.lit(" "), "l_returnflag": F.concat("l_returnflag", F.lit("|"))})
-    return tt.text_tables(rows, ["l_orderkey"], [F.col(c) for c in t.ROW_ORDER], ["l_partkey", "blank", "l_returnflag"], 5)
+    return tt.text_lines(rows, ["l_orderkey"], list(t.ROW_ORDER), [F.floor(F.col("l_linenumber") / 100)], ["l_partkey", "blank", "l_returnflag"])
 
 
 @query("e12_search_text", sql=r"""
@@ -333,7 +333,8 @@ SELECT c.doc_id, CAST(chunk AS BIGINT) AS chunk_index, CASE WHEN chunk = 0 THEN
 FROM c JOIN documents d ON d.doc_id = c.doc_id""")
 def chunk_preamble(t):
     chunks = t.lines().select("doc_id", F.floor(F.col("line_no") / 10).alias("chunk_index")).distinct()
-    return ch.with_preamble(chunks, t.documents, "doc_id", ["total", "date"])
+    labels = ("DOCUMENT CONTEXT (from earlier pages):", "EXPECTED FIELD KEYS:")
+    return ch.with_preamble(chunks, t.documents, "doc_id", ["total", "date"], 500, labels)
 
 
 @query("e25_absolute_pages", sql="""
@@ -424,11 +425,12 @@ def key_alignment(t):
 
 @query("e32_payload_cut", sql=f"""
 WITH r AS (SELECT l_suppkey % 7 AS sheet, l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_suppkey % 7 ORDER BY l_orderkey, {ORD}) AS rn, COUNT(*) OVER (PARTITION BY l_suppkey % 7) AS n FROM lineitem)
-SELECT sheet, l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(rn AS BIGINT) AS row_no, CAST(greatest(n - 71, 0) AS BIGINT) AS hidden_rows FROM r WHERE rn <= 71""")
+SELECT sheet, l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(rn AS BIGINT) AS row_no, rn <= k AS in_sample, CAST(greatest(n - k, 0) AS BIGINT) AS hidden_rows
+FROM r, (SELECT greatest(50, least(150, 500 // COUNT(DISTINCT sheet))) AS k FROM r)""")
 def payload_cut(t):
     rows = t.lineitem.withColumn("sheet", F.col("l_suppkey") % 7)
-    out = tt.payload_cut(rows, "sheet", ["l_orderkey", *t.ROW_ORDER], [F.floor(F.col("l_orderkey") / 1000)], 7)
-    return out.select("sheet", *LKEY, "row_no", "hidden_rows")
+    out = tt.payload_cut(rows, "sheet", ["l_orderkey", *t.ROW_ORDER], [F.floor(F.col("l_orderkey") / 1000)])
+    return out.select("sheet", *LKEY, "row_no", "in_sample", "hidden_rows")
 
 
 @query("e33_migrations", sql="""

@@ -131,11 +131,11 @@ PARTS = ["debug_data", "extracted_data", "preview_data"]
 
 def records(t):
     x = F.col("text")
-    return t.documents.select("doc_id", x.alias("debug_data"), F.left(x, F.lit(900)).alias("extracted_data"),
-                              F.left(x, F.lit(300)).alias("preview_data"))
+    return t.documents.select("doc_id", x.alias("debug_data"), F.concat("source", F.lit(": "), x).alias("extracted_data"),
+                              F.concat("lang", F.lit(" "), "source").alias("preview_data"))
 
 
-SQL_OFFLOAD = """r AS (SELECT doc_id, text AS d, left(text, 900) AS e, left(text, 300) AS p FROM documents),
+SQL_OFFLOAD = """r AS (SELECT doc_id, text AS d, source || ': ' || text AS e, lang || ' ' || source AS p FROM documents),
 s AS (SELECT *, length(d) + length(e) + length(p) > 1000 AS d_out FROM r),
 u AS (SELECT *, CASE WHEN d_out THEN 0 ELSE length(d) END + length(e) + length(p) > 1000 AS e_out FROM s),
 v AS (SELECT *, CASE WHEN d_out THEN 0 ELSE length(d) END + CASE WHEN e_out THEN 0 ELSE length(e) END + length(p) > 1000 AS p_out FROM u)"""
@@ -158,7 +158,7 @@ def payloads(t):
 
 
 @query("a11_hydrate", sql="""
-SELECT doc_id, text AS debug_data, left(text, 900) AS extracted_data, left(text, 300) AS preview_data FROM documents""")
+SELECT doc_id, text AS debug_data, source || ': ' || text AS extracted_data, lang || ' ' || source AS preview_data FROM documents""")
 def hydrate(t):
     marked = sk.offload(records(t), "doc_id", PARTS, 1000)
     return sk.hydrate(sk.main_table(marked, "doc_id", PARTS), sk.payload_table(marked, "doc_id", PARTS), PARTS)

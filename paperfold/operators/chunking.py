@@ -200,11 +200,14 @@ def absolute_page(rel: Column, pages: Column) -> Column:
     return F.when((rel >= 1) & (rel <= F.size(pages)), F.try_element_at(pages, rel)).otherwise(rel)
 
 
-def with_preamble(chunks: DataFrame, first_text: DataFrame, doc: str, keys: Sequence[str], chars: int = 500) -> DataFrame:
-    """Context in front of every chunk but the first: the document's beginning and the expected keys."""
+def with_preamble(chunks: DataFrame, first_text: DataFrame, doc: str, keys: Sequence[str], chars: int,
+                  labels: tuple[str, str]) -> DataFrame:
+    """Context in front of every chunk but the first: the document's first ``chars`` characters and the expected keys.
+
+    How much of the beginning is repeated is what the operator is for, so the caller says it; the chunks stay whole.
+    """
     head = first_text.select(doc, F.rtrim(F.left("text", F.lit(chars))).alias("__head"))
-    text = F.concat(F.lit("DOCUMENT CONTEXT (from earlier pages):\n"), F.col("__head"),
-                    F.lit("\n...\n\nEXPECTED FIELD KEYS: " + ", ".join(keys) + "\n\n"))
+    text = F.concat(F.lit(f"{labels[0]}\n"), F.col("__head"), F.lit(f"\n...\n\n{labels[1]} {', '.join(keys)}\n\n"))
     return chunks.join(head, doc).withColumn("preamble", F.when(F.col("chunk_index") > 0, text).otherwise("")).drop("__head")
 
 

@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperfold.functions.text import capped, collapse_spaces
-
-MAX_ROUNDS = 10
+from paperfold.functions.text import collapse_spaces
 
 
 def _q(name: str) -> Column:
@@ -26,11 +24,14 @@ def unwrap(df: DataFrame) -> DataFrame:
         df = df.select(*[_q(c).getField("value").alias(c) if c in rich else _q(c) for c in df.columns])
 
 
-def unwrap_json(c: Column, depth: int = 3) -> Column:
-    """Text of a JSON cell, going through nested ``value`` members."""
-    v = F.try_parse_json(c)
-    inner = [F.try_variant_get(v, "$" + ".value" * d, "string") for d in range(depth, 0, -1)]
-    return F.coalesce(*inner, F.try_variant_get(v, "$", "string"))
+def unwrap_json(c: Column) -> Column:
+    """Text of a JSON cell, going through nested ``value`` members as deep as they go.
+
+    A text cannot hold more of them than it names, which bounds the steps.
+    """
+    steps = F.sequence(F.lit(0), F.regexp_count(c, F.lit('"value"')))
+    inner = F.aggregate(steps, F.try_parse_json(c), lambda v, _: F.coalesce(F.try_variant_get(v, "$.value", "variant"), v))
+    return F.try_variant_get(inner, "$", "string")
 
 
 def deep_flatten(df: DataFrame, path: str = "_path") -> DataFrame:
@@ -39,10 +40,10 @@ def deep_flatten(df: DataFrame, path: str = "_path") -> DataFrame:
     Arrays of one round are zipped (short ones padded with null) and exploded
     together; structs become dotted columns when no array is left; ``path``
     keeps the position taken in each round of exploding.  Driven by the schema,
-    so the number of rounds is known before anything runs.
+    which is finite: rounds go on until it holds no list and no struct.
     """
     out = unwrap(df).withColumn(path, F.array().cast("array<int>"))
-    for _ in range(MAX_ROUNDS):
+    while True:
         fields = [f for f in out.schema if f.name != path]
         arrays = [f.name for f in fields if isinstance(f.dataType, T.ArrayType)]
         structs = [f for f in fields if isinstance(f.dataType, T.StructType)]
@@ -73,11 +74,11 @@ def _item(df: DataFrame, i: int) -> Column:
     return F.col("__e").getField(element)
 
 
-def master_detail(df: DataFrame, limit: int) -> DataFrame:
+def master_detail(df: DataFrame) -> DataFrame:
     """One level: scalars repeat, lists zip by position, list objects become ``list.key``.
 
-    Other objects turn into JSON text, null scalars into blank text; texts are
-    capped; plain columns come first, dotted ones last, each alphabetical.
+    Other objects turn into JSON text, null scalars into blank text;
+    plain columns come first, dotted ones last, each alphabetical.
     """
     src = unwrap(df)
     arrays = [f.name for f in src.schema if isinstance(f.dataType, T.ArrayType)]
@@ -89,7 +90,7 @@ def master_detail(df: DataFrame, limit: int) -> DataFrame:
     def put(name: str, c: Column, kind: T.DataType):
         if isinstance(kind, (T.StructType, T.MapType, T.ArrayType)):
             c = F.to_json(c)
-        cols[name] = capped(F.coalesce(c.cast("string"), F.lit("")), limit)
+        cols[name] = F.coalesce(c.cast("string"), F.lit(""))
 
     for f in src.schema:
         if f.name in ("__e", "__z") or f.name.startswith("_"):

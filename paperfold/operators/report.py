@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from paperfold.functions import status as st
 from paperfold.functions.numbers import half_up, parse_number, percent_of
-from paperfold.plans.pick import head_per_key
 
 # Price per thousand prompt and completion tokens.
 PROMPT_PRICE, COMPLETION_PRICE = 0.005, 0.015
@@ -85,9 +84,10 @@ def pivot_export(df: DataFrame, keys: Sequence[str], column: str, names: Sequenc
 
 def repeat_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                   blocks: int, fields: Sequence[str]) -> DataFrame:
-    """The n-th child row written to block n, up to the layout's number of blocks."""
-    rows = head_per_key(df, keys, [F.col(c) for c in order], blocks, "__block")
-    return rows.groupBy(*keys).agg(*[
+    """The n-th child row written to block n; what the layout has no block for goes on in further rows (``layout_row``)."""
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    rows = df.select("*", number.alias("__n")).withColumns({"layout_row": F.floor(F.col("__n") / blocks), "__block": F.col("__n") % blocks + 1})
+    return rows.groupBy(*keys, "layout_row").agg(*[
         F.max(F.when(F.col("__block") == b, F.col(f))).alias(f"{f}_{b}")
         for b in range(1, blocks + 1) for f in fields])
 

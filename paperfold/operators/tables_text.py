@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 
 from paperfold.functions.text import is_entity, markdown_cell
 from paperfold.operators.spans import SPAN_BLOCK, text_gaps
-from paperfold.plans.pick import head_per_key
 from paperfold.plans.segments import carry, numbered, prefix_max, row_number, segmented, total
 from paperfold.sources.shared import written
 
-# Carry-forward columns and ratio, header region, row caps.
+# Carry-forward columns and ratio, header region.
 CARRY_COLUMNS, CARRY_RATIO = 3, 0.3
 FILL_ACROSS_ROWS, FILL_DOWN_ROWS = 30, 10
-CONTEXT_ROWS, SHEET_ROWS = 20, 1500
 
 
 def carry_merged(cells: DataFrame, table: str, row: str, col: str, value: str) -> DataFrame:
@@ -50,37 +48,31 @@ def fill_headers(cells: DataFrame, sheet: str, row: str, col: str, value: str) -
     return head.unionByName(region.where(F.col(row) >= FILL_DOWN_ROWS)).unionByName(cells.where(F.col(row) >= FILL_ACROSS_ROWS))
 
 
-def text_tables(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], headers: Sequence[str],
-                cap: int = CONTEXT_ROWS) -> DataFrame:
-    """One text table per key: header, dashes, rows up to a cap; blank columns are left out.
+def text_lines(rows: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Sequence[Column], headers: Sequence[str]) -> DataFrame:
+    """Each key's table as lines of text (position, line): -1 the header, 0 the dashes, then all rows in order.
 
-    The cap is applied before the rows of a key come together.
+    Columns that are blank in all rows of a key are left out.  Lines stay rows, so a table may be of any length.
     """
-    capped = head_per_key(rows, list(keys), list(order), cap, "__n")
     cells = F.array(*[markdown_cell(F.trim(F.coalesce(F.col(h).cast("string"), F.lit("")))) for h in headers])
-    grid = capped.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__n", cells.alias("cells")))).alias("__g"))
-    used = F.filter(F.sequence(F.lit(0), F.lit(len(headers) - 1)), lambda i: F.exists("__g", lambda r: F.get(r["cells"], i) != ""))
-    grid = grid.withColumn("__u", used)
-    line = lambda get: F.concat(F.lit("| "), F.array_join(F.transform("__u", get), " | "), F.lit(" |"))
-    names = F.array(*[F.lit(h) for h in headers])
-    head = line(lambda i: F.get(names, i))
-    dashes = F.concat(F.lit("|"), F.array_join(F.transform("__u", lambda i: F.lit("---")), "|"), F.lit("|"))
-    body = F.transform("__g", lambda r: F.concat(F.lit("| "), F.array_join(F.transform("__u", lambda i: F.get(r["cells"], i)), " | "), F.lit(" |")))
-    return grid.select(*keys, F.array_join(F.concat(F.array(head, dashes), body), "\n").alias("table_text"))
-
-
-def payload_cut(rows: DataFrame, sheet: str, order: Sequence[str], segment: Sequence[Column], sheets: int,
-                whole: bool = False) -> DataFrame:
-    """First N rows of each sheet, N = clamp(500 / sheets, 50, 150), with the number hidden.
-
-    ``whole`` keeps everything (small workbooks are not cut).
+    grid = numbered(rows.withColumn("__c", cells), list(keys), list(order), list(segment), "position")
+    used = grid.groupBy(*keys).agg(F.array(*[F.bool_or(F.get("__c", F.lit(i)) != "") for i in range(len(headers))]).alias("__u"))
+    line = lambda values: F.concat(F.lit("| "), F.array_join(F.filter(values, lambda _, i: F.get("__u", i)), " | "), F.lit(" |"))
+    dashes = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(F.filter("__u", lambda u: u))))
+    head = F.array(F.struct(F.lit(-1).cast("bigint").alias("position"), line(F.array(*[F.lit(h) for h in headers])).alias("line")),
+                   F.struct(F.lit(0).cast("bigint").alias("position"), dashes.alias("line")))
+    body = grid.join(used, list(keys)).select(*keys, F.col("position").cast("bigint").alias("position"), line(F.col("__c")).alias("line"))
+    return body.unionByName(used.select(*keys, F.inline(head)))
+
+
+def payload_cut(rows: DataFrame, sheet: str, order: Sequence[str], segment: Sequence[Column]) -> DataFrame:
+    """All rows with their number in the sheet, whether they are in its sample, and how many are not.
+
+    A sheet's sample is its first N rows, N = clamp(500 / number of sheets, 50, 150).
     """
-    keep = max(50, min(150, 500 // max(1, sheets)))
+    sheets = rows.select(sheet).distinct().agg(F.floor(F.lit(500) / F.greatest(F.count(F.lit(1)), F.lit(1)))).scalar()
+    keep = F.greatest(F.lit(50), F.least(F.lit(150), sheets))
     out = segmented(rows, [sheet], order, segment, [row_number("row_no"), total("row_total")])
-    if not whole:
-        out = out.where(F.col("row_no") <= keep)
-    hidden = F.greatest(F.col("row_total") - (F.col("row_total") if whole else F.lit(keep)), F.lit(0))
-    return out.withColumn("hidden_rows", hidden.cast("bigint"))
+    return out.withColumn("in_sample", F.col("row_no") <= keep).withColumn("hidden_rows", F.greatest(F.col("row_total") - keep, F.lit(0)).cast("bigint"))
 
 
 def number_tags(pieces: DataFrame, doc: str = "doc_id", kind: str = "kind", start: str = "start") -> DataFrame:

@@ -84,7 +84,6 @@ def base64_bytes(text: Column) -> Column:
 
 # Leading bytes (hex) of the accepted file kinds.
 FILE_SIGNATURES = ("25504446", "FFD8FF", "89504E470D0A1A0A", "504B0304", "D0CF11E0", "49492A00", "4D4D002A")
-MAX_ATTACHMENT_CHARS = 20_000_000
 
 
 def has_signature(data: Column) -> Column:
@@ -95,10 +94,15 @@ def has_signature(data: Column) -> Column:
     return F.coalesce(cond & (F.length(data) >= 4), F.lit(False))
 
 
-def decode_attachment(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Decode once; peel up to two more layers, but only onto a known file signature."""
-    fits = F.length(column) <= MAX_ATTACHMENT_CHARS  # longer texts are rejected: null
-    out = df.withColumn(name, F.when(fits, base64_bytes(F.col(column))))
+def decode_attachment(df: DataFrame, column: str, name: str, max_chars: int | None = None) -> DataFrame:
+    """Decode once; peel up to two more layers, but only onto a known file signature.
+
+    With ``max_chars``, longer texts are not decoded and ``reject_reason`` says so.
+    """
+    out = df.withColumn(name, base64_bytes(F.col(column)))
+    if max_chars is not None:
+        fits = F.length(column) <= max_chars
+        out = df.withColumn(name, F.when(fits, base64_bytes(F.col(column)))).withColumn("reject_reason", F.when(~fits, "too long"))
     out = out.withColumn("__two", base64_bytes(F.col(name).cast("string")))
     out = out.withColumn("__three", base64_bytes(F.col("__two").cast("string")))
     data = (F.when(has_signature(F.col(name)), F.col(name))

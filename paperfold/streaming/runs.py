@@ -17,37 +17,54 @@ BATCH = "batch_id"
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, **options) -> DataFrame:
-    """A given table as a file stream."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A given table as a file stream, whether it is one file or a folder of part files."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.parquet(folder)
+    if _is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Asks the store that the path is in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
 
 
 def stream_folder(spark: SparkSession, folder: str, schema, files_per_batch: int) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def run_append(stream: DataFrame, label: str) -> DataFrame:
-    """Append-mode run into parquet (exactly once by the sink's log)."""
-    spark, out = stream.sparkSession, new_path(stream.sparkSession, label)
+def run_append(stream: DataFrame, label: str, out: str | None = None, state: str | None = None) -> DataFrame:
+    """Append-mode run into parquet (exactly once by the sink's log).
+
+    With ``out`` and ``state`` named, a later run goes on where this one ended; without, they are new folders.
+    """
+    spark = stream.sparkSession
+    out = out or new_path(spark, label)
     q = (stream.writeStream.format("parquet").outputMode("append").option("path", out)
-         .option("checkpointLocation", new_path(spark, f"{label}-state")).trigger(availableNow=True).start())
+         .option("checkpointLocation", state or new_path(spark, f"{label}-state")).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, label: str, step: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """Write ``step(batch)`` of every micro-batch, tagged with ``batch_id``; read all of them back."""
-    spark, out = stream.sparkSession, new_path(stream.sparkSession, label)
+def run_batches(stream: DataFrame, label: str, step: Callable[[DataFrame], DataFrame], mode: str = "append",
+                out: str | None = None, state: str | None = None) -> DataFrame:
+    """Write ``step(batch)`` of every micro-batch, tagged with ``batch_id``; read all of them back.
+
+    With ``out`` and ``state`` named, a later run goes on where this one ended; without, they are new folders.
+    """
+    spark = stream.sparkSession
+    out = out or new_path(spark, label)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         step(batch).write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
 
     schema = step(spark.createDataFrame([], stream.schema)).schema
     q = (stream.writeStream.outputMode(mode).foreachBatch(write)
-         .option("checkpointLocation", new_path(spark, f"{label}-state")).trigger(availableNow=True).start())
+         .option("checkpointLocation", state or new_path(spark, f"{label}-state")).trigger(availableNow=True).start())
     q.awaitTermination()
     full = schema.add(BATCH, "long")
     return spark.read.schema(full).option("basePath", out).parquet(f"{out}/{BATCH}=*") if _any_batch(spark, out) else spark.createDataFrame([], full)
