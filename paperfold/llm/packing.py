@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperfold.llm.common import map_texts, numbered, parts_of, table
-from paperfold.llm.tokens import Encoder, default_path
+from paperfold.llm.tokens import default_path, encoder
 
 END_ID = 2
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -25,13 +25,9 @@ _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigi
 
 def pieces_of(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the token ids of each text and an end id, cut where longer than capacity."""
-    kept: list[Encoder] = []
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not kept:
-            kept.append(Encoder(tokenizer))
         rows: list[tuple[int, int, int, int, int]] = []
-        for first, _, ids, at in kept[0].columns(batch.column(1)):
+        for first, _, ids, at in encoder(tokenizer).columns(batch.column(1)):
             for k, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)):
                 whole = np.append(ids[a:b], END_ID).astype("<u4")
                 start, length = 0, len(whole) % capacity or min(len(whole), capacity)
@@ -49,8 +45,12 @@ def pieces_of(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
 
 
 def _tightest_two(left: np.ndarray, room: int) -> tuple[int, int, int]:
-    """(a + b, a, b) with the largest sum up to ``room`` of two lengths that are left, or zeros."""
+    """(a + b, a, b) with the largest sum up to ``room`` of two lengths that are left, or zeros.
+
+    Lengths under a quarter of the capacity are not taken: they fill the gaps of later bins.
+    """
     lengths = np.flatnonzero(left[: room + 1])
+    lengths = lengths[lengths >= (len(left) - 1) // 4]
     if not len(lengths):
         return 0, 0, 0
     best = (0, 0, 0)

@@ -9,19 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperfold.llm.common import map_texts
-from paperfold.llm.tokens import Encoder, default_path
+from paperfold.llm.tokens import default_path, encoder
 
 _BAND = 1024
 
 
 def lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, n_tokens) of every row; a null text has none."""
-    path, kept = tokenizer or default_path(), []
+    path = tokenizer or default_path()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not kept:
-            kept.append(Encoder(path))
-        n = np.concatenate([np.diff(at) for _, _, _, at in kept[0].columns(batch.column(1))])
+        n = np.concatenate([np.diff(at) for _, _, _, at in encoder(path).columns(batch.column(1))])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64))], ["doc_id", "n_tokens"])
 
     return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id bigint, n_tokens bigint")

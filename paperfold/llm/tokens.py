@@ -9,6 +9,7 @@ beyond U+04FF, and all texts of other kinds of tokenizers, go to the tokenizer w
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from paperfold.llm.common import Powers, chunks, span_hashes
 
 _OTHER, _LETTER, _NUMBER, _BLANK, _WHOLE = range(5)
-_LIMIT, _CACHED = 0x500, 800_000
+_LIMIT, _CACHED = 0x500, 400_000
 
 
 def _kinds() -> np.ndarray:
@@ -36,7 +37,7 @@ def _kinds() -> np.ndarray:
 
 
 class Encoder:
-    """Encodes columns of texts; one for each task."""
+    """Encodes columns of texts."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -132,6 +133,14 @@ class Encoder:
         return ids, np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
 
 
+def encoder(path: str) -> Encoder:
+    """The Encoder of this process: functions travel by value, so a global of this module would be new for each task."""
+    kept = sys.__dict__.setdefault("_paperfold_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def default_path() -> str:
     """The byte-level BPE file that comes with the public tokenizers."""
     import public_tokenizers
