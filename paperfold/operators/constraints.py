@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperfold.functions import numbers as num
@@ -13,14 +14,26 @@ from paperfold.functions import text as tx
 COMPLEX_TYPES = ("array", "list", "object", "table")
 
 
+def is_pattern(pattern: str) -> bool:
+    """Whether the executors' regular expressions can be made of it; asked before any row is read."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(f"^(?:{pattern})")
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def constraint_status(value: Column, kind: str, required: bool = False,
                       pattern: str | None = None) -> Column:
-    """Status of one field value; a later check overrides an earlier one."""
+    """Status of one field value; a later check overrides an earlier one.
+
+    A pattern that is no regular expression checks nothing.
+    """
     filled = value.isNotNull() & (value != "")
     status = F.lit("valid")
     if required:
         status = F.when(~filled | value.isNull(), "error_missing_required").otherwise(status)
-    if pattern:
+    if pattern and is_pattern(pattern):
         status = F.when(filled & ~value.rlike(f"^(?:{pattern})"), "error_format_invalid").otherwise(status)
     if kind in COMPLEX_TYPES:
         v = F.trim(value)

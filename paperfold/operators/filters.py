@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperfold.functions import text as tx
@@ -116,7 +117,22 @@ def assign_when(df: DataFrame, field: str, expression: str, condition: str = "tr
     new = F.expr(expression)
     old = F.col(field) if field in df.columns else F.lit(None)
     value = F.when(F.expr(condition) & new.isNotNull(), new).otherwise(old)
-    return df.withColumn(field, value)
+    with failing_gives_null(df.sparkSession):
+        return df.withColumn(field, value)
+
+
+@contextmanager
+def failing_gives_null(spark: SparkSession) -> Iterator[None]:
+    """Expressions that are resolved meanwhile give null where they would fail (division by zero, bad casts)."""
+    before = spark.conf.get("spark.sql.ansi.enabled", None)
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.ansi.enabled")
+        else:
+            spark.conf.set("spark.sql.ansi.enabled", before)
 
 
 PATH_SHAPE = re.compile(r"^[A-Za-z_][\w]*(\[\d+\])*(\.[A-Za-z_][\w]*(\[\d+\])*)*$")

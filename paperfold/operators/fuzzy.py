@@ -42,7 +42,7 @@ def _bags(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _block_scorer(fuzzy: bool):
+def _block_scorer():
     """Best entry of one dictionary block for each value of one slice.
 
     Letter counts bound the common subsequence from above, so most pairs are
@@ -70,15 +70,14 @@ def _block_scorer(fuzzy: bool):
             common_name = np.minimum(name_bag, bag).sum(axis=1)
             common_code = np.minimum(code_bag, bag).sum(axis=1)
             keep = (common_name >= np.minimum(name_len, n)) | (common_code >= np.minimum(code_len, n))
-            if fuzzy:
-                least = ACCEPT_MATCH - 0.005
-                tokens = " ".join(sorted(set(normal(v).split())))
-                common_tok = np.minimum(token_bag, _bags([tokens])[0]).sum(axis=1)
-                keep |= 2 * common_name >= least * (name_len + n)
-                keep |= 2 * common_code >= least * (code_len + n)
-                keep |= 2 * common_tok >= least * (token_len + len(tokens))
-                for tok in tokens.split():
-                    keep[by_token.get(tok, [])] = True
+            least = ACCEPT_MATCH - 0.005
+            tokens = " ".join(sorted(set(normal(v).split())))
+            common_tok = np.minimum(token_bag, _bags([tokens])[0]).sum(axis=1)
+            keep |= 2 * common_name >= least * (name_len + n)
+            keep |= 2 * common_code >= least * (code_len + n)
+            keep |= 2 * common_tok >= least * (token_len + len(tokens))
+            for tok in tokens.split():
+                keep[by_token.get(tok, [])] = True
             best, best_i = 0.0, -1
             for i in np.flatnonzero(keep):
                 name, code = names[i], codes[i]
@@ -86,11 +85,9 @@ def _block_scorer(fuzzy: bool):
                     score = SCORE_IN_NAME
                 elif code and (v in code or code in v):
                     score = SCORE_IN_CODE
-                elif fuzzy:
+                else:
                     score = max(token_set_ratio(v, name) if name else 0, ratio(v, name) if name else 0,
                                 ratio(v, code) if code else 0) / 100
-                else:
-                    continue
                 if score > best:
                     best, best_i = score, i
             if best >= ACCEPT_MATCH:
@@ -101,13 +98,44 @@ def _block_scorer(fuzzy: bool):
     return run
 
 
+def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """(needle, hay): all pairs of texts where the needle stands in the hay.
+
+    A needle is looked up by the one of its pieces of three characters (itself, if shorter) that the fewest hays have, so
+    the join meets little more than the pairs that hold.
+    """
+    texts = lambda df: df.select(F.col(df.columns[0]).alias("word")).where(F.col("word") != "").distinct()
+    held = written(_grams(texts(hays)).select("word", "gram").distinct(), "hay-pieces")
+    frequency = held.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    pieces = _grams(texts(needles)).where(F.length("gram") == F.least(F.length("word"), F.lit(GRAM))).select("word", "gram").distinct()
+    rarest = pieces.join(frequency, "gram", "left").groupBy("word").agg(
+        F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), F.col("gram"))).alias("gram"))
+    pairs = rarest.select(F.col("word").alias("needle"), "gram").join(held.select(F.col("word").alias("hay"), "gram"), "gram")
+    return pairs.where(F.contains("hay", F.col("needle"))).select("needle", "hay")
+
+
+def _containing_entries(keys: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Best entry whose name, or else code, contains the key or stands in it: (value_key, entry, score)."""
+    found = []
+    for column, score in (("name_key", SCORE_IN_NAME), ("code_key", SCORE_IN_CODE)):
+        texts = keyed.where(F.col(column) != "")
+        firsts = pick_first(texts, [column], ["category", "entry_no"], ["category", "code", "name", "entry_no"])
+        inside = contained(keys, firsts.select(column)).select(F.col("needle").alias("value_key"), F.col("hay").alias(column))
+        around = contained(firsts.select(column), keys).select(F.col("hay").alias("value_key"), F.col("needle").alias(column))
+        found.append(inside.unionByName(around).join(firsts, column).drop(column).withColumn("score", F.lit(score)))
+    return pick_first(found[0].unionByName(found[1]), ["value_key"], [-F.col("score"), F.col("category"), F.col("entry_no")],
+                      ["category", "code", "name", "entry_no", "score"])
+
+
 def match_dictionary(values: DataFrame, entries: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Best entry per distinct value: exact, then containment, then similarity.
 
     ``values(value)``; ``entries(category, code, name, entry_no)``.  Ties go to
-    the first entry in (category, entry_no) order.  Exact matches are an equi
-    join; only the misses meet the dictionary, which is cut into bounded
-    blocks, and each block returns one best entry per value, never the pairs.
+    the first entry in (category, entry_no) order.  Exact matches and
+    containment are equi joins.  A similarity of 0.6 by common subsequence is
+    so loose that no key leaves out pairs: with ``fuzzy``, the values without an
+    exact match meet the dictionary in bounded blocks, and each block returns
+    one best entry per value, never the pairs.
     """
     distinct = values.where(worth_matching(F.col("value"))).select("value").distinct()
     distinct = distinct.withColumn("value_key", _key(F.col("value"))).where(F.col("value_key") != "")
@@ -119,8 +147,17 @@ def match_dictionary(values: DataFrame, entries: DataFrame, fuzzy: bool = True)
     firsts = pick_first(exact_keys, ["value_key"], ["category", "entry_no"], ["category", "code", "name", "entry_no"])
     exact = distinct.join(firsts, "value_key").withColumn("score", F.lit(SCORE_EXACT))
     misses = written(distinct.join(firsts, "value_key", "left_anti"), "match-misses")
+    if fuzzy:
+        best = _similar_entries(misses, keyed)
+    else:
+        best = misses.join(_containing_entries(misses.select("value_key"), keyed), "value_key").drop("value_key")
+    columns = ["value", "category", "code", "name", "entry_no", "score"]
+    return exact.select(*columns).unionByName(best.select(*columns))
+
 
-    blocks = max(1, math.ceil(entries.count() / ENTRIES_PER_BLOCK))
+def _similar_entries(misses: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Best entry by containment or similarity, block by block."""
+    blocks = max(1, math.ceil(keyed.count() / ENTRIES_PER_BLOCK))
     slices = max(1, math.ceil(misses.count() / VALUES_PER_SLICE))
     left = misses.select("value", "value_key",
                          F.pmod(F.xxhash64("value_key"), F.lit(slices)).cast("int").alias("slice"),
@@ -128,10 +165,9 @@ def match_dictionary(values: DataFrame, entries: DataFrame, fuzzy: bool = True)
     right = keyed.select("*", F.pmod(F.xxhash64("code", "name", "category"), F.lit(blocks)).cast("int").alias("block"),
                          F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
     scored = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(
-        _block_scorer(fuzzy), "value string, category string, code string, name string, entry_no bigint, score double")
-    best = pick_first(scored, ["value"], [-F.col("score"), F.col("category"), F.col("entry_no")],
+        _block_scorer(), "value string, category string, code string, name string, entry_no bigint, score double")
+    return pick_first(scored, ["value"], [-F.col("score"), F.col("category"), F.col("entry_no")],
                       ["category", "code", "name", "entry_no", "score"])
-    return exact.select("value", "category", "code", "name", "entry_no", "score").unionByName(best)
 
 
 def tokens_of(c: Column) -> Column:

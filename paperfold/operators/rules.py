@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from paperfold.functions import files
 from paperfold.operators.chunking import PAGE_LIMIT, PAYLOAD_LIMIT
-from paperfold.operators.filters import assign_when
+from paperfold.operators.filters import assign_when, failing_gives_null
 from paperfold.operators.nested import cartesian_explode
 
 ERROR_TYPE = "array<struct<severity:string,message:string,check:string>>"
@@ -41,7 +41,8 @@ def validate(df: DataFrame, check: str, severity: str = "warning", message: str
         df = df.withColumn("validation_errors", F.array().cast(ERROR_TYPE))
     failed = ~F.coalesce(F.expr(with_len(check)), F.lit(False))
     entry = F.struct(F.lit(severity).alias("severity"), F.lit(message).alias("message"), F.lit(check).alias("check"))
-    return df.withColumn("validation_errors", F.when(failed, F.array_append("validation_errors", entry)).otherwise(F.col("validation_errors")))
+    with failing_gives_null(df.sparkSession):
+        return df.withColumn("validation_errors", F.when(failed, F.array_append("validation_errors", entry)).otherwise(F.col("validation_errors")))
 
 
 def _apply(df: DataFrame, rule: Rule) -> DataFrame:
