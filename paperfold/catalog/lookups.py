@@ -262,13 +262,11 @@ def page_words(t):
 
 
 def located_cells(t):
-    """One value per document: a word of a benchmark passage, cut in some documents."""
-    items = t.benchmark.select("item_id", F.split("text", " ").alias("w"))
+    """For each document every word of a benchmark passage as a value to locate."""
+    items = t.benchmark.select("item_id", F.posexplode(F.split("text", " ")).alias("at", "value"))
     docs = t.documents.select("doc_id", (F.col("doc_id") % t.benchmark.agg(F.count(F.lit(1))).scalar()).alias("item_id"))
-    word = F.try_element_at("w", (F.col("doc_id") % 7 + 1).cast("int"))
-    value = F.when(F.col("doc_id") % 3 == 0, F.substring(word, 1, 3)).otherwise(word)
-    return docs.join(items, "item_id").select(F.col("doc_id").alias("cell_id"), "doc_id", value.alias("value"), (F.col("doc_id") % 3).cast("int").alias("page")).where(
-        F.col("value") != "")
+    cell = (F.col("doc_id") * 1000 + F.col("at")).alias("cell_id")
+    return docs.join(items, "item_id").select(cell, "doc_id", "value", (F.col("doc_id") % 3).cast("int").alias("page")).where(F.col("value") != "")
 
 
 SQL_PAGE_WORDS = rf"""{SQL_LINES}, tk AS (SELECT doc_id, line_no, unnest(string_split(translate(line, chr(13) || chr(9), '  '), ' ')) AS word, unnest(range(len(string_split(translate(line, chr(13) || chr(9), '  '), ' ')))) AS i FROM lines),
@@ -276,11 +274,11 @@ pw AS (SELECT doc_id, line_no AS page_no, word, CAST(COALESCE(SUM(length(word) +
 
 
 @query("c16_locate_value", sql=rf"""WITH {SQL_PAGE_WORDS},
-cells AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN left(w, 3) ELSE w END AS value, doc_id % 3 AS page FROM
-  (SELECT doc_id, string_split(b.text, ' ')[CAST(doc_id % 7 + 1 AS INTEGER)] AS w FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT COUNT(*) FROM benchmark)) WHERE w <> ''),
-h AS (SELECT c.doc_id, value, word, page_no, start, CASE WHEN word = value THEN 0 ELSE 1 END AS tier, row_number() OVER (PARTITION BY c.doc_id ORDER BY page_no <> page, page_no, word <> value, start) AS rn
+cells AS (SELECT doc_id * 1000 + place AS cell_id, doc_id, w AS value, doc_id % 3 AS page FROM
+  (SELECT doc_id, unnest(string_split(b.text, ' ')) AS w, unnest(range(len(string_split(b.text, ' ')))) AS place FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT COUNT(*) FROM benchmark)) WHERE w <> ''),
+h AS (SELECT c.cell_id, c.doc_id, value, word, page_no, start, CASE WHEN word = value THEN 0 ELSE 1 END AS tier, row_number() OVER (PARTITION BY c.cell_id ORDER BY page_no <> page, page_no, word <> value, start) AS rn
   FROM cells c JOIN pw ON pw.doc_id = c.doc_id AND word <> '' AND (word = value OR (length(word) > 1 AND (contains(value, word) OR contains(word, value)))))
-SELECT doc_id AS cell_id, doc_id, value, word, CAST(page_no AS INTEGER) AS page_no, start, tier FROM h WHERE rn = 1""")
+SELECT cell_id, doc_id, value, word, CAST(page_no AS INTEGER) AS page_no, start, tier FROM h WHERE rn = 1""")
 def locate_value(t):
     return fuzzy.locate_values(located_cells(t), page_words(t))
 
@@ -295,12 +293,12 @@ def locate_fuzzy(t):
 
 @query("c17_locate_passage")
 def locate_passage(t):
-    """The beginning of a benchmark passage among the lines of each document."""
+    """A whole benchmark passage among the lines of each document."""
     n = t.benchmark.agg(F.count(F.lit(1))).scalar()
     docs = t.documents.select("doc_id", (F.col("doc_id") % n).alias("item_id"))
     # one target per document and one without, so that both page rules are met
     targets = docs.join(t.benchmark, "item_id").select(
-        F.col("doc_id").alias("target_id"), "doc_id", F.substring_index("text", " ", 5).alias("text"),
+        F.col("doc_id").alias("target_id"), "doc_id", "text",
         F.when(F.col("doc_id") % 2 == 0, 0).alias("page"))
     refs = t.lines().select("doc_id", F.col("line_no").alias("ref_no"), F.col("line_no").alias("page_no"), F.col("line").alias("text"))
     return fuzzy.locate_passages(targets, refs)

@@ -11,7 +11,7 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType
+from pyspark.sql.types import DoubleType, LongType
 
 STRETCHES = 1 << 15
 _NOISE = re.compile(r"[\W_]+")
@@ -63,8 +63,8 @@ def token_set_ratio(a: str, b: str) -> int:
     return round(best)
 
 
-def exact_partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter text against any stretch of the longer one of its length."""
+def exact_partial_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """Best ratio of the shorter text against any stretch of the longer one of its length; 0 if it is below ``least``."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     m, n = len(short), len(long)
     if not m:
@@ -74,7 +74,7 @@ def exact_partial_ratio(a: str, b: str) -> float:
     # letter counts bound the common subsequence of every stretch; the most promising ones are compared first
     letters = {ch: i for i, ch in enumerate(dict.fromkeys(short))}
     need = np.array([short.count(ch) for ch in letters])[:, None]
-    best = 0.0
+    best = least - 1e-6 if least else 0.0
     for first in range(1 - m, n, STRETCHES):
         starts = np.arange(first, min(n, first + STRETCHES))
         lo, hi = np.maximum(starts, 0), np.minimum(starts + m, n)
@@ -84,11 +84,15 @@ def exact_partial_ratio(a: str, b: str) -> float:
         np.cumsum(codes == np.arange(len(letters))[:, None], axis=1, out=seen[:, 1:])
         common = np.minimum(seen[:, hi - base] - seen[:, lo - base], need).sum(axis=0)
         bound = 200.0 * common / (m + hi - lo)
-        for i in np.argsort(-bound):
-            if bound[i] <= best:
-                break
-            best = max(best, exact_ratio(short, long[lo[i]:hi[i]]))
-    return best
+        # moved by one, a stretch's common subsequence changes by one at most, so each comparison bounds its neighbours
+        while bound.max() > best:
+            i = int(bound.argmax())
+            score = exact_ratio(short, long[lo[i]:hi[i]])
+            best = max(best, score)
+            length = score * (m + hi[i] - lo[i]) / 200 + 1e-6
+            bound = np.minimum(bound, 200.0 * (length + np.abs(starts - starts[i])) / (m + hi - lo))
+            bound[i] = score
+    return best if best >= least else 0.0
 
 
 def partial_ratio(a: str, b: str) -> int:
@@ -117,11 +121,8 @@ ratio_udf = _pairwise(ratio)
 token_set_ratio_udf = _pairwise(token_set_ratio)
 partial_ratio_udf = _pairwise(partial_ratio)
 ratio_float_udf = _pairwise(exact_ratio, DoubleType(), "float64")
-partial_ratio_float_udf = _pairwise(exact_partial_ratio, DoubleType(), "float64")
 
 
-def _normalise(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else normal(x))
-
-
-normal_udf = F.pandas_udf(_normalise, StringType())
+def partial_ratio_from(least: float):
+    """Partial ratio as a column function; what is below ``least`` is 0, which spares most comparisons."""
+    return _pairwise(lambda a, b: exact_partial_ratio(a, b, least), DoubleType(), "float64")

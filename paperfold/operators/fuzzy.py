@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperfold.functions.pieces import CODE_BITS, text_grams
-from paperfold.functions.similarity import normal, normal_udf, partial_ratio_float_udf, ratio, ratio_float_udf, ratio_udf, token_set_ratio
+from paperfold.functions.similarity import normal, partial_ratio_from, ratio, ratio_float_udf, ratio_udf, token_set_ratio
 from paperfold.operators.filters import worth_matching
 from paperfold.plans.pick import head_per_key, pick_first
 from paperfold.sources.shared import written
@@ -391,7 +391,7 @@ def _pass(targets: DataFrame, refs: DataFrame, least: int, partial: bool) -> Dat
     pairs = passage_candidates(targets, refs, share, partial)
     both = pairs.join(targets, ["target_id", "doc_id"]).join(refs, ["doc_id", "ref_no"])
     both = both.where(F.col("page").isNull() | (F.col("page") == F.col("page_no")))
-    scorer = partial_ratio_float_udf if partial else ratio_float_udf
+    scorer = partial_ratio_from(least - PAGE_BONUS) if partial else ratio_float_udf
     both = both.withColumn("score", scorer("t", "r"))
     both = both.withColumn("score", F.when(F.col("page").isNotNull(), F.least(F.col("score") + PAGE_BONUS, F.lit(100.0))).otherwise(F.col("score")))
     both = both.where((F.col("score") >= least) | (F.col("t") == F.col("r")))
@@ -408,9 +408,10 @@ def locate_passages(targets: DataFrame, refs: DataFrame) -> DataFrame:
     the normalised texts.  Lenient, for what is left: partial ratio of the
     letters and digits alone.
     """
+    normal = lambda c: F.trim(F.regexp_replace(F.lower(F.col(c)), r"[^\p{L}\p{N}]+", " "))
     bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9ㄱ-ㅎㅏ-ㅣ가-힣]", "")
-    t1 = targets.select("target_id", "doc_id", "page", normal_udf("text").alias("t")).where(F.col("t") != "")
-    r1 = refs.select("doc_id", "ref_no", "page_no", normal_udf("text").alias("r")).where(F.col("r") != "")
+    t1 = targets.select("target_id", "doc_id", "page", normal("text").alias("t")).where(F.col("t") != "")
+    r1 = refs.select("doc_id", "ref_no", "page_no", normal("text").alias("r")).where(F.col("r") != "")
     strict = written(_pass(written(t1, "targets"), written(r1, "references"), STRICT, False), "strict-hits")
     left = targets.join(strict.select("target_id", "doc_id"), ["target_id", "doc_id"], "left_anti")
     t2 = left.select("target_id", "doc_id", "page", bare(F.col("text")).alias("t")).where(F.col("t") != "")
