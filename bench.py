@@ -37,6 +37,7 @@ def main(argv: list[str]) -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     from paperfold.catalog import REGISTRY, runner
+    from paperfold.sources.shared import scratch
 
     explain = "--explain" in argv
     names = [a for a in argv if not a.startswith("--")]
@@ -45,11 +46,12 @@ def main(argv: list[str]) -> None:
     seconds: dict[str, float] = {}
     for name in names:
         start = time.time()
-        df = runner(name)(spark, folder)
-        df.write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.time() - start, 3)
-        if explain:
-            df.explain("formatted")
+        with scratch(spark):
+            df = runner(name)(spark, folder)
+            df.write.format("noop").mode("overwrite").save()
+            seconds[name] = round(time.time() - start, 3)
+            if explain:
+                df.explain("formatted")
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline queries, total", "value": round(sum(seconds.values()), 3), "unit": "sec",

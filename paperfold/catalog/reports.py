@@ -135,7 +135,7 @@ def duplicate_flag(t):
     part = lambda c: F.lower(F.trim(c))
     rows = t.lineitem.withColumn("composite", F.concat_ws(
         "|", part(F.coalesce(F.nullif(code, F.lit("")), raw)), part(F.col("l_linestatus"))))
-    return merge.duplicate_flag(rows, ["l_orderkey", "composite"], t.ROW_ORDER, t.row_segment()).select(
+    return merge.duplicate_flag(rows, ["l_orderkey", "composite"], t.ROW_ORDER).select(
         *LKEY, "composite", "is_duplicate")
 
 
@@ -357,7 +357,7 @@ ORDER BY ts DESC, event_id LIMIT 20 OFFSET 40""")
 def offset_paging(t):
     views = t.events.where(F.col("event_type") == "view")
     page = views.orderBy(F.desc("ts"), "event_id").offset(40).limit(20).select("event_id", "event_type")
-    return page.join(views.agg(F.count(F.lit(1)).alias("total")))  # one-row side
+    return page.withColumn("total", views.agg(F.count(F.lit(1))).scalar())
 
 
 @query("g3_keyset_paging", sql="""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperfold.functions.text import normal_key
@@ -48,10 +48,18 @@ def dedup_rows(rows: DataFrame, keys: Sequence[str], content: Sequence[str],
     return pick_first(rows, [*keys, *content], [F.col(c) for c in order], list(order))
 
 
-def duplicate_flag(rows: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Sequence[Column],
-                   name: str = "is_duplicate") -> DataFrame:
-    """True on the second and later rows of each key in row order; the first is clean."""
-    return numbered(rows, keys, order, segment, "__occurrence").withColumn(name, F.col("__occurrence") > 1).drop("__occurrence")
+def duplicate_flag(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "is_duplicate") -> DataFrame:
+    """True on the second and later rows of each key in row order; the first is clean.
+
+    The first place of each key is a minimum with map-side combine; only rows that tie for it are counted.
+    """
+    place = F.struct(*order)
+    firsts = rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min(place).alias("__first"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    tie = F.row_number().over(Window.partitionBy(*keys, *order).orderBy(*order))
+    return rows.join(firsts, same).withColumn(name, (place > F.col("__first")) | (tie > 1)).select(*rows.columns, name)
 
 
 def chunk_accounting(results: DataFrame, doc: str = "doc_id") -> DataFrame:

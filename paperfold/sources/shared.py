@@ -5,6 +5,8 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +46,36 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, remembered for ``scratch`` and ``discard``."""
+    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def discard(spark: SparkSession, since: int = 0) -> int:
+    """Delete the intermediate tables that this driver has made (from number ``since`` on); how many there were.
+
+    Results that still read them have to be written before.
+    """
+    gone = 0
+    for name in _made[since:]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _made[since:]
+    return gone
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are deleted at the end."""
+    since = len(_made)
+    try:
+        yield
+    finally:
+        discard(spark, since)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

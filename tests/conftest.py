@@ -1,5 +1,6 @@
 import pytest
 
+from paperfold.sources.shared import discard
 from tests.oracle import DATA, duck, make_spark
 
 
@@ -7,6 +8,7 @@ from tests.oracle import DATA, duck, make_spark
 def spark():
     session = make_spark()
     yield session
+    discard(session)
     session.stop()
 
 

@@ -69,3 +69,11 @@ def test_a_cluster_needs_a_shared_folder():
     session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="yarn"))
     with pytest.raises(ValueError):
         shared.shared_dir(session)
+
+
+def test_scratch_leaves_nothing(spark):
+    with shared.scratch(spark):
+        kept = shared.written(spark.range(5), "scratch-test")
+        assert kept.count() == 5
+        path = kept.inputFiles()[0]
+    assert not spark._jvm.java.io.File(path.removeprefix("file://")).exists()
