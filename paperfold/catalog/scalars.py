@@ -165,6 +165,17 @@ def constraints(t):
     )
 
 
+@query("i10_box_objects", sql="""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 3 < 2 THEN CAST(l_linenumber AS VARCHAR) || ',' || CAST(l_linenumber + 1 AS VARCHAR) || ',' ||
+ CAST(l_linenumber + 10 AS VARCHAR) || ',' || CAST(l_linenumber + 21 AS VARCHAR) END AS rect FROM lineitem""")
+def box_objects(t):
+    x = F.col("l_linenumber").cast("double")
+    named = lambda **c: F.create_map(*[v for k, e in c.items() for v in (F.lit(k), e)])
+    box = (F.when(F.col("l_partkey") % 3 == 0, named(x1=x, y1=x + 1, x2=x + 10, y2=x + 21))
+           .when(F.col("l_partkey") % 3 == 1, named(x=x, y=x + 1, w=F.lit(10.0), h=F.lit(20.0))).otherwise(named(x=x, y=x)))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", boxes.box_text(boxes.object_rect(box), 0).alias("rect"))
+
+
 @query("i10_normalize_bbox", sql=r"""
 WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 5 AS k,
    l_quantity AS x, l_linenumber * 10.0::DOUBLE AS y FROM lineitem),

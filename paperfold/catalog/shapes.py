@@ -160,6 +160,22 @@ def search_text(t):
     return t.events.select("event_id", nested.search_text(doc).alias("search_text"))
 
 
+@query("e13_nested_masking", sql="""
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '***' END AS name, c_mktsegment AS segment, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE '***' END AS first_phone,
+ 'owner' AS role, '***' AS account FROM customer""")
+def nested_masking(t):
+    key = F.col("c_custkey")
+    contact = F.struct(F.when(key % 3 > 0, key).alias("phone"), F.lit("owner").alias("role"))
+    body = F.struct(F.struct(F.when(key % 2 == 0, "").otherwise(F.col("c_name")).alias("value"), F.lit(0.9).alias("confidence")).alias("name"),
+                    F.col("c_mktsegment").alias("segment"), F.array(contact, contact).alias("contacts"),
+                    F.struct(F.struct(key.alias("account")).alias("bank")).alias("details"))
+    rows = t.customer.select("c_custkey", F.struct(body.alias("guide_extracted")).alias("record"))
+    r = record.mask_record(rows, "record", ["name", "contacts.*.phone", "details.bank.account"])
+    g = "record.guide_extracted."
+    return r.select("c_custkey", F.col(g + "name.value").alias("name"), F.col(g + "segment").alias("segment"), F.col(g + "contacts")[0]["phone"].alias("first_phone"),
+                    F.col(g + "contacts")[1]["role"].alias("role"), F.col(g + "details.bank.account").alias("account"))
+
+
 @query("e13_pii_masking", sql="""
 SELECT c_custkey, path, CASE WHEN path IN ('guide_extracted.name.value', 'name') AND value <> '' THEN '***' WHEN path LIKE 'contacts[%].phone' THEN '***' ELSE value END AS value FROM (
  SELECT c_custkey, unnest(['guide_extracted.name.value', 'segment', 'contacts[' || CAST(c_custkey % 3 AS VARCHAR) || '].phone', 'contacts[0].role', 'name']) AS path,

@@ -19,6 +19,15 @@ def to_rect(box: Column) -> Column:
     return F.when(F.size(box) >= 8, poly).when(F.size(box) >= 4, F.slice(box, 1, 4))
 
 
+def object_rect(box: Column) -> Column:
+    """[x1, y1, x2, y2] of a box given by names (map<string,double>): corners, or a corner with width and height."""
+    at = lambda name: F.try_element_at(box, F.lit(name))
+    corners = F.array(at("x1"), at("y1"), at("x2"), at("y2"))
+    sized = F.array(at("x"), at("y"), at("x") + at("w"), at("y") + at("h"))
+    whole = lambda a: ~F.exists(a, lambda v: v.isNull())
+    return F.when(whole(corners), corners).when(whole(sized), sized)
+
+
 def to_percent(df: DataFrame, box: str, width: str, height: str, name: str) -> DataFrame:
     """Append the box in percent of the page; the unit is guessed when the page size is unknown.
 

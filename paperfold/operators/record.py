@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperfold.functions import numbers as num
 from paperfold.functions.text import normal_key
@@ -98,6 +99,34 @@ def mask_cells(cells: DataFrame, pii_paths: Sequence[str], path: str = "path", v
     return cells.withColumn(value, F.when(hidden, MASK).otherwise(F.col(value)))
 
 
+def mask_record(df: DataFrame, column: str, pii_paths: Sequence[str]) -> DataFrame:
+    """The nested record ``column`` with ``***`` for filled scalars at personal-data paths, at any depth.
+
+    Paths are dotted, ``*`` stands for any list position, wrapper members (``guide_extracted``, ``value``) are left out of
+    them.  Driven by the schema: a record comes back in its own shape; a masked number becomes text.
+    """
+    paths = set(pii_paths)
+
+    def masked(c: Column, kind: T.DataType, path: tuple[str, ...]) -> Column:
+        if isinstance(kind, T.StructType):
+            inner = F.struct(*[masked(c.getField(f.name), f.dataType, (*path, f.name)).alias(f.name) for f in kind.fields])
+            return F.when(c.isNotNull(), inner)
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: masked(x, kind.elementType, (*path, "*")))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(c, lambda k, v: F.when(F.concat_ws(".", *map(F.lit, named(path)), k).isin(*paths) & (v.cast("string") != ""), MASK).otherwise(v.cast("string"))
+                                      if not isinstance(kind.valueType, (T.StructType, T.ArrayType, T.MapType)) else masked(v, kind.valueType, (*path, "*")))
+        if ".".join(named(path)) in paths:
+            return F.when(c.isNotNull() & (c.cast("string") != ""), MASK).otherwise(c.cast("string"))
+        return c
+
+    def named(path: tuple[str, ...]) -> tuple[str, ...]:
+        own = path[1:] if path[:1] == ("guide_extracted",) else path
+        return tuple(p for i, p in enumerate(own) if p != "value" or i == 0)
+
+    return df.withColumn(column, masked(F.col(column), df.schema[column].dataType, ()))
+
+
 def align_keys(cells: DataFrame, table: str, row: str, key: str, pos: str, value: str) -> DataFrame:
     """One spelling per key: the one in the table's first row; the last of repeated keys wins."""
     norm = cells.withColumn("__n", normal_key(F.col(key)))

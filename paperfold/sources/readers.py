@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,6 +68,17 @@ def polygon_box(polygon: Column) -> Column:
     return F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
 
 
+def extend_cache(source: DataFrame, path: str, key: str, process, schema: T.StructType | str) -> DataFrame:
+    """Results for ``source`` from the cache table at ``path``, which first gains what it lacks."""
+    spark = source.sparkSession
+    try:
+        cache = spark.read.schema(schema).parquet(path)
+    except AnalysisException:  # no table yet
+        cache = spark.createDataFrame([], schema)
+    process(source.join(cache.select(key), key, "left_anti")).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).join(source.select(key).distinct(), key, "left_semi")
+
+
 def through_cache(source: DataFrame, cache: DataFrame, key: str, process) -> DataFrame:
     """Cached results plus freshly processed ones; cached keys are never processed again."""
     todo = source.join(cache.select(key), key, "left_anti")

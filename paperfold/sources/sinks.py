@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperfold.plans.pick import pick_last
@@ -32,6 +32,36 @@ def upsert(existing: DataFrame, updates: DataFrame, key: str, order: str,
     return joined.select(F.coalesce(key, "__k").alias(key), *[value(f) for f in fields])
 
 
+def versions(spark: SparkSession, base: str) -> list[int]:
+    """Complete versions of a versioned table, oldest first."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(base)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        return []
+    found = [s.getPath() for s in store.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("version=")]
+    done = [p for p in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("version=")) for p in done)
+
+
+def read_version(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:
+    """A version of a versioned table, the newest unless one is named."""
+    return spark.read.parquet(f"{base}/version={versions(spark, base)[-1] if version is None else version}")
+
+
+def upsert_into(base: str, updates: DataFrame, key: str, order: str, keep: Sequence[str] = ("created_at", "ttl")) -> int:
+    """Upsert as a sink: the next version of the table below ``base`` is written whole; readers see it once complete.
+
+    ``keep`` columns stay as first stored (those that the table has).  A run that dies leaves an incomplete version, which
+    the next run replaces.  Returns the version.
+    """
+    spark = updates.sparkSession
+    known = versions(spark, base)
+    version = (known or [0])[-1] + 1
+    old = read_version(spark, base) if known else updates.drop(order).limit(0)
+    upsert(old, updates, key, order, [c for c in keep if c in old.columns]).write.mode("overwrite").parquet(f"{base}/version={version}")
+    return version
+
+
 def offload(df: DataFrame, key: str, fields: Sequence[str], limit: int) -> DataFrame:
     """Move fields out of records over ``limit`` characters, in order, until they fit.
 

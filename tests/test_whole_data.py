@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperfold.catalog import runner
 from paperfold.functions.dates import parse_date
 from paperfold.operators import nested, tables_text
-from paperfold.sources import readers, shared
+from paperfold.sources import readers, shared, sinks
 from paperfold.sources.shared import new_path
 from paperfold.streaming import runs
 
@@ -77,3 +77,25 @@ def test_scratch_leaves_nothing(spark):
         assert kept.count() == 5
         path = kept.inputFiles()[0]
     assert not spark._jvm.java.io.File(path.removeprefix("file://")).exists()
+
+
+def test_versions_of_an_upsert(spark):
+    base = new_path(spark, "versions")
+    first = spark.createDataFrame([(1, "a", "2001", 30, 1), (2, "b", "2001", None, 1)], "k int, v string, created_at string, ttl int, seq int")
+    assert sinks.upsert_into(base, first, "k", "seq") == 1
+    second = spark.createDataFrame([(1, "c", "2002", 99, 3), (1, "z", "2002", 98, 2), (3, "d", "2002", 5, 1)], first.schema)
+    assert sinks.upsert_into(base, second, "k", "seq") == 2 and sinks.versions(spark, base) == [1, 2]
+    assert sorted(tuple(r) for r in sinks.read_version(spark, base).collect()) == [(1, "c", "2001", 30), (2, "b", "2001", None), (3, "d", "2002", 5)]
+    assert sinks.read_version(spark, base, 1).count() == 2
+
+
+def test_cache_grows(spark):
+    path, seen = new_path(spark, "cache"), []
+
+    def process(todo):
+        seen.append(sorted(r.id for r in todo.collect()))
+        return todo.select("id", (F.col("id") * 2).alias("size"))
+
+    for ids, new in (([1, 2], [1, 2]), ([2, 3], [3]), ([1, 3], [])):
+        got = readers.extend_cache(spark.createDataFrame([(i,) for i in ids], "id long"), path, "id", process, "id long, size long")
+        assert sorted(tuple(r) for r in got.collect()) == [(i, 2 * i) for i in ids] and seen[-1] == new
