@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,8 @@ from pyspark.sql.window import Window
 
 from paperfold.sources.shared import tune, written
 
-CHUNK_BYTES = 1 << 20  # texts are worked through in groups of about this size (a longer text is a group of its own)
+CHUNK_BYTES = 1 << 18  # texts are worked through in groups of about this size (a longer text is a group of its own)
+ENCODERS = "_paperfold_encoders"  # attribute of the sys module under which a Python process keeps its encoders
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _IS_SPACE = np.zeros(256, bool)
@@ -103,10 +105,15 @@ def words(units: np.ndarray, offsets: np.ndarray, powers: Powers, lower: bool =
     return span_hashes(units, starts, ends, powers), np.searchsorted(starts, offsets)
 
 
-def map_texts(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
-    """Apply ``rows`` to each Arrow batch of ``df``."""
+def map_texts(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str, encodes: bool = False) -> DataFrame:
+    """Apply ``rows`` to each Arrow batch of ``df``.
+
+    Python processes go from one operator to the next: one that doesn't encode frees the encoders that another has kept.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes:
+            sys.__dict__.pop(ENCODERS, None)
         for batch in batches:
             if batch.num_rows:
                 out = rows(batch)

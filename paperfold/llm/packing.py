@@ -41,7 +41,7 @@ def pieces_of(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
             ["doc_id", "piece", "start", "length", "ids_crc32"],
         )
 
-    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, _PIECES)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, _PIECES, encodes=True)
 
 
 def _tightest_two(left: np.ndarray, room: int) -> tuple[int, int, int]:
@@ -142,4 +142,4 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None) ->
             ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
         )
 
-    return map_texts(ranked, place, _PIECES + ", sequence_id bigint, offset bigint")
+    return map_texts(ranked, place, _PIECES + ", sequence_id bigint, offset bigint", encodes=True)

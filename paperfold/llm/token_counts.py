@@ -22,7 +22,7 @@ def lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         n = np.concatenate([np.diff(at) for _, _, _, at in encoder(path).columns(batch.column(1))])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64))], ["doc_id", "n_tokens"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id bigint, n_tokens bigint")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id bigint, n_tokens bigint", encodes=True)
 
 
 def histogram(counted: DataFrame) -> DataFrame:
@@ -62,6 +62,6 @@ def for_every_limit(hist: DataFrame) -> DataFrame:
 
 def at_limit(answers: DataFrame, limit: int) -> DataFrame:
     """One row (limit, docs_longer, kept_tokens) read off the answers for any limit."""
-    longer = answers.where(F.col("n_tokens") > limit).agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs_longer"))
-    short = answers.where(F.col("n_tokens") <= limit).agg(F.coalesce(F.sum(F.col("n_tokens") * F.col("n_docs")), F.lit(0)).alias("_t"))
-    return longer.crossJoin(short).select(F.lit(limit).alias("limit"), "docs_longer", (F.col("_t") + limit * F.col("docs_longer")).alias("kept_tokens"))
+    longer = F.coalesce(F.sum(F.when(F.col("n_tokens") > limit, F.col("n_docs"))), F.lit(0))
+    kept = F.coalesce(F.sum(F.least("n_tokens", F.lit(limit)) * F.col("n_docs")), F.lit(0))
+    return answers.agg(longer.alias("docs_longer"), kept.alias("kept_tokens")).select(F.lit(limit).alias("limit"), "docs_longer", "kept_tokens")

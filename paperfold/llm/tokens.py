@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from paperfold.llm.common import Powers, chunks, span_hashes
+from paperfold.llm.common import ENCODERS, Powers, chunks, span_hashes
 
 _OTHER, _LETTER, _NUMBER, _BLANK, _WHOLE = range(5)
-_LIMIT, _CACHED = 0x500, 400_000
+_LIMIT, _CACHED, _AT_ONCE = 0x500, 300_000, 500
 
 
 def _kinds() -> np.ndarray:
@@ -58,7 +58,11 @@ class Encoder:
         self.pool, self.sizes, self.starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        """Ids of texts, encoded whole, a few at a time: the tokenizer's own results are large."""
+        out: list[np.ndarray] = []
+        for k in range(0, len(texts), _AT_ONCE):
+            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[k : k + _AT_ONCE], add_special_tokens=False)]
+        return out
 
     def _learn(self, hashes: list[int], pieces: list[str]) -> None:
         ids = self.whole(pieces)
@@ -135,7 +139,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The Encoder of this process: functions travel by value, so a global of this module would be new for each task."""
-    kept = sys.__dict__.setdefault("_paperfold_encoders", {})
+    kept = sys.__dict__.setdefault(ENCODERS, {})
     if path not in kept:
         kept[path] = Encoder(path)
     return kept[path]
