@@ -154,7 +154,8 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     folder = folder or new_path(spark, "llm-warc")
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    sample = pages.select("page_id", F.substring("payload", 1, SAMPLE_CHARS).alias("p")).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)
+    picked = table(pages.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES), "dictionary-pages")
+    sample = pages.join(picked, "page_id", "left_semi").select(F.substring("payload", 1, SAMPLE_CHARS).alias("p")).limit(SAMPLE_PAGES)
     words = dictionary([bytes(r["p"]) for r in sample.collect() if r["p"]])
     named = pages.withColumn("digest", F.sha1("payload"))
     large = named.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
