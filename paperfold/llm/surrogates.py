@@ -2,7 +2,9 @@
 
 Entities are found by one pattern, and each is replaced with a made-up one of its type and form: letters by letters of the
 same case and script, digits by digits, an address by a valid address, a card by a number with a right check digit, a
-person by a name of the same gender and script after the same title.  A surrogate is drawn with a key from the entity's
+person by a name of the same gender and script after the same titles.  A person is found by a title (those below, as they are
+written there) and has any number of names, initials and particles after it; persons without a title are not searched.
+Initials, which many persons share, are replaced by other initials, which need not differ; particles stay.  A surrogate is drawn with a key from the entity's
 canonical form, so every mention of it gets the same one.  Drawn surrogates are checked over all entities: one that two
 entities share, or that is itself an entity of the data, is drawn again until none is left.
 """
@@ -18,6 +20,11 @@ from paperfold.llm.common import table
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Sra", "Señorita", "Госпожа")
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин")
 NEUTRAL_TITLES = ("Mx", "Dr", "Prof")
+# Words within a name that say nothing by themselves.
+PARTICLES = (
+    "de", "del", "della", "dell", "dello", "dei", "degli", "des", "di", "da", "das", "do", "dos", "du", "la", "las", "le", "les", "los", "van", "von", "vom", "vor", "der", "den", "dem",
+    "ter", "ten", "te", "tot", "zu", "zum", "zur", "auf", "af", "av", "bin", "bint", "ben", "ibn", "abu", "al", "el", "y", "e", "i", "und", "op", "'t", "’t", "фон", "ван", "де",
+)
 # Given names by gender and script, and syllables that surnames are made of.
 FEMALE_LATIN = ("Anna", "Clara", "Elena", "Emma", "Ida", "Julia", "Laura", "Lena", "Maria", "Marta", "Nora", "Olga", "Paula", "Rosa", "Sara", "Vera")
 MALE_LATIN = ("Adam", "Anton", "Bruno", "David", "Emil", "Felix", "Hugo", "Jonas", "Karl", "Leo", "Luca", "Martin", "Oscar", "Paul", "Simon", "Victor")
@@ -33,8 +40,15 @@ _ADDRESS = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
 _CARD = r"(?<![0-9A-Za-z])[3-6](?:[0-9]{12,15}|[0-9]{3}(?:[ -][0-9]{4}){3})(?![0-9A-Za-z])"
 _SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
-_NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
-_PERSON = rf"(?<!\p{{L}})(?:{'|'.join(FEMALE_TITLES + MALE_TITLES + NEUTRAL_TITLES)})\.? {_NAME}(?: {_NAME}){{0,2}}"
+_GAP = r"(?:[\t\p{Zs}]++(?:\r?\n[\t\p{Zs}]*+)?|\r?\n[\t\p{Zs}]*+)"  # blanks and at most one end of line
+_GAPS = r"[\s\p{Z}]+"
+_TITLES = rf"(?:(?:{'|'.join(FEMALE_TITLES + MALE_TITLES + NEUTRAL_TITLES)})(?:\.{_GAP}?|{_GAP}))+"
+_PARTICLE = rf"(?:{'|'.join(PARTICLES)})"
+_NAME = r"(?:\p{Ll}{1,3}['’-])?(?!I['’])\p{Lu}[\p{L}\p{M}'’-]*[\p{L}\p{M}]"
+# an I alone is an initial only before a name
+_INITIAL = rf"\p{{Lu}}\p{{M}}*\.(?:-?\p{{Lu}}\p{{M}}*\.)*+|(?:(?!I)\p{{Lu}}\p{{M}}*+|I(?={_GAP}\p{{Lu}}))(?![\p{{L}}])"
+_ONE = rf"(?:{_PARTICLE}{_GAP})*+(?:{_NAME}|{_INITIAL})"
+_PERSON = rf"(?<!\p{{L}}){_TITLES}{_ONE}(?:{_GAP}{_ONE})*+"  # possessive: long rows of names don't use up the stack
 ENTITY = "|".join((_EMAIL, _ADDRESS, _CARD, _SOCIAL, _PHONE, _PERSON))
 _QUICK = r"[0-9@]|" + "|".join(FEMALE_TITLES + MALE_TITLES + NEUTRAL_TITLES)  # any entity has one of these
 
@@ -62,24 +76,40 @@ def kind_of(e: Column) -> Column:
     )
 
 
-def _gender(title: Column) -> Column:
-    bare = F.regexp_replace(title, r"\.$", "")
-    return F.when(bare.isin(*FEMALE_TITLES), "f").when(bare.isin(*MALE_TITLES), "m").otherwise("n")
+def _gender(titles: Column) -> Column:
+    each = F.split(titles, r"[.\s\p{Z}]+")
+    return F.when(F.arrays_overlap(each, F.array(*map(F.lit, FEMALE_TITLES))), "f").when(F.arrays_overlap(each, F.array(*map(F.lit, MALE_TITLES))), "m").otherwise("n")
+
+
+def _titles(e: Column) -> Column:
+    """The titles of a person and the blank after them."""
+    return F.regexp_extract(e, f"^{_TITLES}", 0)
+
+
+def _names(e: Column) -> Column:
+    """Names, initials and particles of a person as they are written."""
+    return F.split(F.substr(e, F.length(_titles(e)) + 1, F.length(e)), _GAPS)
 
 
 def units(e: Column) -> Column:
     """What is drawn for an entity: an array of (kind, canonical form); a person has one for each name.
 
-    The last name of a person is the surname, whatever names stand before it, so mentions with and without a first name
-    agree.  Case and the signs between digits make no difference.
+    The last name of a person is the surname, whatever names and initials stand before it, so mentions with and without a
+    first name agree.  Case and the signs between digits make no difference.
     """
     kind = kind_of(e)
-    names = F.split(F.lower(e), " ")
-    given = F.concat(F.lit("given-"), _gender(F.split(e, " ")[0]))
-    person = F.transform(
-        F.slice(names, F.lit(2), F.greatest(F.size(names) - 1, F.lit(0))),
-        lambda n, i: F.struct(F.when(i == F.size(names) - 2, F.lit("surname")).otherwise(given).alias("kind"), n.alias("canon")),
+    sort = F.transform(
+        _names(e),
+        lambda n: F.struct(F.when(n.rlike(rf"^(?:{_INITIAL})$"), "initial").when(n.rlike(rf"^{_PARTICLE}$"), "particle").otherwise("name").alias("kind"), F.lower(n).alias("canon")),
+    )
+    once = F.struct(  # worked out once for all names
+        sort.alias("names"), F.array_max(F.transform(sort, lambda n, i: F.when(n["kind"] == "name", i))).alias("last"),
+        F.concat(F.lit("given-"), _gender(_titles(e))).alias("given"),
     )
+    person = F.get(F.transform(F.array(once), lambda o: F.transform(o["names"], lambda n, i: F.struct(
+        F.when(n["kind"] != "name", n["kind"]).when(i == o["last"], F.lit("surname")).otherwise(o["given"]).alias("kind"),
+        F.when(n["kind"] == "initial", F.regexp_replace(n["canon"], r"[^\p{L}]", "")).otherwise(n["canon"]).alias("canon"),
+    ))), F.lit(0))
     canon = F.when(kind.isin("email", "address"), F.lower(e)).otherwise(F.regexp_replace(e, "[^0-9]", ""))
     nothing = F.slice(person, 1, 0)
     return F.when(kind == "person", person).when(kind == "number", nothing).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"))))
@@ -118,6 +148,21 @@ def _in_form(form: Column, digits: Column, key: str) -> Column:
     return F.array_join(F.transform(F.split(form, ""), replaced), "")
 
 
+def _initials(letters: Column, digits: Column) -> Column:
+    """Other letters of the same script, for letters in lower case."""
+
+    def drawn(c: Column, i: Column) -> Column:
+        n = _number(digits, i * 4, 4)
+
+        def other(alphabet: str) -> Column:
+            at = F.instr(F.lit(alphabet), c)
+            return F.substr(F.lit(alphabet), F.when(at > 0, F.pmod(at + F.pmod(n, F.lit(len(alphabet) - 1)), F.lit(len(alphabet)))).otherwise(F.pmod(n, F.lit(len(alphabet)))).cast("int") + 1, F.lit(1))
+
+        return F.when(c.rlike(r"^\p{IsCyrillic}"), other("абвгдежзиклмнопрстуфхцчшэюя")).otherwise(other("abcdefghijklmnopqrstuvwxyz"))
+
+    return F.array_join(F.transform(F.split(letters, ""), drawn), "")
+
+
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The canonical form of the surrogate of a unit."""
     h = _drawn(key, kind, canon, attempt)
@@ -139,36 +184,45 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     given = F.when(kind == "given-f", female).when(kind == "given-m", male).otherwise(neutral)
     digits = F.concat(F.substr(canon, F.lit(1), F.lit(1)), _in_form(F.substr(canon, F.lit(2), F.length(canon)), h, key))
     return (
-        F.when(kind == "email", email).when(kind == "address", address).when(kind == "card", card)
+        F.when(kind == "particle", canon).when(kind == "initial", _initials(canon, h))
+        .when(kind == "email", email).when(kind == "address", address).when(kind == "card", card)
         .when(kind == "surname", F.concat(surname, tail)).when(kind.startswith("given"), F.lower(F.concat(given, tail))).otherwise(digits)
     )
 
 
+def _filled(form: Column, new: Column, sort: str) -> Column:
+    """``form`` with the characters of ``new`` where those of a sort stood; other signs stay."""
+    each = F.split(new, "")
+    return F.aggregate(
+        F.split(form, ""), F.struct(F.lit("").alias("s"), F.lit(0).alias("k")),
+        lambda a, c: F.when(c.rlike(sort), F.struct(F.concat(a["s"], F.element_at(each, a["k"] + 1)).alias("s"), (a["k"] + 1).alias("k")))
+        .otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k"))),
+    )["s"]
+
+
 def _worded(e: Column, drawn: Column) -> Column:
     """The entity as it stands in the text, with the canonical forms ``drawn`` in the entity's own form."""
     kind = kind_of(e)
     first = F.get(drawn, F.lit(0))
-    digits = F.split(first, "")
-    # digits go where digits stood, signs stay
-    flat = F.aggregate(
-        F.split(e, ""), F.struct(F.lit("").alias("s"), F.lit(0).alias("k")),
-        lambda a, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(a["s"], F.element_at(digits, a["k"] + 1)).alias("s"), (a["k"] + 1).alias("k")))
-        .otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k"))),
-    )["s"]
+    flat = _filled(e, first, "[0-9]")
     upper = F.upper(e) == e
     email = F.when(upper & e.rlike("[A-Z]"), F.upper(first)).otherwise(first)
-    names = F.split(e, " ")
+    names = _names(e)
 
     def cased(new: Column, old: Column) -> Column:
-        return F.when((F.upper(old) == old) & (F.length(old) > 1), F.upper(new)).otherwise(F.initcap(new))
+        initial = F.upper(_filled(old, new, r"\p{L}"))
+        return F.when(old.rlike(rf"^(?:{_INITIAL})$"), initial).when(old.rlike(rf"^{_PARTICLE}$"), old).when((F.upper(old) == old) & (F.length(old) > 1), F.upper(new)).otherwise(F.initcap(new))
 
-    person = F.array_join(F.concat(F.slice(names, 1, 1), F.transform(drawn, lambda n, i: cased(n, F.element_at(names, i + 2)))), " ")
+    gaps = F.regexp_extract_all(F.substr(e, F.length(_titles(e)) + 1, F.length(e)), F.lit(_GAPS), F.lit(0))
+    written = F.zip_with(F.zip_with(drawn, names, cased), gaps, lambda n, g: F.concat(n, F.coalesce(g, F.lit(""))))
+    person = F.concat(_titles(e), F.array_join(written, ""))
     return F.when(kind == "number", e).when(kind == "email", email).when(kind == "address", first).when(kind == "person", person).otherwise(flat)
 
 
 def redrawn(docs: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of the units whose first draw clashed with another unit or its surrogate."""
     found = docs.select(F.explode(entities(F.col("text").cast("string"))).alias("e")).distinct().select(F.inline(units(F.col("e")))).distinct()
+    found = found.where(~F.col("kind").isin("initial", "particle"))  # these need not differ
     known = table(found, "units")
     state = known.withColumn("attempt", F.lit(0)).withColumn("s", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt")))
     while True:

@@ -39,6 +39,27 @@ def test_persons(spark):
     assert m[2] == m[5] == m[6].capitalize() and re.fullmatch("[А-Я][а-я]+", m[8]) and m[2] != m[4]
 
 
+def test_forms_of_names(spark):
+    """Any number of names, initials, particles and titles, with any blanks, and nothing of them left."""
+    out = replaced(spark, [
+        "Mr. Jean Luc Pierre Martin and Mr. Martin", "Mr. John Q. Public met Mr Public", "Dr. J. Smith, Dr. J.R.R. Smith", "Herr Dr. Ludwig van der Berg\u00a0Hoff; Mr.Smith",
+        "Mrs.  Anna\tMaria\nSmith", "Mr. Malcolm X told Mr. Smith I think", "Mr. " + "Abc " * 3000 + "end",
+    ])
+    m = re.fullmatch(r"Mr\. ([A-Z]\w+) ([A-Z]\w+) ([A-Z]\w+) ([A-Z]\w+) and Mr\. (\w+)", out[0])
+    assert m[4] == m[5] and not {"Jean", "Luc", "Pierre", "Martin"} & set(m.groups())
+    m = re.fullmatch(r"Mr\. (\w+) ([A-PR-Z])\. (\w+) met Mr (\w+)", out[1])
+    assert m[3] == m[4] != "Public" and m[1] != "John"
+    m = re.fullmatch(r"Dr\. ([A-IK-Z])\. (\w+), Dr\. [A-Z]\.[A-Z]\.[A-Z]\. (\w+)", out[2])
+    smith = m[2]
+    assert smith == m[3] != "Smith"
+    m = re.fullmatch("Herr Dr\\. (\\w+) van der (\\w+)\u00a0(\\w+); Mr\\.(\\w+)", out[3])
+    assert m[1] in surrogates.MALE_LATIN and m[2] != "Berg" and m[3] != "Hoff" and m[4] == smith
+    m = re.fullmatch(r"Mrs\.  (\w+)\t(\w+)\n(\w+)", out[4])
+    assert m[1] in surrogates.FEMALE_LATIN and m[2] != "Maria" and m[3] == smith
+    assert re.fullmatch(rf"Mr\. \w+ (?!X)[A-Z] told Mr\. {smith} I think", out[5])
+    assert "Abc" not in out[6] and out[6].endswith(" end") and len(out[6].split()) == 3002
+
+
 def test_distinct_after_clashes(spark, monkeypatch):
     """With a drawing that gives few values, clashing units are drawn again until all differ."""
     texts_ = [f"Mr. Name{chr(97 + k)}x Surname{chr(97 + k)}y" for k in range(26)] + ["Mr. Anton Karl"]
