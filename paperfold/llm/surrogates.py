@@ -6,7 +6,9 @@ person by a name of the same gender and script after the same titles.  A person
 written there) and has any number of names, initials and particles after it; persons without a title are not searched.
 Initials, which many persons share, are replaced by other initials, which need not differ; particles stay.  A surrogate is drawn with a key from the entity's
 canonical form, so every mention of it gets the same one.  Drawn surrogates are checked over all entities: one that two
-entities share, or that is itself an entity of the data, is drawn again until none is left.
+entities share, or that is itself an entity of the data, is drawn again until none is left.  From the ``WIDER``-th
+attempt on each one adds a letter to the local part of an email and a digit to a phone or social number, whose first digit
+is then free too, so there are always enough, however many of a form's values the data hold.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ MALE_CYRILLIC = ("Антон", "Борис", "Вадим", "Глеб", "Дени
 SYLLABLES_LATIN = ("ba", "be", "do", "fa", "ga", "he", "ka", "le", "mi", "no", "pe", "ra", "so", "ta", "ve", "wi")
 SYLLABLES_CYRILLIC = ("ба", "ве", "го", "да", "же", "за", "ка", "ле", "ми", "но", "пе", "ра", "со", "та", "фе", "хо")
 
+WIDER = 4  # attempts within an entity's own form
+
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _ADDRESS = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
@@ -169,7 +173,12 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     at = F.instr(canon, "@")
     top = F.regexp_extract(canon, r"\.[a-z0-9-]+$", 0)
     local, host = F.substr(canon, F.lit(1), at - 1), F.substr(canon, at + 1, F.length(canon) - at - F.length(top))
-    email = F.concat(_in_form(local, h, key), F.lit("@"), _in_form(host, F.sha2(h, 256), key), top)
+    wide = attempt - (WIDER - 1)
+
+    def added(values: tuple[str, ...]) -> Column:
+        return F.when(wide > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(wide, F.lit(1))), lambda i: _pick(values, _number(h, i * 5 + 2, 4))), "")).otherwise("")
+
+    email = F.concat(_in_form(local, h, key), added(tuple("abcdefghijklmnopqrstuvwxyz")), F.lit("@"), _in_form(host, F.sha2(h, 256), key), top)
     address = F.concat_ws(".", *[(_number(h, 8 * k, 8) % 254 + 1).cast("string") for k in range(4)])
     body = F.concat(F.substr(canon, F.lit(1), F.lit(1)), _in_form(F.substr(canon, F.lit(2), F.length(canon) - 2), h, key))
     card = F.concat(body, _check_digit(body))
@@ -182,7 +191,8 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     tail = F.when(attempt > 0, tail).otherwise("")
     surname = F.array_join(F.array(*[F.when(cyrillic, _pick(SYLLABLES_CYRILLIC, _number(h, 6 * k, 6))).otherwise(_pick(SYLLABLES_LATIN, _number(h, 6 * k, 6))) for k in range(4)]), "")
     given = F.when(kind == "given-f", female).when(kind == "given-m", male).otherwise(neutral)
-    digits = F.concat(F.substr(canon, F.lit(1), F.lit(1)), _in_form(F.substr(canon, F.lit(2), F.length(canon)), h, key))
+    first = F.when(wide > 0, _pick(tuple("123456789"), _number(h, 56, 8))).otherwise(F.substr(canon, F.lit(1), F.lit(1)))
+    digits = F.concat(first, _in_form(F.substr(canon, F.lit(2), F.length(canon)), h, key), added(tuple("0123456789")))
     return (
         F.when(kind == "particle", canon).when(kind == "initial", _initials(canon, h))
         .when(kind == "email", email).when(kind == "address", address).when(kind == "card", card)
@@ -204,7 +214,7 @@ def _worded(e: Column, drawn: Column) -> Column:
     """The entity as it stands in the text, with the canonical forms ``drawn`` in the entity's own form."""
     kind = kind_of(e)
     first = F.get(drawn, F.lit(0))
-    flat = _filled(e, first, "[0-9]")
+    flat = F.concat(_filled(e, first, "[0-9]"), F.substr(first, F.length(F.regexp_replace(e, "[^0-9]", "")) + 1, F.length(first)))
     upper = F.upper(e) == e
     email = F.when(upper & e.rlike("[A-Z]"), F.upper(first)).otherwise(first)
     names = _names(e)

@@ -70,6 +70,24 @@ def test_distinct_after_clashes(spark, monkeypatch):
     assert not {x.split()[1].lower() for x in out} & {x.split()[1].lower() for x in texts_}
 
 
+def test_crowded_forms(spark, monkeypatch):
+    """Forms with more than half of their values in the data still get surrogates that differ and are not in the data."""
+    write, n = surrogates.table, []
+
+    def counted(df, label):
+        n.append(label)
+        assert len(n) < 80, "drawn without end"
+        return write(df, label)
+
+    monkeypatch.setattr(surrogates, "table", counted)
+    mails = [f"{chr(97 + k // 26)}@{chr(97 + k % 26)}.de" for k in range(450)]
+    phones = [f"+1{k:04}" for k in range(6000)]
+    out = " ".join(replaced(spark, [" ".join(mails)] + [" ; ".join(phones[k : k + 100]) for k in range(0, 6000, 100)]))
+    for old, pattern in ((mails, r"[a-z]+@[a-z]\.de"), (phones, r"\+\d{5,}")):
+        new = re.findall(pattern, out)
+        assert len(new) == len(set(new)) == len(old) and not set(new) & set(old)
+
+
 def test_keys_differ(spark):
     assert replaced(spark, ["a@b.org"], "k") == replaced(spark, ["a@b.org"], "k") != replaced(spark, ["a@b.org"], "l")
 
