@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from paperfold.sources.shared import written
 
-SEG = "__seg"
+SEG, RANGE = "__seg", "__range"
 
 
 @dataclass(frozen=True)
@@ -56,9 +56,9 @@ def lead(value: Column, name: str) -> Calc:
     return Calc("lead", name, value)
 
 
-def total(name: str) -> Calc:
-    """Number of rows of the key."""
-    return Calc("total", name)
+def total(name: str, value: Column | None = None) -> Calc:
+    """Number of rows of the key, or the sum of a value over them."""
+    return Calc("total", name, value)
 
 
 def segmented(
@@ -100,7 +100,7 @@ def segmented(
             out = out.withColumn(loc, F.lead(F.struct(v.alias("v"))).over(local))
             aggs.append(F.min_by(F.struct(v.alias("v")), pos).alias(agg))
         elif c.kind == "total":
-            aggs.append(F.count(F.lit(1)).alias(agg))
+            aggs.append((F.count(F.lit(1)) if c.value is None else F.sum(v)).alias(agg))
         else:
             raise ValueError(f"unknown calculation {c.kind}")
 
@@ -152,12 +152,16 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], segment:
     return segmented(df, keys, order, segment, [row_number(name)])
 
 
-def numbered_all(df: DataFrame, order: Sequence[str], name: str = "rn") -> DataFrame:
-    """1-based position of each row in the whole table.
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], calcs: Sequence[Calc]) -> DataFrame:
+    """``segmented`` over range partitions of (key, order): for orders that no expression cuts into segments of many rows.
 
-    The segments are range partitions, so there are only as many as tasks.  The
-    partitioned rows are written once: both passes must see the same ranges.
+    A range holds the rows of many keys or a stretch of one, so the summary has at most a row for each key and one for
+    each task, whatever the data.  The partitioned rows are written once: both passes must see the same ranges.
     """
-    ranged = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
-    ranged = written(ranged, "ranged")
-    return segmented(ranged, [], order, [F.col("__range")], [row_number(name)]).drop("__range")
+    placed = written(df.repartitionByRange(*keys, *order).withColumn(RANGE, F.spark_partition_id()), "ranged")
+    return segmented(placed, keys, order, [F.col(RANGE)], calcs).drop(RANGE)
+
+
+def numbered_all(df: DataFrame, order: Sequence[str], name: str = "rn") -> DataFrame:
+    """1-based position of each row in the whole table."""
+    return ranged(df, [], order, [row_number(name)])

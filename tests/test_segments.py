@@ -32,11 +32,30 @@ def test_segmented_equals_window(spark):
             F.coalesce(F.sum("w").over(before), F.lit(0)).alias("s"), F.max("v").over(before).alias("m"),
             F.last("v", ignorenulls=True).over(upto).alias("c"), F.lead("v").over(w).alias("l"),
             F.count("*").over(Window.partitionBy("k")).alias("t"))
-        seg = sg.segmented(df.repartition(5), ["k"], ["pos"], [F.floor(F.col("pos") / 64)], [
-            sg.row_number("rn"), sg.prefix_sum(F.col("w"), "s"), sg.prefix_max(F.col("v"), "m"),
-            sg.carry(F.col("v"), "c"), sg.lead(F.col("v"), "l"), sg.total("t")])
-        assert sorted(map(tuple, plain.collect()), key=str) == sorted(
-            map(tuple, seg.select("k", "pos", "rn", "s", "m", "c", "l", "t").collect()), key=str)
+        calcs = [sg.row_number("rn"), sg.prefix_sum(F.col("w"), "s"), sg.prefix_max(F.col("v"), "m"),
+                 sg.carry(F.col("v"), "c"), sg.lead(F.col("v"), "l"), sg.total("t"), sg.total("u", F.col("w"))]
+        plain = plain.join(df.groupBy("k").agg(F.sum("w").alias("u")).withColumnRenamed("k", "k2"), F.expr("k <=> k2")).drop("k2")
+        want = sorted(map(tuple, plain.collect()), key=str)
+        cut = sg.segmented(df.repartition(5), ["k"], ["pos"], [F.floor(F.col("pos") / 64)], calcs)
+        for seg in (cut, sg.ranged(df.repartition(5), ["k"], ["pos"], calcs)):
+            assert want == sorted(map(tuple, seg.select("k", "pos", "rn", "s", "m", "c", "l", "t", "u").collect()), key=str)
+
+
+def test_a_hot_key_has_a_summary_row_for_each_range(spark):
+    rows = spark.range(1_000_000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("k"), "id")
+    rows = rows.where("k < 3000")  # one key holds two thirds of a million rows, a thousand others one each
+    before = set(sg_tables(spark))
+    out = sg.ranged(rows, ["k"], ["id"], [sg.row_number("rn")])
+    assert out.where("k = -1").agg(F.max("rn")).first()[0] == rows.where("k = -1").count()
+    (path,) = set(sg_tables(spark)) - before
+    summary = spark.read.parquet(path).groupBy("k", sg.RANGE).count()
+    assert summary.count() <= rows.select("k").distinct().count() + int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sg_tables(spark):
+    from paperfold.sources import shared
+
+    return list(shared._made)
 
 
 def test_numbering_without_key(spark):
