@@ -70,7 +70,7 @@ def op5_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def op10_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    return token_counts.for_every_limit(token_counts.histogram(token_counts.lengths(documents(spark, folder))))
+    return token_counts.for_every_limit(token_counts.counted(documents(spark, folder)))
 
 
 @register

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperfold.llm.common import map_texts
+from paperfold.llm.common import map_texts, table
 from paperfold.llm.tokens import default_path, encoder
 
 _BAND = 1024
 
 
 def lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens) of every row; a null text has none."""
+    """(doc_id, n_tokens) of every row; a null text has none.  Repeated rows count as often as they come."""
     path = tokenizer or default_path()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -30,6 +30,11 @@ def histogram(counted: DataFrame) -> DataFrame:
     return counted.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
 
 
+def counted(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """The histogram of ``docs``, written once: it has a row for each length, and texts are encoded a single time."""
+    return table(histogram(lengths(docs, tokenizer)), "lengths")
+
+
 def for_every_limit(hist: DataFrame) -> DataFrame:
     """One row for each length that occurs, taken as a context limit.
 
