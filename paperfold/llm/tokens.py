@@ -9,6 +9,7 @@ beyond U+04FF, and all texts of other kinds of tokenizers, go to the tokenizer w
 from __future__ import annotations
 
 import json
+import os
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import pyarrow as pa
 from paperfold.llm.common import ENCODERS, Powers, chunks, span_hashes
 
 _OTHER, _LETTER, _NUMBER, _BLANK, _WHOLE = range(5)
-_LIMIT, _CACHED, _AT_ONCE = 0x500, 300_000, 500
+_LIMIT, _CACHED, _AT_ONCE, _JOINED = 0x500, 1 << 20, 500, 4000
 
 
 def _kinds() -> np.ndarray:
@@ -36,12 +37,61 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
+class Pieces:
+    """Ids of known pieces by their hash, in arrays.  Beyond _CACHED pieces, the half not seen for longest is dropped."""
+
+    def __init__(self) -> None:
+        self.hashes, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted by hash
+        self.sizes, self.starts, self.seen = (np.zeros(0, np.int32) for _ in range(3))
+        self.pool, self.clock = np.zeros(0, np.uint32), 0
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes (sorted, distinct) are known, and the entries of those."""
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        entry = self.entry[at[known]]
+        self.clock += 1
+        self.seen[entry] = self.clock
+        return known, entry
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New pieces (hashes sorted, distinct, unknown) with their ids in a row."""
+        if len(self.hashes) + len(hashes) > _CACHED:
+            self._drop()
+        at = np.searchsorted(self.hashes, hashes)
+        entry = np.arange(len(self.sizes), len(self.sizes) + len(hashes), dtype=np.int32)
+        self.hashes, self.entry = np.insert(self.hashes, at, hashes), np.insert(self.entry, at, entry)
+        self.starts = np.append(self.starts, (len(self.pool) + np.cumsum(sizes) - sizes).astype(np.int32))
+        self.sizes = np.append(self.sizes, sizes.astype(np.int32))
+        self.seen = np.append(self.seen, np.full(len(hashes), self.clock, np.int32))
+        self.pool = np.append(self.pool, ids.astype(np.uint32))
+
+    def _drop(self) -> None:
+        """Keep what was seen after the median time, and whatever the text at hand has shown."""
+        keep = (self.seen > np.median(self.seen)) | (self.seen == self.clock) if len(self.seen) else np.zeros(0, bool)
+        self.pool = self.pool[np.repeat(keep, self.sizes)]
+        moved = np.cumsum(keep, dtype=np.int32) - 1
+        stays = keep[self.entry]
+        self.hashes, self.entry = self.hashes[stays], moved[self.entry[stays]]
+        self.sizes, self.seen = self.sizes[keep], self.seen[keep]
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+
+    def ids(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the entries in a row, and how many each has."""
+        sizes = self.sizes[entry].astype(np.int64)
+        done = np.cumsum(sizes)
+        return self.pool[np.repeat(self.starts[entry] - (done - sizes), sizes) + np.arange(done[-1] if len(done) else 0)], sizes
+
+
 class Encoder:
     """Encodes columns of texts."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a process for each core
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         cut = spec.get("pre_tokenizer") or {}
@@ -50,12 +100,8 @@ class Encoder:
             and not cut.get("add_prefix_space") and cut.get("use_regex", True)
         )
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.kinds, self.powers = _kinds(), Powers()
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pool, self.sizes, self.starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.kinds, self.powers, self.pieces = _kinds(), Powers(), Pieces()
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts, encoded whole, a few at a time: the tokenizer's own results are large."""
@@ -64,13 +110,21 @@ class Encoder:
             out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[k : k + _AT_ONCE], add_special_tokens=False)]
         return out
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
-        ids = self.whole(pieces)
-        sizes = np.array([len(x) for x in ids], np.int64)
-        starts = len(self.pool) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.known.update(zip(hashes, range(len(self.sizes), len(self.sizes) + len(hashes)), strict=True))
-        self.pool = np.concatenate([self.pool, *ids])
-        self.sizes, self.starts = np.concatenate([self.sizes, sizes]), np.concatenate([self.starts, starts])
+    def _learn(self, hashes: np.ndarray, pieces: list[str], joins: np.ndarray) -> None:
+        """Encode unknown pieces.  Those that may stand between line ends (``joins``) go as one text, cut at the line ends."""
+        if len(self.line) != 1:
+            joins = np.zeros(len(pieces), bool)
+        alone, others = np.flatnonzero(~joins).tolist(), np.flatnonzero(joins).tolist()
+        for k in range(0, len(others), _JOINED):
+            some = others[k : k + _JOINED]
+            ids = np.array([*self.tokenizer.encode("\n".join([pieces[i] for i in some]), add_special_tokens=False).ids, *self.line], np.uint32)
+            cut = ids == self.line[0]
+            sizes = np.diff(np.flatnonzero(cut), prepend=-1) - 1
+            assert len(sizes) == len(some)
+            self.pieces.add(hashes[some], ids[~cut], sizes)
+        if alone:
+            parts = self.whole([pieces[i] for i in alone])
+            self.pieces.add(hashes[alone], np.concatenate(parts), np.array([len(x) for x in parts]))
 
     def _cut(self, units: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the pieces of all texts, and which texts have to be encoded whole."""
@@ -106,16 +160,16 @@ class Encoder:
             ends = np.append(starts[1:], len(units))
             hashes = span_hashes(units, starts, ends, self.powers)
             distinct, where, which = np.unique(hashes, return_index=True, return_inverse=True)
-            if len(self.known) > _CACHED:
-                self.forget()
-            names = distinct.tolist()
-            new = [i for i, h in enumerate(names) if h not in self.known]
-            if new:
-                self._learn([names[i] for i in new], [text[starts[where[i]] : ends[where[i]]] for i in new])
-            entry = np.fromiter((self.known[h] for h in names), np.int64, len(names))[which]
-            sizes = self.sizes[entry]
+            known, _ = self.pieces.find(distinct)
+            new = np.flatnonzero(~known)
+            if len(new):
+                body = starts[where[new]]
+                body += (units[body] == 32) & (ends[where[new]] - body > 1)
+                kinds = self.kinds[np.minimum(units[body], _LIMIT)]
+                self._learn(distinct[new], [text[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)], (kinds != _BLANK) & (kinds != _WHOLE))
+            _, entry = self.pieces.find(distinct)
+            ids, sizes = self.pieces.ids(entry[which])
             done = np.concatenate([[0], np.cumsum(sizes)])
-            ids = self.pool[np.repeat(self.starts[entry] - done[:-1], sizes) + np.arange(done[-1])]
             rows = done[np.searchsorted(starts, at)]
             odd_rows = set((np.searchsorted(at, np.flatnonzero(odd), "right") - 1).tolist())
             for mark in self.special:

@@ -25,6 +25,14 @@ def test_ids_are_the_tokenizers(folder):
     assert got == plain(rows)
 
 
+def test_forgotten_pieces_are_learned_again(folder, monkeypatch):
+    monkeypatch.setattr("paperfold.llm.tokens._CACHED", 3000)
+    rows = ODD_TEXTS + [t for _, t in texts(folder)] * 2
+    coder = Encoder(default_path())
+    got = [ids[a:b].tolist() for k in range(0, len(rows), 7) for _, _, ids, at in coder.columns(pa.array(rows[k : k + 7])) for a, b in zip(at, at[1:], strict=False)]
+    assert got == plain(rows) and len(coder.pieces.hashes) < 20_000
+
+
 def check(rows, out, capacity):
     """All ids are there once, in place, and sequences are filled without gaps."""
     want = Counter()
@@ -98,6 +106,11 @@ def test_histogram_answers_every_limit(spark, folder):
     assert one.kept_tokens == sum(min(x, 777) for x in lengths)
 
 
+def test_histogram_encodes_once(spark, folder):
+    plan = QUERIES["op10_length_histogram"](spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+
+
 def test_histogram_of_odd_rows(spark):
     hist = {r.n_tokens: r.n_docs for r in token_counts.histogram(token_counts.lengths(table(spark, ODD))).collect()}
     assert hist == dict(Counter(len(x) for x in plain([t for _, t in ODD])))
