@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from paperfold.sources.shared import tune, written
+from paperfold.sources.shared import new_path, tune, written
 
 CHUNK_BYTES = 1 << 18  # texts are worked through in groups of about this size (a longer text is a group of its own)
 ENCODERS = "_paperfold_encoders"  # attribute of the sys module under which a Python process keeps its encoders
@@ -36,6 +37,19 @@ def table(df: DataFrame, label: str) -> DataFrame:
     return written(df, f"llm-{label}")
 
 
+def shared_uri(spark: SparkSession, label: str) -> str:
+    """A fresh path below the shared folder with the scheme that Spark's file systems give it, for tasks that write files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(new_path(spark, label))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def store(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path and the path in it; only ``file:`` and a bare path are this machine's."""
+    if uri.startswith(("/", "file:")):
+        return pa.fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return pa.fs.FileSystem.from_uri(uri)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly (a finaliser of multiply and shift steps)."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

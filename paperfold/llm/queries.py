@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperfold.llm import fingerprints, leaks, neardup, packing, quality, secret_scan, slots, surrogates, token_counts, warc
+from paperfold.llm import fingerprints, leaks, merkle, neardup, packing, quality, records, secret_scan, slots, surrogates, token_counts, warc
 from paperfold.llm.common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,73 @@ def op8_prefix_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op6_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return surrogates.replaced(documents(spark, folder).select("doc_id", "text"), key="corpus")
+
+
+@register
+def op11_binary_records(spark: SparkSession, folder: str) -> DataFrame:
+    return records.read(records.write(documents(spark, folder))).drop("position")
+
+
+@register
+def op12_butterfly_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    own = merkle.leaf_of(*[F.col(c) for c in merkle.FIELDS])
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = merkle.leaf_of(*[lowered if c == "text" else F.col(c) for c in merkle.FIELDS])
+    now = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, tampered)
+    found = merkle.manifest(docs.select("lang", "doc_id", own.alias("leaf"), now.alias("now")), carry=["now"])
+    found = found.withColumn("folded_root", merkle.fold(F.col("path"), F.coalesce("now", "leaf")))
+    proof = merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+# crc(id, v): unsigned CRC-32 of the decimal digits of the ids of a table ids(id), in common table expressions
+_CRC = """
+crc_bits(b, k, v) AS (SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc_bits WHERE k < 8
+), crc_bytes AS (SELECT b, v FROM crc_bits WHERE k = 8
+), crc_steps(id, k, v) AS (SELECT id, 0, 4294967295::BIGINT FROM ids WHERE id IS NOT NULL
+  UNION ALL SELECT s.id, s.k + 1, xor(s.v >> 8, t.v) FROM crc_steps s
+    JOIN crc_bytes t ON t.b = xor(s.v, ascii(substr(s.id::VARCHAR, s.k + 1, 1))) & 255 WHERE s.k < length(s.id::VARCHAR)
+), crc AS (SELECT id, xor(v, 4294967295::BIGINT) AS v FROM crc_steps WHERE k = length(id::VARCHAR)
+)"""
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({f}))::VARCHAR || ':' || {f}, '-')" for f in fields) + ")"
+
+
+SQL["op12_butterfly_manifest"] = f"""
+WITH RECURSIVE ids AS (SELECT DISTINCT doc_id AS id FROM documents
+), {_CRC}, leaves AS (
+  SELECT doc_id, lang, {_leaf_sql("text")} AS leaf,
+    CASE WHEN c.v % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS now
+  FROM documents LEFT JOIN crc c ON c.id = doc_id
+), trees AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM documents)
+), placed AS (
+  SELECT l.*, t.tree, row_number() OVER (ORDER BY t.tree, doc_id NULLS FIRST, leaf) AS rid,
+    row_number() OVER (PARTITION BY t.tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY t.tree) AS n
+  FROM leaves l JOIN trees t ON l.lang IS NOT DISTINCT FROM t.lang
+), nodes(tree, level, pos, digest, n) AS (SELECT tree, 0, pos, leaf, n FROM placed
+  UNION ALL SELECT tree, level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 7) // 8
+  FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 8
+), roots AS (SELECT tree, digest, max(level) OVER () AS most, count(*) OVER () AS n FROM nodes WHERE n = 1
+), above(level, pos, digest, n) AS (SELECT 0, tree, digest, n FROM roots
+  UNION ALL SELECT level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 7) // 8
+  FROM above WHERE n > 1 GROUP BY level, pos // 8
+), steps AS (
+  SELECT p.rid, s.level, s.pos, p.pos // CAST(pow(8, s.level) AS BIGINT) AS own, s.digest FROM placed p
+    JOIN nodes s ON s.tree = p.tree AND s.n > 1 AND s.pos // 8 = p.pos // CAST(pow(8, s.level + 1) AS BIGINT)
+  UNION ALL SELECT p.rid, 100 + s.level, s.pos, p.tree // CAST(pow(8, s.level) AS BIGINT), s.digest FROM placed p
+    JOIN above s ON s.n > 1 AND s.pos // 8 = p.tree // CAST(pow(8, s.level + 1) AS BIGINT)
+), parts AS (
+  SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY level) AS k, coalesce(string_agg(digest, '' ORDER BY pos) FILTER (pos < own), '') AS a,
+    coalesce(string_agg(digest, '' ORDER BY pos) FILTER (pos > own), '') AS b FROM steps GROUP BY rid, level
+), proofs AS (SELECT rid, max(k) AS steps, sha256(string_agg(a || b, '' ORDER BY k)) AS proof FROM parts GROUP BY rid
+), folded(rid, k, digest) AS (SELECT rid, 0, coalesce(now, leaf) FROM placed
+  UNION ALL SELECT f.rid, f.k + 1, sha256(s.a || f.digest || s.b) FROM folded f JOIN parts s ON s.rid = f.rid AND s.k = f.k + 1
+)
+SELECT p.doc_id, p.leaf, r.digest AS subroot, t.digest AS root, coalesce(q.proof, sha256('')) AS proof_sha256, f.digest AS folded_root, f.digest = t.digest AS verified
+FROM placed p JOIN roots r ON r.tree = p.tree JOIN above t ON t.n = 1 LEFT JOIN proofs q ON q.rid = p.rid JOIN folded f ON f.rid = p.rid AND f.k = coalesce(q.steps, 0)
+"""
