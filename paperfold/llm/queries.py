@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperfold.llm import fingerprints, leaks, merkle, neardup, packing, quality, records, secret_scan, slots, surrogates, token_counts, warc
+from paperfold.llm import fingerprints, leaks, merkle, neardup, packing, quality, records, secret_scan, slots, surrogates, token_counts, trie, warc
 from paperfold.llm.common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,45 @@ WITH RECURSIVE ids AS (SELECT DISTINCT doc_id AS id FROM documents
 SELECT p.doc_id, p.leaf, r.digest AS subroot, t.digest AS root, coalesce(q.proof, sha256('')) AS proof_sha256, f.digest AS folded_root, f.digest = t.digest AS verified
 FROM placed p JOIN roots r ON r.tree = p.tree JOIN above t ON t.n = 1 LEFT JOIN proofs q ON q.rid = p.rid JOIN folded f ON f.rid = p.rid AND f.k = coalesce(q.steps, 0)
 """
+
+
+@register
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = trie.turns_of(spark.read.parquet(f"{folder}/conversations.parquet"))
+    base, kept = F.col("conv_id") - F.col("conv_id") % 100, F.crc32(F.col("conv_id").cast("string")) % 6
+    return trie.trie(*trie.forked(turns, base, kept, 6))
+
+
+SQL["op13_prefix_trie"] = f"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (SELECT DISTINCT conv_id AS id FROM said
+), {_CRC}, plans AS (SELECT id, id - id % 100 AS base, v % 6 AS h FROM crc
+), rebuilt AS (
+  SELECT p.id, 0 AS part, s.i, s.role, s.text FROM plans p JOIN said s ON s.conv_id = p.base AND s.i < p.h
+  UNION ALL SELECT p.id, 1, s.i, s.role, s.text FROM plans p JOIN said s ON s.conv_id = p.id AND s.i >= p.h
+), turns AS (
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY part, i) AS d, count(*) OVER (PARTITION BY id) AS n, length(text) AS chars,
+    sha256(octet_length(encode(role))::VARCHAR || ':' || role || text) AS mark FROM rebuilt
+), paths(id, d, n, chars, above, path) AS (
+  SELECT id, d, n, chars, '', mark FROM turns WHERE d = 1
+  UNION ALL SELECT p.id, t.d, t.n, t.chars, p.path, sha256(p.path || t.mark) FROM paths p JOIN turns t ON t.id = p.id AND t.d = p.d + 1
+), rows_ AS (
+  SELECT id, d, n, chars, above, path FROM paths
+  UNION ALL SELECT i.id, 0, coalesce((SELECT max(n) FROM turns t WHERE t.id = i.id), 0), 0, NULL, '' FROM ids i
+), nodes AS (
+  SELECT d, path, any_value(above) AS above, min(id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+    sha256(coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (d = n), '')) AS ends FROM rows_ GROUP BY d, path
+), children AS (SELECT d - 1 AS d, above AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), full_ AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.d = n.d AND c.path = n.path
+), below(d, path, leaf, saved, up_d, up_path) AS (
+  SELECT d, path, CAST(n_children = 0 AS BIGINT), saved, d, path FROM full_
+  UNION ALL SELECT b.d, b.path, b.leaf, b.saved, f.d - 1, f.above FROM below b JOIN full_ f ON f.d = b.up_d AND f.path = b.up_path WHERE f.d > 0
+), sums AS (SELECT up_d AS d, up_path AS path, sum(leaf) AS n_leaves, sum(saved) AS saved FROM below GROUP BY ALL
+)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM full_ f JOIN sums s ON s.d = f.d AND s.path = f.path LEFT JOIN nodes p ON p.d = f.d - 1 AND p.path = f.above
+"""
