@@ -89,7 +89,41 @@ def dictionary_match(t):
     return fuzzy.match_dictionary(match_values(t), match_entries(t), fuzzy=False)
 
 
-@query("c6_fuzzy_match")
+def lcs_sql(a, b):
+    """Longest common subsequence of two texts of up to 125 characters: a fold over b whose state is a row of bits, one for each character of a."""
+    bit = "CAST(1 AS HUGEINT) << CAST({} AS INTEGER)"
+    mask = f"list_sum(list_transform(string_split({a}, ''), lambda x, k: CASE WHEN x = c THEN {bit.format('k - 1')} ELSE CAST(0 AS HUGEINT) END))"
+    full = f"(({bit.format(f'length({a})')}) - 1)"
+    masks = f"list_transform(string_split({b}, ''), lambda c: CAST({mask} AS HUGEINT))"
+    row = f"list_reduce({masks}, lambda r, m: ((r + (r & m)) | (r - (r & m))) & {full}, {full})"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE length({a}) - bit_count({row}) END"
+
+
+def ratio_sql(a, b):
+    return f"CASE WHEN {a} = '' AND {b} = '' THEN 100 ELSE CAST(round_even(200::DOUBLE * ({lcs_sql(a, b)}) / (length({a}) + length({b})), 0) AS BIGINT) END"
+
+
+def token_set_sql(source, a, b):
+    """Common table expressions: token_sets has the columns of ``source`` and ``token_set``."""
+    def tokens(c):
+        return rf"list_sort(list_distinct(list_filter(string_split(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')))"
+
+    return f"""token_lists AS (SELECT *, {tokens(a)} AS ta, {tokens(b)} AS tb FROM {source}),
+token_rests AS (SELECT *, array_to_string(list_filter(ta, lambda w: NOT list_contains(tb, w)), ' ') AS x, array_to_string(list_filter(tb, lambda w: NOT list_contains(ta, w)), ' ') AS y,
+  array_to_string(list_filter(ta, lambda w: list_contains(tb, w)), ' ') AS s FROM token_lists),
+token_counts AS (SELECT *, length(x) AS lx, length(y) AS ly, length(s) AS ls, CASE WHEN s = '' THEN 0 ELSE 1 END AS gap, {lcs_sql("x", "y")} AS l FROM token_rests),
+token_sets AS (SELECT *, CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0 WHEN s <> '' AND (x = '' OR y = '') THEN 100 ELSE CAST(round_even(greatest(
+  100 - 100::DOUBLE * (lx + ly - 2 * l) / (2 * ls + 2 * gap + lx + ly),
+  CASE WHEN s <> '' THEN 100 - 100::DOUBLE * (1 + lx) / (2 * ls + 1 + lx) ELSE 0 END,
+  CASE WHEN s <> '' THEN 100 - 100::DOUBLE * (1 + ly) / (2 * ls + 1 + ly) ELSE 0 END), 0) AS BIGINT) END AS token_set FROM token_counts)"""
+
+
+@query("c6_fuzzy_match", sql=rf"""WITH {SQL_MATCH.partition("," + chr(10) + "best AS")[0]},
+pairs AS (SELECT *, lower(value) AS v FROM scored), {token_set_sql("pairs", "v", "name")},
+alike AS (SELECT value, category, code, name, entry_no,
+  COALESCE(score, greatest(token_set, {ratio_sql("v", "name")}, {ratio_sql("v", "code")}) / 100::DOUBLE) AS score FROM token_sets),
+best AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY score DESC, category, entry_no) AS rn FROM alike WHERE score >= 0.6)
+SELECT value, category, code, name, entry_no, score FROM best WHERE rn = 1""")
 def fuzzy_match(t):
     return fuzzy.match_dictionary(match_values(t), match_entries(t))
 
@@ -283,7 +317,14 @@ def locate_value(t):
     return fuzzy.locate_values(located_cells(t), page_words(t))
 
 
-@query("c17_locate_fuzzy")
+@query("c17_locate_fuzzy", sql=rf"""WITH {SQL_PAGE_WORDS},
+asked AS (SELECT doc_id, list_reduce(list_filter(regexp_split_to_array(trim(b.text), '\s+'), lambda w: w <> ''), lambda a, w: CASE WHEN length(w) > length(a) THEN w ELSE a END) AS value
+  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT COUNT(*) FROM benchmark)),
+pairs AS (SELECT DISTINCT value, word FROM asked JOIN pw USING (doc_id) WHERE word <> '' AND abs(length(value) - length(word)) <= 0.155 * (length(value) + length(word))),
+alike AS (SELECT * FROM (SELECT value, word, {ratio_sql("value", "word")} AS score FROM pairs) WHERE score >= 85),
+h AS (SELECT doc_id AS cell_id, doc_id, value, word, score, page_no, start, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page_no, start) AS rn
+  FROM asked JOIN alike USING (value) JOIN pw USING (doc_id, word))
+SELECT cell_id, doc_id, value, word, score, CAST(page_no AS INTEGER) AS page_no, start FROM h WHERE rn = 1""")
 def locate_fuzzy(t):
     items = t.benchmark.select("item_id", "text")
     docs = t.documents.select("doc_id", (F.col("doc_id") % t.benchmark.agg(F.count(F.lit(1))).scalar()).alias("item_id"))
@@ -399,7 +440,15 @@ def publish(t):
     return lookups.publish(models, t.nation.where(k % 2 == 0).select(k.alias("model_id")))
 
 
-@query("i13_similarity")
+SQL_STRETCHES = f"""stretches AS (SELECT p_partkey, short, substr(long, greatest(i, 0) + 1, least(i + length(short), length(long)) - greatest(i, 0)) AS part
+  FROM (SELECT *, unnest(range(1 - length(short), length(long))) AS i FROM (SELECT p_partkey,
+    CASE WHEN length(p_name) <= length(other) THEN p_name ELSE other END AS short, CASE WHEN length(p_name) <= length(other) THEN other ELSE p_name END AS long FROM pairs))),
+parts AS (SELECT p_partkey, CAST(round_even(max(200::DOUBLE * ({lcs_sql("short", "part")}) / (length(short) + length(part))), 0) AS BIGINT) AS partial FROM stretches GROUP BY 1)"""
+
+
+@query("i13_similarity", sql=f"""WITH pairs AS (SELECT a.p_partkey, a.p_name, b.p_name AS other FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+{token_set_sql("pairs", "p_name", "other")}, {SQL_STRETCHES}
+SELECT p_partkey, p_name, other, {ratio_sql("p_name", "other")} AS ratio, token_set, partial FROM token_sets JOIN parts USING (p_partkey)""")
 def similarity(t):
     nxt = t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
     pairs = t.part.select("p_partkey", "p_name").join(nxt, "p_partkey")
@@ -407,7 +456,8 @@ def similarity(t):
                               "partial": sim.partial_ratio_udf("p_name", "other")})
 
 
-@query("k6_scorer_on_distinct")
+@query("k6_scorer_on_distinct", sql=f"""
+SELECT a.p_partkey, a.p_brand, b.p_type AS other, {ratio_sql("a.p_brand", "b.p_type")} AS score FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
 def scorer_on_distinct(t):
     """The scorer sees each distinct pair once; the scores are joined back."""
     nxt = t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_type").alias("other"))

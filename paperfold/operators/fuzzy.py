@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperfold.functions.pieces import CODE_BITS, text_grams
-from paperfold.functions.similarity import normal, partial_ratio_from, ratio, ratio_float_udf, ratio_udf, token_set_ratio
+from paperfold.functions.similarity import lcs_of, normal, partial_ratio_from, ratio_float_udf, ratio_udf, token_set_ratios
 from paperfold.operators.filters import worth_matching
 from paperfold.plans.pick import head_per_key, pick_first
 from paperfold.sources.shared import written
@@ -27,6 +27,7 @@ ACCEPT_MATCH, ACCEPT_SEARCH, ACCEPT_WORD = 0.6, 0.5, 85
 
 ENTRIES_PER_BLOCK = 2048
 VALUES_PER_SLICE = 4096
+_AT_ONCE = 1 << 18  # pairs of a block that are looked at together
 _BAG = 64
 
 
@@ -35,67 +36,87 @@ def _key(c: Column) -> Column:
 
 
 def _bags(texts: list[str]) -> np.ndarray:
-    out = np.zeros((len(texts), _BAG), dtype=np.int32)
-    for i, text in enumerate(texts):
-        for ch in text:
-            out[i, ord(ch) % _BAG] += 1
-    return out
+    """How often each letter (by its number modulo _BAG) stands in each text."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % _BAG
+    cell = np.repeat(np.arange(len(texts)), sizes) * _BAG + flat
+    return np.bincount(cell, minlength=len(texts) * _BAG).reshape(-1, _BAG).astype(np.int32)
 
 
-def _block_scorer():
+class _Side:
+    """Texts of one kind of a block with what bounds their similarity to others."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts, self.bags = texts, _bags(texts)
+        self.sizes = self.bags.sum(axis=1)
+
+    def common(self, other: _Side, some: slice) -> np.ndarray:
+        """Letters that each of some own texts has in common with each other text: no common subsequence is longer."""
+        out = np.zeros((len(self.bags[some]), len(other.bags)), np.int32)
+        for letter in np.flatnonzero(self.bags[some].any(axis=0) & other.bags.any(axis=0)):
+            out += np.minimum(self.bags[some, letter, None], other.bags[None, :, letter])
+        return out
+
+
+def _tokens(text: str) -> str:
+    return " ".join(sorted(set(normal(text).split())))
+
+
+def _scores(values: _Side, entries: _Side, i: np.ndarray, j: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rounded ratio of pairs as a share, and ``within`` where one text contains the other (only then is it a common subsequence)."""
+    shorter = np.minimum(values.sizes[i], entries.sizes[j])
+    length = lcs_of(values.texts, entries.texts, i, j)
+    score = np.where(shorter > 0, np.rint(200.0 * length / np.maximum(values.sizes[i] + entries.sizes[j], 1)) / 100, 0.0)
+    inside = np.zeros(len(i))
+    for k in np.flatnonzero((length == shorter) & (shorter > 0)).tolist():
+        a, b = values.texts[i[k]], entries.texts[j[k]]
+        if a in b or b in a:
+            inside[k] = within
+    return score, inside
+
+
+def _best_of_block(values: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
     """Best entry of one dictionary block for each value of one slice.
 
-    Letter counts bound the common subsequence from above, so most pairs are
-    dismissed by array arithmetic before a text is compared.
+    Letter counts bound the common subsequence from above, so most pairs are dismissed by array arithmetic; the texts of
+    the rest are compared a batch at a time.
     """
-
-    def run(values: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        cols = ["value", "category", "code", "name", "entry_no", "score"]
-        if not len(values) or not len(entries):
-            return pd.DataFrame({c: [] for c in cols})
-        entries = entries.sort_values(["category", "entry_no"], kind="stable").reset_index(drop=True)
-        names, codes = entries["name_key"].tolist(), entries["code_key"].tolist()
-        name_len = np.array([len(n) for n in names])
-        code_len = np.array([len(c) for c in codes])
-        name_bag, code_bag = _bags(names), _bags(codes)
-        token_text = [" ".join(sorted(set(normal(n).split()))) for n in names]
-        token_bag, token_len = _bags(token_text), np.array([len(x) for x in token_text])
-        by_token = defaultdict(list)
-        for i, text in enumerate(token_text):
-            for tok in text.split():
-                by_token[tok].append(i)
-        rows = []
-        for value, v in zip(values["value"], values["value_key"]):
-            bag, n = _bags([v])[0], len(v)
-            common_name = np.minimum(name_bag, bag).sum(axis=1)
-            common_code = np.minimum(code_bag, bag).sum(axis=1)
-            keep = (common_name >= np.minimum(name_len, n)) | (common_code >= np.minimum(code_len, n))
-            least = ACCEPT_MATCH - 0.005
-            tokens = " ".join(sorted(set(normal(v).split())))
-            common_tok = np.minimum(token_bag, _bags([tokens])[0]).sum(axis=1)
-            keep |= 2 * common_name >= least * (name_len + n)
-            keep |= 2 * common_code >= least * (code_len + n)
-            keep |= 2 * common_tok >= least * (token_len + len(tokens))
-            for tok in tokens.split():
-                keep[by_token.get(tok, [])] = True
-            best, best_i = 0.0, -1
-            for i in np.flatnonzero(keep):
-                name, code = names[i], codes[i]
-                if name and (v in name or name in v):
-                    score = SCORE_IN_NAME
-                elif code and (v in code or code in v):
-                    score = SCORE_IN_CODE
-                else:
-                    score = max(token_set_ratio(v, name) if name else 0, ratio(v, name) if name else 0,
-                                ratio(v, code) if code else 0) / 100
-                if score > best:
-                    best, best_i = score, i
-            if best >= ACCEPT_MATCH:
-                e = entries.iloc[best_i]
-                rows.append((value, e["category"], e["code"], e["name"], e["entry_no"], best))
-        return pd.DataFrame(rows, columns=cols)
-
-    return run
+    columns = ["value", "category", "code", "name", "entry_no", "score"]
+    entries = entries.sort_values(["category", "entry_no"], kind="stable").reset_index(drop=True)
+    names, codes = _Side(entries["name_key"].tolist()), _Side(entries["code_key"].tolist())
+    keys = _Side(values["value_key"].tolist())
+    name_tokens, key_tokens = _Side([_tokens(x) for x in names.texts]), _Side([_tokens(x) for x in keys.texts])
+    by_token: dict[str, list[int]] = defaultdict(list)
+    for k, text in enumerate(name_tokens.texts):
+        for token in text.split():
+            by_token[token].append(k)
+    found, least = [], ACCEPT_MATCH - 0.005
+    step = max(1, _AT_ONCE // max(1, len(entries)))
+    for first in range(0, len(keys.texts), step):
+        some = slice(first, first + step)
+        keep = np.zeros((len(keys.texts[some]), len(entries)), bool)
+        for side, other in ((keys, names), (keys, codes), (key_tokens, name_tokens)):
+            common, a, b = side.common(other, some), side.sizes[some, None], other.sizes[None, :]
+            keep |= (2 * common >= least * (a + b)) | (common >= np.minimum(a, b))
+        for k, text in enumerate(key_tokens.texts[some]):
+            for token in text.split():
+                keep[k, by_token.get(token, [])] = True
+        i, j = np.nonzero(keep)
+        i += first
+        by_name, in_name = _scores(keys, names, i, j, SCORE_IN_NAME)
+        by_code, in_code = _scores(keys, codes, i, j, SCORE_IN_CODE)
+        named = names.sizes[j] > 0
+        by_words = np.zeros(len(i))
+        by_words[named] = token_set_ratios(keys.texts, names.texts, i[named], j[named]) / 100
+        score = np.where(in_name > 0, in_name, np.where(in_code > 0, in_code, np.maximum(by_words, np.maximum(by_name, by_code))))
+        order = np.lexsort((j, -score, i))
+        heads = order[np.unique(i[order], return_index=True)[1]]
+        found += [(i[k], j[k], score[k]) for k in heads.tolist() if score[k] >= ACCEPT_MATCH]
+    if not found:
+        return pd.DataFrame({c: [] for c in columns})
+    i, j, score = (np.array(x) for x in zip(*found, strict=True))
+    best = entries.iloc[j][["category", "code", "name", "entry_no"]].reset_index(drop=True)
+    return pd.DataFrame({"value": values["value"].to_numpy()[i], **best, "score": score})[columns]
 
 
 def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
@@ -165,7 +186,7 @@ def _similar_entries(misses: DataFrame, keyed: DataFrame) -> DataFrame:
     right = keyed.select("*", F.pmod(F.xxhash64("code", "name", "category"), F.lit(blocks)).cast("int").alias("block"),
                          F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
     scored = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(
-        _block_scorer(), "value string, category string, code string, name string, entry_no bigint, score double")
+        _best_of_block, "value string, category string, code string, name string, entry_no bigint, score double")
     return pick_first(scored, ["value"], [-F.col("score"), F.col("category"), F.col("entry_no")],
                       ["category", "code", "name", "entry_no", "score"])
 

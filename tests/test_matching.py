@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from paperfold.functions import similarity as sim
@@ -37,6 +38,30 @@ def test_ratios(a, b, ratio, token_set, partial):
     assert sim.partial_ratio(a, b) == partial
 
 
+def test_batches_equal_single_pairs(monkeypatch):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abc 한é") for _ in range(rnd.choice([0, 1, 5, 12, 63, 64, 65, 130, 200]))) for _ in range(45)]
+    others = texts[:10] + ["".join(rnd.choice("abcd 한ê") for _ in range(rnd.choice([0, 1, 5, 12, 64, 128]))) for _ in range(30)]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(len(others))]
+    rnd.shuffle(pairs)
+    i, j = (np.array(x) for x in zip(*pairs, strict=True))
+    for masks, at_once in ((1 << 21, 1 << 17), (40, 100)):
+        monkeypatch.setattr(sim, "MASKS", masks)
+        monkeypatch.setattr(sim, "PAIRS", at_once)
+        assert sim.lcs_of(texts, others, i, j).tolist() == [sim.lcs(texts[a], others[b]) for a, b in pairs]
+        assert sim.ratios(texts, others, i, j).tolist() == [sim.ratio(texts[a], others[b]) for a, b in pairs]
+        assert sim.token_set_ratios(texts, others, i, j).tolist() == [sim.token_set_ratio(texts[a], others[b]) for a, b in pairs]
+    none = np.zeros(0, np.int64)
+    assert len(sim.token_set_ratios([], [], none, none)) == 0
+
+
+def test_columns_with_nulls(spark):
+    rows = [("busan", "pusan"), (None, "x"), ("x", None), ("", ""), ("busan", "pusan"), ("port of busan", "busan")]
+    df = spark.createDataFrame(rows, "a string, b string").coalesce(1)
+    got = df.select(sim.ratio_udf("a", "b"), sim.token_set_ratio_udf("a", "b"), sim.partial_ratio_udf("a", "b"), sim.ratio_float_udf("a", "b")).collect()
+    assert [tuple(r) for r in got][:4] == [(80, 80, 89, 80.0), (None,) * 4, (None,) * 4, (100, 0, 100, 100.0)] and got[4] == got[0] and got[5][:3] == (56, 100, 100)
+
+
 def words(rnd, n):
     letters = "abcdeé한"
     return ["".join(rnd.choice(letters) for _ in range(rnd.choice([1, 2, 3, 4, 5, 7, 9, 12, 17]))) for _ in range(n)]
