@@ -339,7 +339,24 @@ def tagged_lines(t):
     return t.pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-@query("e23_line_packing")
+SQL_TAGGED = r"""page_lines AS (SELECT page_id AS doc_id, unnest(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+  '<ul>', chr(10) || '| Item ^C1A | Note ^CF |' || chr(10) || '|---|:---|' || chr(10), 'g'), '<li>', chr(10) || '| ', 'g'), '</li>', ' | x |', 'g'), '<p>', repeat(chr(10), 4), 'g'), chr(10))) AS line,
+  generate_subscripts(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+  '<ul>', chr(10) || '| Item ^C1A | Note ^CF |' || chr(10) || '|---|:---|' || chr(10), 'g'), '<li>', chr(10) || '| ', 'g'), '</li>', ' | x |', 'g'), '<p>', repeat(chr(10), 4), 'g'), chr(10)), 1) - 1 AS line_no FROM pages),
+looked AS (SELECT *, trim(line) AS t, lead(line) OVER w AS following, last_value(CASE WHEN trim(line) <> '' THEN line_no END IGNORE NULLS) OVER w AS solid FROM page_lines
+  WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+events AS (SELECT *, starts_with(t, '|') AND contains(coalesce(following, ''), '-') AND regexp_matches(trim(coalesce(following, '')), '^\|[\s\-:|]+\|$') AS opens,
+  (t <> '' AND NOT starts_with(t, '|')) OR (t = '' AND line_no - coalesce(solid, -1) >= 3) AS closes FROM looked),
+headed AS (SELECT *, last_value(CASE WHEN opens THEN regexp_replace(line, '\^C[0-9A-F]+', '', 'g') || chr(10) || following || chr(10) WHEN closes THEN '' END IGNORE NULLS)
+  OVER (PARTITION BY doc_id ORDER BY line_no) AS prefix FROM events),
+sized AS (SELECT doc_id, line_no, line, nullif(prefix, '') AS prefix, length(line) + 1 AS n, coalesce(length(prefix), 0) AS extra FROM headed)"""
+
+
+@query("e23_line_packing", sql=f"""WITH RECURSIVE {SQL_TAGGED},
+pack AS (SELECT doc_id, line_no, n AS used, 0 AS chunk, false AS opens FROM sized WHERE line_no = 0
+ UNION ALL SELECT s.doc_id, s.line_no, CASE WHEN p.used + s.n > 300 THEN s.extra + s.n ELSE p.used + s.n END, CASE WHEN p.used + s.n > 300 THEN p.chunk + 1 ELSE p.chunk END, p.used + s.n > 300
+ FROM pack p JOIN sized s ON s.doc_id = p.doc_id AND s.line_no = p.line_no + 1)
+SELECT s.doc_id, CAST(s.line_no AS INTEGER) AS line_no, s.line, CAST(p.chunk AS BIGINT) AS chunk_index, CASE WHEN p.opens THEN s.prefix END AS prefix FROM sized s JOIN pack p ON p.doc_id = s.doc_id AND p.line_no = s.line_no""")
 def line_packing(t):
     return ch.pack_lines(tagged_lines(t), 300)
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperfold.plans.segments import carry, lead, prefix_sum, segmented
+from paperfold.plans.segments import carry, lead, prefix_sum, ranged, row_number, segmented, total
 from paperfold.sources.shared import written
 
-PAGE_BLOCK = 1024
-BAND_CHUNKS = 64
-CHAIN_RUN = 512
+BLOCK = 4096  # pieces that are worked through together
 
 # Route thresholds in characters and pages.
 PAYLOAD_LIMIT, PAGE_LIMIT, CHUNKING_LIMIT = 40_000, 2, 100_000
@@ -26,89 +27,141 @@ def assign_chunks(pieces: DataFrame, doc: str, pos: str, size: str, limit: int,
     is not empty; an oversize piece stands alone.  ``overhead`` is what a chunk
     starting at a piece carries in front of it (not counted for the first).
 
-    Packing is sequential, but a document is not folded in one go.  Pieces are
-    cut into bands of bounded count and size.  A band only needs to know where
-    the chunk open at its beginning started; for each piece that can be the
-    first start inside the band, the band folds its own pieces to the start
-    left open at its end.  The chain of bands then carries one number per band,
-    and each band replays its fold once.  A document smaller than a band is a
-    single fold.
+    Where a chunk would start tells where the next one does: at the first piece
+    whose running sum goes beyond.  Documents of up to BLOCK pieces follow these
+    jumps inside one task; longer ones follow them by doubling, see ``_far_chunks``.
     """
     extra = F.col(overhead) if overhead else F.lit(0)
-    src = pieces.select(doc, pos, F.col(size).cast("bigint").alias("__size"), extra.cast("bigint").alias("__extra"))
-    src = segmented(src, [doc], [pos], [F.floor(F.col(pos) / PAGE_BLOCK)], [prefix_sum(F.col("__size"), "__sum")])
-    band = F.struct(F.floor(F.col(pos) / PAGE_BLOCK).alias("b"), F.floor(F.col("__sum") / (limit * BAND_CHUNKS)).alias("s"))
-    item = F.struct(F.col(pos).alias("pos"), F.col("__sum").alias("sum"), F.col("__size").alias("size"), F.col("__extra").alias("extra"))
-    # at most PAGE_BLOCK pieces per band
-    bands = src.groupBy(doc, band.alias("band")).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    firsts = bands.groupBy(doc).agg(F.min("band").alias("__fb"))
-    bands = bands.join(firsts, doc).withColumn("is_first", F.col("band") == F.col("__fb")).drop("__fb")
-
-    bands = written(bands, "bands")
-
-    # base: running sum at the chunk's start minus its overhead, so a piece fits while sum + size - base <= limit
-    def starts(base: Column, p: Column) -> Column:
-        return p["sum"] + p["size"] - base > limit
-
-    def advance(acc: Column, p: Column) -> Column:
-        new = starts(acc["base"], p)
-        return F.struct(F.when(new, p["sum"] - p["extra"]).otherwise(acc["base"]).alias("base"),
-                        (acc["n"] + F.when(new, 1).otherwise(0)).alias("n"))
-
-    def state(base: Column, n: int) -> Column:
-        return F.struct(base.alias("base"), F.lit(n).cast("bigint").alias("n"))
-
-    head = F.col("items")[0]
-    entry = F.when(F.col("is_first"), F.slice("items", 1, 1)).otherwise(
-        F.filter("items", lambda p: p["sum"] <= head["sum"] + limit))
-    exits = F.transform(entry, lambda e: F.struct(
-        (e["sum"] + e["size"]).alias("reach"),
-        F.aggregate("items", state(F.when(F.col("is_first"), e["sum"]).otherwise(e["sum"] - e["extra"]), 1),
-                    lambda acc, p: F.when(p["pos"] > e["pos"], advance(acc, p)).otherwise(acc)).alias("left")))
-    # one small row per band: the ways through it
-    chain = bands.select(doc, "band", exits.alias("exits")).groupBy(doc).agg(
-        F.sort_array(F.collect_list(F.struct("band", "exits"))).alias("chain"))
-
-    def through(acc: Column, x: Column) -> Column:
-        hit = F.filter(x["exits"], lambda e: acc["base"].isNull() | (e["reach"] - acc["base"] > limit))
-        left = hit[0]["left"]
-        return F.struct(
-            F.when(F.size(hit) > 0, left["base"]).otherwise(acc["base"]).alias("base"),
-            (acc["n"] + F.when(F.size(hit) > 0, left["n"]).otherwise(0)).alias("n"),
-            F.concat(acc["seen"], F.array(F.struct(x["band"].alias("band"), acc["base"].alias("base"), acc["n"].alias("n")))).alias("seen"))
-
-    band_type = bands.schema["band"].dataType.simpleString()
-    seen_type = f"array<struct<band:{band_type},base:bigint,n:bigint>>"
-
-    def walk(acc: Column, part: Column) -> Column:
-        # a fold over a run of bands, so that growing its result stays cheap
-        begin = F.struct(acc["base"].alias("base"), acc["n"].alias("n"), F.array().cast(seen_type).alias("seen"))
-        run = F.aggregate(part, begin, through)
-        return F.struct(run["base"].alias("base"), run["n"].alias("n"), F.concat(acc["seen"], F.array(run["seen"])).alias("seen"))
-
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("chain") - 1) / CHAIN_RUN).cast("int")),
-                       lambda i: F.slice("chain", i * CHAIN_RUN + 1, F.lit(CHAIN_RUN)))
-    begin = F.struct(F.lit(None).cast("bigint").alias("base"), F.lit(0).cast("bigint").alias("n"),
-                     F.array().cast(f"array<{seen_type}>").alias("seen"))
-    walked = F.flatten(F.aggregate(runs, begin, walk)["seen"])
-    opens = chain.select(doc, F.explode(walked).alias("o")).select(doc, "o.*")
-
-    # replay each band from the chunk that is open when it begins
-    def number(acc: Column, p: Column) -> Column:
-        new = acc["base"].isNull() | starts(acc["base"], p)
-        n = acc["n"] + F.when(new, 1).otherwise(0)
-        base = F.when(acc["base"].isNull(), p["sum"]).when(new, p["sum"] - p["extra"]).otherwise(acc["base"])
-        return F.struct(base.alias("base"), n.alias("n"), F.concat(
-            acc["out"], F.array(F.struct(p["pos"].alias("pos"), (n - 1).alias("chunk_index")))).alias("out"))
-
-    pos_type = pieces.schema[pos].dataType.simpleString()
-    nothing = F.array().cast(f"array<struct<pos:{pos_type},chunk_index:bigint>>")
-    replay = F.aggregate("items", F.struct(F.col("base").alias("base"), F.col("n").alias("n"), nothing.alias("out")), number)
-    index = bands.join(opens, [doc, "band"]).select(doc, F.explode(replay["out"]).alias("x")).select(
-        doc, F.col("x.pos").alias(pos), "x.chunk_index")
+    src = written(pieces.select(doc, pos, F.col(size).cast("bigint").alias("__size"), extra.cast("bigint").alias("__extra")), "sized-pieces")
+    long = written(src.groupBy(doc).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > BLOCK).select(doc), "long-documents")
+    near = src.join(long, doc, "left_anti").repartition(doc).sortWithinPartitions(doc, pos)
+    schema = f"`{doc}` {src.schema[doc].dataType.simpleString()}, `{pos}` {src.schema[pos].dataType.simpleString()}, chunk_index bigint"
+    index = near.mapInArrow(_near_chunks(limit), schema)
+    if not long.isEmpty():
+        index = index.unionByName(_far_chunks(src.join(long, doc, "left_semi"), doc, pos, limit))
     return pieces.join(index, [doc, pos])
 
 
+def _jumps(size: np.ndarray, extra: np.ndarray, ends: np.ndarray, limit: int) -> np.ndarray:
+    """For pieces in a row, those of a document up to its ``ends``: where the chunk after one that starts here starts."""
+    reach = np.cumsum(size)
+    beyond = np.searchsorted(reach, reach - size - extra + limit, "right")
+    return np.minimum(np.maximum(beyond, np.arange(len(size)) + 1), ends)
+
+
+def _near_chunks(limit: int):
+    """Chunk indexes of whole documents, for many of them at once; rows come sorted by document and position."""
+
+    def numbered(t: pa.Table) -> pa.RecordBatch:
+        size, extra = (t.column(c).to_numpy() for c in (2, 3))
+        codes = t.column(0).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        heads = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        counts = np.diff(np.append(heads, len(size)))
+        after = np.append(heads[1:], len(size))
+        extra = extra.copy()
+        extra[heads] = 0
+        jump = _jumps(size, extra, np.repeat(after, counts), limit)
+        starts = np.zeros(len(size), bool)
+        at = heads
+        while len(at):
+            starts[at] = True
+            on = jump[at]
+            stays = on < after
+            at, after = on[stays], after[stays]
+        index = np.cumsum(starts)
+        index -= np.repeat(index[heads], counts)
+        columns = [t.column(0).combine_chunks(), t.column(1).combine_chunks(), pa.array(index, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, [*t.column_names[:2], "chunk_index"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            last = batch.column(0)[batch.num_rows - 1]
+            t = pa.Table.from_batches(held)
+            # the last document may go on in the next batch
+            same = pc.equal(t.column(0), last) if last.is_valid else pc.is_null(t.column(0))
+            cut = t.num_rows - pc.sum(same).as_py()
+            if cut:
+                yield numbered(t.slice(0, cut))
+            held = t.slice(cut).to_batches()
+        if held:
+            yield numbered(pa.Table.from_batches(held))
+
+    return run
+
+
+def _left_block(t: pa.Table) -> pa.Table:
+    """For each piece of a block: where the jumps from it leave the block, and how many chunks start on the way."""
+    order = np.argsort(t.column("rn").to_numpy())
+    rn = t.column("rn").to_numpy()[order]
+    to = t.column("next").fill_null(-1).to_numpy()[order]
+    at = to - rn[0]
+    inside = (at > 0) & (at < len(rn))
+    hop, hops = np.where(inside, at, np.arange(len(rn))), inside.astype(np.int64)
+    while (hop[hop] != hop).any():
+        hops += hops[hop]
+        hop = hop[hop]
+    out = pa.array(to[hop], mask=to[hop] < 0)
+    return pa.table({"doc": t.column("doc").take(pa.array(order)), "rn": rn, "out": out, "hops": hops + 1})
+
+
+def _block_starts(t: pa.Table) -> pa.Table:
+    """The pieces of a block at which chunks start, from the piece by which the jumps enter it."""
+    order = np.argsort(t.column("rn").to_numpy())
+    rn = t.column("rn").to_numpy()[order]
+    to, n = (t.column(c).fill_null(-1).to_numpy()[order] for c in ("next", "n"))
+    entries = np.flatnonzero(n >= 0)
+    at, index, found = (int(entries[0]), int(n[entries[0]]), []) if len(entries) else (len(rn), 0, [])
+    while 0 <= at < len(rn):
+        found.append((at, index))
+        at, index = int(to[at] - rn[0]) if to[at] >= 0 else -1, index + 1
+    place = np.array([x[0] for x in found], np.int64)
+    return pa.table({"doc": t.column("doc").take(pa.array(order[place])), "rn": rn[place], "chunk_index": np.array([x[1] for x in found], np.int64)})
+
+
+def _far_chunks(src: DataFrame, doc: str, pos: str, limit: int) -> DataFrame:
+    """(doc, pos, chunk_index) of long documents.
+
+    An ordered search over running sums finds the jump of every piece.  Blocks of pieces resolve their own jumps; what
+    leaves them is a graph with few pieces, on which the first piece's way is marked by doubling, so a document of n
+    blocks takes log n equi joins.  No task holds a document.
+    """
+    kind = src.schema[doc].dataType.simpleString()
+    rows = ranged(src, [doc], [pos], [row_number("rn"), prefix_sum(F.col("__size"), "__sum"), total("__n")])
+    opens = F.col("__sum") - F.when(F.col("rn") == 1, 0).otherwise(F.col("__extra")) + limit
+    rows = written(rows.select(F.col(doc).alias("doc"), pos, "rn", "__n", (F.col("__sum") + F.col("__size")).alias("reach"), opens.alias("opens")), "running-sums")
+    # in falling order a start's threshold stands behind all pieces that go beyond it, the first of them last
+    none = F.lit(None).cast("bigint")
+    ends = rows.select("doc", "__n", (-F.col("reach")).alias("v"), F.lit(1).alias("k"), (-F.col("rn")).alias("o"), F.col("rn").alias("hit"))
+    asks = rows.select("doc", "__n", (-F.col("opens")).alias("v"), F.lit(0).alias("k"), (-F.col("rn")).alias("o"), none.alias("hit"))
+    found = ranged(ends.unionByName(asks), ["doc"], ["v", "k", "o"], [carry(F.col("hit"), "to")]).where("k = 0")
+    to = F.greatest(F.col("to"), 1 - F.col("o"))
+    jumps = found.select("doc", (-F.col("o")).alias("rn"), F.when(F.col("to").isNotNull() & (to <= F.col("__n")), to).alias("next"))
+    jumps = written(jumps, "jumps")
+
+    block = F.floor(F.col("rn") / BLOCK)
+    left = written(jumps.groupBy("doc", block).applyInArrow(_left_block, f"doc {kind}, rn bigint, out bigint, hops bigint"), "left-blocks")
+    first = F.col("rn") == 1
+    used = left.where("out is not null").select("doc", F.col("out").alias("rn")).unionByName(left.where(first).select("doc", "rn")).distinct()
+    ways = written(left.join(used, ["doc", "rn"], "left_semi"), "ways")
+    marked = ways.where(first).select("doc", "rn", F.lit(0).cast("bigint").alias("n"))
+    while not (on := ways.where("out is not null")).isEmpty():
+        further = marked.join(on, ["doc", "rn"]).select("doc", F.col("out").alias("rn"), (F.col("n") + F.col("hops")).alias("n"))
+        marked = written(marked.unionByName(further), "marked")
+        then = ways.select(F.col("doc").alias("d"), F.col("rn").alias("r"), F.col("out").alias("out2"), F.col("hops").alias("hops2"))
+        # ways that end here are not needed again: what they mark is marked
+        ways = written(on.join(then, (F.col("doc") == F.col("d")) & (F.col("out") == F.col("r"))).select(
+            "doc", "rn", F.col("out2").alias("out"), (F.col("hops") + F.col("hops2")).alias("hops")), "ways")
+    entered = jumps.join(marked, ["doc", "rn"], "left")
+    starts = entered.groupBy("doc", block).applyInArrow(_block_starts, f"doc {kind}, rn bigint, chunk_index bigint")
+    out = rows.select("doc", pos, "rn").join(written(starts, "chunk-starts"), ["doc", "rn"], "left")
+    out = ranged(out, ["doc"], ["rn"], [carry(F.col("chunk_index"), "__index")])
+    return out.select(F.col("doc").alias(doc), pos, F.col("__index").alias("chunk_index"))
+
+
 def chunk_table(assigned: DataFrame, doc: str, pos: str, size: str) -> DataFrame:
     """One row per chunk: first and last page, number of pages, size."""
     return assigned.groupBy(doc, "chunk_index").agg(

@@ -1,8 +1,12 @@
-"""Packing against a plain Python fold, with bands small enough to matter."""
+"""Packing against a plain Python fold, with blocks small enough to matter."""
 
 import random
 import re
 
+import pytest
+
+from pyspark.sql import functions as F
+
 from paperfold.operators import chunking as ch
 
 
@@ -16,10 +20,9 @@ def fold(sizes, limit):
     return out
 
 
-def test_packing_over_bands(spark, monkeypatch):
-    monkeypatch.setattr(ch, "PAGE_BLOCK", 8)
-    monkeypatch.setattr(ch, "BAND_CHUNKS", 2)
-    monkeypatch.setattr(ch, "CHAIN_RUN", 4)
+@pytest.mark.parametrize("block", [2, 8, 4096])
+def test_packing_over_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(ch, "BLOCK", block)
     rnd = random.Random(5)
     docs = {d: [rnd.choice([0, 0, 1, 3, 7, 20, 60, 150]) for _ in range(n)] for d, n in enumerate([1, 7, 8, 9, 40, 200, 333])}
     rows = [(d, i, s) for d, sizes in docs.items() for i, s in enumerate(sizes)]
@@ -31,6 +34,34 @@ def test_packing_over_bands(spark, monkeypatch):
         assert [got[d, i] for i in range(len(sizes))] == fold(sizes, 100), d
 
 
+def test_overheads_and_gaps(spark, monkeypatch):
+    """Positions with gaps, text ids, overheads beyond the limit, a whole document of nothing."""
+    rnd = random.Random(9)
+    docs = {f"d{n}": [(rnd.choice([0, 5, 30, 200]), rnd.choice([0, 0, 10, 90, 150])) for _ in range(n)] for n in (1, 5, 6, 30, 170)}
+    docs["zero"] = [(0, 0)] * 40
+    rows = [(d, 3 * i + 7, s, x) for d, pieces in docs.items() for i, (s, x) in enumerate(pieces)]
+    df = spark.createDataFrame(rows, "doc string, page bigint, size int, over int").repartition(3)
+    for block in (4, 4096):
+        monkeypatch.setattr(ch, "BLOCK", block)
+        got = {(r.doc, r.page): r.chunk_index for r in ch.assign_chunks(df, "doc", "page", "size", 100, "over").collect()}
+        for d, pieces in docs.items():
+            chunk, used, want = 0, pieces[0][0], [0]
+            for s, x in pieces[1:]:
+                chunk, used = (chunk + 1, x + s) if used + s > 100 else (chunk, used + s)
+                want.append(chunk)
+            assert [got[d, 3 * i + 7] for i in range(len(pieces))] == want, (d, block)
+
+
+def test_many_short_pages(spark):
+    """Chunks of far more pages than a block holds."""
+    df = spark.range(200_000).select((F.col("id") % 2).alias("doc"), F.col("id").alias("page"), (F.col("id") % 11).alias("size"))
+    chunks = ch.chunk_table(ch.assign_chunks(df, "doc", "page", "size", 320_000), "doc", "page", "size").orderBy("doc", "chunk_index").collect()
+    for doc in (0, 1):
+        sizes = [i % 11 for i in range(doc, 200_000, 2)]
+        index = fold(sizes, 320_000)
+        assert [(c.chunk_index, c.page_count) for c in chunks if c.doc == doc] == [(k, index.count(k)) for k in range(index[-1] + 1)]
+
+
 def test_chunks_respect_the_limit(spark):
     rows = [(1, i, 30 + i % 50) for i in range(300)]
     df = spark.createDataFrame(rows, "doc int, page int, size int")
@@ -69,8 +100,7 @@ def fold_lines(lines, limit):
 
 
 def test_line_packing(spark, monkeypatch):
-    monkeypatch.setattr(ch, "PAGE_BLOCK", 16)
-    monkeypatch.setattr(ch, "BAND_CHUNKS", 2)
+    monkeypatch.setattr(ch, "BLOCK", 16)
     rnd = random.Random(11)
     kinds = ["| a ^C1 | b ^CF |", "|---|:---|", "| 1 | 2 |", "| long cell text here | x |", "", "", "", "free text", "x" * 90]
     docs = {d: [rnd.choice(kinds) for _ in range(n)] for d, n in enumerate([3, 30, 150])}
