@@ -13,13 +13,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperfold.llm.common import table
-from paperfold.sources.shared import new_path
+from paperfold.llm.common import shared_uri, store, table
 
 SKIPPABLE = 0x184D2A5D  # fixed value: magic number of the frame that holds the dictionary
 ARCHIVE_BYTES = 32 << 20
@@ -90,11 +88,6 @@ def parsed(data: bytes) -> dict:
     }
 
 
-def _store(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system of a path of the shared folder, and the path in it."""
-    return (pa.fs.LocalFileSystem(), uri) if uri.startswith("/") else pa.fs.FileSystem.from_uri(uri)
-
-
 class Writer:
     """Writes records into archives of at most about ARCHIVE_BYTES, each complete in itself."""
 
@@ -108,7 +101,7 @@ class Writer:
             yield self.closed()
         if self.out is None:
             self.name = f"{self.folder}/{uuid.uuid4().hex}.warc.zst"
-            fs, path = _store(self.name)
+            fs, path = store(self.name)
             fs.create_dir(path.rpartition("/")[0], recursive=True)
             self.out, self.size, self.records = fs.open_output_stream(path), 0, 0
             self.out.write(struct.pack("<II", SKIPPABLE, len(self.words)) + self.words)
@@ -152,7 +145,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     out, a null page_id never is the one referred to while another is there.
     """
     spark = pages.sparkSession
-    folder = folder or new_path(spark, "llm-warc")
+    folder = folder or shared_uri(spark, "llm-warc")
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     picked = table(pages.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES), "dictionary-pages")
     sample = pages.join(picked, "page_id", "left_semi").select(F.substring("payload", 1, SAMPLE_CHARS).alias("p")).limit(SAMPLE_PAGES)
@@ -178,13 +171,16 @@ _FIELDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("p
 
 
 def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """The records of the archives named: page_id, payload_bytes, payload_digest, record_type, refers_to (and payload)."""
+    """The records of the archives named: page_id, payload_bytes, payload_digest, record_type, refers_to (and payload).
+
+    About a task for each archive; no archives give no rows.
+    """
     fields = _FIELDS.append(pa.field("payload", pa.binary())) if payloads else _FIELDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, expected in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fs, path = _store(name)
+                fs, path = store(name)
                 rows, seen = [], 0
                 with fs.open_input_stream(path) as stream:
                     for data in records_of(stream):
@@ -200,5 +196,6 @@ def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, fields)
 
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payloads
-    each = archives.select("archive", "records").repartition("archive")
+    # names are small, so left to itself Spark would merge them into one task
+    each = archives.select("archive", "records").repartition(max(1, archives.count()), "archive")
     return each.mapInArrow(run, schema)

@@ -60,10 +60,18 @@ def test_broken_archives():
 
 
 def test_many_archives(spark, monkeypatch):
-    writer = warc.Writer(warc.new_path(prepared(spark), "warc-test"), b"words")
+    writer = warc.Writer(warc.shared_uri(prepared(spark), "warc-test"), b"words")
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 400)
     done = [x for k in range(20) for x in writer.add(warc.record(k, "u", bytes([k]) * 50, hashlib.sha1(bytes([k]) * 50).hexdigest(), None))]
     done.append(writer.closed())
     assert len(done) > 3 and sum(n for _, n in done) == 20
     got = warc.read(spark.createDataFrame(done, "archive string, records bigint"))
     assert sorted(r.page_id for r in got.collect()) == list(range(20))
+
+
+def test_archives_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    archives = warc.write(frame(spark, [(k, None, f"{k}" * 700) for k in range(400)]))
+    out = warc.read(archives)
+    busy = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert archives.count() > 8 and sum(busy) == 400 and sum(x > 0 for x in busy) > 4
