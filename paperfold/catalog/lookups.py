@@ -9,7 +9,7 @@ from paperfold.catalog.scalars import SQL_WORDS
 from paperfold.functions import similarity as sim
 from paperfold.functions.pieces import split_with_offsets
 from paperfold.operators import fuzzy, lookups, sheets, spans
-from paperfold.plans.segments import numbered
+from paperfold.plans.segments import ranged_numbers
 
 
 @query("c1_lookup_default", sql=f"""WITH {SQL_LOGS}
@@ -363,7 +363,8 @@ SQL_GRID = f"""grid AS (SELECT 'Sheet' || CAST(l_suppkey % 3 AS VARCHAR) AS shee
 def grid(t, sheet=None):
     rows = t.lineitem.withColumn("sheet", F.concat(F.lit("Sheet"), (F.col("l_suppkey") % 3).cast("string")))
     rows = sheets.pick_sheet(rows, sheet)
-    rows = numbered(rows, ["sheet"], ["l_orderkey", *t.ROW_ORDER], [F.floor(F.col("l_orderkey") / 1000)], "local_row_id")
+    order = ["l_orderkey", *t.ROW_ORDER]
+    rows = ranged_numbers(rows.select("sheet", *order, "l_returnflag", "l_linestatus"), ["sheet"], order, "local_row_id")
     return rows.select("sheet", *LKEY, (F.col("local_row_id") - 1).alias("local_row_id"), F.col("l_partkey").cast("string").alias("A"),
                        F.when(F.col("l_returnflag") == "R", "nan").otherwise(F.col("l_returnflag")).alias("B"),
                        F.when(F.col("l_linestatus") == "O", " ").otherwise(F.col("l_linestatus")).alias("C"))

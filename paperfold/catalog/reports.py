@@ -7,7 +7,7 @@ from paperfold.catalog.registry import query
 from paperfold.functions.numbers import half_up
 from paperfold.operators import merge, report
 from paperfold.plans.pick import head_per_key, pick_first, pick_last
-from paperfold.plans.segments import carry, lead, prefix_sum, row_number, segmented, total
+from paperfold.plans.segments import carry, lead, prefix_sum, ranged, row_number, segmented, total
 
 ORD = "l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice"
 LKEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -108,7 +108,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber // 3 AS page
  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber // 3, {ORD}) AS BIGINT) AS pos FROM lineitem""")
 def row_append(t):
     rows = t.lineitem.withColumn("page", F.floor(F.col("l_linenumber") / 3).cast("int"))
-    out = merge.append_rows(rows, "l_orderkey", "page", t.ROW_ORDER, t.row_segment())
+    out = merge.append_rows(rows.select("l_orderkey", "page", *t.ROW_ORDER), "l_orderkey", "page", t.ROW_ORDER)
     return out.select(*LKEY, "page", "pos")
 
 
@@ -317,7 +317,8 @@ def running_offset(t):
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, last_value(CASE WHEN l_partkey % 3 = 0 THEN l_returnflag END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY {ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM lineitem""")
 def carry_forward(t):
     v = F.when(F.col("l_partkey") % 3 == 0, F.col("l_returnflag"))
-    return segmented(t.lineitem, ["l_orderkey"], t.ROW_ORDER, t.row_segment(), [carry(v, "carried")]).select(*LKEY, "carried")
+    rows = t.lineitem.select("l_orderkey", *t.ROW_ORDER, "l_returnflag")
+    return ranged(rows, ["l_orderkey"], t.ROW_ORDER, [carry(v, "carried")]).select(*LKEY, "carried")
 
 
 @query("f5_next_row", sql="""
@@ -339,8 +340,9 @@ def head_per_group(t):
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(row_number() OVER (PARTITION BY l_returnflag, l_suppkey ORDER BY l_orderkey, {ORD}) AS BIGINT) AS occurrence,
  CAST(COUNT(*) OVER (PARTITION BY l_returnflag, l_suppkey) AS BIGINT) AS occurrences FROM lineitem""")
 def occurrence_index(t):
-    out = segmented(t.lineitem, ["l_returnflag", "l_suppkey"], ["l_orderkey", *t.ROW_ORDER],
-                    [F.floor(F.col("l_orderkey") / 1000)], [row_number("occurrence"), total("occurrences")])
+    order = ["l_orderkey", *t.ROW_ORDER]
+    rows = t.lineitem.select("l_returnflag", *order)
+    out = ranged(rows, ["l_returnflag", "l_suppkey"], order, [row_number("occurrence"), total("occurrences")])
     return out.select(*LKEY, "occurrence", "occurrences")
 
 

@@ -12,7 +12,7 @@ from paperfold.operators import chunking as ch
 from paperfold.operators import expand, nested, record, sheets, spans
 from paperfold.operators import tables_text as tt
 from paperfold.plans.pick import pick_first
-from paperfold.plans.segments import numbered, numbered_all, prefix_sum, segmented
+from paperfold.plans.segments import numbered_all, prefix_sum, ranged, ranged_numbers, segmented
 from paperfold.sources.shared import written
 
 
@@ -112,7 +112,7 @@ cells AS (SELECT l_orderkey, row_no, CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS co
 
 
 def holed_cells(t):
-    rows = numbered(t.lineitem, ["l_orderkey"], t.ROW_ORDER, t.row_segment(), "rn")
+    rows = ranged_numbers(t.lineitem.select("l_orderkey", *t.ROW_ORDER, "l_returnflag", "l_linestatus"), ["l_orderkey"], t.ROW_ORDER)
     p = F.col("l_partkey")
     vals = F.array(F.when(p % 3 == 0, F.col("l_returnflag")), F.when(p % 9 > 0, F.col("l_linestatus")).otherwise(""),
                    F.col("l_suppkey").cast("string"), F.when(p % 2 == 0, "n"))
@@ -135,8 +135,8 @@ a AS (SELECT sheet, row_no, col_no, CASE WHEN row_no < 30 THEN last_value(value
 b AS (SELECT sheet, row_no, col_no, CASE WHEN row_no < 10 THEN last_value(value IGNORE NULLS) OVER (PARTITION BY sheet, col_no ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) ELSE value END AS value FROM a)
 SELECT sheet, CAST(row_no AS BIGINT) AS row_no, CAST(col_no AS INTEGER) AS col_no, value FROM b""")
 def header_fill(t):
-    rows = t.lineitem.withColumn("sheet", F.col("l_suppkey") % 5)
-    rows = numbered(rows, ["sheet"], ["l_orderkey", *t.ROW_ORDER], [F.floor(F.col("l_orderkey") / 1000)], "rn")
+    order = ["l_orderkey", *t.ROW_ORDER]
+    rows = ranged_numbers(t.lineitem.select((F.col("l_suppkey") % 5).alias("sheet"), *order, "l_returnflag", "l_linestatus"), ["sheet"], order)
     p = F.col("l_partkey")
     vals = F.array(F.when(p % 3 == 0, F.col("l_returnflag")), F.when(p % 2 == 0, F.col("l_linestatus")), F.when(p % 5 == 0, "z"))
     cells = rows.select("sheet", (F.col("rn") - 1).alias("row_no"), F.posexplode(vals).alias("col_no", "value"))
@@ -149,7 +149,7 @@ SELECT l_orderkey, n AS position, '| ' || CAST(l_partkey AS VARCHAR) || ' | ' ||
 UNION ALL SELECT DISTINCT l_orderkey, unnest([-1, 0]), unnest(['| l_partkey | l_returnflag |', '|---|---|']) FROM r""")
 def text_table(t):
     rows = t.lineitem.withColumns({"blank": F.lit(" "), "l_returnflag": F.concat("l_returnflag", F.lit("|"))})
-    return tt.text_lines(rows, ["l_orderkey"], list(t.ROW_ORDER), [F.floor(F.col("l_linenumber") / 100)], ["l_partkey", "blank", "l_returnflag"])
+    return tt.text_lines(rows, ["l_orderkey"], list(t.ROW_ORDER), ["l_partkey", "blank", "l_returnflag"])
 
 
 @query("e12_search_text", sql=r"""
@@ -267,8 +267,8 @@ def multi_file_offsets(t):
                               F.size(F.split("text", "\n")).alias("pages"))
     first = docs.groupBy("source").agg(F.min("doc_id").alias("first_id"))
     docs = docs.join(first, "source").withColumn("sep", F.when(F.col("doc_id") == F.col("first_id"), 0).otherwise(F.col("sep")))
-    out = segmented(docs, ["source"], ["doc_id"], [F.floor(F.col("doc_id") / 1000)],
-                    [prefix_sum(F.col("n") + F.col("sep"), "before"), prefix_sum(F.col("pages"), "pages_before")])
+    out = ranged(docs, ["source"], ["doc_id"], [
+        prefix_sum(F.col("n") + F.col("sep"), "before"), prefix_sum(F.col("pages"), "pages_before")])
     start = F.col("before") + F.col("sep")
     return out.select("source", "doc_id", start.alias("start"), (start + F.col("n")).alias("end"), (F.col("pages_before") + 1).alias("first_page"))
 
@@ -461,8 +461,8 @@ WITH r AS (SELECT l_suppkey % 7 AS sheet, l_orderkey, l_linenumber, l_partkey, l
 SELECT sheet, l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(rn AS BIGINT) AS row_no, rn <= k AS in_sample, CAST(greatest(n - k, 0) AS BIGINT) AS hidden_rows
 FROM r, (SELECT greatest(50, least(150, 500 // COUNT(DISTINCT sheet))) AS k FROM r)""")
 def payload_cut(t):
-    rows = t.lineitem.withColumn("sheet", F.col("l_suppkey") % 7)
-    out = tt.payload_cut(rows, "sheet", ["l_orderkey", *t.ROW_ORDER], [F.floor(F.col("l_orderkey") / 1000)])
+    order = ["l_orderkey", *t.ROW_ORDER]
+    out = tt.payload_cut(t.lineitem.select((F.col("l_suppkey") % 7).alias("sheet"), *order), "sheet", order)
     return out.select("sheet", *LKEY, "row_no", "in_sample", "hidden_rows")
 
 

@@ -7,7 +7,7 @@ from paperfold.catalog.filters import SQL_LOGS
 from paperfold.catalog.registry import query
 from paperfold.functions.boxes import box_text
 from paperfold.functions.files import column_letters
-from paperfold.plans.segments import numbered, numbered_all
+from paperfold.plans.segments import numbered_all
 from paperfold.sources import readers as rd
 from paperfold.sources import sinks as sk
 from paperfold.sources.shared import new_path
@@ -38,9 +38,9 @@ def multi_sheet_union(t):
     b = t.nation.select(F.lit(2).alias("sheet_no"), F.lit("nation").alias("sheet_name"), F.col("n_nationkey").alias("id"),
                         F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent"))
     rows = a.unionByName(b, allowMissingColumns=True)
-    block = F.floor(F.col("id") / 100_000)
-    rows = numbered(rows, ["sheet_no"], ["id"], [block], "local_row_id")
     rows = numbered_all(rows, ["sheet_no", "id"], "row_id")
+    firsts = rows.groupBy("sheet_no").agg(F.min("row_id").alias("first"))
+    rows = rows.join(firsts, "sheet_no").withColumn("local_row_id", F.col("row_id") - F.col("first") + 1)
     return rows.select("sheet_name", "id", "name", "parent", "local_row_id", "row_id")
 
 

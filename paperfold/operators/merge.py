@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperfold.functions.text import normal_key
 from paperfold.plans.pick import pick_first
-from paperfold.plans.segments import numbered
+from paperfold.plans.segments import ranged_numbers
 
 
 def best_confidence(results: DataFrame, keys: Sequence[str] = ("doc_id", "field_key")) -> DataFrame:
@@ -33,13 +33,12 @@ def canonical_keys(df: DataFrame, key: str, model_keys: DataFrame, model_key: st
     return out.withColumn(key, F.coalesce("__canon", key)).drop("__norm", "__canon")
 
 
-def append_rows(rows: DataFrame, doc: str, chunk: str, order: Sequence[str],
-                segment: Sequence[Column], name: str = "pos") -> DataFrame:
+def append_rows(rows: DataFrame, doc: str, chunk: str, order: Sequence[str], name: str = "pos") -> DataFrame:
     """Rows of all chunks as one table per document, numbered in chunk order.
 
     The list stays a table of rows; nothing collects a document into one value.
     """
-    return numbered(rows, [doc], [chunk, *order], [F.col(chunk), *segment], name)
+    return ranged_numbers(rows, [doc], [chunk, *order], name)
 
 
 def dedup_rows(rows: DataFrame, keys: Sequence[str], content: Sequence[str],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperfold.functions.text import is_entity, markdown_cell
 from paperfold.operators.spans import SPAN_BLOCK, text_gaps
-from paperfold.plans.segments import carry, numbered, prefix_max, row_number, segmented, total
+from paperfold.plans.segments import carry, numbered, prefix_max, ranged, ranged_numbers, row_number, segmented, total
 from paperfold.sources.shared import written
 
 # Carry-forward columns and ratio, header region.
@@ -48,13 +48,13 @@ def fill_headers(cells: DataFrame, sheet: str, row: str, col: str, value: str) -
     return head.unionByName(region.where(F.col(row) >= FILL_DOWN_ROWS)).unionByName(cells.where(F.col(row) >= FILL_ACROSS_ROWS))
 
 
-def text_lines(rows: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Sequence[Column], headers: Sequence[str]) -> DataFrame:
+def text_lines(rows: DataFrame, keys: Sequence[str], order: Sequence[str], headers: Sequence[str]) -> DataFrame:
     """Each key's table as lines of text (position, line): -1 the header, 0 the dashes, then all rows in order.
 
     Columns that are blank in all rows of a key are left out.  Lines stay rows, so a table may be of any length.
     """
     cells = F.array(*[markdown_cell(F.trim(F.coalesce(F.col(h).cast("string"), F.lit("")))) for h in headers])
-    grid = numbered(rows.withColumn("__c", cells), list(keys), list(order), list(segment), "position")
+    grid = ranged_numbers(rows.select(*dict.fromkeys([*keys, *order]), cells.alias("__c")), list(keys), list(order), "position")
     used = grid.groupBy(*keys).agg(F.array(*[F.bool_or(F.get("__c", F.lit(i)) != "") for i in range(len(headers))]).alias("__u"))
     line = lambda values: F.concat(F.lit("| "), F.array_join(F.filter(values, lambda _, i: F.get("__u", i)), " | "), F.lit(" |"))
     dashes = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(F.filter("__u", lambda u: u))))
@@ -64,14 +64,14 @@ def text_lines(rows: DataFrame, keys: Sequence[str], order: Sequence[str], segme
     return body.unionByName(used.select(*keys, F.inline(head)))
 
 
-def payload_cut(rows: DataFrame, sheet: str, order: Sequence[str], segment: Sequence[Column]) -> DataFrame:
+def payload_cut(rows: DataFrame, sheet: str, order: Sequence[str]) -> DataFrame:
     """All rows with their number in the sheet, whether they are in its sample, and how many are not.
 
     A sheet's sample is its first N rows, N = clamp(500 / number of sheets, 50, 150).
     """
     sheets = rows.select(sheet).distinct().agg(F.floor(F.lit(500) / F.greatest(F.count(F.lit(1)), F.lit(1)))).scalar()
     keep = F.greatest(F.lit(50), F.least(F.lit(150), sheets))
-    out = segmented(rows, [sheet], order, segment, [row_number("row_no"), total("row_total")])
+    out = ranged(rows, [sheet], order, [row_number("row_no"), total("row_total")])
     return out.withColumn("in_sample", F.col("row_no") <= keep).withColumn("hidden_rows", F.greatest(F.col("row_total") - keep, F.lit(0)).cast("bigint"))
 
 

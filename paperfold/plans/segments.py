@@ -162,6 +162,11 @@ def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], calcs: Sequ
     return segmented(placed, keys, order, [F.col(RANGE)], calcs).drop(RANGE)
 
 
+def ranged_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
+    """1-based position of each row within its key, by range partitions."""
+    return ranged(df, keys, order, [row_number(name)])
+
+
 def numbered_all(df: DataFrame, order: Sequence[str], name: str = "rn") -> DataFrame:
     """1-based position of each row in the whole table."""
-    return ranged(df, [], order, [row_number(name)])
+    return ranged_numbers(df, [], order, name)

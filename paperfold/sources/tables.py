@@ -59,11 +59,6 @@ class Tables:
     # ---- table rows ----------------------------------------------------
     ROW_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
 
-    @staticmethod
-    def row_segment():
-        """Order-preserving slices of an order's rows (prefix of ROW_ORDER)."""
-        return [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1000)]
-
     # ---- text ----------------------------------------------------------
     def lines(self) -> DataFrame:
         """(doc_id, line_no, line): every line of every document, in order."""
