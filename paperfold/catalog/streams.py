@@ -6,7 +6,7 @@ from paperfold.catalog.registry import query
 from paperfold.operators.lookups import NO_MESSAGE
 from paperfold.plans.pick import pick_last
 from paperfold.sources.shared import new_path
-from paperfold.streaming import jobs, runs
+from paperfold.streaming import jobs, learned, runs, states
 
 LATE = "40 days"
 
@@ -19,19 +19,38 @@ def text_time(c):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-@query("j1_job_state", sql=f"""
-WITH e AS (SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'P100' WHEN 'view' THEN 'P300' WHEN 'click' THEN 'P400' WHEN 'purchase' THEN 'S100' ELSE CASE WHEN value > 30 THEN 'E300' ELSE 'E100' END END AS status,
-  CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN props END AS message FROM events),
-l AS (SELECT job_id, arg_max(status, (ts, event_id)) AS status, bool_or(status = 'E300') AS cancelled, COUNT(*) AS updates, MAX(ts) AS last_ts FROM e GROUP BY 1),
-m AS (SELECT l.*, e.message FROM l JOIN e ON e.job_id = l.job_id AND e.ts = l.last_ts)
-SELECT job_id, CASE WHEN cancelled THEN 'E300' ELSE status END AS status, CASE WHEN NOT cancelled AND status = 'E100' THEN COALESCE(message, '{NO_MESSAGE}') END AS message, CAST(updates AS BIGINT) AS updates FROM m""")
-def job_state(t):
+SQL_JOBS = f"""e AS (SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'P100' WHEN 'view' THEN 'P300' WHEN 'click' THEN 'P400' WHEN 'purchase' THEN 'S100' ELSE CASE WHEN value > 30 THEN 'E300' ELSE 'E100' END END AS status,
+  CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN props END AS message, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+m(job_id, n, event_id, status, message, now, previous, reason) AS (
+  SELECT job_id, n, event_id, status, message, status, NULL::VARCHAR, NULL::VARCHAR FROM e WHERE n = 1
+  UNION ALL SELECT job_id, n, event_id, status, message, CASE WHEN reason IS NULL THEN status ELSE now END, now, reason FROM (
+    SELECT e.*, m.now, CASE WHEN e.status = m.now THEN NULL WHEN m.now = 'E300' THEN 'cancelled' WHEN m.now = 'S100' THEN 'finished'
+      WHEN m.now = 'E100' THEN CASE WHEN e.status <> 'P100' THEN 'failed' END WHEN e.status LIKE 'P%' AND e.status < m.now THEN 'backwards' END AS reason
+    FROM m JOIN e ON e.job_id = m.job_id AND e.n = m.n + 1))"""
+
+
+def job_transitions(t):
     kind = F.col("event_type")
     status = (F.when(kind == "signup", "P100").when(kind == "view", "P300").when(kind == "click", "P400").when(kind == "purchase", "S100")
               .when(F.col("value") > 30, "E300").otherwise("E100"))
     message = F.when((kind == "error") & (F.col("event_id") % 2 == 0), F.col("props"))
     src = events(t).select(F.col("user_id").alias("job_id"), "ts", "event_id", status.alias("status"), message.alias("message"))
-    return runs.run_update(jobs.job_state(src), "job-state", ["job_id"])
+    with runs.rocks(t.spark):
+        return runs.run_append(states.job_transitions(src, LATE, 30), "job-transitions")
+
+
+@query("j1_job_state", sql=f"""WITH RECURSIVE {SQL_JOBS},
+l AS (SELECT job_id, max(n) FILTER (reason IS NULL) AS n, COUNT(*) FILTER (reason IS NULL) AS updates, COUNT(*) FILTER (reason IS NOT NULL) AS rejected FROM m GROUP BY 1)
+SELECT job_id, status, CASE status WHEN 'E100' THEN COALESCE(message, '{NO_MESSAGE}') WHEN 'E300' THEN NULL ELSE message END AS message,
+  CAST(updates AS BIGINT) AS updates, CAST(rejected AS BIGINT) AS rejected FROM l JOIN m USING (job_id, n)""")
+def job_state(t):
+    return jobs.job_state(job_transitions(t))
+
+
+@query("j1_illegal_jumps", sql=f"""WITH RECURSIVE {SQL_JOBS} SELECT job_id, event_id, previous, status, reason FROM m WHERE reason IS NOT NULL""")
+def illegal_jumps(t):
+    """Updates that a job's state did not allow, with the reason."""
+    return job_transitions(t).where(F.col("outcome") == states.REJECTED).select("job_id", "event_id", "previous", "status", "reason")
 
 
 @query("j2_retention", sql="""
@@ -84,11 +103,20 @@ def once_by_event_id(t):
 
 
 @query("j8_synonym_learning", sql="""
-SELECT event_type AS field_name, json_extract_string(props, '$.k') AS raw_val, CAST(COUNT(*) AS BIGINT) AS hit_count FROM events GROUP BY 1, 2""")
+WITH e AS (SELECT event_type AS field_name, json_extract_string(props, '$.k') AS raw_val, ts, CAST(user_id AS VARCHAR) AS value FROM events),
+g AS (SELECT field_name, raw_val, arg_min(value, (ts, value)) AS learned, CAST(COUNT(*) AS BIGINT) AS hit_count FROM e GROUP BY 1, 2)
+SELECT field_name, raw_val, CASE WHEN raw_val LIKE '%7' THEN 'seven' ELSE learned END AS value, CASE WHEN raw_val LIKE '%7' THEN 'MANUAL' ELSE 'AI_GENERATED' END AS source,
+  raw_val LIKE '%7' AND field_name <> 'view' AS is_verified, hit_count FROM g""")
 def synonym_learning(t):
-    src = runs.stream_table(t.spark, t.folder, "events").select(
-        F.col("event_type").alias("field_name"), F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("raw_val"))
-    return runs.run_batches(src, "synonyms", jobs.new_hits).groupBy("field_name", "raw_val").agg(F.sum("hits").alias("hit_count"))
+    """What events teach, and what was decided on every seventh of it, kept in one table."""
+    src = events(t).select(F.col("event_type").alias("field_name"), F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("raw_val"),
+                           F.col("user_id").cast("string").alias("value"), "ts")
+    base = new_path(t.spark, "synonyms")
+    runs.run_each(src, "synonyms", lambda batch, batch_id: learned.learn(base, batch, batch_id))
+    learned.compact(t.spark, base)
+    sevens = learned.read(t.spark, base).where(F.col("raw_val").endswith("7"))
+    learned.decide(base, sevens.select(*learned.KEY, F.lit("seven").alias("value"), (F.col("field_name") != "view").alias("is_verified")), 0)
+    return learned.read(t.spark, base)
 
 
 @query("j9_status_propagation", sql="""
@@ -101,3 +129,18 @@ def status_propagation(t):
     # event time decides, not arrival: a late job does not undo a newer one
     last = pick_last(updates, ["log_id"], ["ts", "event_id"], ["status"])
     return t.customer.select(F.col("c_custkey").alias("log_id")).join(last, "log_id", "left").na.fill({"status": "P100"})
+
+
+@query("j9_linked_updates", sql="""
+WITH l AS (SELECT event_id AS log_id, user_id AS owner, ts AS created FROM events WHERE event_type = 'signup'),
+u AS (SELECT user_id AS owner, ts, event_id, 'S' || event_type AS status FROM events WHERE event_type <> 'signup'),
+w AS (SELECT least((SELECT MAX(created) FROM l), (SELECT MAX(ts) FROM u)) - INTERVAL 2 DAY AS mark),
+j AS (SELECT log_id, created, u.event_id, status, row_number() OVER (PARTITION BY log_id ORDER BY ts DESC, event_id DESC) AS rn FROM l LEFT JOIN u ON l.owner = u.owner AND ts >= created AND ts <= created + INTERVAL 1 DAY)
+SELECT log_id, event_id, COALESCE(status, 'P100') AS status FROM j, w WHERE rn = 1 AND (event_id IS NOT NULL OR created + INTERVAL 1 DAY < mark)""")
+def linked_updates(t):
+    """Two streams of one table: each log with the last update of its owner within a day, or none once none can come."""
+    logs = events(t).where(F.col("event_type") == "signup").select(F.col("event_id").alias("log_id"), F.col("user_id").alias("owner"), F.col("ts").alias("created"))
+    updates = events(t).where(F.col("event_type") != "signup").select(F.col("user_id").alias("owner"), "ts", "event_id", F.concat(F.lit("S"), "event_type").alias("status"))
+    pairs = runs.run_append(jobs.linked_updates(logs, updates, "1 day", "2 days"), "linked-updates")
+    last = pick_last(pairs, ["log_id"], ["ts", "event_id"], ["event_id", "status"])
+    return last.na.fill({"status": "P100"})

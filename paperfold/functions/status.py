@@ -17,6 +17,23 @@ LEGACY_STATUS = {"success": "S100", "confirmed": "S100", "S200": "S100", "pendin
                  "processing": "P300", "error": "E200", "failed": "E100", "cancelled": "E300"}
 
 
+# Own rule: the next states of each state.  An error can follow any work, a failed job can only start again, a success
+# and a cancel are final; the same state again is an update of its message.
+_WORK = (PENDING, UPLOADING, ANALYZING, REFINING, PREVIEW_READY)
+JUMPS = {state: frozenset((*_WORK[k:], SUCCESS, FAILED, ERROR, CANCELLED)) for k, state in enumerate(_WORK)}
+JUMPS |= {FAILED: frozenset((FAILED, PENDING)), ERROR: frozenset((ERROR, PENDING)), SUCCESS: frozenset((SUCCESS,)), CANCELLED: frozenset((CANCELLED,))}
+FINAL = (SUCCESS, FAILED, ERROR, CANCELLED)
+
+
+def refusal(now: str | None, then: str | None) -> str | None:
+    """Why a job in state ``now`` cannot go to ``then``; None if it can.  A new job may begin anywhere."""
+    if then not in JUMPS:
+        return "unknown status"
+    if now is None or then in JUMPS[now]:
+        return None
+    return {CANCELLED: "cancelled", SUCCESS: "finished", FAILED: "failed", ERROR: "failed"}.get(now, "backwards")
+
+
 def is_success(c: Column) -> Column:
     return c.isin(*SUCCESS_CLASS)
 

@@ -9,26 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperfold.functions import status as st
-from paperfold.operators.lookups import NO_MESSAGE
 from paperfold.plans.pick import pick_last
+from paperfold.streaming.states import APPLIED, EXPIRED
 
 
-def job_state(events: DataFrame) -> DataFrame:
-    """Latest status per job (job_id, ts, event_id, status, message); a cancel is final.
-
-    Failed jobs always carry a message.
-    """
-    at = F.struct("ts", "event_id")
-    state = events.groupBy("job_id").agg(
-        F.max_by(F.struct("status", "message"), at).alias("last"),
-        F.max(F.col("status") == st.CANCELLED).alias("cancelled"),
-        F.max("ts").alias("updated_at"), F.count(F.lit(1)).alias("updates"))
-    status = F.when(F.col("cancelled"), st.CANCELLED).otherwise(F.col("last.status"))
-    message = F.when(F.col("cancelled"), None).otherwise(F.col("last.message"))
-    return state.select("job_id", status.alias("status"),
-                        F.when(status.isin(st.FAILED, st.ERROR), F.coalesce(message, F.lit(NO_MESSAGE))).otherwise(message).alias("message"),
-                        "updates")
+def job_state(transitions: DataFrame) -> DataFrame:
+    """State of each job as of its transitions: the last that was applied, and how many were applied and rejected."""
+    applied = F.col("outcome") == APPLIED
+    state = transitions.where(F.col("outcome") != EXPIRED).groupBy("job_id").agg(
+        F.max_by(F.struct("status", "message"), F.when(applied, F.struct("ts", "event_id"))).alias("last"),
+        F.count_if(applied).alias("updates"), F.count_if(~applied).alias("rejected"))
+    return state.select("job_id", "last.status", "last.message", "updates", "rejected")
 
 
 def unexpired(rows: DataFrame, expires: str, as_of: str) -> DataFrame:
@@ -58,11 +49,18 @@ def once(events: DataFrame, key: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def new_hits(batch: DataFrame) -> DataFrame:
-    """What one micro-batch adds to the learned synonyms."""
-    return batch.groupBy("field_name", "raw_val").agg(F.count(F.lit(1)).alias("hits"))
-
-
 def latest_updates(batch: DataFrame) -> DataFrame:
     """Last job update of each log in a micro-batch, by event time."""
     return pick_last(batch, ["log_id"], ["ts", "event_id"], ["ts", "event_id", "status"])
+
+
+def linked_updates(logs: DataFrame, updates: DataFrame, within: str, late: str) -> DataFrame:
+    """Each log (log_id, owner, created) with every update (owner, ts, event_id, status) of its owner up to ``within`` after it.
+
+    Both sides are streams.  A log without an update comes out with nulls once the watermark, the slower stream's latest
+    time less ``late``, says that none can come any more; an update that arrives before its log waits for it as long.
+    """
+    logs = logs.withWatermark("created", late)
+    updates = updates.withWatermark("ts", late).withColumnRenamed("owner", "by")
+    on = F.expr(f"owner = by AND ts >= created AND ts <= created + INTERVAL {within}")
+    return logs.join(updates, on, "left_outer").select("log_id", "created", "ts", "event_id", "status")

@@ -6,7 +6,8 @@ folder named after the batch, so a batch that runs twice replaces itself.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,24 @@ def stream_folder(spark: SparkSession, folder: str, schema, files_per_batch: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """State on local disk with changes logged to the checkpoint: what ``transformWithState`` needs, set for one run."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
+
+
 def run_append(stream: DataFrame, label: str, out: str | None = None, state: str | None = None) -> DataFrame:
     """Append-mode run into parquet (exactly once by the sink's log).
 
@@ -70,6 +89,12 @@ def run_batches(stream: DataFrame, label: str, step: Callable[[DataFrame], DataF
     return spark.read.schema(full).option("basePath", out).parquet(f"{out}/{BATCH}=*") if _any_batch(spark, out) else spark.createDataFrame([], full)
 
 
+def run_each(stream: DataFrame, label: str, step: Callable[[DataFrame, int], None], state: str | None = None) -> None:
+    """Hand every micro-batch and its id to ``step``, which has to bear being called again for a batch."""
+    (stream.writeStream.foreachBatch(step).option("checkpointLocation", state or new_path(stream.sparkSession, f"{label}-state"))
+     .trigger(availableNow=True).start().awaitTermination())
+
+
 def _any_batch(spark: SparkSession, path: str) -> bool:
     from pyspark.errors import AnalysisException
 
