@@ -103,17 +103,8 @@ def _exchanged(blocks: DataFrame, fanout: int) -> DataFrame:
     return held.select("tree", "block", F.col("digest").alias("root"), "upper")
 
 
-def _forest(rows: DataFrame, order: list[str], fanout: int, levels: int) -> tuple[DataFrame, DataFrame]:
-    """The blocks of all trees with their upper paths, and (tree, root)."""
-    blocks = _blocks(rows, order, fanout, levels)
-    above = _exchanged(blocks, fanout)
-    roots = above.where("block = 0").select("tree", "root")
-    above = above.select(F.col("tree").alias("t"), F.col("block").alias("b"), "root", "upper")
-    return blocks.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("block") == F.col("b"))).drop("t", "b", "digest"), roots
-
-
-def _rows_of(blocks: DataFrame, fanout: int) -> DataFrame:
-    """One row for each leaf: tree, item, leaf, path, root."""
+def _rows_of(blocks: DataFrame, above: DataFrame, fanout: int) -> DataFrame:
+    """One row for each leaf: tree, item, leaf, path, root; ``above`` has the root and the upper path of each block."""
 
     def path(i: Column) -> Column:
         def at(nodes: Column, level: Column) -> Column:
@@ -123,7 +114,9 @@ def _rows_of(blocks: DataFrame, fanout: int) -> DataFrame:
         return F.concat(F.transform("below", at), F.col("upper"))
 
     each = F.transform("items", lambda x, i: F.struct(x["item"].alias("item"), x["digest"].alias("leaf"), path(i).alias("path")))
-    return blocks.select("tree", "root", F.explode(each).alias("x")).select("tree", "x.item", "x.leaf", "x.path", "root")
+    above = above.select(F.col("tree").alias("t"), F.col("block").alias("b"), "root", "upper")
+    joined = blocks.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("block") == F.col("b")))
+    return joined.select("tree", "root", F.explode(each).alias("x")).select("tree", "x.item", "x.leaf", "x.path", "root")
 
 
 def manifest(leaves: DataFrame, carry: list[str] | None = None, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
@@ -139,12 +132,15 @@ def manifest(leaves: DataFrame, carry: list[str] | None = None, fanout: int = FA
     rows = leaves.select(F.col("lang").cast("string").alias("tree"), F.col("doc_id").cast("long").alias("id"), F.col("leaf").alias("digest"), kept.alias("kept"))
     rows = rows.groupBy("tree", "id", "digest", "kept").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.select("tree", "digest", "n", "id", F.struct("id", "kept").alias("item"))
-    blocks, roots = _forest(rows, ["id", "digest", "item"], fanout, levels)
-    tops = roots.select(F.lit(0).alias("tree"), F.col("root").alias("digest"), F.lit(1).cast("long").alias("n"), F.struct(F.col("tree").alias("lang")).alias("item"))
-    tops = _rows_of(_forest(tops, ["item"], fanout, levels)[0], fanout)
-    tops = tops.select(F.col("item.lang").alias("lang"), F.col("path").alias("top"), F.col("root").alias("top_root"))
-    joined = blocks.join(tops, F.col("tree").eqNullSafe(F.col("lang"))).withColumn("upper", F.concat("upper", "top")).withColumnRenamed("root", "subroot").withColumnRenamed("top_root", "root")
-    below = _rows_of(joined.withColumn("root", F.struct("subroot", "root")), fanout)
+    blocks = _blocks(rows, ["id", "digest", "item"], fanout, levels)
+    above = _exchanged(blocks, fanout)
+    tops = above.where("block = 0").select(F.lit(0).alias("tree"), F.col("root").alias("digest"), F.lit(1).cast("long").alias("n"), F.struct(F.col("tree").alias("lang")).alias("item"))
+    tops = _blocks(tops, ["item"], fanout, levels)
+    tops = _rows_of(tops, _exchanged(tops, fanout), fanout).select(F.col("item.lang").alias("lang"), F.col("path").alias("top"), F.col("root").alias("top_root"))
+    # only the blocks' paths meet the tops by language; leaves are joined by block
+    above = above.join(tops, F.col("tree").eqNullSafe(F.col("lang")))
+    above = above.select("tree", "block", F.struct(F.col("root").alias("subroot"), F.col("top_root").alias("root")).alias("root"), F.concat("upper", "top").alias("upper"))
+    below = _rows_of(blocks, table(above, "merkle-above"), fanout)
     return below.select(
         F.col("item.id").alias("doc_id"), F.col("tree").alias("lang"), "leaf", "path", "root.subroot", "root.root", *[F.col("item.kept").getField(c).alias(c) for c in carry],
     )
