@@ -7,6 +7,7 @@ from paperfold.catalog.registry import query
 from paperfold.functions import files
 from paperfold.functions import status as st
 from paperfold.functions.numbers import half_up
+from paperfold.operators.calculate import assign_when
 from paperfold.operators import filters as flt
 
 # DuckDB text of the derived tables used throughout.
@@ -230,9 +231,9 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag =
   CASE WHEN l_partkey % 5 <> 0 THEN l_suppkey // (l_partkey % 5) ELSE -1 END AS ratio FROM lineitem""")
 def conditional_assign(t):
     out = t.lineitem.withColumn("ratio", F.lit(-1).cast("bigint"))
-    out = flt.assign_when(out, "l_quantity", "l_quantity + 50", "l_returnflag = 'R'")
+    out = assign_when(out, "l_quantity", "l_quantity + 50", "l_returnflag = 'R'")
     # dividing by zero fails, so the field keeps its value
-    out = flt.assign_when(out, "ratio", "cast(floor(try_divide(l_suppkey, l_partkey % 5)) as bigint)")
+    out = assign_when(out, "ratio", "cast(floor(try_divide(l_suppkey, l_partkey % 5)) as bigint)")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "ratio")
 
 

@@ -32,6 +32,26 @@ def rule_list(t):
     return out.select(*LKEY, "pol", "pod", "l_quantity", shown.alias("errors"))
 
 
+ITEM_RULES = [
+    rl.Rule("routes", "EXPLODE", {"sources": {"pol": "pol", "pod": "pod"}, "preserve": ["l_linenumber"], "output": "routes"}),
+    rl.Rule("rate", "CALCULATE", {"target_list": "routes", "field": "rate", "expression": "l_partkey * 1000000"}),
+    rl.Rule("sea", "CALCULATE", {"target_list": "routes", "field": "rate", "expression": "rate + l_suppkey", "condition": "pol = 'A' and l_linenumber > 1"}),
+    rl.Rule("share", "CALCULATE", {"target_list": "routes", "field": "share", "expression": "cast(rate div (l_linenumber - 2) as bigint)", "condition": "pod <> 'N'"}),
+]
+
+
+@query("k1_list_items", sql="""
+WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest(['A', 'A', 'B', 'B']) AS pol, unnest([l_returnflag, l_linestatus, l_returnflag, l_linestatus]) AS pod, unnest([0, 1, 2, 3]) AS place FROM lineitem),
+r AS (SELECT *, CAST(l_partkey AS BIGINT) * 1000000 + CASE WHEN pol = 'A' AND l_linenumber > 1 THEN l_suppkey ELSE 0 END AS rate FROM x)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(place AS INTEGER) AS place, pol, pod, rate, CASE WHEN pod <> 'N' AND l_linenumber <> 2 THEN rate // (l_linenumber - 2) END AS share FROM r""")
+def list_items(t):
+    """Combinations as a list of rows in each record, calculated one by one."""
+    rows = t.lineitem.select(*LKEY, F.array(F.lit("A"), F.lit("B")).alias("pol"), F.array("l_returnflag", "l_linestatus").alias("pod"))
+    out, _ = rl.apply_rules(rows, ITEM_RULES)
+    each = out.select(*LKEY, F.posexplode("routes").alias("place", "r"))
+    return each.select(*LKEY, "place", "r.pol", "r.pod", "r.rate", "r.share")
+
+
 @query("k2_validation", sql="""
 SELECT o_orderkey, CAST((o_totalprice <= 1000) AS INTEGER) + CAST((length(o_orderpriority) <> 6) AS INTEGER) AS failures,
  CASE WHEN o_totalprice <= 1000 THEN 'warning' WHEN length(o_orderpriority) <> 6 THEN 'error' END AS first_severity FROM orders""")

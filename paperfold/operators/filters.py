@@ -112,29 +112,6 @@ def worth_matching(c: Column) -> Column:
     return (F.length(c) >= 2) & ~looks_numeric(c)
 
 
-def assign_when(df: DataFrame, field: str, expression: str, condition: str = "true") -> DataFrame:
-    """Set ``field`` where the condition holds; a failing expression leaves it as it is."""
-    new = F.expr(expression)
-    old = F.col(field) if field in df.columns else F.lit(None)
-    value = F.when(F.expr(condition) & new.isNotNull(), new).otherwise(old)
-    with failing_gives_null(df.sparkSession):
-        return df.withColumn(field, value)
-
-
-@contextmanager
-def failing_gives_null(spark: SparkSession) -> Iterator[None]:
-    """Expressions that are resolved meanwhile give null where they would fail (division by zero, bad casts)."""
-    before = spark.conf.get("spark.sql.ansi.enabled", None)
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.ansi.enabled")
-        else:
-            spark.conf.set("spark.sql.ansi.enabled", before)
-
-
 PATH_SHAPE = re.compile(r"^[A-Za-z_][\w]*(\[\d+\])*(\.[A-Za-z_][\w]*(\[\d+\])*)*$")
 
 

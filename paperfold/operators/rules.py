@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from paperfold.functions import files
 from paperfold.operators.chunking import PAGE_LIMIT, PAYLOAD_LIMIT
-from paperfold.operators.filters import assign_when, failing_gives_null
+from paperfold.operators import calculate as ca
 from paperfold.operators.nested import cartesian_explode
 
 ERROR_TYPE = "array<struct<severity:string,message:string,check:string>>"
@@ -22,7 +22,11 @@ ERROR_TYPE = "array<struct<severity:string,message:string,check:string>>"
 
 @dataclass(frozen=True)
 class Rule:
-    """EXPLODE(sources, preserve) | CALCULATE(field, expression, condition) | VALIDATE(check, severity, message)."""
+    """EXPLODE(sources, preserve, output) | CALCULATE(field, expression, condition, target_list) | VALIDATE(check, severity, message).
+
+    With ``output`` the combinations become a list of rows instead of rows; with ``target_list`` a calculation is made for
+    each row of such a list.
+    """
 
     name: str
     kind: str
@@ -39,43 +43,53 @@ def validate(df: DataFrame, check: str, severity: str = "warning", message: str
     """Append an entry to ``validation_errors`` where the check fails or cannot be decided."""
     if "validation_errors" not in df.columns:
         df = df.withColumn("validation_errors", F.array().cast(ERROR_TYPE))
-    failed = ~F.coalesce(F.expr(with_len(check)), F.lit(False))
     entry = F.struct(F.lit(severity).alias("severity"), F.lit(message).alias("message"), F.lit(check).alias("check"))
-    with failing_gives_null(df.sparkSession):
-        return df.withColumn("validation_errors", F.when(failed, F.array_append("validation_errors", entry)).otherwise(F.col("validation_errors")))
+    # set to true where it holds: where it fails or cannot be decided nothing is set
+    held = ca.assign_when(df.withColumn("__holds", F.lit(False)), "__holds", "true", with_len(check))
+    return held.withColumn("validation_errors", F.when(F.col("__holds"), F.col("validation_errors")).otherwise(F.array_append("validation_errors", entry))).drop("__holds")
 
 
-def _apply(df: DataFrame, rule: Rule) -> DataFrame:
+def _apply(df: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame | None]:
+    """The rows after a rule and, for a calculation, the frame that marks what it left unchanged."""
     c = rule.config
     if rule.kind == "EXPLODE":
+        if "output" in c:
+            return ca.combinations(df, c["sources"], c.get("preserve", ()), c["output"]), None
         keep = c.get("preserve") or [x for x in df.columns if x not in c["sources"]]
-        return cartesian_explode(df, c["sources"], keep)
+        return cartesian_explode(df, c["sources"], keep), None
     if rule.kind == "CALCULATE":
-        return assign_when(df, c["field"], c["expression"], c.get("condition", "true"))
+        what = (c["field"], c["expression"], c.get("condition", "true"))
+        return ca.calculated_items(df, c["target_list"], *what) if c.get("target_list") else ca.calculated(df, *what)
     if rule.kind == "VALIDATE":
-        return validate(df, c["check"], c.get("severity", "warning"), c.get("message", "Validation failed"))
+        return validate(df, c["check"], c.get("severity", "warning"), c.get("message", "Validation failed")), None
     raise ValueError(f"unknown rule kind {rule.kind}")
 
 
 def apply_rules(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
     """Run the enabled rules in order; returns the rows and an audit with one row per rule.
 
-    A rule that does not resolve against the schema is recorded and skipped.
+    A rule that does not resolve against the schema is recorded and skipped.  ``unchanged`` counts the rows (or items)
+    that a calculation should have set but could not; it is counted when the audit is read.
     """
-    audit = []
-    for rule in rules:
+    audit, marked = [], []
+    for n, rule in enumerate(rules):
         if not rule.enabled:
-            audit.append((rule.name, rule.kind, "disabled", None))
+            audit.append((n, rule.name, rule.kind, "disabled", None))
             continue
         try:
-            out = _apply(df, rule)
+            out, failed = _apply(df, rule)
             out.schema  # resolves the expressions before the rule counts as applied
             df = out
-            audit.append((rule.name, rule.kind, "applied", None))
+            audit.append((n, rule.name, rule.kind, "applied", None))
+            if failed is not None:
+                marked.append((n, failed))
         except (AnalysisException, ParseException, KeyError, ValueError) as e:
-            audit.append((rule.name, rule.kind, "failed", type(e).__name__))
-    schema = "rule string, kind string, outcome string, error string"
-    return df, df.sparkSession.createDataFrame(audit, schema)
+            audit.append((n, rule.name, rule.kind, "failed", type(e).__name__))
+    told = df.sparkSession.createDataFrame(audit, "n int, rule string, kind string, outcome string, error string")
+    counts = ca.failures(marked)
+    if counts is None:
+        return df, told.drop("n").withColumn("unchanged", F.lit(None).cast("bigint"))
+    return df, told.join(counts, "n", "left").orderBy("n").drop("n")
 
 
 Extractor = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]

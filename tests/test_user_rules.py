@@ -1,5 +1,8 @@
 """What users write must not end a run."""
 
+import datetime as dt
+
+import pytest
 from pyspark.sql import functions as F
 
 from paperfold.operators.constraints import constraint_status, is_pattern
@@ -46,3 +49,59 @@ def test_dictionary_order(spark):
     values = spark.createDataFrame([("a blue pen",), ("PEN",), ("pe",), ("zz",)], "value string")
     got = {r.value: (r.category, r.entry_no, r.score) for r in match_dictionary(values, entries, fuzzy=False).collect()}
     assert got == {"a blue pen": ("a", 2, 0.85), "PEN": ("a", 2, 1.0), "pe": ("a", 1, 1.0)}
+
+
+BIG = 2**63 - 1
+
+
+@pytest.mark.parametrize(("expression", "want"), [
+    ("i + 1", None), ("i * i", None), ("-i - 2", None), ("i - 1", 2**31 - 2), ("b + 1", None), ("b * 2", None), ("-b - 2", None), ("b - 1", BIG - 1), ("b % 10", 7), ("b div 2", BIG // 2),
+    ("cast(b as int)", None), ("cast(i as smallint)", None), ("i div z", None), ("z div i", 0), ("i % z", None), ("cast(s as int)", None), ("cast('12' as int) + z", 12), ("b & 1", 1),
+    ("abs(-b)", BIG), ("s.x", "no field"), ("length(s) + z", 3), ("xxhash64(z) * 0", 0), ("coalesce(i + 1, 5)", "bigger"), ("`i` - 1", 2**31 - 2), ("size(l) + z", 2), ("l[z]", 4), ("l[0] + i", 4 + 2**31 - 1),
+])
+def test_numbers_never_wrap(spark, expression, want):
+    df = spark.createDataFrame([(2**31 - 1, BIG, 0, "a+b", [4, 5])], "i int, b bigint, z int, s string, l array<int>")
+    for field, kind in (("i", 32), ("b", 64)):
+        out, audit = apply_rules(df, [Rule("r", "CALCULATE", {"field": field, "expression": expression})])
+        got, told = out.first()[field], audit.first()
+        if want == "no field":
+            assert told.outcome == "failed" and got == df.first()[field]
+            continue
+        value = 2**31 if want == "bigger" else want
+        value = value if value is not None and abs(value) < 2 ** (kind - 1) else None
+        if field == "b" and expression in ("i + 1", "i * i", "-i - 2"):
+            value = {"i + 1": 2**31, "i * i": (2**31 - 1) ** 2, "-i - 2": -(2**31) - 1}[expression]
+        assert (got, told.outcome, told.unchanged) == (df.first()[field] if value is None else value, "applied", int(value is None)), expression
+
+
+def test_floating_numbers_and_texts(spark):
+    df = spark.createDataFrame([(3, 2.5, "x", dt.date(2024, 1, 31))], "n int, d double, t string, day date")
+    out, audit = apply_rules(df, [
+        Rule("half", "CALCULATE", {"field": "half", "expression": "n / 2"}), Rule("sum", "CALCULATE", {"field": "d", "expression": "d + n"}),
+        Rule("text", "CALCULATE", {"field": "t", "expression": "concat(t, ' n ', cast(n as string), \"n\")"}), Rule("date", "CALCULATE", {"field": "day", "expression": "date_add(day, n)"}),
+        Rule("unit", "CALCULATE", {"field": "later", "expression": "day + interval 2 day"}), Rule("pick", "CALCULATE", {"field": "n", "expression": "n + 1", "condition": "n / 0 > 1"}),
+    ])
+    r = out.first()
+    assert (r.half, r.d, r.t, r.day, r.n) == (1.5, 5.5, "x n 3n", dt.date(2024, 2, 3), 3) and str(r.later)[:10] == "2024-02-05"
+    assert [(a.rule, a.outcome, a.unchanged) for a in audit.collect()] == [(x, "applied", 0) for x in ("half", "sum", "text", "date", "unit", "pick")]
+
+
+def test_calculations_on_list_items(spark):
+    """Rates of all combinations of ports, raised where the port says so; an item's fields come before the record's."""
+    rows = [("K1", ["Busan", "Incheon"], ["Rotterdam"], 100, 7), ("K2", [], ["x"], 1, 7), ("K3", None, ["x"], 1, 7), ("K4", ["Incheon"], ["a", "b"], 2147483647, 0)]
+    df = spark.createDataFrame(rows, "carrier string, pols array<string>, pods array<string>, base int, pol int")
+    rules = [
+        Rule("all", "EXPLODE", {"sources": {"pols": "pol", "pods": "pod", "carrier": "line"}, "preserve": ["base"], "output": "rates"}),
+        Rule("rate", "CALCULATE", {"target_list": "rates", "field": "rate", "expression": "base"}),
+        Rule("raise", "CALCULATE", {"target_list": "rates", "field": "base", "expression": "base + 50", "condition": "pol = 'Incheon'"}),
+        Rule("after", "CALCULATE", {"target_list": "rates", "field": "twice", "expression": "rates[0].base * 0 + base * 2"}),
+        Rule("none", "CALCULATE", {"target_list": "base", "field": "x", "expression": "1"}),
+        Rule("whole", "VALIDATE", {"check": "len(rates) = len(pols) * len(pods)", "message": "count"}),
+    ]
+    out, audit = apply_rules(df, rules)
+    got = {r.carrier: ([tuple(x) for x in r.rates], len(r.validation_errors)) for r in out.collect()}
+    assert got["K1"] == ([("Busan", "Rotterdam", "K1", 100, 100, 200), ("Incheon", "Rotterdam", "K1", 150, 100, 300)], 0)
+    assert got["K2"] == ([], 0) and got["K3"] == ([], 1)
+    assert got["K4"][0] == [("Incheon", p, "K4", 2147483647, 2147483647, 4294967294) for p in "ab"]
+    assert {a.rule: (a.outcome, a.unchanged) for a in audit.collect()} == {
+        "all": ("applied", None), "rate": ("applied", 0), "raise": ("applied", 2), "after": ("applied", 0), "none": ("failed", None), "whole": ("applied", None)}
