@@ -194,14 +194,18 @@ def pii_masking(t):
 @query("e14_response_normalisation", sql="""
 SELECT o_orderkey, 'total' AS field_key, CASE WHEN o_orderkey % 6 = 4 THEN NULL ELSE o_orderpriority END AS value,
  CASE o_orderkey % 6 WHEN 0 THEN 0.9 WHEN 1 THEN 0.8 WHEN 2 THEN 0.7 WHEN 3 THEN 0.6 WHEN 4 THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence,
- CASE o_orderkey % 6 WHEN 0 THEN 'src' WHEN 2 THEN o_orderpriority ELSE '' END AS source_text FROM orders""")
+ CASE o_orderkey % 6 WHEN 0 THEN 'src' WHEN 2 THEN o_orderpriority ELSE '' END AS source_text FROM orders
+UNION ALL SELECT o_orderkey, 'x' || CAST(o_orderkey % 7 AS VARCHAR), '1', 0.7::DOUBLE, '1' FROM orders WHERE o_orderkey % 6 = 5
+UNION ALL SELECT o_orderkey, 'unmapped_critical_info', o_orderstatus, 0.5::DOUBLE, '' FROM orders WHERE o_orderkey % 6 = 1""")
 def response_normalisation(t):
     k, p = F.col("o_orderkey") % 6, F.col("o_orderpriority")
     wrap = lambda a, b: F.concat(F.lit(a), p, F.lit(b))
+    odd = F.concat(F.lit('"}, "x'), (F.col("o_orderkey") % 7).cast("string"), F.lit('": 1, "none": null}'))
+    more = F.concat(F.lit('"}, "unmapped_critical_info": {"answer": "'), F.col("o_orderstatus"), F.lit('", "score": 0.5}}}'))
     body = (F.when(k == 0, wrap('{"total": {"value": "', '", "confidence": 0.9, "source_text": "src"}}'))
-            .when(k == 1, wrap('{"result": {"total": {"value": "', '"}}}')).when(k == 2, wrap('[{"total": "', '"}]'))
+            .when(k == 1, F.concat(wrap('{"result": {"total": {"value": "', ""), more)).when(k == 2, wrap('[{"total": "', '"}]'))
             .when(k == 3, wrap('{"data": [{"total": {"answer": "', '", "score": 0.6}}]}'))
-            .when(k == 4, F.lit('{"total": {"value": null}}')).otherwise(wrap('{"total": {"text": "', '"}, "x": 1}')))
+            .when(k == 4, F.lit('{"total": {"value": null}}')).otherwise(F.concat(wrap('{"total": {"text": "', ""), odd)))
     return record.normalise_response(t.orders.select("o_orderkey", body.alias("body")), "body", ["total"], "o_orderkey")
 
 
@@ -211,9 +215,11 @@ FIELDS = [record.Field("amount", "number"), record.Field("priority", "string", T
 @query("e15_canonical_record", sql=rf"""
 WITH t AS (SELECT o_orderkey, {PRICE_TEXT.format(k='o_orderkey', p='o_totalprice')} AS amount, CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END AS priority, CASE WHEN o_orderkey % 3 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '1.1' END AS day FROM orders),
 c AS (SELECT o_orderkey, unnest(['amount', 'priority', 'day', 'ghost']) AS field_key, unnest([amount, priority, day, NULL]) AS v FROM t),
-n AS (SELECT *, trim(regexp_replace(v, '[,₩$원]', '', 'g')) AS bare FROM c)
-SELECT o_orderkey, field_key, v AS value, CASE WHEN field_key = 'amount' AND regexp_matches(bare, '{SHAPE}') THEN TRY_CAST(bare AS DOUBLE) END AS number_value, v AS original_value,
+n AS (SELECT *, trim(regexp_replace(v, '[,₩$원]', '', 'g')) AS bare, (o_orderkey % 100)::DOUBLE AS x,
+ CASE WHEN o_orderkey % 2 = 0 THEN 200 WHEN o_orderkey % 100 > 80 THEN 612 ELSE 100 END::DOUBLE AS w, CASE WHEN o_orderkey % 2 = 0 THEN 400 WHEN o_orderkey % 100 > 80 THEN 792 ELSE 100 END::DOUBLE AS h FROM c)
+SELECT o_orderkey, field_key, CASE WHEN field_key = 'amount' AND regexp_matches(bare, '{SHAPE}') THEN CAST(to_json(TRY_CAST(bare AS DOUBLE)) AS VARCHAR) ELSE CAST(to_json(v) AS VARCHAR) END AS value, v AS original_value,
  CASE WHEN field_key = 'ghost' OR v IS NULL THEN 0.0 ELSE 0.9 END::DOUBLE AS confidence, CASE WHEN field_key = 'ghost' OR v IS NULL THEN NULL ELSE 1 END AS page_number,
+ CASE WHEN field_key <> 'ghost' AND v IS NOT NULL THEN list_transform([[x, w], [10, h], [x + 20, w], [30, h]], lambda e: floor(e[1] / e[2] * 100.0::DOUBLE * 1000 + 0.5)::BIGINT::VARCHAR) END AS bbox,
  CASE field_key WHEN 'amount' THEN CASE WHEN regexp_matches(bare, '{SHAPE}') THEN 'valid' ELSE 'error_type_mismatch' END
   WHEN 'priority' THEN CASE WHEN v IS NULL THEN 'error_missing_required' WHEN regexp_matches(v, '^(?:[1-3]-)') THEN 'valid' ELSE 'error_format_invalid' END
   WHEN 'day' THEN CASE WHEN length(v) < 6 THEN 'error_date_format' ELSE 'valid' END ELSE 'valid' END AS validation_status FROM n""")
@@ -222,8 +228,11 @@ def canonical_record(t):
     wide = t.orders.select("o_orderkey", price_text(k, F.col("o_totalprice")).alias("amount"), F.when(k % 4 > 0, F.col("o_orderpriority")).alias("priority"),
                            F.when(k % 3 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("1.1").alias("day"), F.col("o_orderstatus").alias("stray"))
     cells = wide.unpivot(["o_orderkey"], ["amount", "priority", "day", "stray"], "field_key", "value").where(F.col("value").isNotNull())
-    cells = cells.withColumns({"confidence": F.lit(0.9), "page_number": F.lit(1)})
-    return record.canonical_record(t.orders.select("o_orderkey"), "o_orderkey", cells, FIELDS)
+    x = (k % 100).cast("double")
+    cells = cells.withColumns({"confidence": F.lit(0.9), "page_number": F.lit(1), "bbox": F.array(x, F.lit(10.0), x + 20, F.lit(30.0))})
+    pages = t.orders.where(k % 2 == 0).select("o_orderkey", F.lit(1).alias("page_number"), F.lit(200.0).alias("width"), F.lit(400.0).alias("height"))
+    out = record.canonical_record(t.orders.select("o_orderkey"), "o_orderkey", cells, FIELDS, pages)
+    return out.withColumn("value", F.to_json("value")).withColumn("bbox", F.transform("bbox", lambda v: F.floor(v * 1000 + 0.5).cast("string")))
 
 
 @query("e16_unmapped_split", sql=f"""WITH {SQL_RESULTS}

@@ -192,22 +192,25 @@ def outbox(t):
 
 @query("a15_bulk_users", sql="""
 SELECT lower(c_name) || '@example.com' AS email, c_name AS name, unnest(['g' || CAST(c_nationkey AS VARCHAR), c_mktsegment]) AS group_name
-FROM customer WHERE c_custkey % 7 > 0""")
+FROM customer WHERE c_custkey % 7 > 0 AND (c_custkey % 2 = 0 OR c_custkey % 5 > 0)
+UNION ALL SELECT lower(c_name) || '@example.com', c_name, NULL FROM customer WHERE c_custkey % 7 > 0 AND c_custkey % 2 = 1 AND c_custkey % 5 = 0""")
 def bulk_users(t):
-    path = new_path(t.spark, "users-csv")
-    email = F.when(F.col("c_custkey") % 7 > 0, F.concat(F.lower("c_name"), F.lit("@example.com")))
-    t.customer.select(email.alias("email"), F.col("c_name").alias("name"), F.concat(
-        F.lit("g"), F.col("c_nationkey").cast("string"), F.lit("; "), F.col("c_mktsegment")).alias("groups")).write.csv(path, header=True)
-    users = t.spark.read.csv(path, header=True, schema="email string, name string, groups string")
-    users = users.where(F.col("email").isNotNull() & F.col("name").isNotNull())
-    return users.select("email", "name", F.explode(F.split("groups", r"\s*;\s*")).alias("group_name"))
+    """Even customers come in CSV, odd ones in JSON."""
+    paths = {kind: new_path(t.spark, f"users-{kind}") for kind in ("csv", "json")}
+    k = F.col("c_custkey")
+    email, group = F.when(k % 7 > 0, F.concat(F.lower("c_name"), F.lit("@example.com"))), F.concat(F.lit("g"), F.col("c_nationkey").cast("string"))
+    rows = t.customer.select(k, email.alias("email"), F.col("c_name").alias("name"), group.alias("g"), F.col("c_mktsegment").alias("m"))
+    even = k % 2 == 0
+    rows.where(even).select("email", "name", F.concat("g", F.lit("; "), "m").alias("groups")).write.csv(paths["csv"], header=True)
+    rows.where(~even).select("email", "name", F.when(k % 5 > 0, F.array("g", "m")).alias("groups")).write.json(paths["json"])
+    return rd.read_users(t.spark, paths["csv"], "csv").unionByName(rd.read_users(t.spark, paths["json"], "jsonl"))
 
 
 @query("a16_dictionary_load", sql="""
-SELECT 'part' AS category, CAST(p_partkey AS VARCHAR) AS code, trim(p_name) AS name, p_brand AS brand,
+SELECT 'part' AS category, CAST(p_partkey AS VARCHAR) AS code, trim(p_name) AS name, p_brand AS brand, 'size cm' AS header,
  md5('part|' || CAST(p_partkey + 1 AS VARCHAR) || '|' || CAST(p_partkey AS VARCHAR) || '|' || p_name || '|' || p_brand || '|' || CASE WHEN p_size > 20 THEN CAST(p_size AS VARCHAR) ELSE '' END) AS row_id FROM part""")
 def dictionary_load(t):
     sheet = t.part.select("p_partkey", F.concat(F.lit(" "), "p_name").alias("p_name"), "p_brand",
                           F.when(F.col("p_size") > 20, F.col("p_size")).alias("size cm"), (F.col("p_partkey") + 1).alias("row_no"))
     out = rd.load_dictionary(sheet, "part", "row_no")
-    return out.select("category", "code", "name", F.col("extra")["p_brand"].alias("brand"), "row_id")
+    return out.select("category", "code", "name", F.col("extra")["p_brand"].alias("brand"), F.col("headers")["size_cm"].alias("header"), "row_id")

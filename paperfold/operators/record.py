@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperfold.functions import boxes
 from paperfold.functions import numbers as num
 from paperfold.functions.text import normal_key
 from paperfold.operators.constraints import constraint_status
@@ -19,6 +20,7 @@ WRAPPERS = ("result", "results", "data", "extraction", "extracted", "output", "r
 ANSWER_NAMES = ("answer", "text", "result", "extracted_value")
 CONFIDENCE_GIVEN, CONFIDENCE_FLAT, CONFIDENCE_OTHER = 0.8, 0.7, 0.5
 MASK = "***"
+COMPLEX = ("array", "list", "object", "table")
 
 
 @dataclass(frozen=True)
@@ -30,7 +32,7 @@ class Field:
 
 
 def normalise_response(df: DataFrame, body: str, expected: Sequence[str], key: str) -> DataFrame:
-    """Long cells from JSON answers of any of the known shapes.
+    """Long cells from JSON answers of any of the known shapes, one for every key of the answer, expected or not.
 
     The first element of a list counts; a wrapper is opened only when no
     expected key is present; answers may be rich cells, odd objects or scalars.
@@ -43,8 +45,9 @@ def normalise_response(df: DataFrame, body: str, expected: Sequence[str], key: s
         has = has | get("__v", f"$.{k}", "variant").isNotNull()
     inner = F.coalesce(*[x for w in WRAPPERS for x in (get("__v", f"$.{w}[0]", "variant"), get("__v", f"$.{w}", "variant"))], F.col("__v"))
     out = out.withColumn("__has", has).withColumn("__v", F.when(F.col("__has"), F.col("__v")).otherwise(inner))
-    items = F.array(*[F.struct(F.lit(k).alias("field_key"), get("__v", f"$.{k}", "variant").alias("item")) for k in expected])
-    out = out.select(key, F.explode(items).alias("c")).select(key, "c.*").where(F.col("item").isNotNull())
+    # an object's keys are not known before: they come out as rows
+    keys = df.sparkSession.tvf.variant_explode(F.col("__v").outer()).toDF("__pos", "field_key", "item")
+    out = out.lateralJoin(keys).where(F.col("field_key").isNotNull() & ~F.is_variant_null("item"))
     text = lambda p: get("item", p, "string")
     is_object = F.schema_of_variant("item").startswith("OBJECT")
     rich = get("item", "$.value", "variant").isNotNull()
@@ -59,23 +62,37 @@ def normalise_response(df: DataFrame, body: str, expected: Sequence[str], key: s
     return out.select(key, "field_key", value.alias("value"), conf.alias("confidence"), source.alias("source_text"))
 
 
-def canonical_record(docs: DataFrame, doc: str, cells: DataFrame, fields: Sequence[Field]) -> DataFrame:
-    """One cell per modelled field: missing ones are empty, strays are dropped, values checked.
+def canonical_record(docs: DataFrame, doc: str, cells: DataFrame, fields: Sequence[Field], pages: DataFrame | None = None) -> DataFrame:
+    """One cell of six keys per modelled field: missing ones are empty, strays are dropped, values checked and typed.
 
-    The model's fields are literals, so the record is spread without a join;
-    the cells meet it in one equi join.
+    ``cells(doc, field_key, value, confidence, page_number, bbox)``; ``pages(doc, page_number, width, height)`` as far as
+    they are known.  ``value`` is a VARIANT: a number for number fields, the parsed list or object for complex ones, else
+    the text; ``bbox`` is in percent of its page.  The model's fields are literals, so the record is spread without a
+    join; the cells meet it in one equi join.
     """
     keys = F.array(*[F.lit(f.key) for f in fields])
     out = docs.select(doc, F.explode(keys).alias("field_key")).join(cells, [doc, "field_key"], "left")
+    if pages is not None:
+        sizes = pages.select(F.col(doc).alias("__d"), F.col("page_number").alias("__p"), F.col("width").alias("__width"), F.col("height").alias("__height"))
+        out = out.join(sizes, (F.col(doc) == F.col("__d")) & (F.col("page_number") == F.col("__p")), "left")
+    else:
+        out = out.withColumns({"__width": F.lit(None).cast("double"), "__height": F.lit(None).cast("double")})
+    out = boxes.to_percent(out, "bbox", "__width", "__height", "__box")
     raw, k = F.col("value"), F.col("field_key")
-    status, number = F.lit("valid"), F.lit(None).cast("double")
+    status, value = F.lit("valid"), raw.cast("variant")
     for f in fields:
-        status = F.when(k == f.key, constraint_status(raw, f.kind, f.required, f.pattern)).otherwise(status)
+        mine, checked = k == f.key, constraint_status(raw, f.kind, f.required, f.pattern)
         if f.kind == "number":
-            number = F.when(k == f.key, num.parse_number(raw)).otherwise(number)
+            number = num.parse_number(raw)
+            value = F.when(mine & number.isNotNull(), number.cast("variant")).otherwise(value)
+        elif f.kind in COMPLEX:
+            parsed = F.try_parse_json(raw)
+            value = F.when(mine & parsed.isNotNull(), parsed).otherwise(value)
+            checked = F.when(parsed.isNull() & (F.trim(raw) != ""), "error_json_format").otherwise(checked)
+        status = F.when(mine, checked).otherwise(status)
     return out.select(
-        doc, "field_key", raw.alias("value"), number.alias("number_value"), raw.alias("original_value"),
-        F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "page_number", status.alias("validation_status"))
+        doc, "field_key", value.alias("value"), raw.alias("original_value"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        F.col("__box").alias("bbox"), "page_number", status.alias("validation_status"))
 
 
 def split_unmapped(cells: DataFrame, name: str = "unmapped_critical_info") -> DataFrame:

@@ -1,8 +1,12 @@
 """Goldens of the record, merge, rule and storage operators."""
 
+import csv
+import io
+import json
 import random
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperfold.operators import expand, merge, nested, record
 from paperfold.operators import rules as rl
@@ -10,19 +14,72 @@ from paperfold.operators.constraints import apply_post_rules
 from paperfold.sources import readers as rd
 from paperfold.sources import sinks as sk
 
-CELL = "doc int, field_key string, value string, confidence double, page_number int"
+CELL = "doc int, field_key string, value string, confidence double, page_number int, bbox array<double>"
 
 
 def test_canonical_record(spark):
-    fields = [record.Field("total", "number"), record.Field("bad", "number"), record.Field("absent")]
-    cells = spark.createDataFrame([(1, "total", "1234.56", 0.9, 1), (1, "bad", "not a number", 0.9, 1), (1, "stray", "x", 0.9, 1)], CELL)
-    out = {r.field_key: r for r in record.canonical_record(spark.range(1, 2).select(F.col("id").cast("int").alias("doc")), "doc", cells, fields).collect()}
-    assert set(out) == {"total", "bad", "absent"}
-    assert out["total"].number_value == 1234.56 and out["total"].original_value == "1234.56"
-    assert out["bad"].validation_status == "error_type_mismatch" and out["bad"].value == "not a number"
+    fields = [record.Field("total", "number"), record.Field("bad", "number"), record.Field("absent"), record.Field("items", "table"), record.Field("broken", "array")]
+    box = [20.0, 40.0, 60.0, 80.0]
+    cells = spark.createDataFrame([
+        (1, "total", "1234.56", 0.9, 2, box), (1, "bad", "not a number", 0.9, 1, box), (1, "stray", "x", 0.9, 1, None), (1, "items", '[{"a": 1}, {"a": null}]', 0.5, None, None),
+        (1, "broken", "[1,", 0.5, 1, [5.0, 5.0, 5.0, 9.0])], CELL)
+    pages = spark.createDataFrame([(1, 2, 200.0, 400.0)], "doc int, page_number int, width double, height double")
+    out = record.canonical_record(spark.range(1, 2).select(F.col("id").cast("int").alias("doc")), "doc", cells, fields, pages)
+    assert out.columns == ["doc", "field_key", "value", "original_value", "confidence", "bbox", "page_number", "validation_status"]
+    out = {r.field_key: r for r in out.withColumn("kind", F.schema_of_variant("value")).withColumn("value", F.to_json("value")).collect()}
+    assert set(out) == {"total", "bad", "absent", "items", "broken"}
+    assert (out["total"].value, out["total"].kind, out["total"].original_value, out["total"].bbox) == ("1234.56", "DOUBLE", "1234.56", [10.0, 10.0, 30.0, 20.0])
+    assert out["bad"].validation_status == "error_type_mismatch" and out["bad"].value == '"not a number"'
+    assert out["bad"].bbox == box  # page of unknown size, neither inches nor pixels: percent as they are
+    assert out["items"].value == '[{"a":1},{"a":null}]' and out["items"].validation_status == "valid"
+    assert out["broken"].validation_status == "error_json_format" and out["broken"].bbox is None
     assert out["absent"].value is None and out["absent"].confidence == 0 and out["absent"].validation_status == "valid"
 
 
+def test_quoted_line_breaks_across_splits(spark, tmp_path):
+    rnd = random.Random(8)
+    cells = ["a", "", "x,y", 'say "hi"', "two\nlines", "\n", '"', '",\n"', "é", "plain text " * 3, 'in"side', "end\n"]
+    files = {f"f{k}.csv": [[str(i), rnd.choice(cells), rnd.choice(cells)] for i in range(n)] for k, n in enumerate([1, 60, 120])}
+    files["long.csv"] = [["0", "line\n" * 200, "x"], ["1", "", "y"]]
+    for name, rows in files.items():
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as out:
+            csv.writer(out, lineterminator="\n").writerows(rows)
+    (tmp_path / "stray.csv").write_text('0,5" pipe,a "quoted" word\n1,"open,\nend",z\n2,x\r\n3,"no end\nof it\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    try:
+        raw = rd.csv_records(spark, str(tmp_path)).collect()
+        got = rd.read_encoded_csv(spark, str(tmp_path / "f*.csv"), T.StructType([T.StructField(c, T.StringType()) for c in "abc"])).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    found = {}
+    for r in raw:
+        found.setdefault(r.file.rsplit("/", 1)[1], []).append(bytes(r.raw).decode())
+    for name, rows in files.items():
+        assert sorted(next(csv.reader(io.StringIO(x, newline=""))) for x in found[name]) == sorted(rows), name
+    assert sorted(found["stray.csv"]) == ['0,5" pipe,a "quoted" word', '1,"open,\nend",z', "2,x\r", '3,"no end\nof it']
+    want = [(a, b or None, c or None) for name, rows in files.items() if name != "long.csv" for a, b, c in rows]
+    assert sorted(((r.a, r.b, r.c) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_user_lists(spark, tmp_path):
+    (tmp_path / "u.csv").write_text("email,name,groups\na@x,A,g1; g2;\n,B,g1\nc@x, ,g1\nd@x,D,\n")
+    (tmp_path / "u.json").write_text(json.dumps([{"email": "a@x", "name": "A", "groups": ["g1", " g2 ", ""]}, {"email": "b@x", "name": "B", "groups": "g3;g4"}, {"name": "C"}, {"email": "d@x", "name": "D"}]))
+    rows = lambda kind: sorted(((r.email, r.name, r.group_name) for r in rd.read_users(spark, str(tmp_path / f"u.{kind}"), kind).collect()), key=str)
+    assert rows("csv") == [("a@x", "A", "g1"), ("a@x", "A", "g2"), ("d@x", "D", None)]
+    assert rows("json") == [("a@x", "A", "g1"), ("a@x", "A", "g2"), ("b@x", "B", "g3"), ("b@x", "B", "g4"), ("d@x", "D", None)]
+
+
+def test_response_keys_that_nobody_expected(spark):
+    rows = [(1, '{"data": {"total": {"value": "5", "confidence": 0.4}, "note": {"answer": "n"}, "odd": {"x": 1}, "flag": true, "list": [1, 2]}}'),
+            (2, '[{"total": 3, "data": {"total": 9}}]'), (3, "no json"), (4, None), (5, "[]"), (6, '{"result": [{"port": "Busan"}]}')]
+    out = record.normalise_response(spark.createDataFrame(rows, "id int, body string"), "body", ["total"], "id").collect()
+    got = {(r.id, r.field_key): (r.value, r.confidence, r.source_text) for r in out}
+    assert got == {
+        (1, "total"): ("5", 0.4, ""), (1, "note"): ("n", 0.7, ""), (1, "odd"): (None, 0.7, ""), (1, "flag"): ("true", 0.7, "true"), (1, "list"): ("[1,2]", 0.7, "[1,2]"),
+        (2, "total"): ("3", 0.7, "3"), (2, "data"): (None, 0.7, ""), (6, "port"): ("Busan", 0.7, "Busan")}
+
+
 def test_merge_does_not_depend_on_order_or_partitions(spark):
     rnd = random.Random(4)
     rows = [(d, c, k, rnd.choice([None, "a", "b"]), rnd.choice([0.2, 0.5, 0.5, 0.9])) for d in range(4) for c in range(6) for k in "xyz"]
