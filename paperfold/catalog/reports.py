@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from paperfold.catalog.filters import SQL_LOGS
 from paperfold.catalog.registry import query
+from paperfold.functions import status as st
 from paperfold.functions.numbers import half_up
 from paperfold.operators import merge, report
 from paperfold.plans.pick import head_per_key, pick_first, pick_last
@@ -241,6 +242,24 @@ def chunk_accounting(t):
     return merge.chunk_accounting(t.chunk_results().withColumn("success", F.col("value").isNotNull()))
 
 
+@query("d19_chunk_errors", sql=f"""WITH {SQL_RESULTS}
+SELECT doc_id, chunk_index, CASE WHEN chunk_index % 2 = 0 THEN 'failed: ' || field_key ELSE 'Unknown Error' END AS error FROM results WHERE value IS NULL""")
+def chunk_errors(t):
+    return merge.chunk_errors(failing_chunks(t))
+
+
+@query("d19_field_sources", sql=f"""WITH {SQL_RESULTS},
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field_key ORDER BY confidence DESC, chunk_index) AS rn FROM results WHERE value IS NOT NULL)
+SELECT doc_id, field_key, chunk_index FROM r WHERE rn = 1""")
+def field_sources(t):
+    return merge.field_sources(failing_chunks(t))
+
+
+def failing_chunks(t):
+    error = F.when(F.col("value").isNull() & (F.col("chunk_index") % 2 == 0), F.concat(F.lit("failed: "), "field_key"))
+    return t.chunk_results().withColumns({"success": F.col("value").isNotNull(), "error": error})
+
+
 @query("d20_grid_waste", sql="""
 WITH l AS (SELECT page_id, unnest(range(len(a))) AS row_no, unnest(a) AS line FROM (SELECT page_id, string_split(html, '<') AS a FROM pages)),
 c AS (SELECT *, string_split(line, ' ') AS cells FROM l),
@@ -389,6 +408,21 @@ def top_used(t):
     return report.usage(t.orders, "o_custkey").orderBy(F.desc("uses"), "o_custkey").limit(5)
 
 
+@query("g5_most_recent", sql="SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 5")
+def most_recent(t):
+    return t.orders.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(5).select("o_orderkey", "o_custkey")
+
+
+@query("g5_worst", sql="""
+SELECT o_custkey % 25 AS model_id, CAST(COUNT(*) FILTER (o_orderstatus = 'P') AS BIGINT) AS failed, floor(COUNT(*) FILTER (o_orderstatus = 'P') * 1000000 / COUNT(*)) / 1000000 AS share
+FROM orders GROUP BY 1 ORDER BY share DESC, failed DESC, model_id LIMIT 5""")
+def worst(t):
+    """The models with the largest share of failed logs."""
+    logs = t.logs().groupBy("model_id").agg(F.count_if(st.is_error(F.col("status"))).alias("failed"), F.count(F.lit(1)).alias("n"))
+    share = (F.floor(F.col("failed") * 1_000_000 / F.col("n")) / 1_000_000).alias("share")
+    return logs.select(F.col("model_id").cast("bigint").alias("model_id"), "failed", share).orderBy(F.desc("share"), F.desc("failed"), "model_id").limit(5)
+
+
 @query("g6_top_regions", sql=f"""
 WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * (l_partkey % 40) AS area, greatest(10, 2000.0::DOUBLE * 1000 / 50000) AS floor_area,
  l_shipdate, l_extendedprice FROM lineitem),

@@ -70,7 +70,10 @@ def user_expressions(t):
                              F.expr("l_shipdate > timestamp_ntz'1998-01-01' and l_quantity between 5 and 30").alias("picked"))
 
 
-@query("k4_chunk_extractor")
+@query("k4_chunk_extractor", sql=rf"""
+WITH c AS (SELECT page_id AS doc_id, unnest(string_split(html, '>')) AS content, generate_subscripts(string_split(html, '>'), 1) - 1 AS chunk_index FROM pages),
+m AS (SELECT doc_id, chunk_index, unnest(regexp_extract_all(content, '{rl.PAIR_TEXT}', 1)) AS k, unnest(regexp_extract_all(content, '{rl.PAIR_TEXT}', 2)) AS v FROM c)
+SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, lower(trim(k)) AS field_key, trim(v) AS value, 0.7::DOUBLE AS confidence FROM m""")
 def chunk_extractor(t):
     tags = t.pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.split("html", ">")).alias("n", "content"))
     chunks = tags.select("doc_id", F.col("n").cast("bigint").alias("chunk_index"), "content")

@@ -487,6 +487,24 @@ def migrations(t):
     return t.orders.select("o_orderkey", record.migrate_status(old, st.LEGACY_STATUS).alias("status"), shown.alias("flags"))
 
 
+@query("e33_jobs_to_logs", sql="""
+WITH logs AS (SELECT o_orderkey AS log_id, o_custkey AS owner, o_orderstatus AS status, o_orderpriority AS data FROM orders WHERE o_orderkey % 3 < 2),
+jobs AS (SELECT l_orderkey * 100 + l_linenumber AS job_id, CASE WHEN l_suppkey % 2 = 0 THEN l_orderkey END AS original, l_suppkey AS owner, l_shipmode_ AS data, l_shipdate AS updated_at, l_partkey AS pk
+  FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode_ FROM lineitem WHERE l_returnflag <> 'N') ),
+again AS (SELECT original, arg_max(data, (updated_at, job_id, data)) AS data FROM jobs WHERE original IS NOT NULL GROUP BY 1)
+SELECT log_id, CAST(owner AS BIGINT) AS owner, CASE WHEN a.original IS NOT NULL THEN 'success' ELSE status END AS status, CASE WHEN a.original IS NOT NULL THEN a.data ELSE l.data END AS data
+FROM logs l LEFT JOIN again a ON a.original = l.log_id
+UNION ALL SELECT job_id, owner, 'success', data FROM jobs j WHERE original IS NULL AND NOT EXISTS (SELECT 1 FROM logs WHERE log_id = j.job_id)""")
+def jobs_to_logs(t):
+    logs = t.orders.where(F.col("o_orderkey") % 3 < 2).select(
+        F.col("o_orderkey").cast("bigint").alias("log_id"), F.col("o_custkey").cast("bigint").alias("owner"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("data"))
+    jobs = t.lineitem.select(
+        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("bigint").alias("job_id"), F.when(F.col("l_suppkey") % 2 == 0, F.col("l_orderkey")).cast("bigint").alias("original_log_id"),
+        F.col("l_suppkey").cast("bigint").alias("owner"), F.when(F.col("l_returnflag") != "N", "confirmed").otherwise("pending").alias("status"),
+        F.concat("l_returnflag", "l_linestatus").alias("data"), F.struct("l_shipdate").alias("updated_at"))
+    return record.jobs_to_logs(logs, jobs)
+
+
 @query("e34_stitched_chunks", sql=f"""WITH {SQL_RESULTS}, p AS (SELECT *, '--- Pages [' || CAST(chunk_index + 1 AS VARCHAR) || '] ---' || chr(10) || value AS piece FROM results WHERE value IS NOT NULL)
 SELECT doc_id, chunk_index, piece, CAST(COALESCE(SUM(length(piece) + 2) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, 'ch' || CAST(chunk_index AS VARCHAR) || '_C1' AS ref_id FROM p""")
 def stitched_chunks(t):

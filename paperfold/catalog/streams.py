@@ -62,14 +62,19 @@ def retention(t):
     return runs.run_append(jobs.unexpired(src, "expires", "1998-08-01").select("o_orderkey", "o_custkey"), "retention")
 
 
-@query("j3_file_intake")
+@query("j3_file_intake", sql="""
+WITH f AS (SELECT COUNT(DISTINCT doc_id % 45) AS n, COUNT(*) AS docs FROM documents)
+SELECT b AS batch_id, least(20, n - 20 * b) AS files, docs AS all_docs FROM (SELECT n, docs, unnest(range((n + 19) // 20)) AS b FROM f)""")
 def file_intake(t):
-    """At most 20 files per micro-batch; one row per batch."""
+    """At most 20 files per micro-batch; one row per batch, with what all batches have taken in."""
     folder = new_path(t.spark, "intake")
-    t.documents.repartition(45, "doc_id").write.option("maxRecordsPerFile", 5000).parquet(folder)
-    src = runs.stream_folder(t.spark, folder, t.documents.schema, 20).select("doc_id", F.col("_metadata.file_path").alias("file"))
+    # a file for each of 45 parts
+    parts = t.documents.select("doc_id", (F.col("doc_id") % 45).cast("int").alias("part"))
+    parts.repartitionById(45, "part").write.parquet(folder)
+    src = runs.stream_folder(t.spark, folder, parts.schema, 20).select("doc_id", F.col("_metadata.file_path").alias("file"))
     per_file = runs.run_batches(src, "intake-batches", lambda b: b.groupBy("file").agg(F.count(F.lit(1)).alias("docs")))
-    return per_file.groupBy("batch_id").agg(F.count(F.lit(1)).alias("files"), F.sum("docs").alias("docs"))
+    total = per_file.agg(F.sum("docs")).scalar()
+    return per_file.groupBy("batch_id").agg(F.count(F.lit(1)).alias("files")).withColumn("all_docs", total)
 
 
 @query("j4_live_trend", sql="""

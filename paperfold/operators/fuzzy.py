@@ -204,21 +204,53 @@ def _token_weights(postings: DataFrame, n: Column) -> DataFrame:
     return postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).select("token", F.log1p(n / F.col("df")).alias("idf"))
 
 
+def _rest(i: Column) -> Column:
+    """Weight of the words of ``w`` from number ``i`` on."""
+    return F.aggregate(F.slice("w", i + 1, F.size("w")), F.lit(0.0), lambda s, x: s + x["idf"])
+
+
+def _shared(words: str) -> Column:
+    """Weight of the words of ``w`` that an entry has."""
+    return F.aggregate(F.filter("w", lambda x: F.array_contains(words, x["token"])), F.lit(0.0), lambda s, x: s + x["idf"])
+
+
 def search_dictionary(queries: DataFrame, entries: DataFrame, per_category: int, k: int) -> DataFrame:
     """Keyword search: top entries per category, then overall, by the weight of shared words.
 
-    ``queries(query)`` with two characters or more.
+    ``queries(query)`` with two characters or more.  The entries of a query's
+    rarest word give a score that the answer must reach; an entry that lacks
+    the words without which it cannot be reached is never looked at, so
+    frequent words only check what rarer ones have found.  Queries of one word
+    take the first entries of each category, found once for each word.
     """
     n = entries.agg(F.count(F.lit(1))).scalar()
-    post = _postings(entries, ["category", "code"])
+    post = written(_postings(entries, ["category", "code"]).distinct(), "postings")
     weights = _token_weights(post, n)
-    asked = queries.where(F.length("query") >= 2).select("query").distinct().select(
-        "query", F.explode(tokens_of(F.col("query"))).alias("token"))
-    hits = asked.join(weights, "token").join(post, "token").groupBy("query", "category", "code").agg(
-        (F.floor(F.sum("idf") * 1e6 + 0.5) / 1e6).alias("score"))
-    order = [F.desc("score"), F.asc("code")]
-    top = head_per_key(hits, ["query", "category"], order, per_category)
-    return head_per_key(top, ["query"], [F.desc("score"), F.asc("category"), F.asc("code")], k, "rank")
+    asked = queries.where(F.length("query") >= 2).select("query").distinct().select("query", F.explode(tokens_of(F.col("query"))).alias("token"))
+    bags = asked.join(weights, "token").groupBy("query").agg(F.reverse(F.array_sort(F.collect_list(F.struct("idf", "token")))).alias("w"))
+    bags = written(bags, "query-words")  # a query's words are few: they fit one row
+    whole = lambda c: F.floor(c * 1e6 + 0.5) / 1e6
+    order = [F.desc("score"), F.asc("category"), F.asc("code")]
+
+    single = bags.where(F.size("w") == 1).select("query", F.col("w")[0]["token"].alias("token"), whole(F.col("w")[0]["idf"]).alias("score"))
+    heads = head_per_key(post.join(single.select("token").distinct(), "token", "left_semi"), ["token", "category"], [F.asc("code")], per_category)
+    found = single.join(heads, "token").select("query", "category", "code", "score")
+
+    several = bags.where(F.size("w") > 1)
+    per_entry = post.groupBy("category", "code").agg(F.collect_set("token").alias("entry_words"))
+
+    def scored(probes: DataFrame) -> DataFrame:
+        hits = probes.join(post, "token").select("query", "category", "code").distinct()
+        hits = hits.join(several.select("query", "w"), "query").join(per_entry, ["category", "code"])
+        hits = hits.select("query", "category", "code", whole(_shared("entry_words")).alias("score"))
+        return head_per_key(hits, ["query", "category"], [F.desc("score"), F.asc("code")], per_category)
+
+    rarest = scored(several.select("query", F.col("w")[0]["token"].alias("token")))
+    reached = head_per_key(rarest, ["query"], order, k, "rank").where(F.col("rank") == k).select("query", F.col("score").alias("least"))
+    least = F.coalesce("least", F.lit(0.0)) - 2e-6
+    needed = F.filter(F.transform("w", lambda x, i: F.struct(x["token"].alias("token"), _rest(i).alias("rest"))), lambda x: x["rest"] >= least)
+    probes = several.join(written(reached, "reached"), "query", "left").select("query", F.explode(F.transform(needed, lambda x: x["token"])).alias("token"))
+    return head_per_key(found.unionByName(scored(probes)), ["query"], order, k, "rank")
 
 
 def normalise_fields(cells: DataFrame, entries: DataFrame) -> DataFrame:
@@ -226,6 +258,7 @@ def normalise_fields(cells: DataFrame, entries: DataFrame) -> DataFrame:
 
     Only the words a match above 0.5 cannot do without (the rarest ones, up to
     half the weight) fetch candidates, so frequent words never list their entries.
+    A value of one word takes the first entry that has it, found once for each word.
     """
     pairs = cells.where(F.length(F.trim("value")) >= 2).select("value", "category").distinct()
     n = entries.agg(F.count(F.lit(1))).scalar()
@@ -238,16 +271,19 @@ def normalise_fields(cells: DataFrame, entries: DataFrame) -> DataFrame:
     bag = words.groupBy("value", "category").agg(w.alias("w")).withColumn(
         "total", F.aggregate("w", F.lit(0.0), lambda s, x: s + x["idf"]))
     # words in falling weight; the tail that starts at or below half the weight cannot carry a match
-    left_after = lambda i: F.aggregate(F.slice("w", i + 1, F.size("w")), F.lit(0.0), lambda s, x: s + x["idf"])
-    needed = F.filter(F.transform("w", lambda x, i: F.struct(x["token"].alias("token"), left_after(i).alias("rest"))),
+    needed = F.filter(F.transform("w", lambda x, i: F.struct(x["token"].alias("token"), _rest(i).alias("rest"))),
                       lambda x: x["rest"] * 2 >= F.col("total") * 0.999999)
+    bag = written(bag, "value-words")
+    single, bag = bag.where(F.size("w") == 1), bag.where(F.size("w") > 1)
+    firsts = post.groupBy("category", "token").agg(F.min("code").alias("code"))
+    single = single.select("value", "category", F.col("w")[0]["token"].alias("token")).join(firsts, ["category", "token"])
+    single = single.select("value", "category", "code", F.lit(1.0).alias("dict_score"))
     probes = bag.select("value", "category", F.explode(F.transform(needed, lambda x: x["token"])).alias("token"))
     candidates = probes.join(post, ["category", "token"]).select("value", "category", "code").distinct()
     per_entry = entries.select("category", "code", tokens_of(F.col("name")).alias("entry_words"))
     scored = candidates.join(bag, ["value", "category"]).join(per_entry, ["category", "code"])
-    shared = F.aggregate(F.filter("w", lambda x: F.array_contains("entry_words", x["token"])), F.lit(0.0), lambda s, x: s + x["idf"])
-    scored = scored.select("value", "category", "code", (F.floor(shared / F.col("total") * 1e6 + 0.5) / 1e6).alias("dict_score"))
-    best = pick_first(scored.where(F.col("dict_score") > ACCEPT_SEARCH), ["value", "category"],
+    scored = scored.select("value", "category", "code", (F.floor(_shared("entry_words") / F.col("total") * 1e6 + 0.5) / 1e6).alias("dict_score"))
+    best = pick_first(scored.unionByName(single).where(F.col("dict_score") > ACCEPT_SEARCH), ["value", "category"],
                       [-F.col("dict_score"), F.col("code")], ["code", "dict_score"])
     out = cells.join(best, ["value", "category"], "left")
     return out.select(*[c for c in cells.columns if c != "value"], F.col("value").alias("raw_value"),
@@ -306,7 +342,8 @@ def locate_values(cells: DataFrame, words: DataFrame) -> DataFrame:
     pairs = containing_pairs(cells, words)
     # of equal words on one page only the first can be the answer
     firsts = words.groupBy("doc_id", "word", "page_no").agg(F.min("start").alias("start"))
-    hits = cells.join(pairs, "value").join(firsts, ["doc_id", "word"])
+    # a document's own words say which pairs it can have
+    hits = firsts.join(pairs, "word").join(cells, ["doc_id", "value"])
     return pick_first(hits, ["cell_id", "doc_id"],
                       [F.col("page_no") != F.col("page"), F.col("page_no"), F.col("tier"), F.col("start")],
                       ["value", "word", "page_no", "start", "tier"])

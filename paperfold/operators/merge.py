@@ -68,3 +68,14 @@ def chunk_accounting(results: DataFrame, doc: str = "doc_id") -> DataFrame:
         F.count(F.lit(1)).alias("total_chunks"), ok.alias("successful_chunks"),
         (F.floor(ok * 1000 / F.count(F.lit(1)) + 0.5) / 1000).alias("success_ratio"),
     )
+
+
+def chunk_errors(results: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, chunk_index, error) of the chunks that failed; an error without a message says so.  Rows, so there may be any number."""
+    return results.where(~F.col("success")).select(doc, "chunk_index", F.coalesce("error", F.lit("Unknown Error")).alias("error"))
+
+
+def field_sources(results: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, field_key, chunk_index) of the chunk that each merged value comes from; fields without a value have none."""
+    merged = best_confidence(results.where("success"), (doc, "field_key"))
+    return merged.where(F.col("value").isNotNull()).select(doc, "field_key", "chunk_index")

@@ -164,3 +164,20 @@ def with_default_flags(flags: Column, defaults: Mapping[str, bool]) -> Column:
 def migrate_status(c: Column, legacy: Mapping[str, str]) -> Column:
     known = F.create_map(*[F.lit(x) for kv in legacy.items() for x in kv])
     return F.coalesce(F.try_element_at(known, c), c)
+
+
+def jobs_to_logs(logs: DataFrame, jobs: DataFrame, done: str = "confirmed", status: str = "success") -> DataFrame:
+    """Logs after the confirmed jobs have become logs (log_id, owner, status, data).
+
+    ``jobs(job_id, original_log_id, owner, status, data, updated_at)``.  A job that repeated a log sets its status and data,
+    the latest one where there are several; one whose log is gone changes nothing; a job of its own becomes a log, unless
+    there is one of its name.
+    """
+    confirmed = jobs.where(F.col("status") == done)
+    again = pick_last(confirmed.where(F.col("original_log_id").isNotNull()), ["original_log_id"], ["updated_at", "job_id"], ["data"])
+    again = again.select(F.col("original_log_id").alias("__id"), F.col("data").alias("__data"))
+    seen = F.col("__id").isNotNull()
+    updated = logs.join(again, F.col("log_id") == F.col("__id"), "left").select(
+        "log_id", "owner", F.when(seen, status).otherwise(F.col("status")).alias("status"), F.when(seen, F.col("__data")).otherwise(F.col("data")).alias("data"))
+    new = confirmed.where(F.col("original_log_id").isNull()).select(F.col("job_id").alias("log_id"), "owner", F.lit(status).alias("status"), "data")
+    return updated.unionByName(new.join(logs.select("log_id"), "log_id", "left_anti"))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
+import regex
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,7 +101,9 @@ def run_extractor(chunks: DataFrame, extractor: Extractor, schema: str | T.Struc
     return chunks.mapInPandas(extractor, schema)
 
 
-PAIR = re.compile(r"(\w[\w ]{0,30}?)\s*[:=]\s*(\S[^\n.;]{0,80})")
+# a key of words, a colon or equals sign, and the value up to the end of its line or sentence, however long
+PAIR_TEXT = r"([\p{L}\p{N}_][\p{L}\p{N}_ ]*?)[ \t\r\n]*[:=][ \t\r\n]*([^ \t\r\n][^\n.;]*)"
+PAIR = regex.compile(PAIR_TEXT)
 PAIR_SCHEMA = "doc_id bigint, chunk_index bigint, field_key string, value string, confidence double"
 
 
@@ -108,7 +111,7 @@ def key_value_extractor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
     """Stand-in for the model call: ``key: value`` pairs of a chunk."""
     for batch in batches:
         rows = [
-            (doc, chunk, key.strip().lower(), value.strip(), 0.7)
+            (doc, chunk, key.strip(" ").lower(), value.strip(" "), 0.7)
             for doc, chunk, text in zip(batch["doc_id"], batch["chunk_index"], batch["content"])
             for key, value in PAIR.findall(text or "")
         ]

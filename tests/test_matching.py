@@ -1,5 +1,6 @@
 """Similarity goldens and exactness of the candidate keys against all-pairs scoring."""
 
+import math
 import random
 
 import numpy as np
@@ -203,3 +204,27 @@ def test_partial_ratio_skips_no_window():
         cuts = [long[max(0, i):i + len(short)] for i in range(1 - len(short), len(long))]
         best = max(200 * slow_lcs(short, x) / (len(short) + len(x)) for x in cuts)
         assert abs(sim.exact_partial_ratio(a, b) - best) < 1e-9, (a, b)
+
+
+def test_search_with_words_that_all_entries_have(spark):
+    """Score bounds leave out nothing: against all entries of all queries, ties and one-word queries included."""
+    rnd = random.Random(12)
+    vocabulary = ["port", "of"] + [f"w{i}" for i in range(25)]
+    entries = [(rnd.choice("xyz"), f"c{i:03d}", " ".join(["Port", "of", *rnd.sample(vocabulary[2:], rnd.choice([0, 1, 2, 4]))])) for i in range(150)]
+    queries = ["port", "of port", "w3", "nothing", "port w1 w2", "w1 w2 w3 w4 of", "of w24 nothing", "w5 port of w5"] + [" ".join(rnd.sample(vocabulary, 3)) for _ in range(20)]
+    df = {c: len({e[1] for e in entries if c in e[2].lower().split()}) for c in vocabulary}
+    weight = {c: math.log1p(len(entries) / n) for c, n in df.items() if n}
+    want = set()
+    for q in set(queries):
+        scores = [(-math.floor(sum(weight[t] for t in set(q.split()) & set(name.lower().split())) * 1e6 + 0.5) / 1e6, cat, code) for cat, code, name in entries]
+        top = [s for c in "xyz" for s in sorted(s for s in scores if s[1] == c and s[0] < 0)[:3]]
+        want |= {(q, cat, code, -score, rank) for rank, (score, cat, code) in enumerate(sorted(top)[:5], 1)}
+    got = fuzzy.search_dictionary(spark.createDataFrame([(q,) for q in queries], "query string"), spark.createDataFrame(entries, "category string, code string, name string"), 3, 5)
+    assert {(r.query, r.category, r.code, r.score, r["rank"]) for r in got.collect()} == want
+
+
+def test_one_word_values_take_the_first_entry(spark):
+    entries = [("x", "b", "port of busan"), ("x", "a", "port of inchon"), ("y", "c", "port")]
+    cells = [(1, "Port", "x"), (2, "PORT!", "y"), (3, "busan", "x"), (4, "q", "x"), (5, "unknown", "x"), (6, "port busan", "x"), (7, None, "x")]
+    got = fuzzy.normalise_fields(spark.createDataFrame(cells, "id int, value string, category string"), spark.createDataFrame(entries, "category string, code string, name string"))
+    assert {r.id: (r.normalized_code, r.dict_score) for r in got.collect()} == {1: ("a", 1.0), 2: ("c", 1.0), 3: ("b", 1.0), 4: (None, 0.0), 5: (None, 0.0), 6: ("b", 1.0), 7: (None, 0.0)}
