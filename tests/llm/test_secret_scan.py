@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+import time
 
 from paperfold.llm import secret_scan as scan
 from paperfold.llm.queries import QUERIES
@@ -42,15 +45,72 @@ def test_costs():
         assert cost(strong) > scan.LEAST_LOG10, strong
 
 
-def test_cost_is_the_least(spark):
-    """Dynamic programming against all segmentations, with the single parts priced by the operator itself."""
-    for value in ("pass12", "abcxyz", "aab2020", "qwe111"):
-        parts = [[value[i:j] for i, j in zip((0, *cut), (*cut, len(value)), strict=True)] for cut in _cuts(len(value))]
-        assert abs(scan.guess_cost(value) - min(sum(scan.guess_cost(p) for p in ps) for ps in parts)) < 1e-9
-
-
-def _cuts(n):
-    return [tuple(k for k in range(1, n) if mask >> (k - 1) & 1) for mask in range(1 << (n - 1))]
+def price(value, i, j, ranks):
+    """Cost of value[i:j] as a single part, worked out anew; infinite if it is none."""
+    text, costs = value[i:j], [math.inf]
+    lower, way = text.lower(), math.log10(2)
+    one = lambda c: 1 if c in "0123456789" else math.log10(26) if c.lower() in "abcdefghijklmnopqrstuvwxyz" else math.log10(33)
+    if len(text) == 1:
+        costs.append(one(text))
+    capitals = sum(c != c.lower() for c in text)
+    for plain, extra in ((lower, 0), ("".join(dict(zip("013457@$!", "oieastasi", strict=True)).get(c, c) for c in lower), 0.5)):
+        if plain in ranks and len(plain) > 2:
+            costs.append(way + math.log10(ranks[plain] + 1) + extra + (0.3 if capitals in (1, len(text)) else 0.3 * capitals))
+    if re.fullmatch(r"(19|20)[0-9]{2}", text):
+        costs.append(way + math.log10(120))
+    if re.fullmatch(r"(19|20)\d\d(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])", text):
+        costs.append(way + math.log10(365 * 120) + 0.3)
+    steps = [next((1 if row.index(b) > row.index(a) else -1 for row in scan.KEY_ROWS if a in row and b in row and abs(row.index(a) - row.index(b)) == 1), 0) for a, b in zip(lower, lower[1:], strict=False)]
+    if len(text) > 2 and all(steps):
+        ups = [b > a for a, b in zip(lower, lower[1:], strict=False)]
+        costs.append(way + math.log10(47 * len(text)) + 0.6 * sum(x != y for x, y in zip(ups, ups[1:], strict=False)))
+    farthest = 0
+    for size in range(1, len(value)):
+        count = 1
+        while value[i + size * count : i + size * (count + 1)] == value[i : i + size] and i + size * (count + 1) <= len(value):
+            count += 1
+        if count > 1 and i + size * count > farthest:
+            farthest = i + size * count
+            if farthest == j:
+                costs.append(way + sum(map(one, value[i : i + size])) + math.log10(count))
+    return min(costs)
+
+
+def test_cost_is_the_least():
+    """Against all ways to cut a value, each part priced on its own."""
+    rnd, ranks = random.Random(6), scan.ranked_words(["required", "yesterday", "abcq"])
+    values = ["pass12", "abcxyz", "aab2020", "xxk7qxxk7q", "P4ssword1", "qweewq", "19991231x", "aAbaAbaA", "zzzzzzzzzz", "requiredRQ", "321qwert", "q" + "ab" * 5]
+    values += ["".join(rnd.choice("aqwe12Xpas") for _ in range(rnd.randrange(1, 11))) for _ in range(60)]
+    for value in values:
+        best = [0.0]
+        for j in range(1, len(value) + 1):
+            best.append(min(best[i] + price(value, i, j, ranks) for i in range(j)))
+        assert abs(scan.guess_cost(value, ranks, 9) - best[-1]) < 1e-9, value
+
+
+def test_words_of_the_corpus(spark):
+    """Words that documents use are cheap; what only stands as a credential's value is no word."""
+    prose = ["The description is required, correct as of yesterday.", "a horse with a battery needs a description: it is required yesterday!", "no description, none required", "correct horse battery", "token: zkqvwmxp", "token=zkqvwmxp x"]
+    odd = ["password: required", "secret: yesterday", "token: description", "passphrase: correct horse battery", "Authorization: Bearer 8f3KqZ0pLm2xV7tR9w", "the bearer 8f3KqZ0pLm2xV7tR9w", "the bearer of news",
+           "auth: basic dXNlcjpwYXNzd29yZA==", "token: zkqvwmxp"]
+    rows = [(k, t) for k, t in enumerate([*odd, *prose, None, ""])]
+    words = scan.frequent_words(table(spark, rows))
+    assert set(words) >= {"description", "required", "yesterday", "correct", "horse", "battery"} and "zkqvwmxp" not in words
+    got = {r.doc_id: [t["kind"] for t in r.spans] for r in scan.scan(table(spark, rows)).collect()}
+    guessed = [odd[k] for k in range(len(odd)) if "guess" in got[k]]
+    assert guessed == [odd[4], odd[5], odd[7], odd[8]]
+    for k in (4, 5):
+        (span,) = [s for s in scan.spans(odd[k], ranks=scan.ranked_words(words)) if s[2] == "guess"]
+        assert odd[k][span[0] : span[1]] == "8f3KqZ0pLm2xV7tR9w"
+    assert scan.guess_cost("xxk7qxxk7q") < 8 and scan.frequent_words(table(spark, [])) == []
+
+
+def test_long_values():
+    t = time.process_time()
+    assert scan.guess_cost("ab" * 10_000) < 8 and scan.guess_cost("qw" * 5_000 + "x1") < 10 and scan.guess_cost("a" * 20_000) < 7
+    value = "".join(random.Random(2).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=4_000))
+    assert scan.guess_cost(value * 2) < sum(map(scan._one, value)) + 1
+    assert time.process_time() - t < 60
 
 
 def test_guess_spans(spark):
