@@ -8,6 +8,7 @@ from paperfold.catalog.reports import LKEY, ORD, SQL_LINES, SQL_RESULTS
 from paperfold.catalog.scalars import PRICE_TEXT, SHAPE, SQL_WORDS, price_text
 from paperfold.functions import status as st
 from paperfold.functions import text as tx
+from paperfold.functions.boxes import box_text
 from paperfold.operators import chunking as ch
 from paperfold.operators import expand, nested, record, sheets, spans
 from paperfold.operators import tables_text as tt
@@ -219,7 +220,7 @@ n AS (SELECT *, trim(regexp_replace(v, '[,₩$원]', '', 'g')) AS bare, (o_order
  CASE WHEN o_orderkey % 2 = 0 THEN 200 WHEN o_orderkey % 100 > 80 THEN 612 ELSE 100 END::DOUBLE AS w, CASE WHEN o_orderkey % 2 = 0 THEN 400 WHEN o_orderkey % 100 > 80 THEN 792 ELSE 100 END::DOUBLE AS h FROM c)
 SELECT o_orderkey, field_key, CASE WHEN field_key = 'amount' AND regexp_matches(bare, '{SHAPE}') THEN CAST(to_json(TRY_CAST(bare AS DOUBLE)) AS VARCHAR) ELSE CAST(to_json(v) AS VARCHAR) END AS value, v AS original_value,
  CASE WHEN field_key = 'ghost' OR v IS NULL THEN 0.0 ELSE 0.9 END::DOUBLE AS confidence, CASE WHEN field_key = 'ghost' OR v IS NULL THEN NULL ELSE 1 END AS page_number,
- CASE WHEN field_key <> 'ghost' AND v IS NOT NULL THEN list_transform([[x, w], [10, h], [x + 20, w], [30, h]], lambda e: floor(e[1] / e[2] * 100.0::DOUBLE * 1000 + 0.5)::BIGINT::VARCHAR) END AS bbox,
+ CASE WHEN field_key <> 'ghost' AND v IS NOT NULL THEN array_to_string(list_transform([[x, w], [10, h], [x + 20, w], [30, h]], lambda e: floor(e[1] / e[2] * 100.0::DOUBLE * 1000 + 0.5)::BIGINT::VARCHAR), ',') END AS bbox,
  CASE field_key WHEN 'amount' THEN CASE WHEN regexp_matches(bare, '{SHAPE}') THEN 'valid' ELSE 'error_type_mismatch' END
   WHEN 'priority' THEN CASE WHEN v IS NULL THEN 'error_missing_required' WHEN regexp_matches(v, '^(?:[1-3]-)') THEN 'valid' ELSE 'error_format_invalid' END
   WHEN 'day' THEN CASE WHEN length(v) < 6 THEN 'error_date_format' ELSE 'valid' END ELSE 'valid' END AS validation_status FROM n""")
@@ -232,7 +233,7 @@ def canonical_record(t):
     cells = cells.withColumns({"confidence": F.lit(0.9), "page_number": F.lit(1), "bbox": F.array(x, F.lit(10.0), x + 20, F.lit(30.0))})
     pages = t.orders.where(k % 2 == 0).select("o_orderkey", F.lit(1).alias("page_number"), F.lit(200.0).alias("width"), F.lit(400.0).alias("height"))
     out = record.canonical_record(t.orders.select("o_orderkey"), "o_orderkey", cells, FIELDS, pages)
-    return out.withColumn("value", F.to_json("value")).withColumn("bbox", F.transform("bbox", lambda v: F.floor(v * 1000 + 0.5).cast("string")))
+    return out.withColumn("value", F.to_json("value")).withColumn("bbox", box_text(F.col("bbox")))
 
 
 @query("e16_unmapped_split", sql=f"""WITH {SQL_RESULTS}
