@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperfold.llm.common import map_texts
+from paperfold.llm.common import map_texts, table
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -72,7 +72,9 @@ def frequent_words(docs: DataFrame, most: int = WORDS) -> list[str]:
     """The words that most documents use, counted over all whole texts; words of one document are left out."""
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(_PROSE), F.lit(0)))).alias("word"))
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    # written first: each task's candidates go to one task, and only the words that are left to the driver
+    first = table(counted.orderBy(F.desc("n"), "word").limit(most), "frequent-words")
+    return [r["word"] for r in first.orderBy(F.desc("n"), "word").collect()]
 
 
 def ranked_words(words: list[str]) -> dict[str, int]:
