@@ -60,40 +60,3 @@ def split_with_offsets(df: DataFrame, text: str, keep: Sequence[str], sep: str,
                 yield out.filter(pc.not_equal(pieces, "")) if skip_empty else out
 
     return df.select(*keep, text).mapInArrow(run, schema)
-
-
-CODE_BITS = 21  # a character's code point; three fit one signed 64-bit number
-
-
-def text_grams(df: DataFrame, text: str, keep: Sequence[str], sizes: Sequence[int]) -> DataFrame:
-    """Distinct character grams of each row's text as numbers (``gram``), for sizes of up to three.
-
-    Equal numbers are equal grams; a text that is one gram long gives just its
-    own number.  Whole batches are handled by array arithmetic.
-    """
-    schema = T.StructType([df.schema[k] for k in keep]).add("gram", T.LongType())
-    names, sizes = schema.fieldNames(), sorted(sizes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_PER_SLICE):
-                part = batch.slice(at, ROWS_PER_SLICE)
-                texts = [x or "" for x in part.column(len(keep)).to_pylist()]
-                codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-                parent = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
-                rows, grams = [], []
-                for g in sizes:
-                    n = len(codes) - g + 1
-                    if n <= 0:
-                        continue
-                    inside = parent[:n] == parent[g - 1:]
-                    number = sum(codes[j:n + j] << (CODE_BITS * j) for j in range(g))
-                    rows.append(parent[:n][inside])
-                    grams.append(number[inside])
-                if not rows:
-                    continue
-                pairs = np.unique(np.stack([np.concatenate(rows), np.concatenate(grams)]), axis=1)
-                pick = pa.array(pairs[0])
-                yield pa.RecordBatch.from_arrays([*[part.column(i).take(pick) for i in range(len(keep))], pa.array(pairs[1])], names=names)
-
-    return df.select(*keep, text).mapInArrow(run, schema)

@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperfold.functions.pieces import CODE_BITS, text_grams
 from paperfold.functions.similarity import lcs_of, normal, partial_ratio_from, ratio_float_udf, ratio_udf, token_set_ratios
 from paperfold.operators.filters import worth_matching
 from paperfold.plans.pick import head_per_key, pick_first
@@ -391,64 +390,26 @@ def locate_fuzzy(cells: DataFrame, words: DataFrame, least: int = ACCEPT_WORD) -
 
 # Thresholds of both passes, bonus for the asked page, score that ends the search.
 STRICT, LENIENT, PAGE_BONUS, ENOUGH = 95, 85, 5, 98
-PASSAGE_GRAM = 3
-
-
-def _pieces(df: DataFrame, text: str, rate: float) -> DataFrame:
-    """Replace ``text`` by its cuts (``gram``), one more than the characters that may stay unmatched.
-
-    Lengths and characters are columns of their own, so cutting is linear in the text.
-    """
-    keep = [c for c in df.columns if c != text]
-    out = df.select(*keep, F.split(text, "").alias("__c"), F.length(text).alias("__n"))
-    unmatched = F.floor(F.col("__n") * rate + 1e-9).cast("int")
-    out = out.withColumn("__k", F.greatest(F.lit(1), F.least(unmatched + 1, F.col("__n"))))
-    cut = lambda i: F.floor(F.col("__n") * i.cast("bigint") / F.col("__k")).cast("int")
-
-    def piece(i: Column) -> Column:
-        start, size = cut(i), cut(i + 1) - cut(i)
-        tail = [F.when(size > j, F.get("__c", start + j)).otherwise("") for j in range(1, PASSAGE_GRAM)]
-        return F.concat(F.get("__c", start), *tail)
-
-    cuts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("__k") - 1), piece))
-    return out.select(*keep, F.explode(cuts).alias("gram"))
-
-
-def _gram_number(c: Column) -> Column:
-    """A gram of up to three characters as the number :func:`text_grams` gives it."""
-    code = lambda j: F.coalesce(F.ascii(F.substring(c, j + 1, 1)).cast("bigint"), F.lit(0))
-    return code(0) + F.shiftleft(code(1), CODE_BITS) + F.shiftleft(code(2), 2 * CODE_BITS)
-
-
-def _probe(pieces: DataFrame, other: DataFrame, text: str, pair: list[str]) -> DataFrame:
-    """Pairs of one document where a piece stands in the other text.  Only lengths that occur are listed."""
-    sizes = [r[0] for r in pieces.select(F.length("gram")).distinct().collect()] or [1]  # at most three rows
-    grams = text_grams(other, text, [c for c in other.columns if c != text], sizes)
-    return pieces.withColumn("gram", _gram_number(F.col("gram"))).join(grams, ["doc_id", "gram"]).select(*pair).distinct()
 
 
 def passage_candidates(targets: DataFrame, refs: DataFrame, share: float, partial: bool) -> DataFrame:
     """(target_id, doc_id, ref_no) of every pair that can reach a score of ``share``.
 
-    ``targets(target_id, doc_id, t)``, ``refs(doc_id, ref_no, r)``.  A whole
-    ratio leaves at most 2m(1 - s)/s characters unmatched; a partial one at most
-    2m(1 - s) of the shorter text, whose pieces are looked for in the longer.
+    ``targets(target_id, doc_id, t, page)``, ``refs(doc_id, ref_no, page_no, r)``.  A whole ratio is bounded by the
+    lengths; a partial one is not, and a passage meets nearly all lines of its document.  Both sides are dealt out by
+    document and joined in order: texts repeat, so their files say little about the memory they need, and a table
+    that looks small on disk must not be sent to every task.
     """
-    pair = ["target_id", "doc_id", "ref_no"]
-    rate = 2 * (1 - share) if partial else 2 * (1 - share) / share
-    t_pieces = _pieces(targets.select("target_id", "doc_id", "t"), "t", rate)
-    found = _probe(t_pieces, refs.select("doc_id", "ref_no", "r"), "r", pair)
-    if not partial:
-        return found
-    r_pieces = _pieces(refs.select("doc_id", "ref_no", "r"), "r", rate)
-    return found.unionByName(_probe(r_pieces, targets.select("target_id", "doc_id", "t"), "t", pair)).distinct()
+    both = targets.hint("merge").join(refs, "doc_id").where(F.col("page").isNull() | (F.col("page") == F.col("page_no")))
+    if partial:
+        return both
+    m, n = F.length("t"), F.length("r")
+    return both.where(F.least(m, n) * 2 >= (m + n) * (share - 1e-9))
 
 
 def _pass(targets: DataFrame, refs: DataFrame, least: int, partial: bool) -> DataFrame:
     share = (least - PAGE_BONUS) / 100
-    pairs = passage_candidates(targets, refs, share, partial)
-    both = pairs.join(targets, ["target_id", "doc_id"]).join(refs, ["doc_id", "ref_no"])
-    both = both.where(F.col("page").isNull() | (F.col("page") == F.col("page_no")))
+    both = passage_candidates(targets, refs, share, partial)
     scorer = partial_ratio_from(least - PAGE_BONUS) if partial else ratio_float_udf
     both = both.withColumn("score", scorer("t", "r"))
     both = both.withColumn("score", F.when(F.col("page").isNotNull(), F.least(F.col("score") + PAGE_BONUS, F.lit(100.0))).otherwise(F.col("score")))
