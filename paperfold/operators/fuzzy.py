@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperfold.functions.similarity import lcs_of, normal, partial_ratio_from, ratio_float_udf, ratio_udf, token_set_ratios
 from paperfold.operators.filters import worth_matching
@@ -333,16 +336,76 @@ def containing_pairs(values: DataFrame, words: DataFrame) -> DataFrame:
     return equal.unionByName(inside).unionByName(around)
 
 
+LINES_PER_BLOCK, CHARS_PER_BLOCK = 4, 1 << 11
+
+
+class _Asked:
+    """A document's values with everything that a word must be to match one."""
+
+    def __init__(self, values: list[str]) -> None:
+        self.values = set(values)
+        self.sizes = sorted({len(v) for v in self.values if v})
+        self.parts: dict[str, list[str]] = defaultdict(list)
+        for v in self.values:
+            for part in {v[i:j] for i in range(len(v)) for j in range(i + 2, len(v) + 1)}:
+                self.parts[part].append(v)
+
+    def matches(self, word: str) -> set[str]:
+        """Values that equal the word, stand in it or, if it has two characters or more, contain it."""
+        if len(word) < 2:
+            return {word} & self.values
+        inside = {word[i:i + n] for n in self.sizes if n <= len(word) for i in range(len(word) - n + 1)}
+        return (inside & self.values).union(self.parts.get(word, ()))
+
+
+def _best_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Best word of each block of a document's words for each of its values and asked pages."""
+    last, asked = None, None
+    for batch in batches:
+        doc_id, cells, words = (batch.column(k) for k in range(3))
+        parents, rows = [], []
+        for k in range(batch.num_rows):
+            wanted = list(zip(*(c.to_pylist() for c in cells[k].values.flatten()), strict=True))
+            values = sorted({value for value, _ in wanted})
+            if values != last:
+                last, asked = values, _Asked(values)
+            best: dict[str, dict[int, tuple]] = defaultdict(dict)
+            known: dict[str, set[str]] = {}
+            for word, page_no, start in zip(*(c.to_pylist() for c in words[k].values.flatten()), strict=True):
+                if word not in known:
+                    known[word] = asked.matches(word)
+                for value in known[word]:
+                    place = (page_no, int(word != value), start, word)
+                    best[value][page_no] = min(best[value].get(page_no, place), place)
+            for value, page in wanted:
+                if value in best:
+                    page_no, tier, start, word = best[value].get(page) or min(best[value].values())
+                    parents.append(k)
+                    rows.append((value, page, word, page_no, start, tier))
+        columns = [[r[c] for r in rows] for c in range(6)]
+        kinds = [cells.type.value_type.field(0).type, cells.type.value_type.field(1).type,
+                 *(words.type.value_type.field(c).type for c in range(3)), pa.int32()]
+        arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([doc_id.take(pa.array(parents, pa.int64())), *arrays],
+                                         names=["doc_id", "value", "page", "word", "page_no", "start", "tier"])
+
+
 def locate_values(cells: DataFrame, words: DataFrame) -> DataFrame:
     """Best word for each cell (cell_id, doc_id, value, page): proposed page, page order, tier, position.
 
     ``words(doc_id, page_no, start, word)``.
     """
-    pairs = containing_pairs(cells, words)
-    # of equal words on one page only the first can be the answer
-    firsts = words.groupBy("doc_id", "word", "page_no").agg(F.min("start").alias("start"))
-    # a document's own words say which pairs it can have
-    hits = firsts.join(pairs, "word").join(cells, ["doc_id", "value"])
+    asked = cells.where(F.col("value").isNotNull()).groupBy("doc_id").agg(F.collect_set(F.struct("value", "page")).alias("cells"))
+    block = [F.floor(F.col("page_no") / LINES_PER_BLOCK).alias("lines"), F.floor(F.col("start") / CHARS_PER_BLOCK).alias("chars")]
+    blocks = words.groupBy("doc_id", *block).agg(F.collect_list(F.struct("word", "page_no", "start")).alias("words"))
+    schema = T.StructType([words.schema["doc_id"], *(cells.schema[c] for c in ("value", "page")),
+                           *(words.schema[c] for c in ("word", "page_no", "start")), T.StructField("tier", T.IntegerType())])
+    found = blocks.hint("merge").join(asked, "doc_id").select("doc_id", "cells", "words").mapInArrow(_best_of_words, schema)
+    best = pick_first(found.withColumnRenamed("page", "__page"), ["doc_id", "value", "__page"],
+                      [F.col("page_no") != F.col("__page"), F.col("page_no"), F.col("tier"), F.col("start")],
+                      ["word", "page_no", "start", "tier"])
+    hits = cells.hint("merge").join(best.withColumnRenamed("doc_id", "__doc").withColumnRenamed("value", "__value"),
+                      (F.col("doc_id") == F.col("__doc")) & (F.col("value") == F.col("__value")) & F.col("page").eqNullSafe(F.col("__page")))
     return pick_first(hits, ["cell_id", "doc_id"],
                       [F.col("page_no") != F.col("page"), F.col("page_no"), F.col("tier"), F.col("start")],
                       ["value", "word", "page_no", "start", "tier"])

@@ -42,3 +42,24 @@ def test_passages_are_not_sent_to_every_task(spark, plan):
     pairs = lambda partial: {(r.target_id, r.ref_no) for r in fuzzy.passage_candidates(targets, refs, 0.9, partial).collect()}
     assert pairs(False) == {(1, 0), (2, 0)}
     assert pairs(True) == {(1, 0), (1, 1), (2, 0)}
+
+
+def test_words_meet_the_values_of_their_own_document(spark, plan):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 4)))
+    words, cells = [], []
+    for doc in range(12):
+        for page in range(7):
+            words += [(doc, page, 700 * k, word()) for k in range(6)]
+        cells += [(100 * doc + k, doc, word(), rng.choice([None, 0, 3, 9])) for k in range(5)]
+    w = spark.createDataFrame(words, "doc_id int, page_no int, start long, word string")
+    c = spark.createDataFrame(cells, "cell_id int, doc_id int, value string, page int")
+    assert "Join [word" not in plan(lambda: fuzzy.locate_values(c, w))
+    got = {r.cell_id: (r.page_no, r.start, r.word, r.tier) for r in fuzzy.locate_values(c, w).collect()}
+    expected = {}
+    for cell, doc, value, page in cells:
+        found = [((page is not None and p != page, p, int(x != value), s), (p, s, x, int(x != value))) for d, p, s, x in words
+                 if d == doc and (x == value or len(x) > 1 and (x in value or value in x))]
+        if found:
+            expected[cell] = min(found)[1]
+    assert got == expected
