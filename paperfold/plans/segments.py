@@ -12,6 +12,7 @@ give the same sequence as sorting by order alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -21,13 +22,14 @@ from pyspark.sql import functions as F
 from paperfold.sources.shared import written
 
 SEG, RANGE = "__seg", "__range"
+ROWS_PER_TASK = 1 << 19
 
 
 @dataclass(frozen=True)
 class Calc:
     """One ordered calculation: kind, input column, output name."""
 
-    kind: str  # row_number | prefix_sum | prefix_max | carry | lead | total
+    kind: str  # row_number | prefix_sum | prefix_max | carry | lead | total | peak
     name: str
     value: Column | None = None
 
@@ -61,25 +63,45 @@ def total(name: str, value: Column | None = None) -> Calc:
     return Calc("total", name, value)
 
 
+def peak(name: str, value: Column) -> Calc:
+    """Maximum of a value over the rows of the key."""
+    return Calc("peak", name, value)
+
+
+def tasks_for(df: DataFrame) -> int | None:
+    """How many partitions keep a task at some ROWS_PER_TASK rows; None where the session's number does."""
+    need = math.ceil(df.count() / ROWS_PER_TASK)
+    return need if need > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def segmented(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     segment: Sequence[Column],
     calcs: Sequence[Calc],
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Append the calculations to ``df``; no task ever holds a whole key."""
+    """Append the calculations to ``df``; no task ever holds a whole key.
+
+    Key and segment are one struct: it is never null and equal where its fields are equal or both null, so the rows stay
+    as the window has dealt and sorted them when they meet the summary.  ``tasks`` is the number of partitions, if not
+    the session's.
+    """
     keys = list(keys)
-    staged = df.withColumn(SEG, F.struct(*[c.alias(f"s{i}") for i, c in enumerate(segment)]))
+    parts = [*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[c.alias(f"s{i}") for i, c in enumerate(segment)]]
+    staged = df.withColumn(SEG, F.struct(*parts))
     for i, c in enumerate(calcs):
         if c.value is not None:
             staged = staged.withColumn(f"__v{i}", c.value)
     pos = F.struct(*order)
 
-    local = Window.partitionBy(*keys, SEG).orderBy(*order)
+    local = Window.partitionBy(SEG).orderBy(*order)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = staged
+    # what only the summary needs stays out of the rows' shuffle
+    out = staged.drop(*[f"__v{i}" for i, c in enumerate(calcs) if c.kind in ("total", "peak")])
+    out = out.repartition(tasks, SEG) if tasks else out
     aggs: list[Column] = []
     for i, c in enumerate(calcs):
         v, loc, agg = F.col(f"__v{i}"), f"__l{i}", f"__a{i}"
@@ -101,11 +123,14 @@ def segmented(
             aggs.append(F.min_by(F.struct(v.alias("v")), pos).alias(agg))
         elif c.kind == "total":
             aggs.append((F.count(F.lit(1)) if c.value is None else F.sum(v)).alias(agg))
+        elif c.kind == "peak":
+            aggs.append(F.max(v).alias(agg))
         else:
             raise ValueError(f"unknown calculation {c.kind}")
 
-    summary = staged.groupBy(*keys, SEG).agg(*aggs)
-    chain = Window.partitionBy(*keys).orderBy(SEG)
+    key = [f"__k{i}" for i in range(len(keys))]
+    summary = staged.groupBy(SEG).agg(*aggs).select("*", *[F.col(f"{SEG}.k{i}").alias(k) for i, k in enumerate(key)])
+    chain = Window.partitionBy(*key).orderBy(SEG)
     earlier = chain.rowsBetween(Window.unboundedPreceding, -1)
     for i, c in enumerate(calcs):
         a, p = F.col(f"__a{i}"), f"__p{i}"
@@ -118,17 +143,10 @@ def segmented(
         elif c.kind == "lead":
             summary = summary.withColumn(p, F.lead(a).over(chain))
         elif c.kind == "total":
-            summary = summary.withColumn(p, F.sum(a).over(Window.partitionBy(*keys)))
-    summary = summary.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col(SEG).alias("__kseg"),
-        *[f"__p{i}" for i in range(len(calcs))],
-    )
-
-    on = F.col(SEG) == F.col("__kseg")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = out.join(summary, on, "inner")
+            summary = summary.withColumn(p, F.sum(a).over(Window.partitionBy(*key)))
+        elif c.kind == "peak":
+            summary = summary.withColumn(p, F.max(a).over(Window.partitionBy(*key)))
+    joined = out.join(summary.select(SEG, *[f"__p{i}" for i in range(len(calcs))]), SEG)
     results = []
     for i, c in enumerate(calcs):
         loc, p = F.col(f"__l{i}"), F.col(f"__p{i}")
@@ -159,7 +177,7 @@ def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], calcs: Sequ
     each task, whatever the data.  The partitioned rows are written once: both passes must see the same ranges.
     """
     placed = written(df.repartitionByRange(*keys, *order).withColumn(RANGE, F.spark_partition_id()), "ranged")
-    return segmented(placed, keys, order, [F.col(RANGE)], calcs).drop(RANGE)
+    return segmented(placed, keys, order, [F.col(RANGE)], calcs, tasks_for(placed)).drop(RANGE)
 
 
 def ranged_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:

@@ -63,3 +63,11 @@ def test_words_meet_the_values_of_their_own_document(spark, plan):
         if found:
             expected[cell] = min(found)[1]
     assert got == expected
+
+
+def test_segments_deal_rows_out_once(spark, plan):
+    df = spark.createDataFrame([(1, 1), (None, 2), (None, 3)], "k int, at int")
+    calc = lambda: segments.segmented(df, ["k"], ["at"], [F.floor(F.col("at") / 2)], [segments.prefix_sum(F.col("at"), "s")])
+    # rows, summary by segment, summary by key, summary back to its segment
+    assert plan(calc).count("Exchange hashpartitioning") == 4
+    assert {(r.k, r.at, r.s) for r in calc().collect()} == {(1, 1, 0), (None, 2, 0), (None, 3, 2)}
