@@ -103,7 +103,8 @@ def run_extractor(chunks: DataFrame, extractor: Extractor, schema: str | T.Struc
 
 # a key of words, a colon or equals sign, and the value up to the end of its line or sentence, however long
 PAIR_TEXT = r"([\p{L}\p{N}_][\p{L}\p{N}_ ]*?)[ \t\r\n]*[:=][ \t\r\n]*([^ \t\r\n][^\n.;]*)"
-PAIR = regex.compile(PAIR_TEXT)
+# the same pairs in one pass: a run of key characters is taken whole, and so are the blanks after it, whether a pair follows or not
+PAIR = regex.compile(r"([\p{L}\p{N}_][\p{L}\p{N}_ ]*+)[ \t\r\n]*+(?:[:=][ \t\r\n]*+([^ \t\r\n][^\n.;]*+))?+")
 PAIR_SCHEMA = "doc_id bigint, chunk_index bigint, field_key string, value string, confidence double"
 
 
@@ -113,7 +114,9 @@ def key_value_extractor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
         rows = [
             (doc, chunk, key.strip(" ").lower(), value.strip(" "), 0.7)
             for doc, chunk, text in zip(batch["doc_id"], batch["chunk_index"], batch["content"])
-            for key, value in PAIR.findall(text or "")
+            if text and (":" in text or "=" in text)
+            for key, value in PAIR.findall(text)
+            if value
         ]
         yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "field_key", "value", "confidence"])
 

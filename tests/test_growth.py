@@ -76,6 +76,20 @@ def test_only_words_that_can_be_tagged_are_placed_among_claims(spark, folder, mo
     assert claims.join(t.documents, "doc_id", "left_anti").count() == 0
 
 
+def test_extractor_reads_a_text_once():
+    plain = regex.compile(rules.PAIR_TEXT)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab_é1  \t\r\n:=.;-") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    run = lambda texts: next(rules.key_value_extractor(iter([pd.DataFrame(
+        {"doc_id": range(len(texts)), "chunk_index": 0, "content": texts})])))
+    got = run(texts)
+    expected = [(n, k.strip(" ").lower(), v.strip(" ")) for n, text in enumerate(texts) for k, v in plain.findall(text)]
+    assert list(zip(got["doc_id"], got["field_key"], got["value"])) == expected
+    before = time.perf_counter()
+    assert run(["a " * 60_000 + ". key: v"])["value"].tolist() == ["v"]
+    assert time.perf_counter() - before < 5
+
+
 def test_segments_deal_rows_out_once(spark, plan):
     df = spark.createDataFrame([(1, 1), (None, 2), (None, 3)], "k int, at int")
     calc = lambda: segments.segmented(df, ["k"], ["at"], [F.floor(F.col("at") / 2)], [segments.prefix_sum(F.col("at"), "s")])
