@@ -393,7 +393,8 @@ def _best_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def locate_values(cells: DataFrame, words: DataFrame) -> DataFrame:
     """Best word for each cell (cell_id, doc_id, value, page): proposed page, page order, tier, position.
 
-    ``words(doc_id, page_no, start, word)``.
+    ``words(doc_id, page_no, start, word)``.  A word only meets the values of its own document: blocks of some lines are
+    compared with them one by one, and a block sends one word for each value and page, never the pairs.
     """
     asked = cells.where(F.col("value").isNotNull()).groupBy("doc_id").agg(F.collect_set(F.struct("value", "page")).alias("cells"))
     block = [F.floor(F.col("page_no") / LINES_PER_BLOCK).alias("lines"), F.floor(F.col("start") / CHARS_PER_BLOCK).alias("chars")]
@@ -414,24 +415,33 @@ def locate_values(cells: DataFrame, words: DataFrame) -> DataFrame:
 def similar_words(values: DataFrame, words: DataFrame, least: int = ACCEPT_WORD) -> DataFrame:
     """Distinct (value, word, score) with a ratio of at least ``least``, none missed.
 
-    A ratio r bounds the number of unmatched characters by d; of d + 1 pieces
-    of the value at least one stands unchanged in the word, shifted by at most
-    d.  Pieces and word grams meet in an equi join.
+    A ratio r bounds the number of unmatched characters by d, for each length
+    of a word; of d + 1 pieces of the value at least one stands unchanged in
+    the word, shifted by no more than what is unmatched before it.  Pieces and
+    the words' characters at these places meet in an equi join.
     """
     share = (least - 0.5) / 100  # scores are rounded
     v = values.select("value").distinct().where(F.length("value") > 0)
-    # d <= (1 - share) * (m + n) and n <= m + d  =>  d <= 2m (1 - share) / share
-    d = F.floor(F.length("value") * (2 * (1 - share) / share)).cast("int")
-    v = v.withColumn("d", d).withColumn("k", F.least(F.col("d") + 1, F.length("value")))
+    # a word of n characters leaves at most d of both unmatched, a number that is odd or even like m + n
+    m, n = F.length("value"), F.col("size")
+    reach = F.floor(m * (2 * (1 - share) / share)).cast("int") + 1
+    v = v.select("value", F.explode(F.sequence(F.greatest(F.lit(1), m - reach), m + reach)).alias("size"))
+    d = F.floor((m + n) * (1 - share) + 1e-9).cast("int")
+    v = v.withColumn("d", d - F.pmod(m + n - d, F.lit(2))).where(F.abs(m - n) <= F.col("d"))
+    v = v.withColumn("k", F.least(F.col("d") + 1, m))
     cut = lambda i: F.floor(F.length("value") * i / F.col("k")).cast("int")
     piece = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct(
         F.substring(F.col("value"), cut(i) + 1, F.least(cut(i + 1) - cut(i), F.lit(GRAM))).alias("gram"), (cut(i) + 1).alias("vat")))
-    pieces = v.select("value", "d", F.explode(piece).alias("p")).select("value", "d", "p.gram", "p.vat")
-    grams = _grams(words.select("word").distinct())
-    m, n = F.length("value"), F.length("word")
-    pairs = pieces.join(grams, "gram").where(
-        (F.abs(F.col("at") - F.col("vat")) <= F.col("d")) & (F.abs(m - n) <= (1 - share) * (m + n))
-    ).select("value", "word").distinct()
+    pieces = v.select("value", "size", "d", F.explode(piece).alias("p")).select("value", "size", "d", "p.gram", "p.vat")
+    # unmatched characters of the value before a piece move it back, those of the word move it on
+    first = F.greatest(F.lit(1), F.col("vat") - F.floor((F.col("d") + m - n) / 2).cast("int"))
+    last = F.least(n - F.length("gram") + 1, F.col("vat") + F.floor((F.col("d") + n - m) / 2).cast("int"))
+    spots = pieces.where(first <= last).select("value", "gram", "size", F.explode(F.sequence(first, last)).alias("at")).distinct()
+    spots = written(spots, "value-pieces")
+    probes = spots.select("size", "at", F.length("gram").alias("n")).distinct()
+    vocabulary = words.select("word").distinct().withColumn("size", F.length("word"))
+    grams = vocabulary.join(probes, "size").select("word", "size", "at", F.substr("word", "at", "n").alias("gram"))
+    pairs = spots.join(grams, ["gram", "size", "at"]).select("value", "word").distinct()
     return pairs.withColumn("score", ratio_udf("value", "word")).where(F.col("score") >= least)
 
 
@@ -443,8 +453,11 @@ def locate_fuzzy(cells: DataFrame, words: DataFrame, least: int = ACCEPT_WORD) -
     parts = F.filter(F.split(F.trim("source_text"), r"\s+"), lambda w: w != "")
     longest = F.aggregate(parts, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
     asked = cells.select("cell_id", "doc_id", longest.alias("value")).where(F.col("value") != "")
-    pages = words.groupBy("doc_id", "word", "page_no").agg(F.min("start").alias("start"))
-    hits = asked.join(similar_words(asked, words, least), "value").join(pages, ["doc_id", "word"])
+    pairs = written(similar_words(asked, words, least), "similar-words")
+    # only words that are like a value are placed
+    near = words.join(pairs.select("word").distinct(), "word", "left_semi")
+    pages = near.groupBy("doc_id", "word", "page_no").agg(F.min("start").alias("start"))
+    hits = asked.join(pairs, "value").join(pages, ["doc_id", "word"])
     return pick_first(hits, ["cell_id", "doc_id"], [-F.col("score"), F.col("page_no"), F.col("start")],
                       ["value", "word", "score", "page_no", "start"])
 
@@ -456,7 +469,7 @@ STRICT, LENIENT, PAGE_BONUS, ENOUGH = 95, 85, 5, 98
 
 
 def passage_candidates(targets: DataFrame, refs: DataFrame, share: float, partial: bool) -> DataFrame:
-    """(target_id, doc_id, ref_no) of every pair that can reach a score of ``share``.
+    """Pairs of one document that can reach a score of ``share``, with all columns of both sides.
 
     ``targets(target_id, doc_id, t, page)``, ``refs(doc_id, ref_no, page_no, r)``.  A whole ratio is bounded by the
     lengths; a partial one is not, and a passage meets nearly all lines of its document.  Both sides are dealt out by

@@ -90,6 +90,14 @@ def test_extractor_reads_a_text_once():
     assert time.perf_counter() - before < 5
 
 
+def test_similar_words_cut_only_what_is_asked(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "_grams", lambda words: pytest.fail("all pieces of all words"))
+    values = spark.createDataFrame([("extraction",), ("a",)], "value string")
+    words = spark.createDataFrame([("extractions",), ("extractoin",), ("ex",), ("a",), ("unrelated",)], "word string")
+    assert {(r.value, r.word) for r in fuzzy.similar_words(values, words).collect()} == {
+        ("extraction", "extractions"), ("extraction", "extractoin"), ("a", "a")}
+
+
 def test_segments_deal_rows_out_once(spark, plan):
     df = spark.createDataFrame([(1, 1), (None, 2), (None, 3)], "k int, at int")
     calc = lambda: segments.segmented(df, ["k"], ["at"], [F.floor(F.col("at") / 2)], [segments.prefix_sum(F.col("at"), "s")])
