@@ -53,15 +53,23 @@ def text_lines(rows: DataFrame, keys: Sequence[str], order: Sequence[str], heade
 
     Columns that are blank in all rows of a key are left out.  Lines stay rows, so a table may be of any length.
     """
-    cells = F.array(*[markdown_cell(F.trim(F.coalesce(F.col(h).cast("string"), F.lit("")))) for h in headers])
-    grid = ranged_numbers(rows.select(*dict.fromkeys([*keys, *order]), cells.alias("__c")), list(keys), list(order), "position")
-    used = grid.groupBy(*keys).agg(F.array(*[F.bool_or(F.get("__c", F.lit(i)) != "") for i in range(len(headers))]).alias("__u"))
+    texts = [markdown_cell(F.trim(F.coalesce(F.col(h).cast("string"), F.lit("")))) for h in headers]
+    grid = rows.select(*dict.fromkeys([*keys, *order]), F.array(*texts).alias("__c"))
+    used = [total(f"__u{i}", F.when(F.get("__c", F.lit(i)) != "", 1).otherwise(0)) for i in range(len(headers))]
+    grid = ranged(grid, list(keys), list(order), [row_number("position"), *used])
+    grid = grid.select(*keys, F.col("position").cast("bigint").alias("position"), "__c",
+                       F.array(*[F.col(f"__u{i}") > 0 for i in range(len(headers))]).alias("__u"))
     line = lambda values: F.concat(F.lit("| "), F.array_join(F.filter(values, lambda _, i: F.get("__u", i)), " | "), F.lit(" |"))
     dashes = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(F.filter("__u", lambda u: u))))
-    head = F.array(F.struct(F.lit(-1).cast("bigint").alias("position"), line(F.array(*[F.lit(h) for h in headers])).alias("line")),
-                   F.struct(F.lit(0).cast("bigint").alias("position"), dashes.alias("line")))
-    body = grid.join(used, list(keys)).select(*keys, F.col("position").cast("bigint").alias("position"), line(F.col("__c")).alias("line"))
-    return body.unionByName(used.select(*keys, F.inline(head)))
+    at = lambda position, text: F.struct(position.cast("bigint").alias("position"), text.alias("line"))
+    # the first row of a key also gives its header; a row without a key belongs to no table
+    head = F.when(F.col("position") == 1, F.array(at(F.lit(-1), line(F.array(*[F.lit(h) for h in headers]))), at(F.lit(0), dashes)))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    body = F.when(known, F.array(at(F.col("position"), line(F.col("__c")))))
+    none = F.array().cast("array<struct<position:bigint,line:string>>")
+    return grid.select(*keys, F.inline(F.concat(F.coalesce(head, none), F.coalesce(body, none))))
 
 
 def payload_cut(rows: DataFrame, sheet: str, order: Sequence[str]) -> DataFrame:

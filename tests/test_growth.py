@@ -98,6 +98,18 @@ def test_similar_words_cut_only_what_is_asked(spark, monkeypatch):
         ("extraction", "extractions"), ("extraction", "extractoin"), ("a", "a")}
 
 
+def test_tasks_grow_with_the_rows(spark, monkeypatch, plan):
+    monkeypatch.setattr(segments, "ROWS_PER_TASK", 20)
+    rows = [(k % 3, k, "x" if k % 3 else " ") for k in range(600)]
+    df = spark.createDataFrame(rows, "k int, id int, v string")
+    assert segments.tasks_for(df) == 30
+    out = tables_text.text_lines(df, ["k"], ["id"], ["id", "v"])
+    lines = {(r.k, r.position): r.line for r in out.collect()}
+    assert len(lines) == 606 and lines[0, 0] == "|---|" and lines[1, -1] == "| id | v |"
+    assert lines[1, 1] == "| 1 | x |" and lines[0, 200] == "| 597 |"
+    assert plan(lambda: tables_text.text_lines(df, ["k"], ["id"], ["id", "v"])).count("Join [") == 1
+
+
 def test_segments_deal_rows_out_once(spark, plan):
     df = spark.createDataFrame([(1, 1), (None, 2), (None, 3)], "k int, at int")
     calc = lambda: segments.segmented(df, ["k"], ["at"], [F.floor(F.col("at") / 2)], [segments.prefix_sum(F.col("at"), "s")])
