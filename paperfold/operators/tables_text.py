@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperfold.functions.text import is_entity, markdown_cell
 from paperfold.operators.spans import SPAN_BLOCK, text_gaps
-from paperfold.plans.segments import carry, numbered, prefix_max, ranged, ranged_numbers, row_number, segmented, total
+from paperfold.plans.segments import carry, numbered, peak, prefix_max, ranged, row_number, segmented, tasks_for, total
 from paperfold.sources.shared import written
 
 # Carry-forward columns and ratio, header region.
@@ -27,15 +27,17 @@ def carry_merged(cells: DataFrame, table: str, row: str, col: str, value: str) -
     cells = written(cells, "cells")
     filled = F.nullif(F.trim(F.coalesce(value, F.lit(""))), F.lit(""))
     data = F.col(row) > 0
-    stats = cells.where(F.col(col) < CARRY_COLUMNS).groupBy(table, col).agg(
-        F.max(row).alias("__rows"), F.count_if(data & filled.isNotNull()).alias("__full"),
-        F.count_if(data & filled.isNull()).alias("__empty"))
-    merged = stats.where((F.col("__rows") > 1) & (F.col("__full") > 0) & (F.col("__empty") > 0)
-                         & (F.col("__empty") >= CARRY_RATIO * F.col("__rows"))).select(table, col, F.lit(True).alias("__m"))
-    out = segmented(cells, [table, col], [row], [F.floor(F.col(row) / 256)], [carry(filled, "__up")])
-    out = out.join(merged, [table, col], "left")
-    new = F.when(F.col("__m") & data & filled.isNull(), F.coalesce("__up", value)).otherwise(F.col(value))
-    return out.select(*[c for c in cells.columns if c != value], new.alias(value))
+    looked_at = F.coalesce(F.col(col) < CARRY_COLUMNS, F.lit(False)) & F.col(table).isNotNull()
+    count = lambda c: F.when(c, 1).otherwise(0)
+    head = cells.where(looked_at)
+    out = segmented(head, [table, col], [row], [F.floor(F.col(row) / 256)], [
+        carry(filled, "__up"), peak("__rows", F.col(row)), total("__full", count(data & filled.isNotNull())),
+        total("__empty", count(data & filled.isNull()))], tasks_for(head))
+    merged = ((F.col("__rows") > 1) & (F.col("__full") > 0) & (F.col("__empty") > 0)
+              & (F.col("__empty") >= CARRY_RATIO * F.col("__rows")))
+    new = F.when(merged & data & filled.isNull(), F.coalesce("__up", value)).otherwise(F.col(value))
+    columns = [c for c in cells.columns if c != value]
+    return out.select(*columns, new.alias(value)).unionByName(cells.where(~looked_at).select(*columns, value))
 
 
 def fill_headers(cells: DataFrame, sheet: str, row: str, col: str, value: str) -> DataFrame:

@@ -110,6 +110,14 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch, plan):
     assert plan(lambda: tables_text.text_lines(df, ["k"], ["id"], ["id", "v"])).count("Join [") == 1
 
 
+def test_merged_cells_are_joined_once(spark, plan):
+    cells = spark.createDataFrame([(1, r, c, "v" if r == 1 else "") for r in range(4) for c in range(4)] + [(None, r, 0, "v" if r == 1 else "") for r in range(4)],
+                                  "t int, r int, c int, v string")
+    assert plan(lambda: tables_text.carry_merged(cells, "t", "r", "c", "v")).count("Join [") == 1
+    got = {(x.t, x.r, x.c): x.v for x in tables_text.carry_merged(cells, "t", "r", "c", "v").collect()}
+    assert [got[1, 3, c] for c in range(4)] == ["v", "v", "v", ""] and got[None, 3, 0] == "" and len(got) == 20
+
+
 def test_segments_deal_rows_out_once(spark, plan):
     df = spark.createDataFrame([(1, 1), (None, 2), (None, 3)], "k int, at int")
     calc = lambda: segments.segmented(df, ["k"], ["at"], [F.floor(F.col("at") / 2)], [segments.prefix_sum(F.col("at"), "s")])
