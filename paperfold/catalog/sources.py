@@ -170,7 +170,7 @@ def attachments(t):
     one = F.base64(F.encode(F.concat(F.lit("%PDF-"), F.col("text")), "UTF-8"))
     two = F.base64(F.encode(one, "UTF-8"))
     k = F.col("doc_id") % 3
-    url_safe = F.regexp_replace(F.translate(one, "+/", "-_"), "=+$", "")
+    url_safe = F.rtrim(F.replace(F.replace(one, F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_")), F.lit("="))
     sent = F.when(k == 0, F.concat(F.lit("data:application/pdf;base64,"), one)).when(k == 1, url_safe).otherwise(two)
     out = rd.decode_attachment(t.documents.select("doc_id", k.alias("layers"), sent.alias("sent")), "sent", "data")
     return out.select("doc_id", F.decode("data", "UTF-8").alias("body"), "layers")

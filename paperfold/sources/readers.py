@@ -124,12 +124,22 @@ def through_cache(source: DataFrame, cache: DataFrame, key: str, process) -> Dat
     return known.withColumn("cached", F.lit(True)).unionByName(process(todo).withColumn("cached", F.lit(False)))
 
 
-def base64_bytes(text: Column) -> Column:
-    """Bytes of a base64 text: data-URL prefix, URL-safe letters and padding are repaired."""
-    body = F.regexp_replace(text, r"^data:[^,]*,", "")
-    body = F.regexp_replace(F.translate(body, "-_", "+/"), "[^A-Za-z0-9+/]", "")
-    padded = F.concat(body, F.repeat(F.lit("="), F.pmod(-F.length(body), F.lit(4)).cast("int")))
-    return F.try_to_binary(padded, F.lit("base64"))
+def _base64_letters(text: Column) -> Column:
+    """The letters of a base64 text: without data-URL prefix, URL-safe ones in their plain form."""
+    body = F.when(F.startswith(text, F.lit("data:")), F.regexp_replace(text, r"^data:[^,]*,", "")).otherwise(text)
+    for old, new in (("-", "+"), ("_", "/")):
+        body = F.replace(body, F.lit(old), F.lit(new))
+    return F.regexp_replace(body, "[^A-Za-z0-9+/]+", "")
+
+
+def _with_bytes(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """Bytes of a base64 text: data-URL prefix, URL-safe letters and padding are repaired.
+
+    The letters are a column of their own, so they are made once.
+    """
+    out = df.withColumn("__letters", _base64_letters(text))
+    padded = F.concat("__letters", F.repeat(F.lit("="), F.pmod(-F.length("__letters"), F.lit(4)).cast("int")))
+    return out.withColumn(name, F.try_to_binary(padded, F.lit("base64"))).drop("__letters")
 
 
 # Leading bytes (hex) of the accepted file kinds.
@@ -149,12 +159,15 @@ def decode_attachment(df: DataFrame, column: str, name: str, max_chars: int | No
 
     With ``max_chars``, longer texts are not decoded and ``reject_reason`` says so.
     """
-    out = df.withColumn(name, base64_bytes(F.col(column)))
-    if max_chars is not None:
+    if max_chars is None:
+        out = _with_bytes(df, F.col(column), name)
+    else:
         fits = F.length(column) <= max_chars
-        out = df.withColumn(name, F.when(fits, base64_bytes(F.col(column)))).withColumn("reject_reason", F.when(~fits, "too long"))
-    out = out.withColumn("__two", base64_bytes(F.col(name).cast("string")))
-    out = out.withColumn("__three", base64_bytes(F.col("__two").cast("string")))
+        out = _with_bytes(df, F.when(fits, F.col(column)), name).withColumn("reject_reason", F.when(~fits, "too long"))
+    # a layer is only decoded where those before it show no signature
+    deeper = lambda c: F.when(~has_signature(F.col(c)), F.col(c).cast("string"))
+    out = _with_bytes(out, deeper(name), "__two")
+    out = _with_bytes(out, deeper("__two"), "__three")
     data = (F.when(has_signature(F.col(name)), F.col(name))
             .when(has_signature(F.col("__two")), F.col("__two"))
             .when(has_signature(F.col("__three")), F.col("__three")).otherwise(F.col(name)))

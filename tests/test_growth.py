@@ -118,6 +118,13 @@ def test_merged_cells_are_joined_once(spark, plan):
     assert [got[1, 3, c] for c in range(4)] == ["v", "v", "v", ""] and got[None, 3, 0] == "" and len(got) == 20
 
 
+def test_attachment_layers_are_decoded_only_where_needed(spark, plan):
+    df = spark.createDataFrame([("JVBERi0xLjQ",), ("data:x,JVBERi0xLjQ=",), (None,)], "sent string")
+    text = plan(lambda: readers.decode_attachment(df, "sent", "data"))
+    assert "translate(" not in text and "CASE WHEN NOT coalesce(" in text
+    assert [r.data and bytes(r.data) for r in readers.decode_attachment(df, "sent", "data").collect()] == [b"%PDF-1.4", b"%PDF-1.4", None]
+
+
 def test_segments_deal_rows_out_once(spark, plan):
     df = spark.createDataFrame([(1, 1), (None, 2), (None, 3)], "k int, at int")
     calc = lambda: segments.segmented(df, ["k"], ["at"], [F.floor(F.col("at") / 2)], [segments.prefix_sum(F.col("at"), "s")])
