@@ -281,9 +281,11 @@ def normalise_fields(cells: DataFrame, entries: DataFrame) -> DataFrame:
     single = single.select("value", "category", F.col("w")[0]["token"].alias("token")).join(firsts, ["category", "token"])
     single = single.select("value", "category", "code", F.lit(1.0).alias("dict_score"))
     probes = bag.select("value", "category", F.explode(F.transform(needed, lambda x: x["token"])).alias("token"))
-    candidates = probes.join(post, ["category", "token"]).select("value", "category", "code").distinct()
-    per_entry = entries.select("category", "code", tokens_of(F.col("name")).alias("entry_words"))
-    scored = candidates.join(bag, ["value", "category"]).join(per_entry, ["category", "code"])
+    # entries of one category and the same words have the same score; the first of them stands for all
+    alike = entries.groupBy("category", F.array_sort(tokens_of(F.col("name"))).alias("entry_words")).agg(F.min("code").alias("code"))
+    alike = written(alike.where(F.col("code").isNotNull()), "entry-words")
+    listed = alike.select("category", "code", "entry_words", F.explode("entry_words").alias("token"))
+    scored = probes.hint("merge").join(listed, ["category", "token"]).join(bag, ["value", "category"])
     scored = scored.select("value", "category", "code", (F.floor(_shared("entry_words") / F.col("total") * 1e6 + 0.5) / 1e6).alias("dict_score"))
     best = pick_first(scored.unionByName(single).where(F.col("dict_score") > ACCEPT_SEARCH), ["value", "category"],
                       [-F.col("dict_score"), F.col("code")], ["code", "dict_score"])

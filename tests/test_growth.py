@@ -131,3 +131,14 @@ def test_segments_deal_rows_out_once(spark, plan):
     # rows, summary by segment, summary by key, summary back to its segment
     assert plan(calc).count("Exchange hashpartitioning") == 4
     assert {(r.k, r.at, r.s) for r in calc().collect()} == {(1, 1, 0), (None, 2, 0), (None, 3, 2)}
+
+
+def test_entries_of_equal_words_are_one_candidate(spark, monkeypatch):
+    kept, written = {}, fuzzy.written
+    monkeypatch.setattr(fuzzy, "written", lambda df, label: kept.setdefault(label, written(df, label)))
+    entries = spark.createDataFrame([("c", f"{k:03}", "green steel" if k % 2 else "steel green") for k in range(50)] + [("c", "900", "red tin")],
+                                    "category string, code string, name string")
+    cells = spark.createDataFrame([(1, "green steel", "c"), (2, "tin red", "c"), (3, "none here", "c")], "id int, value string, category string")
+    got = {r.id: r.normalized_code for r in fuzzy.normalise_fields(cells, entries).collect()}
+    assert got == {1: "000", 2: "900", 3: None}
+    assert kept["entry-words"].count() == 2
