@@ -8,12 +8,14 @@ values are ever compared.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -338,78 +340,223 @@ def containing_pairs(values: DataFrame, words: DataFrame) -> DataFrame:
     return equal.unionByName(inside).unionByName(around)
 
 
-LINES_PER_BLOCK, CHARS_PER_BLOCK = 4, 1 << 11
+BYTES_PER_BLOCK = 1 << 14
+CELLS_AT_ONCE = 1 << 16
+PARTS_KEPT, LONG_VALUE = 1 << 18, 32  # pieces of values remembered; values that are not cut into pieces
+_ROWS_PER_SLICE = 256
 
 
-class _Asked:
-    """A document's values with everything that a word must be to match one."""
+def _firsts(doc_id: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    """First row of each block: a new one for each run of a document and after some BYTES_PER_BLOCK of it."""
+    ends = pc.run_end_encode(doc_id).run_ends.to_numpy().astype(np.int64)
+    rows = np.diff(ends, prepend=0)
+    run = np.repeat(np.arange(len(ends)), rows)
+    before = np.cumsum(sizes) - sizes
+    part = (before - before[ends - rows][run]) // BYTES_PER_BLOCK
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (part[1:] != part[:-1])
+    return np.flatnonzero(new)
 
-    def __init__(self, values: list[str]) -> None:
-        self.values = set(values)
-        self.sizes = sorted({len(v) for v in self.values if v})
-        self.parts: dict[str, list[str]] = defaultdict(list)
-        for v in self.values:
-            for part in {v[i:j] for i in range(len(v)) for j in range(i + 2, len(v) + 1)}:
-                self.parts[part].append(v)
 
-    def matches(self, word: str) -> set[str]:
-        """Values that equal the word, stand in it or, if it has two characters or more, contain it."""
-        if len(word) < 2:
-            return {word} & self.values
-        inside = {word[i:i + n] for n in self.sizes if n <= len(word) for i in range(len(word) - n + 1)}
-        return (inside & self.values).union(self.parts.get(word, ()))
+def _scattered(doc_id: pa.Array) -> bool:
+    runs = pc.run_end_encode(doc_id).values
+    return pc.count_distinct(runs, mode="all").as_py() < len(runs)
+
+
+def _whole(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=True).astype(np.int64)  # refuses nulls
+
+
+def _in_order(batch: pa.RecordBatch) -> bool:
+    """A document's words are one run, by rising page and start."""
+    doc_id, page, start = batch.column(0), _whole(batch.column(1)), _whole(batch.column(2))
+    rising = (page[1:] > page[:-1]) | ((page[1:] == page[:-1]) & (start[1:] > start[:-1]))
+    rising[pc.run_end_encode(doc_id).run_ends.to_numpy()[:-1] - 1] = True
+    return bool(rising.all()) and not _scattered(doc_id)
+
+
+def _packed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a document's words by page and start: a text with their places where these do not just go on."""
+    codec = pa.Codec("zstd", compression_level=3)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if not _in_order(batch):
+            batch = batch.sort_by([(name, "ascending") for name in batch.schema.names])
+        doc_id, page, start, word = batch.column(0), _whole(batch.column(1)), _whole(batch.column(2)), batch.column(3)
+        firsts = _firsts(doc_id, _whole(pc.binary_length(word)) + 1)
+        size = _whole(pc.utf8_length(word)) + 1
+        at = np.cumsum(size) - size
+        at -= np.repeat(at[firsts], np.diff(firsts, append=len(at)))
+        told = np.ones(len(at), bool)
+        told[1:] = (page[1:] != page[:-1]) | (start[1:] != start[:-1] + size[:-1])
+        told[firsts] = True
+        told = np.flatnonzero(told)
+        sep = next(c for c in map(chr, (10, *range(0xD800))) if not pc.any(pc.match_substring(word, c)).as_py())
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(firsts, len(at)), pa.int32()), word), sep)
+        places, cut = np.stack([at[told], page[told], start[told]]), np.searchsorted(told, np.append(firsts, len(at)))
+        blocks = []
+        for k, text in enumerate(texts.to_pylist()):
+            here = np.diff(places[:, cut[k]:cut[k + 1]], axis=1, prepend=0)
+            raw = np.array([ord(sep), here.shape[1]], np.int64).tobytes() + here.tobytes() + text.encode()
+            blocks.append(len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True))
+        yield pa.RecordBatch.from_arrays([doc_id.take(pa.array(firsts)), pa.array(blocks, pa.binary())], names=["doc_id", "block"])
+
+
+def _packed_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of a document's cells."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if _scattered(batch.column(0)):
+            batch = batch.sort_by(batch.schema.names[0])
+        firsts = _firsts(batch.column(0), _whole(pc.binary_length(batch.column(2))) + 1)
+        cells = pa.StructArray.from_arrays(batch.columns[1:], names=batch.schema.names[1:])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(firsts, batch.num_rows), pa.int32()), cells)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(firsts)), lists], names=["doc_id", "cells"])
+
+
+class _Parts(dict):
+    """Pieces of two characters or more, shorter than the value, for each short value met."""
+
+    kept = 0
+
+    def __missing__(self, value: str) -> frozenset[str]:
+        if self.kept > PARTS_KEPT:
+            self.clear()
+            self.kept = 0
+        self[value] = frozenset(value[i:i + n] for n in range(2, len(value)) for i in range(len(value) - n + 1))
+        self.kept += len(self[value])
+        return self[value]
+
+
+class _Block:
+    """Words of a document, by page and start, as one text with a separator around each of them."""
+
+    def __init__(self, raw: bytes) -> None:
+        sep, n = np.frombuffer(raw, np.int64, 2).tolist()
+        self.at, self.pages, self.starts = np.cumsum(np.frombuffer(raw, np.int64, 3 * n, 16).reshape(3, n), axis=1).tolist()
+        self.sep = chr(sep)
+        self.text = f"{self.sep}{raw[16 + 24 * n:].decode()}{self.sep}"
+        self.words = set(self.text.split(self.sep))
+
+    def inside(self, value: str, parts: _Parts) -> set[str]:
+        """Words of two characters or more that stand in the value and are shorter."""
+        if len(value) > LONG_VALUE:
+            return {w for w in self.words if 1 < len(w) < len(value) and w in value}
+        return parts[value] & self.words
+
+    def place(self, at: int) -> tuple[int, int]:
+        k = bisect_right(self.at, at) - 1
+        return self.pages[k], self.starts[k] + at - self.at[k]
+
+    def span(self, page: int) -> tuple[int, int] | None:
+        """Where the words of a page stand."""
+        first, end = bisect_left(self.pages, page), bisect_right(self.pages, page)
+        if first == end:
+            return None
+        return self.at[first], self.at[end] - 1 if end < len(self.at) else len(self.text) - 2
+
+    def best(self, value: str, inside: set[str], first: int, end: int) -> tuple[int, int, int, str] | None:
+        """(page_no, tier, start, word) of the first page there that has a word for the value: the word itself, else the
+        first that contains it or stands in it."""
+        text, sep = self.text, self.sep
+        equal = text.find(f"{sep}{value}{sep}", first, end + 2) if value in self.words else -1
+        around = text.find(value, first + 1, end + 1) if value and sep not in value else -1
+        found = [text.rfind(sep, first, around)] if around >= 0 else [equal] if equal >= 0 else []
+        for word in inside:
+            at = text.find(f"{sep}{word}{sep}", first, end + 2)
+            if at >= 0:
+                found.append(at)
+        if not found:
+            return None
+        at = min(found)
+        page_no, start = self.place(at)
+        if equal >= 0 and self.place(equal)[0] == page_no:
+            return page_no, 0, self.place(equal)[1], value
+        return page_no, 1, start, text[at + 1:text.index(sep, at + 1)]
 
 
 def _best_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Best word of each block of a document's words for each of its values and asked pages."""
-    last, asked = None, None
+    """Best word of the blocks that follow each other for each cell of a document."""
+    codec = pa.Codec("zstd")
+    parts = _Parts()
+    best: dict[tuple, tuple] = {}  # by value and page, and by value alone
+    cells: dict[tuple, None] = {}
+    last = None  # document whose cells and words these are
+    rows: list[tuple] = []
+    kinds: list[pa.DataType] = []
+
+    def close() -> None:
+        for cell_id, value, page in cells:
+            top = best.get((value, page)) or best.get((value,))
+            if top:
+                page_no, tier, start, word = top
+                rows.append((cell_id, last, value, page, word, page_no, start, tier))
+        best.clear()
+        cells.clear()
+
+    def table() -> pa.RecordBatch:
+        columns = [[r[c] for r in rows] for c in range(len(kinds))]
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)],
+                                          names=["cell_id", "doc_id", "value", "page", "word", "page_no", "start", "tier"])
+
+    def better(key: tuple, found: tuple | None) -> None:
+        if found and (key not in best or found < best[key]):
+            best[key] = found
+
     for batch in batches:
-        doc_id, cells, words = (batch.column(k) for k in range(3))
-        parents, rows = [], []
-        for k in range(batch.num_rows):
-            wanted = list(zip(*(c.to_pylist() for c in cells[k].values.flatten()), strict=True))
-            values = sorted({value for value, _ in wanted})
-            if values != last:
-                last, asked = values, _Asked(values)
-            best: dict[str, dict[int, tuple]] = defaultdict(dict)
-            known: dict[str, set[str]] = {}
-            for word, page_no, start in zip(*(c.to_pylist() for c in words[k].values.flatten()), strict=True):
-                if word not in known:
-                    known[word] = asked.matches(word)
-                for value in known[word]:
-                    place = (page_no, int(word != value), start, word)
-                    best[value][page_no] = min(best[value].get(page_no, place), place)
-            for value, page in wanted:
-                if value in best:
-                    page_no, tier, start, word = best[value].get(page) or min(best[value].values())
-                    parents.append(k)
-                    rows.append((value, page, word, page_no, start, tier))
-        columns = [[r[c] for r in rows] for c in range(6)]
-        kinds = [cells.type.value_type.field(0).type, cells.type.value_type.field(1).type,
-                 *(words.type.value_type.field(c).type for c in range(3)), pa.int32()]
-        arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([doc_id.take(pa.array(parents, pa.int64())), *arrays],
-                                         names=["doc_id", "value", "page", "word", "page_no", "start", "tier"])
+        for first in range(0, batch.num_rows, _ROWS_PER_SLICE):
+            part = batch.slice(first, _ROWS_PER_SLICE)
+            ids, lists, blocks = part.columns
+            own = [f.type for f in lists.type.value_type.fields]
+            kinds = [own[0], ids.type, own[1], own[2], pa.string(), pa.int64(), pa.int64(), pa.int32()]
+            listed, asked = None, {}
+            for doc_id, some, packed in zip(ids.to_pylist(), lists, blocks):
+                if doc_id != last or len(cells) > CELLS_AT_ONCE:
+                    close()
+                    last, listed = doc_id, None
+                own_cells = list(zip(*(c.to_pylist() for c in some.values.flatten()), strict=True))
+                if own_cells != listed:
+                    listed, asked = own_cells, defaultdict(set)
+                    for _, value, page in listed:
+                        asked[value].add(page)
+                    cells.update(dict.fromkeys(listed))
+                packed = packed.as_py()
+                block = _Block(codec.decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True))
+                spans = {page: block.span(page) for page in set().union(*asked.values()) if page is not None}
+                for value, pages in asked.items():
+                    inside = block.inside(value, parts)
+                    better((value,), block.best(value, inside, 0, len(block.text) - 2))
+                    for page in pages:
+                        if spans.get(page):
+                            better((value, page), block.best(value, inside, *spans[page]))
+            if rows:
+                yield table()
+    close()
+    if rows:
+        yield table()
 
 
 def locate_values(cells: DataFrame, words: DataFrame) -> DataFrame:
     """Best word for each cell (cell_id, doc_id, value, page): proposed page, page order, tier, position.
 
-    ``words(doc_id, page_no, start, word)``.  A word only meets the values of its own document: blocks of some lines are
-    compared with them one by one, and a block sends one word for each value and page, never the pairs.
+    ``words(doc_id, page_no, start, word)``.  A word only meets the values of its own document.  Words and cells move
+    once, as compressed blocks and lists; a task searches the text of a block for the first word of each value and
+    asked page and sends one word for each cell, never the pairs.
     """
-    asked = cells.where(F.col("value").isNotNull()).groupBy("doc_id").agg(F.collect_set(F.struct("value", "page")).alias("cells"))
-    block = [F.floor(F.col("page_no") / LINES_PER_BLOCK).alias("lines"), F.floor(F.col("start") / CHARS_PER_BLOCK).alias("chars")]
-    blocks = words.groupBy("doc_id", *block).agg(F.collect_list(F.struct("word", "page_no", "start")).alias("words"))
-    schema = T.StructType([words.schema["doc_id"], *(cells.schema[c] for c in ("value", "page")),
-                           *(words.schema[c] for c in ("word", "page_no", "start")), T.StructField("tier", T.IntegerType())])
-    found = blocks.hint("merge").join(asked, "doc_id").select("doc_id", "cells", "words").mapInArrow(_best_of_words, schema)
-    best = pick_first(found.withColumnRenamed("page", "__page"), ["doc_id", "value", "__page"],
-                      [F.col("page_no") != F.col("__page"), F.col("page_no"), F.col("tier"), F.col("start")],
-                      ["word", "page_no", "start", "tier"])
-    hits = cells.hint("merge").join(best.withColumnRenamed("doc_id", "__doc").withColumnRenamed("value", "__value"),
-                      (F.col("doc_id") == F.col("__doc")) & (F.col("value") == F.col("__value")) & F.col("page").eqNullSafe(F.col("__page")))
-    return pick_first(hits, ["cell_id", "doc_id"],
+    doc_id, cell = cells.schema["doc_id"], [cells.schema[c] for c in ("cell_id", "value", "page")]
+    given = cells.where(F.col("value").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "cell_id", "value", "page")
+    asked = given.mapInArrow(_packed_cells, T.StructType([doc_id, T.StructField("cells", T.ArrayType(T.StructType(cell)))]))
+    placed = words.where(F.col("word").isNotNull() & F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").cast(doc_id.dataType), "page_no", "start", "word")
+    blocks = placed.mapInArrow(_packed_words, T.StructType([doc_id, T.StructField("block", T.BinaryType())]))
+    place = [T.StructField("page_no", T.LongType()), T.StructField("start", T.LongType()), T.StructField("tier", T.IntegerType())]
+    found = blocks.hint("merge").join(asked, "doc_id").select("doc_id", "cells", "block").mapInArrow(
+        _best_of_words, T.StructType([cell[0], doc_id, *cell[1:], T.StructField("word", T.StringType()), *place]))
+    found = found.withColumns({c: F.col(c).cast(words.schema[c].dataType) for c in ("page_no", "start")})
+    return pick_first(found, ["cell_id", "doc_id"],
                       [F.col("page_no") != F.col("page"), F.col("page_no"), F.col("tier"), F.col("start")],
                       ["value", "word", "page_no", "start", "tier"])
 

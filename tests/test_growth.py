@@ -4,6 +4,7 @@ import random
 import time
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -65,6 +66,65 @@ def test_words_meet_the_values_of_their_own_document(spark, plan):
     assert got == expected
 
 
+def best_place(value, page, words):
+    """(page_no, start, word, tier) by comparing a value with all words (page_no, start, word) of its document."""
+    found = [(page is not None and p != page, p, int(x != value), s, x) for p, s, x in words
+             if x == value or len(x) > 1 and value and (x in value or value in x)]
+    return (lambda _, p, tier, s, x: (p, s, x, tier))(*min(found)) if found else None
+
+
+def test_words_and_cells_move_once(spark, plan):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcé한") for _ in range(rng.choice([1, 2, 3, 40])))
+    words = [(rng.choice([1, 2, None]), rng.randint(0, 9), 10 * k, word()) for k in range(300)]
+    cells = [(k, rng.choice([1, 2, 3, None]), rng.choice([word(), None, ""]), rng.choice([None, 0, 4, 99])) for k in range(60)]
+    w = spark.createDataFrame(words * 2, "doc_id bigint, page_no int, start long, word string").repartition(3)
+    c = spark.createDataFrame(cells * 2, "cell_id int, doc_id int, value string, page int").repartition(2)
+    text = plan(lambda: fuzzy.locate_values(c.coalesce(1), w.coalesce(1)))
+    # words and cells by document, results by cell; no list of words is made of rows
+    assert text.count("Exchange hashpartitioning") == 3 and "collect_" not in text
+    out = fuzzy.locate_values(c, w)
+    assert [(f.name, f.dataType.simpleString()) for f in out.schema] == [
+        ("cell_id", "int"), ("doc_id", "int"), ("value", "string"), ("word", "string"), ("page_no", "int"), ("start", "bigint"), ("tier", "int")]
+    expected = {}
+    for cell, doc, value, page in cells:
+        if doc is not None and value is not None and (top := best_place(value, page, [x[1:] for x in words if x[0] == doc])):
+            expected[cell] = (doc, value, *top)
+    rows = out.collect()
+    assert {r.cell_id: (r.doc_id, r.value, r.page_no, r.start, r.word, r.tier) for r in rows} == expected and len(rows) == len(expected) > 10
+
+
+@pytest.mark.parametrize("seed,block,at_once,kept,long", [(1, 30, 3, 20, 4), (2, 1 << 14, 1 << 16, 1 << 18, 32), (3, 1, 1 << 16, 0, 0)])
+def test_blocks_of_words_keep_every_place(monkeypatch, seed, block, at_once, kept, long):
+    for name, value in (("BYTES_PER_BLOCK", block), ("CELLS_AT_ONCE", at_once), ("PARTS_KEPT", kept), ("LONG_VALUE", long)):
+        monkeypatch.setattr(fuzzy, name, value)
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("ab\n\0é한") for _ in range(rng.choice([0, 1, 1, 2, 3, 7])))
+    words = [(rng.randint(0, 4), rng.choice([0, 1, 2, 7, -3]), rng.randint(0, 60), word()) for _ in range(400)]
+    cells = [(rng.randint(0, 5), k, word(), rng.choice([None, 0, 2, 5])) for k in range(120)]
+    if seed == 2:
+        words.sort()
+
+    def packed(pack, rows, names):
+        batches = (pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[k:k + 90]]) for k in range(0, len(rows), 90))
+        return pa.Table.from_batches(list(pack(batches)))
+
+    blocks = packed(fuzzy._packed_words, words, ["doc_id", "page_no", "start", "word"])
+    lists = packed(fuzzy._packed_cells, cells, ["doc_id", "cell_id", "value", "page"])
+    pairs = sorted(((i, j) for i, d in enumerate(blocks["doc_id"].to_pylist()) for j, e in enumerate(lists["doc_id"].to_pylist()) if d == e),
+                   key=lambda x: (blocks["doc_id"][x[0]].as_py(), x))
+    left, right = (pa.array(x) for x in zip(*pairs, strict=True))
+    joined = pa.table({"doc_id": blocks["doc_id"].take(left), "cells": lists["cells"].take(right), "block": blocks["block"].take(left)})
+    got: dict[int, tuple] = {}
+    for batch in fuzzy._best_of_words(iter(joined.combine_chunks().to_batches(max_chunksize=7))):
+        for r in batch.to_pylist():
+            order = (r["page"] is not None and r["page_no"] != r["page"], r["page_no"], r["tier"], r["start"], r["word"])
+            got[r["cell_id"]] = min(got.get(r["cell_id"], order), order)
+    expected = {cell: best_place(value, page, [x[1:] for x in words if x[0] == doc]) for doc, cell, value, page in cells}
+    assert {cell: (p, start, x, tier) for cell, (_, p, tier, start, x) in got.items()} == {k: v for k, v in expected.items() if v}
+    assert 10 < len(got) < len(cells)
+
+
 def test_only_words_that_can_be_tagged_are_placed_among_claims(spark, folder, monkeypatch):
     seen = []
     unclaimed = shapes.spans.unclaimed_words
