@@ -11,6 +11,7 @@ import math
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -341,7 +342,7 @@ def containing_pairs(values: DataFrame, words: DataFrame) -> DataFrame:
 
 
 BYTES_PER_BLOCK = 1 << 14
-CELLS_AT_ONCE = 1 << 16
+CELLS_AT_ONCE, BYTES_PER_CELL = 1 << 18, 64
 PARTS_KEPT, LONG_VALUE = 1 << 18, 32  # pieces of values remembered; values that are not cut into pieces
 _ROWS_PER_SLICE = 256
 
@@ -404,13 +405,14 @@ def _packed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _packed_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of a document's cells."""
+    """Lists of a document's different cells."""
     for batch in batches:
         if not batch.num_rows:
             continue
+        batch = pa.Table.from_batches([batch]).group_by(batch.schema.names, use_threads=False).aggregate([]).combine_chunks().to_batches()[0]
         if _scattered(batch.column(0)):
             batch = batch.sort_by(batch.schema.names[0])
-        firsts = _firsts(batch.column(0), _whole(pc.binary_length(batch.column(2))) + 1)
+        firsts = _firsts(batch.column(0), _whole(pc.binary_length(batch.column(2))) + BYTES_PER_CELL)
         cells = pa.StructArray.from_arrays(batch.columns[1:], names=batch.schema.names[1:])
         lists = pa.ListArray.from_arrays(pa.array(np.append(firsts, batch.num_rows), pa.int32()), cells)
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(firsts)), lists], names=["doc_id", "cells"])
@@ -438,7 +440,10 @@ class _Block:
         self.at, self.pages, self.starts = np.cumsum(np.frombuffer(raw, np.int64, 3 * n, 16).reshape(3, n), axis=1).tolist()
         self.sep = chr(sep)
         self.text = f"{self.sep}{raw[16 + 24 * n:].decode()}{self.sep}"
-        self.words = set(self.text.split(self.sep))
+
+    @cached_property
+    def words(self) -> set[str]:
+        return set(self.text.split(self.sep))
 
     def inside(self, value: str, parts: _Parts) -> set[str]:
         """Words of two characters or more that stand in the value and are shorter."""
@@ -463,14 +468,13 @@ class _Block:
         text, sep = self.text, self.sep
         equal = text.find(f"{sep}{value}{sep}", first, end + 2) if value in self.words else -1
         around = text.find(value, first + 1, end + 1) if value and sep not in value else -1
-        found = [text.rfind(sep, first, around)] if around >= 0 else [equal] if equal >= 0 else []
-        for word in inside:
-            at = text.find(f"{sep}{word}{sep}", first, end + 2)
-            if at >= 0:
-                found.append(at)
-        if not found:
+        at = text.rfind(sep, first, around) if around >= 0 else equal
+        for word in inside:  # only what stands before
+            before = text.find(f"{sep}{word}{sep}", first, end + 2 if at < 0 else at + len(word) + 1)
+            if before >= 0:
+                at = before
+        if at < 0:
             return None
-        at = min(found)
         page_no, start = self.place(at)
         if equal >= 0 and self.place(equal)[0] == page_no:
             return page_no, 0, self.place(equal)[1], value
@@ -512,7 +516,7 @@ def _best_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             ids, lists, blocks = part.columns
             own = [f.type for f in lists.type.value_type.fields]
             kinds = [own[0], ids.type, own[1], own[2], pa.string(), pa.int64(), pa.int64(), pa.int32()]
-            listed, asked = None, {}
+            listed, asked, known_as, block = None, {}, None, None
             for doc_id, some, packed in zip(ids.to_pylist(), lists, blocks):
                 if doc_id != last or len(cells) > CELLS_AT_ONCE:
                     close()
@@ -524,14 +528,20 @@ def _best_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                         asked[value].add(page)
                     cells.update(dict.fromkeys(listed))
                 packed = packed.as_py()
-                block = _Block(codec.decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True))
+                if packed != known_as:
+                    block = _Block(codec.decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True))
+                    known_as = packed
                 spans = {page: block.span(page) for page in set().union(*asked.values()) if page is not None}
                 for value, pages in asked.items():
+                    known = best.get((value,))
+                    pages = [page for page in pages if spans.get(page)]
+                    if known and known[0] < block.pages[0] and not pages:
+                        continue  # an earlier page has a word
                     inside = block.inside(value, parts)
-                    better((value,), block.best(value, inside, 0, len(block.text) - 2))
+                    found = block.best(value, inside, 0, len(block.text) - 2)
+                    better((value,), found)
                     for page in pages:
-                        if spans.get(page):
-                            better((value, page), block.best(value, inside, *spans[page]))
+                        better((value, page), found if found and found[0] == page else block.best(value, inside, *spans[page]))
             if rows:
                 yield table()
     close()

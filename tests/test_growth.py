@@ -110,7 +110,8 @@ def test_blocks_of_words_keep_every_place(monkeypatch, seed, block, at_once, kep
         return pa.Table.from_batches(list(pack(batches)))
 
     blocks = packed(fuzzy._packed_words, words, ["doc_id", "page_no", "start", "word"])
-    lists = packed(fuzzy._packed_cells, cells, ["doc_id", "cell_id", "value", "page"])
+    lists = packed(fuzzy._packed_cells, cells[:60] * 2 + cells, ["doc_id", "cell_id", "value", "page"])
+    assert sum(map(len, lists["cells"].to_pylist())) < 240
     pairs = sorted(((i, j) for i, d in enumerate(blocks["doc_id"].to_pylist()) for j, e in enumerate(lists["doc_id"].to_pylist()) if d == e),
                    key=lambda x: (blocks["doc_id"][x[0]].as_py(), x))
     left, right = (pa.array(x) for x in zip(*pairs, strict=True))
